@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, read
 
@@ -73,9 +74,7 @@ def count_tokens(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(x) for x in sp.encode(batch.column("text").to_pylist(), num_threads=1)] if batch.num_rows else []
             yield batch.append_column("tokens", pa.array(n, pa.int64()))
 
-    from pyspark.sql.types import LongType
-
-    return turns.mapInArrow(run, turns.schema.add("tokens", LongType()))
+    return turns.mapInArrow(run, StructType([*turns.schema.fields, StructField("tokens", LongType())]))
 
 
 def windows(turns: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
