@@ -19,38 +19,33 @@ stay unchanged; columns besides doc_id and text are kept and not read; an empty
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, read
+from .common import SPACE, SPACE_CHARS, Scratch, read
 
 PER_CENT = 85
 MIN_WORDS = 5
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: A side of a join is broadcast up to so many narrow rows, counted first; beyond, both sides are shuffled.
 FEW = 300_000
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(F.split(text, SPACE), lambda w: F.xxhash64(w))
-
-
-def slot_tiers(docs: DataFrame) -> list[int]:
-    """For each slot a tier, 8 for each doubling of its hits over all words of docs; SLOTS numbers, whatever the input."""
-    hits = docs.where("text is not null").select(F.explode(_hashes(F.col("text"))).alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).count()
-    tiers = [0] * SLOTS
-    for r in hits.collect():
-        tiers[r["slot"]] = min(63, int(2 * math.log2(r["count"])))
+def slot_tiers(docs: DataFrame) -> np.ndarray:
+    """For each slot a tier, two for each doubling of its hits over all words of docs; SLOTS numbers, whatever the input."""
+    words = docs.where("text is not null").select(F.explode(F.split("text", SPACE)).alias("w"))
+    hits = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).count().toArrow()
+    tiers = np.zeros(SLOTS, dtype=np.int64)
+    tiers[hits.column("slot").to_numpy()] = np.minimum(63, 2 * np.log2(hits.column("count").to_numpy())).astype(np.int64)
     return tiers
 
 
 def _ordered(line: Column, tiers: Column) -> Column:
     """The distinct words of a line, the rarest first, as numbers: tier in the top bits, then the hash."""
-    blank = F.xxhash64(F.lit(""))
-    number = lambda h: F.shiftleft(F.get(tiers, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(_hashes(line), lambda h: h != blank), number)))
+    hashes = F.transform(F.split(F.btrim(line, F.lit(SPACE_CHARS)), SPACE), lambda w: F.xxhash64(w))
+    tier = lambda h: F.coalesce(F.get(tiers, F.pmod(h, F.lit(SLOTS)).cast("int")), F.lit(0).cast("tinyint")).cast("long")
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(tier(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))))
 
 
 def _least(n: Column, per_cent: int) -> Column:
@@ -100,7 +95,7 @@ def verified(docs: DataFrame, once: DataFrame, pairs: DataFrame, tiers: Column,
 
 def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, gone: the sorted numbers (from 0) of its lines that repeat an earlier line."""
-    tiers = F.split(F.lit(",".join(map(str, slot_tiers(docs)))), ",").cast("array<tinyint>")
+    tiers = F.split(F.lit(",".join(map(str, slot_tiers(docs).tolist()))), ",").cast("array<tinyint>")
     lines, once = classes(docs, tiers, scratch, per_cent, min_words)
     pairs = scratch.table(candidates(once, per_cent))
     links = scratch.table(verified(docs, once, pairs, tiers, scratch, per_cent))

@@ -6,8 +6,9 @@ candidate pair that counts is confirmed on the full shingle sets. At similarity
 probability (1 - 0.75^4)^32, about 5e-6; pairs with more in common are missed still less often.
 
 Copies (equal shingle sets) form classes first and only a class's smallest id goes on. In a band the members are checked
-against the smallest id (as many pairs as members). What is linked forms components; only members of one band that lie in
-different components are then paired, so large groups of near copies never give all their pairs.
+against the smallest id (as many pairs as members). What is linked forms components. Where candidates that hang together lie in
+several components, those outside the largest are compared with all the others, in indexed blocks, so large groups of near
+copies never give all their pairs.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of 1 to 4 words has one shingle, the whole;
 null or empty texts have none and link with nothing; rows that repeat a doc_id with the same text are one document (with
@@ -121,6 +122,60 @@ def confirm(pairs: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> Dat
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+BUILD, PROBE = 256, 1024
+
+
+def remaining_links(scratch: Scratch, pairs: DataFrame, placed: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """Links (a, b) between different components of one neighbourhood (documents that candidate pairs connect).
+
+    Members outside a neighbourhood's largest component, in blocks of about BUILD, meet all its members, in blocks of about
+    PROBE; a block's sets are indexed and the other documents stream past, so no pair is written unless it is a link.
+    """
+    around = components(scratch, pairs).withColumnsRenamed({"id": "doc_id", "component": "hood"})
+    where = around.join(placed.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "hood", F.coalesce("component", "doc_id").alias("c"))
+    where = scratch.table(where)
+    by_c = where.groupBy("hood", "c").agg(F.count(F.lit(1)).alias("n"))
+    hoods = by_c.groupBy("hood").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("m")).where("m > main.n")
+    hoods = hoods.select("hood", F.col("main.c").alias("main"), F.ceil((F.col("m") - F.col("main.n")) / BUILD).cast("int").alias("is"), F.ceil(F.col("m") / PROBE).cast("int").alias("js"))
+    open_ = scratch.table(where.join(scratch.table(hoods), "hood").join(texts, "doc_id"))
+    i, j = F.pmod(F.xxhash64("doc_id"), F.col("is")).cast("int"), F.pmod(F.xxhash64("doc_id"), F.col("js")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    build = open_.where("c <> main").select("hood", i.alias("i"), every("js").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "text")
+    probe = open_.select("hood", every("is").alias("i"), j.alias("j"), F.lit(1).alias("role"), "doc_id", "c", "text")
+
+    def run(batches):
+        key, ids, cs, sets, index = None, [], [], [], None
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for hood, i, j, role, doc, c, text in zip(*columns, strict=True):
+                if key != (hood, i, j):
+                    key, ids, cs, sets, index = (hood, i, j), [], [], [], None
+                raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+                s = next(shingle_sets(raw, np.array([0, len(raw)])))
+                if role == 0:
+                    ids.append(doc), cs.append(c), sets.append(s)
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    size = np.array([len(x) for x in sets])
+                    flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], own[order], size, np.array(ids), np.array(cs)
+                flat, own, size, b_ids, b_cs = index
+                lo, hi = np.searchsorted(flat, s, side="left"), np.searchsorted(flat, s, side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(own[at], minlength=len(size))
+                hit = b_ids[(100 * both >= per_cent * (size + len(s) - both)) & (b_cs != c)].tolist()
+                out[0].extend([doc] * len(hit)), out[1].extend(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    rows = build.union(probe).repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "role")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
     signed = scratch.table(sign(docs))
@@ -138,18 +193,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT)
     texts = scratch.table(one_text)
     links = scratch.table(confirm(pairs, texts, per_cent))
     first = scratch.table(components(scratch, links))
-    # members of a band that lie in different components and were not yet compared
-    placed = in_bands.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    open_ = scratch.table(placed.join(mixed, "band"))
-    x, y = open_.withColumnsRenamed({"doc_id": "a", "c": "ca"}), open_.withColumnsRenamed({"doc_id": "b", "c": "cb"})
-    more = x.join(y, "band").where("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.table(more)
-    late = scratch.table(confirm(more, texts, per_cent))
-    if late.isEmpty():
-        found = first
-    else:
-        found = components(scratch, links.union(late))
+    late = scratch.table(remaining_links(scratch, pairs, first, texts, per_cent))
+    found = first if late.isEmpty() else components(scratch, links.union(late))
     scratch.drop(texts)
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"), "n", "rep")
     changed = of_class.where("n > 1 or component_id <> rep").select("set_hi", "set_lo", "component_id")
