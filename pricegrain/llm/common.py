@@ -28,12 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch: with long texts the default of 10,000 takes much memory outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no more than the running step."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Runs df once, as Parquet in the shared folder, and returns what was written."""
@@ -56,6 +62,7 @@ class Scratch:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

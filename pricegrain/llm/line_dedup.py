@@ -32,20 +32,33 @@ SLOTS = 1 << 19
 FEW = 300_000
 
 
+def _split(text: Column) -> Column:
+    """Words between single spaces, '' where several meet; other white space is rare and replaced only where it occurs."""
+    return F.split(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, SPACE, " ")).otherwise(text), " ")
+
+
 def slot_tiers(docs: DataFrame) -> np.ndarray:
     """For each slot a tier, two for each doubling of its hits over all words of docs; SLOTS numbers, whatever the input."""
-    words = docs.where("text is not null").select(F.explode(F.split("text", SPACE)).alias("w"))
-    hits = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).count().toArrow()
+    words = docs.where("text is not null").select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).count().toArrow()
     tiers = np.zeros(SLOTS, dtype=np.int64)
-    tiers[hits.column("slot").to_numpy()] = np.minimum(63, 2 * np.log2(hits.column("count").to_numpy())).astype(np.int64)
+    tiers[hits.column("slot").to_numpy()] = np.minimum(62, 2 * np.log2(hits.column("count").to_numpy())).astype(np.int64)
     return tiers
 
 
+def order_column(tiers: np.ndarray) -> Column:
+    """The tiers as one constant array, each in the top bits of a number."""
+    return F.split(F.lit(",".join(map(str, (tiers << 57).tolist()))), ",").cast("array<bigint>")
+
+
+def _hashes(line: Column) -> Column:
+    """Distinct word hashes of a line."""
+    return F.array_remove(F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def _ordered(line: Column, tiers: Column) -> Column:
     """The distinct words of a line, the rarest first, as numbers: tier in the top bits, then the hash."""
-    hashes = F.transform(F.split(F.btrim(line, F.lit(SPACE_CHARS)), SPACE), lambda w: F.xxhash64(w))
-    tier = lambda h: F.coalesce(F.get(tiers, F.pmod(h, F.lit(SLOTS)).cast("int")), F.lit(0).cast("tinyint")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(tier(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.coalesce(F.get(tiers, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def _least(n: Column, per_cent: int) -> Column:
@@ -62,8 +75,8 @@ def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PE
     sets = lines_of(docs).select("doc_id", "line_no", _ordered(F.col("line"), tiers).alias("s"))
     n = F.size("s")
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
-    lines = sets.where(n >= min_words).select("doc_id", "line_no", F.xxhash64("s").alias("set_id"), n.alias("n"), prefix.alias("prefix"))
-    lines = scratch.table(lines)
+    # short lines are left out after the write: a filter on the words would make Spark hash each line twice
+    lines = scratch.table(sets.select("doc_id", "line_no", F.xxhash64("s").alias("set_id"), n.alias("n"), prefix.alias("prefix"))).where(F.col("n") >= min_words)
     once = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     return lines, scratch.table(once)
 
@@ -82,11 +95,11 @@ def candidates(once: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     return a.join(b, "w").where(meets).select("a", "b").distinct()
 
 
-def verified(docs: DataFrame, once: DataFrame, pairs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+def verified(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """The pairs whose full sets meet the threshold; the sets are read again for lines that are in a pair only."""
     wanted = scratch.table(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(once.select("set_id", "first"), "set_id").select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")))
     small = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("set_id").agg(F.first("line").alias("line")).select("set_id", _ordered(F.col("line"), tiers).alias("s"))
+    sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("set_id").agg(F.first("line").alias("line")).select("set_id", _hashes(F.col("line")).alias("s"))
     sets = scratch.table(sets)
     both = pairs.join(sets.withColumnsRenamed({"set_id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"set_id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -95,10 +108,10 @@ def verified(docs: DataFrame, once: DataFrame, pairs: DataFrame, tiers: Column,
 
 def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, gone: the sorted numbers (from 0) of its lines that repeat an earlier line."""
-    tiers = F.split(F.lit(",".join(map(str, slot_tiers(docs).tolist()))), ",").cast("array<tinyint>")
+    tiers = order_column(slot_tiers(docs))
     lines, once = classes(docs, tiers, scratch, per_cent, min_words)
     pairs = scratch.table(candidates(once, per_cent))
-    links = scratch.table(verified(docs, once, pairs, tiers, scratch, per_cent))
+    links = scratch.table(verified(docs, once, pairs, scratch, per_cent))
     both = links.union(links.select("b", "a"))
     nearest = both.join(once.select(F.col("set_id").alias("b"), "first"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("first").alias("other"))
     early = once.join(nearest, "set_id", "left").where("lines > 1 or other is not null").select("set_id", F.least("first", "other").alias("early"))
