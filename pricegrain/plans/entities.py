@@ -51,8 +51,12 @@ def brand_rules(spark, sf) -> DataFrame:
     return T.products(spark, sf).select("id", X.brand_of(marked).alias("brand"))
 
 
-@query(f"""WITH {P_SQL} SELECT id, lower(name) AS signature, 'DDR5|' || (4800 + capacity_gb * 40) || '|CL' || (30 + capacity_gb % 20) || '|dimm' AS invariants,
-'ram-' || replace(lower(brand), '#', '-') || '-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '-ddr5-' || (4800 + capacity_gb * 40) || '-cl' || (30 + capacity_gb % 20) || '-dimm' AS key FROM p""")
+WORDS = ", ".join(f"'{w}'" for w in X.FILLER)
+KEPT = f"array_to_string(list_filter(string_split(lower(name), ' '), lambda w: w NOT IN ({WORDS})), ' ')"
+
+
+@query(f"""WITH {P_SQL} SELECT id, {KEPT} AS signature, 'DDR5|' || (4800 + capacity_gb * 40) || '|CL' || (30 + capacity_gb % 20) || '|dimm' AS invariants,
+'ram-' || replace(lower(brand), '#', '-') || '-' || replace({KEPT}, ' ', '-') || '-ddr5-' || (4800 + capacity_gb * 40) || '-cl' || (30 + capacity_gb % 20) || '-dimm' AS key FROM p""")
 def line_signature(spark, sf) -> DataFrame:
     t, b, c = F.col("title"), F.col("brand"), F.lit("ram")
     return T.products(spark, sf).select("id", F.array_join(F.filter(X.line_signature(t, b), lambda w: w != F.lower(F.col("brand"))), " ").alias("signature"), F.array_join(X.invariants(c, t), "|").alias("invariants"), X.line_key(c, b, t).alias("key"))
@@ -139,15 +143,15 @@ def _clustered(spark, sf) -> DataFrame:
     return resolve.clustered(p.select("id", F.lit("ram").alias("category"), "brand", title.alias("name"), "capacity_gb", parent.alias("parent")))
 
 
-@query(f"""WITH {P_SQL}, q AS (SELECT id, capacity_gb, CASE WHEN id % 7 <> 0 AND id % 2 = 0 THEN 'B' || (id % 500) END AS parent, 'ram-' || replace(lower(brand), '#', '-') || '-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '-ddr5-nospeed-nocl-dimm' AS key FROM p),
+@query(f"""WITH {P_SQL}, q AS (SELECT id, capacity_gb, CASE WHEN id % 7 <> 0 AND id % 2 = 0 THEN 'B' || (id % 500) END AS parent, 'ram-' || replace(lower(brand), '#', '-') || '-' || replace({KEPT}, ' ', '-') || '-ddr5-nospeed-nocl-dimm' AS key FROM p),
 g1 AS (SELECT parent, count(DISTINCT capacity_gb) AS c FROM q WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
 q2 AS (SELECT * FROM q WHERE parent IS NULL OR parent NOT IN (SELECT parent FROM g1)),
 g2 AS (SELECT key, count(DISTINCT parent) AS np, count(DISTINCT capacity_gb) AS c FROM q2 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT capacity_gb) >= 2)
-SELECT q.id, CASE WHEN g1.c >= 2 THEN 'p-' || lower(q.parent) WHEN g1.parent IS NULL AND g2.np < 2 THEN g2.key END AS family_id, CASE WHEN g1.c >= 2 THEN 1 WHEN g1.parent IS NULL AND g2.key IS NOT NULL THEN 2 END AS tier,
+SELECT q.id, CASE WHEN g1.c >= 2 THEN 'p-' || lower(q.parent) WHEN g1.parent IS NULL AND g2.np < 2 THEN g2.key END AS family_id, CAST(CASE WHEN g1.c >= 2 THEN 1 WHEN g1.parent IS NULL AND g2.key IS NOT NULL THEN 2 END AS VARCHAR) AS tier,
 CASE WHEN g1.parent IS NULL THEN CASE WHEN g2.np >= 2 THEN 'conflict' WHEN g2.np = 1 THEN 'one_parent' WHEN g2.c > 6 THEN 'many_capacities' END END AS flag
 FROM q LEFT JOIN g1 ON g1.parent = q.parent LEFT JOIN g2 ON g2.key = q.key""")
 def family_tiers(spark, sf) -> DataFrame:
-    return _clustered(spark, sf)
+    return _clustered(spark, sf).withColumn("tier", F.col("tier").cast("string"))
 
 
 NEAR_KEYS = f"""{P_SQL}, k AS (SELECT DISTINCT replace(lower(brand), '#', '-') || '-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS key FROM p), t AS (SELECT key, string_split(key, '-') AS t FROM k)"""
@@ -205,9 +209,9 @@ def part_number_match(spark, sf) -> DataFrame:
     return resolve.match_by_part_number(ours, feed).select("product_id", "feed_sku", "rank")
 
 
-@query("""WITH o AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS name, p_size AS size FROM part),
+@query(f"""WITH o AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS name, p_size AS size FROM part),
 f AS (SELECT *, 'N' || id AS sku, id % 4 = 0 AS in_stock, p_retailprice AS price FROM o JOIN part ON p_partkey = id WHERE id % 2 = 0),
-m AS (SELECT o.id AS product_id, f.sku AS feed_sku, row_number() OVER (PARTITION BY o.id ORDER BY CASE WHEN f.in_stock THEN 0 ELSE 1 END, f.price, f.sku) AS rank FROM o JOIN f ON o.size = f.size AND o.brand = f.brand AND list_sort(string_split(o.name, ' ')) = list_sort(string_split(f.name, ' ')))
+m AS (SELECT o.id AS product_id, f.sku AS feed_sku, row_number() OVER (PARTITION BY o.id ORDER BY CASE WHEN f.in_stock THEN 0 ELSE 1 END, f.price, f.sku) AS rank FROM o JOIN f ON o.size = f.size AND contains(lower(f.brand), lower(o.brand)) AND list_has_all(string_split(lower(f.name), ' '), list_filter(string_split(lower(o.name), ' '), lambda w: w NOT IN ({WORDS}))))
 SELECT product_id, feed_sku, CAST(rank AS INTEGER) AS rank FROM m""")
 def name_match(spark, sf) -> DataFrame:
     ours, feed = _feed(spark, sf)
@@ -265,12 +269,12 @@ def _results(spark, sf) -> DataFrame:
     kind = F.when(F.col("id") % 11 == 0, " Portable SSD").when(F.col("id") % 13 == 0, " Cable").otherwise(" DDR5")
     return p.select(
         F.col("sku").alias("asin"), F.concat("title", kind).alias("name"), F.when(F.col("id") % 13 == 0, "ssd").otherwise("ram").alias("category"),
-        F.when(F.col("id") % 5 == 0, "").otherwise(F.format_string("%.2f USD", F.col("list_price") / 100)).alias("min_price"), F.lit(None).cast("string").alias("price"),
-        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.format_string("%.2f", F.col("list_price") / 80)).alias("max_price"), F.lit(0).alias("query_idx"), F.col("id").alias("pos"),
+        F.when(F.col("id") % 5 == 0, "").otherwise(F.format_string("%.2f USD", F.col("list_price") / 50)).alias("min_price"), F.lit(None).cast("string").alias("price"),
+        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.format_string("%.2f", F.col("list_price") / 64)).alias("max_price"), F.lit(0).alias("query_idx"), F.col("id").alias("pos"),
     )
 
 
-FUNNEL_SQL = f"""{P_SQL}, q AS (SELECT id, sku, CASE WHEN id % 5 = 0 THEN CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(format('{{:.2f}}', list_price / 80) AS DOUBLE) END ELSE CAST(format('{{:.2f}}', list_price / 100) AS DOUBLE) END AS price FROM p),
+FUNNEL_SQL = f"""{P_SQL}, q AS (SELECT id, sku, CASE WHEN id % 5 = 0 THEN CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(format('{{:.2f}}', list_price / 64) AS DOUBLE) END ELSE CAST(format('{{:.2f}}', list_price / 50) AS DOUBLE) END AS price FROM p),
 k AS (SELECT *, CASE WHEN price IS NULL THEN 'noPrice' WHEN price < 15 THEN 'cheap' WHEN id % 11 = 0 THEN 'external' WHEN id % 13 = 0 THEN 'nameFilter' END AS reason FROM q)"""
 
 

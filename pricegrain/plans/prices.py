@@ -185,12 +185,12 @@ def buy_state(spark, sf) -> DataFrame:
     return _stats(spark, sf).select("product_id", M.buy_state(F.col("current"), F.col("avg90")).alias("state"))
 
 
-@query(f"""WITH {STATS_SQL}, k AS (SELECT *, {STATE_SQL} AS state, CASE WHEN current <= low THEN 'lowest' WHEN current <= low * 1.02::DOUBLE THEN 'near_low' ELSE 'above_low' END AS at FROM s)
-SELECT product_id, CASE WHEN state <> 'elevated' AND current >= low * 1.5::DOUBLE THEN 'inflated' ELSE state END AS verdict, at, CASE WHEN at = 'above_low' THEN CAST(floor((current - low) / low * 100 + 0.5) AS BIGINT) END AS above_low,
-CASE WHEN at = 'above_low' AND high > current THEN CAST(floor((high - current) / high * 100 + 0.5) AS BIGINT) END AS below_high FROM k""")
+@query(f"""WITH {STATS_SQL}, k AS (SELECT *, {STATE_SQL} AS state, CASE WHEN current <= low THEN 'lowest' WHEN current <= low * 1.02::DOUBLE THEN 'near_low' ELSE 'above_low' END AS "at" FROM s)
+SELECT product_id, CASE WHEN state <> 'elevated' AND current >= low * 1.5::DOUBLE THEN 'inflated' ELSE state END AS verdict, "at", CASE WHEN "at" = 'above_low' THEN CAST(CAST(floor((current - low) / low * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS above_low,
+CASE WHEN "at" = 'above_low' AND high > current THEN CAST(CAST(floor((high - current) / high * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS below_high FROM k""")
 def price_verdict(spark, sf) -> DataFrame:
     s = _stats(spark, sf)
-    return s.select("product_id", M.verdict(F.col("current"), F.col("avg90"), F.col("low")).alias("verdict"), M.assessment(F.col("current"), F.col("low"), F.col("high")).alias("x")).select("product_id", "verdict", "x.*")
+    return s.select("product_id", M.verdict(F.col("current"), F.col("avg90"), F.col("low")).alias("verdict"), M.assessment(F.col("current"), F.col("low"), F.col("high")).alias("x")).select("product_id", "verdict", "x.at", F.col("x.above_low").cast("string").alias("above_low"), F.col("x.below_high").cast("string").alias("below_high"))
 
 
 # ------------------------------------------------------------------------------------------------ listing
@@ -215,10 +215,10 @@ def listing_sorted(spark, sf) -> DataFrame:
     return listing.sorted_by(_listing(spark, sf), "drop").select("id", "price", "change30")
 
 
-@query(f"""WITH {LIST_SQL} SELECT id, title, price FROM l WHERE capacity_gb >= 16 AND 4800 + capacity_gb * 40 >= 5500 AND 4800 + capacity_gb * 40 < 6000 AND lower(brand) = 'brand#11' AND contains(lower(title), 'ddr5') AND contains(regexp_replace(lower(title || ' ' || brand), '[^a-z0-9\\s]', '', 'g'), 'ring')""")
+@query(f"""WITH {LIST_SQL} SELECT id, title, price FROM l WHERE capacity_gb >= 16 AND 4800 + capacity_gb * 40 >= 5500 AND 4800 + capacity_gb * 40 < 6000 AND lower(brand) = 'brand#11' AND contains(lower(title), 'ddr5') AND contains(regexp_replace(lower(title || ' ' || brand), '[^a-z0-9\\s]', '', 'g'), 'gizmo')""")
 def listing_facets(spark, sf) -> DataFrame:
     named = _listing(spark, sf).withColumn("name", F.col("title"))
-    return listing.filtered(named, {"type": "DDR5", "capacity": "16GB+", "speed": "5600MHz", "brand": "Brand#11", "color": None}, "ring").select("id", F.col("name").alias("title"), "price")
+    return listing.filtered(named, {"type": "DDR5", "capacity": "16GB+", "speed": "5600MHz", "brand": "Brand#11", "color": None}, "gizmo").select("id", F.col("name").alias("title"), "price")
 
 
 @query(f"""WITH {LIST_SQL}, f AS (SELECT id, price, change30, 0 AS mode, change30 AS key FROM l WHERE price IS NOT NULL AND change30 < 0 ORDER BY key, id LIMIT 4),
