@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.money import OUTLIER_FACTOR, PRICE_FLOOR, dollars, minutes_to_timestamp, pairs, percent_change, round2
 
-BY = W.partitionBy("product_id")
+def by():
+    return W.partitionBy("product_id")
 
 
 def at(as_of: datetime | Column) -> Column:
@@ -33,14 +34,14 @@ def latest(history: DataFrame, as_of=None, since_hours: int | None = None) -> Da
         h = h.where(F.col("fetched_at") <= at(as_of))
     if since_hours is not None:
         h = h.where(F.col("fetched_at") >= at(as_of) - F.make_dt_interval(F.lit(0), F.lit(since_hours)))
-    rank = F.row_number().over(BY.orderBy(F.desc("fetched_at"), "id"))
+    rank = F.row_number().over(by().orderBy(F.desc("fetched_at"), "id"))
     return h.withColumn("_r", rank).where(F.col("_r") == 1).drop("_r")
 
 
 def nearest(history: DataFrame, target, low, high) -> DataFrame:
     """The reading of each product nearest to target in the closed window [low, high]; of equally near ones the smallest (time, id)."""
     distance = F.abs(F.unix_micros("fetched_at") - F.unix_micros(at(target)))
-    rank = F.row_number().over(BY.orderBy(distance, "fetched_at", "id"))
+    rank = F.row_number().over(by().orderBy(distance, "fetched_at", "id"))
     return history.where(F.col("fetched_at").between(at(low), at(high))).withColumn("_r", rank).where(F.col("_r") == 1).drop("_r")
 
 
@@ -78,14 +79,14 @@ def stats(series: DataFrame, as_of) -> DataFrame:
 
 def forward_filled(series: DataFrame) -> DataFrame:
     """A daily series whose gap days (price null) carry the last known price as out of stock; gaps before the first price go."""
-    known = F.last("price", ignorenulls=True).over(BY.orderBy("day").rowsBetween(W.unboundedPreceding, 0))
+    known = F.last("price", ignorenulls=True).over(by().orderBy("day").rowsBetween(W.unboundedPreceding, 0))
     return series.select("product_id", "day", known.alias("price"), F.col("price").isNotNull().alias("in_stock")).where("price is not null")
 
 
 def with_regular_price(series: DataFrame, as_of, trailing: int = 90) -> DataFrame:
     """Adds regular_price: the highest price in stock of the trailing days, the same for all rows of a product."""
     recent = F.when(F.col("in_stock") & (F.col("day").cast("timestamp") >= at(as_of) - days(trailing)), F.col("price"))
-    return series.withColumn("regular_price", F.max(recent).over(BY))
+    return series.withColumn("regular_price", F.max(recent).over(by()))
 
 
 def chart_key(day: Column, as_of) -> Column:
@@ -112,9 +113,9 @@ def gap_filled(points: DataFrame) -> DataFrame:
     point; if the primary has no offer at all, the secondary series counts whole. Both series are sorted together and the
     primary's last state carried forward, so no range join is needed.
     """
-    order = BY.orderBy("km", "source")
+    order = by().orderBy("km", "source")
     state = F.last(F.when(F.col("source") == 0, F.col("cents") < 0), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    any_primary = F.max((F.col("source") == 0) & (F.col("cents") >= 0)).over(BY)
+    any_primary = F.max((F.col("source") == 0) & (F.col("cents") >= 0)).over(by())
     p = points.withColumn("_gap", state).withColumn("_any", any_primary)
     keep = F.when(~F.col("_any"), F.col("source") == 1).otherwise((F.col("source") == 0) | (F.coalesce(F.col("_gap"), F.lit(False)) & (F.col("cents") >= 0)))
     return p.where(keep).drop("_gap", "_any")
@@ -122,7 +123,7 @@ def gap_filled(points: DataFrame) -> DataFrame:
 
 def without_outliers(points: DataFrame, floor: float = PRICE_FLOOR, factor: float = OUTLIER_FACTOR) -> DataFrame:
     """Points whose price (null: none) is at least floor and at most factor times the product's median; points without a price stay."""
-    median = F.median("price").over(BY)
+    median = F.median("price").over(by())
     return points.withColumn("_m", median).where(F.col("price").isNull() | ((F.col("price") >= floor) & (F.col("price") <= F.col("_m") * factor))).drop("_m")
 
 
