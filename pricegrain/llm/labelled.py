@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _marks(labels: DataFrame, target: str, mod: int | None, held: int) -> DataFrame:
+    """doc_id, y of the rows to learn from."""
+    marks = labels.where(f"{target} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(target).alias("y"))
+    return marks if mod is None else marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != held)
+
+
 def sampled(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int | None, held: int, seed: int = 1) -> DataFrame:
     """part (a hash of the id), doc_id, text, y (label) of about `most` rows of each label at most.
 
@@ -14,9 +20,7 @@ def sampled(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int
     ids without a document are left out; of an id's repeated labels the larger counts. A class of more than `most` rows
     is thinned by the hash to about `most`; this bound is what keeps the driver's memory fixed.
     """
-    marks = labels.where(f"{target} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(target).alias("y"))
-    if mod is not None:
-        marks = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != held)
+    marks = _marks(labels, target, mod, held)
     counts = {row["y"]: row["count"] for row in marks.groupBy("y").count().collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     keep = F.lit(False)
@@ -25,23 +29,26 @@ def sampled(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int
     return docs.select("doc_id", "text").join(F.broadcast(marks.where(keep)), "doc_id").select(part.alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int | None, held: int) -> list[tuple[int, bytes, int]]:
-    """(doc_id, text, label) of the sampled rows, in the order of the hash."""
+def sample(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int | None, held: int) -> tuple[list[tuple[int, bytes, int]], dict[int, float]]:
+    """(doc_id, text, label) of the sampled rows, in the order of the hash; how many labelled rows each label's stand for."""
     got = sorted({tuple(r) for r in sampled(docs, labels, target, most, mod, held).collect()})
-    return [(d, t.encode(), int(y)) for _, d, t, y in got]
+    rows = [(d, t.encode(), int(y)) for _, d, t, y in got]
+    every = {r["y"]: r["count"] for r in _marks(labels, target, mod, held).groupBy("y").count().collect()}
+    return rows, {y: every[y] / n for y in every if (n := sum(1 for r in rows if r[2] == y))}
 
 
 class Logistic:
     """Ridge-penalised logistic regression on standardised columns, fitted by Newton's method."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1e-2):
+        v = np.ones(len(y)) if weight is None else weight / weight.mean()
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._design(x)
         self.w = np.zeros(z.shape[1])
         for _ in range(40):
             p = self._sigmoid(z @ self.w)
-            slope = z.T @ (y - p) - penalty * self.w
-            curve = (z * (p * (1 - p))[:, None]).T @ z + penalty * np.eye(len(self.w))
+            slope = z.T @ (v * (y - p)) - penalty * self.w
+            curve = (z * (v * p * (1 - p))[:, None]).T @ z + penalty * np.eye(len(self.w))
             step = np.linalg.solve(curve, slope)
             self.w += step
             if np.abs(step).max() < 1e-8:

@@ -29,7 +29,7 @@ from .common import Scratch, read
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 200_000
-PASSES = 2
+PASSES = 4
 SMOOTH = 0.05
 MARK = 0x2581
 _HIDDEN = 0x110001

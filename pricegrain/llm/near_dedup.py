@@ -123,6 +123,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> Dat
 
 
 BUILD, PROBE = 256, 1024
+#: Ids of candidates are broadcast up to so many, counted first; beyond, both sides are shuffled.
+FEW = 300_000
 
 
 def remaining_links(scratch: Scratch, pairs: DataFrame, placed: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -189,7 +191,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT)
     scratch.drop(members)
     pairs = scratch.table(in_bands.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    one_text = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"))
+    wanted = scratch.table(wanted)
+    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    one_text = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"))
     texts = scratch.table(one_text)
     links = scratch.table(confirm(pairs, texts, per_cent))
     first = scratch.table(components(scratch, links))

@@ -1,7 +1,7 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
 Two dictionaries are trained (zstandard.train_dictionary) on bounded samples of labelled texts: one on ordinary text, one
-on the words of toxic text that hold a fragment over-represented there. Each window of WINDOW bytes is compressed with the
+on the words of toxic text whose beginnings are over-represented there. Each window of WINDOW bytes is compressed with the
 ordinary dictionary and with toxic + ordinary; the toxic part lies farther back, so it is used only where it saves bytes.
 The gains of a document's windows, counted against several thresholds, go to a logistic model calibrated on labelled
 documents that the dictionaries have not seen; it gives the score.
@@ -28,7 +28,10 @@ from .labelled import Logistic, sample
 MOST_ROWS = 3000
 WINDOW, STEP = 256, 240
 TOXIC_BYTES, ORDINARY_BYTES = 3400, 1900
-FRAGMENT = 5
+FRAGMENT = (5, 10)
+#: Log odds from which a beginning is over-represented.
+ODDS = 3.0
+LEAST = 4
 LEVELS = (1, 2, 3, 4, 6, 9)
 
 
@@ -61,25 +64,43 @@ def features(gains: np.ndarray) -> list[float]:
     return [*base, *[min(x, 5.0) for x in base], gains.mean(), math.log(len(gains)), (gains >= 3).mean()]
 
 
-def _fragments(text: bytes) -> set[bytes]:
-    text = b" " + text
-    return {text[i : i + FRAGMENT] for i in range(len(text) - FRAGMENT + 1)}
+def _beginnings(word: bytes) -> list[bytes]:
+    """A word's first FRAGMENT[0] to FRAGMENT[1] bytes, a space before, and the whole word."""
+    word = b" " + word
+    return [word[:n] for n in range(FRAGMENT[0], min(len(word), FRAGMENT[1]) + 1)] + [word + b" "]
 
 
 def dictionaries(rows: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary."""
+    """Contents of the toxic and the ordinary dictionary.
+
+    A beginning counts once for each word that it follows, so copies of a text add nothing.
+    """
     import zstandard as z
 
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    for _, text, y in rows:
-        seen[y].update(_fragments(text))
-        n[y] += 1
-    least = max(3, n[1] // 75)
-    hot = {g for g, c in seen[1].items() if c >= least and math.log((c + 0.5) / (n[1] + 1) * (n[0] + 1) / (seen[0][g] + 0.5)) > 4}
+    seen, total = [], []
+    for label in (0, 1):
+        pairs: set[int] = set()
+        words: Counter = Counter()
+        for _, text, y in rows:
+            if y == label:
+                listed = text.split()
+                for before, w in zip([b"", *listed], listed, strict=False):
+                    if (pair := hash((before, w))) not in pairs:
+                        pairs.add(pair)
+                        words[w] += 1
+        count: Counter = Counter()
+        for w, n in words.items():
+            for g in _beginnings(w):
+                count[g] += n
+        seen.append(count), total.append(len(pairs) + 1)
+    odds = lambda g, c: math.log((c + 0.5) / total[1] * total[0] / (seen[0][g] + 0.5))
+    toxic_rows = [set(t.split()) for _, t, y in rows if y]
+    in_rows = Counter(g for words in toxic_rows for g in {g for w in words for g in _beginnings(w) if seen[1][g] >= LEAST})
+    least = max(LEAST, len(toxic_rows) // 75)
+    hot = {g for g, n in in_rows.items() if n >= least and odds(g, seen[1][g]) > ODDS}
     if not hot:  # few labels: take what differs at all
-        hot = {g for g, c in seen[1].items() if (c + 0.5) / (n[1] + 1) > 4 * (seen[0][g] + 0.5) / (n[0] + 1)}
-    toxic = [w for _, t, y in rows if y for w in (b" " + x for x in t.split()) if any(w[i : i + FRAGMENT] in hot for i in range(len(w) - FRAGMENT + 1))]
+        hot = {g for g, c in seen[1].items() if odds(g, c) > 1}
+    toxic = [b" " + w for _, t, y in rows if y for w in t.split() if any(g in hot for g in _beginnings(w))]
     ordinary = [b" " + x for _, t, y in rows if not y for x in t.split()]
 
     def trained(words: list[bytes], pack: int, size: int, k: int, d: int, body: int) -> bytes:
@@ -100,20 +121,29 @@ def _lower(text: bytes) -> bytes:
 class Model:
     """Dictionaries and calibration; what workers get is a few KB."""
 
-    def __init__(self, rows: list[tuple[int, bytes, int]]):
+    def __init__(self, rows: list[tuple[int, bytes, int]], weights: dict[int, float] | None = None):
+        """weights: how many labelled rows a sampled row of each label stands for."""
         rows = [(d, _lower(t), y) for d, t, y in rows]
         share = float(np.mean([y for *_, y in rows])) if rows else 0.5
         self.constant: float | None = None
         if share in (0.0, 1.0) or not rows:
             self.constant = share
             return
-        fit, rest = rows[::2], rows[1::2]
-        if not any(y for *_, y in fit) or all(y for *_, y in fit) or len({y for *_, y in rest}) < 2:
-            fit = rest = rows
-        self.toxic, self.ordinary = dictionaries(fit)
-        c = Compressors(self.toxic, self.ordinary)
-        x = np.array([features(c.gains(t)) for _, t, _ in rest])
-        self.logistic = Logistic(x, np.array([y for *_, y in rest], dtype=np.float64))
+        x, y = np.zeros((len(rows), len(features(np.zeros(1))))), np.array([y for *_, y in rows], dtype=np.float64)
+        # each half is measured with the dictionaries of the other, so calibration sees texts as new as those scored later
+        halves = np.zeros(len(rows), dtype=int)
+        for label in (0, 1):
+            own = np.flatnonzero(y == label)
+            halves[own] = np.arange(len(own)) % 2
+        if min(y.sum(), len(y) - y.sum()) < 2:
+            halves[:] = -1
+        for half in np.unique(halves):
+            fit = [r for r, h in zip(rows, halves, strict=True) if h != half or half < 0]
+            c = Compressors(*dictionaries(fit))
+            for k in np.flatnonzero(halves == half):
+                x[k] = features(c.gains(rows[k][1]))
+        self.toxic, self.ordinary = dictionaries(rows)
+        self.logistic = Logistic(x, y, np.array([(weights or {}).get(int(k), 1.0) for k in y]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -133,7 +163,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, mod: int | None = None, held: int = 0) -> Model:
-    return Model(sample(docs, labels, "toxic", most, mod, held))
+    rows, weights = sample(docs, labels, "toxic", most, mod, held)
+    return Model(rows, weights)
 
 
 def reject(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
