@@ -21,20 +21,16 @@ def sampled(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int
     is thinned by the hash to about `most`; this bound is what keeps the driver's memory fixed.
     """
     marks = _marks(labels, target, mod, held)
-    counts = {row["y"]: row["count"] for row in marks.groupBy("y").count().collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     keep = F.lit(False)
-    for y, n in counts.items():
+    for y, n in counts(labels, target, mod, held).items():
         keep = keep | ((F.col("y") == y) & (part < int(1_000_000 * min(1.0, most / n)) + 1))
     return docs.select("doc_id", "text").join(F.broadcast(marks.where(keep)), "doc_id").select(part.alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, most: int, mod: int | None, held: int) -> tuple[list[tuple[int, bytes, int]], dict[int, float]]:
-    """(doc_id, text, label) of the sampled rows, in the order of the hash; how many labelled rows each label's stand for."""
-    got = sorted({tuple(r) for r in sampled(docs, labels, target, most, mod, held).collect()})
-    rows = [(d, t.encode(), int(y)) for _, d, t, y in got]
-    every = {r["y"]: r["count"] for r in _marks(labels, target, mod, held).groupBy("y").count().collect()}
-    return rows, {y: every[y] / n for y in every if (n := sum(1 for r in rows if r[2] == y))}
+def counts(labels: DataFrame, target: str, mod: int | None, held: int) -> dict[int, int]:
+    """How many rows of each label there are to learn from."""
+    return {int(r["y"]): r["count"] for r in _marks(labels, target, mod, held).groupBy("y").count().collect()}
 
 
 class Logistic:

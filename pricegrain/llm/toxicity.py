@@ -14,6 +14,7 @@ labels at all); columns besides doc_id and text are not read. Whole texts are sc
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, read, remainder, text_runs
-from .labelled import Logistic, sample
+from .labelled import Logistic, counts, sampled
 
 #: Bound of the training sample, for each label.
 MOST_ROWS = 3000
@@ -163,8 +164,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, mod: int | None = None, held: int = 0) -> Model:
-    rows, weights = sample(docs, labels, "toxic", most, mod, held)
-    return Model(rows, weights)
+    """The model, fitted in one task on the bounded sample; the driver gets a few KB."""
+    every = counts(labels, "toxic", mod, held)
+
+    def run(batches):
+        rows = sorted({tuple(r[c] for c in ("part", "doc_id", "text", "y")) for batch in batches for r in batch.to_pylist()})
+        rows = [(d, t.encode(), y) for _, d, t, y in rows]
+        weights = {y: every[y] / n for y in every if (n := sum(1 for r in rows if r[2] == y))}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(rows, weights))], pa.binary())], ["model"])
+
+    made = sampled(docs, labels, "toxic", most, mod, held).repartition(1).mapInArrow(run, "model binary").collect() if every else []
+    return pickle.loads(made[0]["model"]) if made else Model([])
 
 
 def reject(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:

@@ -340,8 +340,9 @@ def test_trees_equal_plain_walk():
 
 def test_sample_is_bounded_and_leaves_out(spark, docs):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
-    rows, weights = labelled.sample(docs, labels, "toxic", 10, 5, 0)
-    assert all(zlib.crc32(str(d).encode()) % 5 for d, _, _ in rows) and len({d for d, _, _ in rows}) == len(rows) < 32 and set(weights) == {0, 1}
+    rows = [(r["doc_id"], r["y"]) for r in labelled.sampled(docs, labels, "toxic", 10, 5, 0).collect()]
+    assert all(zlib.crc32(str(d).encode()) % 5 for d, _ in rows) and len(set(rows)) == len(rows) < 32
+    assert sum(labelled.counts(labels, "toxic", 5, 0).values()) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(40))
 
 
 # ------------------------------------------------------------------------------------------------ empty tables
