@@ -83,14 +83,14 @@ def windows(turns: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, stri
         F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("ckey"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = scratch.table(count_tokens(named, tokenizer)).withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**40))))
+    rows = scratch.table(count_tokens(named, tokenizer), 20_000).withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**40))))
     sums = rows.groupBy("ckey", "range").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("ckey").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("ckey", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     inner = W.partitionBy("ckey", "range").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     placed = rows.withColumn("k", F.row_number().over(inner)).withColumn("upto", F.sum("tokens").over(inner.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(sums, ["ckey", "range"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("window", F.floor((F.col("t0") + F.col("upto") - F.col("tokens")) / stride))
-    placed = scratch.table(placed.select("ckey", "conv_id", "k", "window", "role", "text"))
+    placed = scratch.table(placed.select("ckey", "conv_id", "k", "window", "role", "text"), 20_000)
     starts = placed.groupBy("ckey", "window").agg(F.min("k").alias("start")).where("start > 1")
     # history, and the first turn, which goes to every window if it is a system turn
     again = starts.select("ckey", "window", F.explode(F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), F.sequence(F.greatest(F.col("start") - history, F.lit(1)), F.col("start") - 1)))).alias("k"), F.greatest(F.col("start") - history, F.lit(1)).alias("low"))

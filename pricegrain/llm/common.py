@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 20
+#: Rows a file of tables of a few numbers a row.
+NARROW = 250_000
 
 # ---------------------------------------------------------------------------------------------- tables
 
@@ -41,12 +43,21 @@ class Scratch:
         self.n = 0
         small_batches(spark)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Runs df once, as Parquet in the shared folder, and returns what was written."""
+    def table(self, df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+        """Runs df once, as Parquet in the shared folder, and returns what was written.
+
+        With rows_a_file the rows are cached and counted first and then written in as few files as that asks for: narrow
+        tables else become hundreds of tiny files.
+        """
         self.n += 1
         path = f"{self.folder}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        if rows_a_file:
+            cached = df.persist()
+            cached.coalesce(cached.count() // rows_a_file + 1).write.parquet(path)
+            cached.unpersist()
+        else:
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         return out
@@ -190,20 +201,17 @@ def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
     have the same label on both ends are left out of the next round, which makes rounds ever smaller.
     """
     both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
-    edges = scratch.table(both)
-    labels = scratch.table(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "id"))
+    edges = scratch.table(both, NARROW)
+    labels = scratch.table(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "id"), NARROW)
     for _ in range(most):
-        # the roots of both ends; hook the larger root to the smaller
+        # hook the larger label of an edge's ends to the smaller, then follow labels twice
         ends = edges.join(labels.withColumnsRenamed({"id": "a", "l": "la"}), "a").join(labels.withColumnsRenamed({"id": "b", "l": "lb"}), "b")
-        hooks = ends.where("la > lb").groupBy(F.col("la").alias("id")).agg(F.min("lb").alias("to"))
-        hooks = scratch.table(hooks)
-        jump = labels.join(hooks.withColumnsRenamed({"id": "l", "to": "t1"}), "l", "left").select("id", F.coalesce("t1", "l").alias("l"))
-        jumped = scratch.table(jump)
-        over = jumped.join(jumped.select(F.col("id").alias("l"), F.col("l").alias("t2")), "l", "left").select("id", F.least(F.col("l"), F.coalesce("t2", "l")).alias("l"))
-        new = scratch.table(over)
+        hooks = ends.where("la > lb").groupBy(F.col("la").alias("id")).agg(F.min("lb").alias("to")).persist()
+        jumped = labels.join(hooks.withColumnsRenamed({"id": "l", "to": "t1"}), "l", "left").select("id", F.coalesce("t1", "l").alias("l")).persist()
+        new = scratch.table(jumped.join(jumped.select(F.col("id").alias("l"), F.col("l").alias("t2")), "l", "left").select("id", F.least(F.col("l"), F.coalesce("t2", "l")).alias("l")), NARROW)
         done = hooks.isEmpty() and new.join(labels.withColumnRenamed("l", "was"), "id").where("l <> was").isEmpty()
-        for old in (labels, hooks, jumped):
-            scratch.drop(old)
+        hooks.unpersist(), jumped.unpersist()
+        scratch.drop(labels)
         labels = new
         if done:
             break

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, read
+from .common import NARROW, Scratch, read
 
 PER_CENT = 5
 MIN_CHARS = 40
@@ -145,7 +145,7 @@ def matches(docs: DataFrame, items: DataFrame, per_cent: int = PER_CENT) -> Data
 
 def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """The documents that hold no test item. Rows without a doc_id stay unless their own text holds one (they are then dropped together)."""
-    hit = scratch.table(matches(docs, items, per_cent).select("doc_id").distinct())
+    hit = scratch.table(matches(docs, items, per_cent).select("doc_id").distinct(), NARROW)
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read
+from .common import NARROW, Scratch, components, read
 
 AT_LEAST = 0.9
 TREES, BITS_LEAF, LEAF = 8, 64, 64
@@ -145,15 +145,15 @@ def descend(graph: DataFrame, reps: DataFrame, k: int, reverse: int = REVERSE) -
 def neighbour_graph(reps: DataFrame, n: int, scratch: Scratch, k: int = K, rounds: int = ROUNDS, at_least: float = AT_LEAST, start: DataFrame | None = None) -> DataFrame:
     """u, v, sim: the refined lists."""
     if start is None:
-        graph = scratch.table(shorten(first_graph(reps, n, k).withColumn("new", F.lit(1)), None, k).drop("r"))
+        graph = scratch.table(shorten(first_graph(reps, n, k).withColumn("new", F.lit(1)), None, k).drop("r"), NARROW)
     else:
-        graph = scratch.table(start.withColumn("new", F.lit(1)))
+        graph = scratch.table(start.withColumn("new", F.lit(1)), NARROW)
     lengths = None
     for _ in range(rounds):
         better = descend(graph, reps, k).withColumn("new", F.lit(1))
         saturated = graph.groupBy("u").agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("n")).where((F.col("last") >= at_least) & (F.col("n") >= k))
-        lengths = scratch.table(saturated.select("u", (F.col("n") * 2).cast("int").alias("most")))
-        after = scratch.table(shorten(graph.withColumn("new", F.lit(0)).union(better), lengths, k).drop("r"))
+        lengths = scratch.table(saturated.select("u", (F.col("n") * 2).cast("int").alias("most")), NARROW)
+        after = scratch.table(shorten(graph.withColumn("new", F.lit(0)).union(better), lengths, k).drop("r"), NARROW)
         changed = after.where("new = 1").count()
         scratch.drop(graph)
         graph = after
@@ -216,11 +216,11 @@ def count_links(reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST,
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, at_least: float = AT_LEAST) -> DataFrame:
     """vec_id, n_links, component_id of each vector."""
-    good = scratch.table(usable(vectors).withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding")))
+    good = scratch.table(usable(vectors).withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding")), 50_000)
     named = good.groupBy("vec_id").agg(F.min(F.struct("h", "h2")).alias("c")).select("vec_id", "c.h", "c.h2")
-    classes = scratch.table(named.groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = scratch.table(named.groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), NARROW)
     reps = good.join(classes, ["h", "h2"]).where("vec_id = rep").dropDuplicates(["vec_id"]).select("vec_id", "embedding", "copies")
-    reps = scratch.table(reps)
+    reps = scratch.table(reps, 50_000)
     n = reps.count()
     k, graph, placed = K, None, None
     share = min(1.0, AUDIT / max(1, n))
@@ -228,7 +228,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, at_least: float = AT_L
     for _ in range(4):
         graph = neighbour_graph(reps, n, scratch, k, start=graph)
         links = graph.where(F.col("sim") >= at_least).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        placed = scratch.table(components(scratch, links))
+        placed = components(scratch, links)
         got, true = recall(queries, reps, placed, at_least) if queries else (0, 0)
         if got >= AIM * true:
             break

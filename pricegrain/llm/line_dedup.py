@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, Scratch, read
+from .common import NARROW, SPACE, SPACE_CHARS, Scratch, read
 
 PER_CENT = 85
 MIN_WORDS = 5
@@ -101,10 +101,10 @@ def candidates(once: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
 
 def verified(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """The pairs whose full sets meet the threshold; the sets are read again for lines that are in a pair only."""
-    wanted = scratch.table(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(once.select("set_id", "first"), "set_id").select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")))
+    wanted = scratch.table(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(once.select("set_id", "first"), "set_id").select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), NARROW)
     small = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("set_id").agg(F.first("line").alias("line")).select("set_id", _hashes(F.col("line")).alias("s"))
-    sets = scratch.table(sets)
+    sets = scratch.table(sets, 20_000)
     both = pairs.join(sets.withColumnsRenamed({"set_id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"set_id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("a", "b")
@@ -114,13 +114,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, m
     """doc_id, gone: the sorted numbers (from 0) of its lines that repeat an earlier line."""
     tiers = order_column(slot_tiers(docs))
     lines, once = classes(docs, tiers, scratch, per_cent, min_words)
-    pairs = scratch.table(candidates(once, per_cent))
-    links = scratch.table(verified(docs, once, pairs, scratch, per_cent))
+    pairs = scratch.table(candidates(once, per_cent), NARROW)
+    links = scratch.table(verified(docs, once, pairs, scratch, per_cent), NARROW)
     both = links.union(links.select("b", "a"))
     nearest = both.join(once.select(F.col("set_id").alias("b"), "first"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("first").alias("other"))
     early = once.join(nearest, "set_id", "left").where("lines > 1 or other is not null").select("set_id", F.least("first", "other").alias("early"))
     later = lines.select("doc_id", "line_no", "set_id").join(early, "set_id").where("doc_id > early.doc_id or (doc_id = early.doc_id and line_no > early.line_no)")
-    return scratch.table(later.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
+    return scratch.table(later.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import NARROW, Scratch, word_count
 
 ROWS_A_BUCKET = 4096
 WEIGHTS = (3, 1, 2)
@@ -72,9 +72,9 @@ def mix(docs: DataFrame, scratch: Scratch, weight: Column | None = None, weights
     sized = docs.select("doc_id", "text", "source", skey.alias("skey"), word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("w", weight if weight is not None else quality_weight())
     key = -F.log(uniform()) / F.col("w")
-    drawn = scratch.table(sized.select("doc_id", "source", "skey", "size", key.alias("key"), F.xxhash64("text").alias("tie")))
+    drawn = scratch.table(sized.select("doc_id", "source", "skey", "size", key.alias("key"), F.xxhash64("text").alias("tie")), NARROW)
     sums = drawn.groupBy("skey").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    goal = scratch.table(targets(sums, weights, total, most))
+    goal = scratch.table(targets(sums, weights, total, most), NARROW)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.select("skey", "source_size", "target", "n", epochs.alias("epochs"))
     buckets = F.ceil(F.col("n") / F.lit(float(ROWS_A_BUCKET)))

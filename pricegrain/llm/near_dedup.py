@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, inside, mix, read, text_runs, windows
+from .common import NARROW, Scratch, Words, components, inside, mix, read, text_runs, windows
 
 SHINGLE = 5
 PERMUTATIONS, BAND = 64, 4
@@ -135,11 +135,11 @@ def remaining_links(scratch: Scratch, pairs: DataFrame, placed: DataFrame, texts
     """
     around = components(scratch, pairs).withColumnsRenamed({"id": "doc_id", "component": "hood"})
     where = around.join(placed.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "hood", F.coalesce("component", "doc_id").alias("c"))
-    where = scratch.table(where)
+    where = scratch.table(where, NARROW)
     by_c = where.groupBy("hood", "c").agg(F.count(F.lit(1)).alias("n"))
     hoods = by_c.groupBy("hood").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("m")).where("m > main.n")
     hoods = hoods.select("hood", F.col("main.c").alias("main"), F.ceil((F.col("m") - F.col("main.n")) / BUILD).cast("int").alias("is"), F.ceil(F.col("m") / PROBE).cast("int").alias("js"))
-    open_ = scratch.table(where.join(scratch.table(hoods), "hood").join(texts, "doc_id"))
+    open_ = scratch.table(where.join(hoods, "hood").join(texts, "doc_id"), 20_000)
     i, j = F.pmod(F.xxhash64("doc_id"), F.col("is")).cast("int"), F.pmod(F.xxhash64("doc_id"), F.col("js")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     build = open_.where("c <> main").select("hood", i.alias("i"), every("js").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "text")
@@ -180,24 +180,24 @@ def remaining_links(scratch: Scratch, pairs: DataFrame, placed: DataFrame, texts
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
-    signed = scratch.table(sign(docs))
+    signed = scratch.table(sign(docs), 50_000)
     classes = signed.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = scratch.table(classes.where("rep is not null"))
+    classes = scratch.table(classes.where("rep is not null"), NARROW)
     reps = signed.join(classes.where("n > 1").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"], "left").where("n_shingles > 0 and (rep is null or rep = doc_id)")
-    members = scratch.table(reps.select("doc_id", F.explode("bands").alias("band")).distinct())
+    members = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    shared = scratch.table(shared)
-    in_bands = scratch.table(members.join(shared, "band").select("band", "a", "doc_id"))
-    scratch.drop(members)
-    pairs = scratch.table(in_bands.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
+    shared = scratch.table(shared, NARROW)
+    pairs = scratch.table(members.join(shared, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), NARROW)
+    scratch.drop(shared)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    wanted = scratch.table(wanted)
+    wanted = wanted.persist()
     few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     one_text = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"))
-    texts = scratch.table(one_text)
-    links = scratch.table(confirm(pairs, texts, per_cent))
-    first = scratch.table(components(scratch, links))
-    late = scratch.table(remaining_links(scratch, pairs, first, texts, per_cent))
+    texts = scratch.table(one_text, 20_000)
+    wanted.unpersist()
+    links = scratch.table(confirm(pairs, texts, per_cent), NARROW)
+    first = components(scratch, links)
+    late = scratch.table(remaining_links(scratch, pairs, first, texts, per_cent), NARROW)
     found = first if late.isEmpty() else components(scratch, links.union(late))
     scratch.drop(texts)
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"), "n", "rep")

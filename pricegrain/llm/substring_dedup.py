@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, inside, read, text_runs, windows
+from .common import NARROW, Scratch, Words, inside, read, text_runs, windows
 
 WINDOW = 20
 
@@ -126,9 +126,9 @@ def repeated(docs: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
 
 def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, first: the smallest doc_id with the same text."""
-    named = scratch.table(docs.where("text is not null").select("doc_id", F.md5("text").alias("m")))
+    named = scratch.table(docs.where("text is not null").select("doc_id", F.md5("text").alias("m")), NARROW)
     classes = named.groupBy("m").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("m", "first")
-    return scratch.table(named.join(classes, "m").where("doc_id <> first").select("doc_id", "first").distinct())
+    return scratch.table(named.join(classes, "m").where("doc_id <> first").select("doc_id", "first").distinct(), NARROW)
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
