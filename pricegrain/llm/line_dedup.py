@@ -30,7 +30,7 @@ PER_CENT = 85
 MIN_WORDS = 5
 SLOTS = 1 << 19
 #: A side of a join is broadcast up to so many narrow rows, counted first; beyond, both sides are shuffled.
-FEW = 300_000
+FEW = 1_000_000
 
 
 def _split(text: Column) -> Column:
