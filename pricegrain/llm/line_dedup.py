@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line of at least MIN_WORDS distinct words is removed if an earlier line (smaller doc_id, or the same document and a
-smaller line number) has a set of words with Jaccard similarity of at least THRESHOLD. Lines are judged on the input.
+smaller line number) has a set of words with Jaccard similarity of at least PER_CENT percent. Lines are judged on the input.
 
 Equal word sets form classes; only classes are joined. Words are ordered by rarity: how often a word's slot (one of SLOTS
 counters) was hit in the whole corpus, and then by hash, which is one order for all lines. Two sets with similarity t share a word
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, SPACE, SPACE_CHARS, Scratch, read
+from .common import NARROW, SPACE, Scratch, read
 
 PER_CENT = 85
 MIN_WORDS = 5
