@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ def job_counters(alerts: DataFrame, prices: DataFrame, products: DataFrame, as_o
     checked = active(kept)
     due = checked.join(prices.select("product_id", F.col("price").alias("current")), "product_id").where(F.col("current") <= F.col("target_price"))
     sendable = due.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-    one = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
-    return one(checked, "checked").join(one(due, "matched")).join(one(sendable, "sendable")).join(one(gone, "expired_cleaned"))
+    kinds = {"checked": checked, "matched": due, "sendable": sendable, "expired_cleaned": gone}
+    seen = reduce(DataFrame.union, [d.select(F.lit(k).alias("kind")) for k, d in kinds.items()])
+    return seen.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
 
 def admission(alerts: DataFrame, as_of) -> DataFrame:

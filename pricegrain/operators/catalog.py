@@ -116,10 +116,9 @@ def search_index(products: DataFrame, current: DataFrame, lows: DataFrame) -> Da
 
 def length_report(pages: DataFrame, column: str, low: int, high: int) -> DataFrame:
     """One row: shortest, longest, mean length, how many lie outside the band, and how many values several pages share."""
-    n = F.length(column)
-    sizes = pages.agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), F.avg(n).alias("mean"), F.count_if(~n.between(low, high)).alias("outside"))
-    shared = pages.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("shared"))
-    return sizes.join(shared)
+    by_value = pages.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.length(column))
+    outside = F.coalesce(F.sum(F.when(~F.col("size").between(low, high), F.col("n"))), F.lit(0))
+    return by_value.agg(F.min("size").alias("shortest"), F.max("size").alias("longest"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), outside.alias("outside"), F.count_if(F.col("n") > 1).alias("shared"))
 
 
 def chunks(ids: list, size: int = 100) -> Iterator[list]:
