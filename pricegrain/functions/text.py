@@ -63,6 +63,11 @@ def all_found(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def let(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def one_of(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -199,31 +204,28 @@ def _cut_at_space(c: Column) -> Column:
 
 def short_name(name: Column, brand: Column) -> Column:
     """The title up to the first bracket or comma, with the brand before it if it lacks it; 8 words and 42 characters at most."""
-    base = F.trim(F.substring_index(F.substring_index(name, "(", 1), ",", 1))
-    lacks = (F.coalesce(brand, F.lit("")) != "") & ~F.startswith(F.lower(base), F.substring(F.lower(brand), 1, 4))
-    base = F.when(lacks, F.concat(brand, F.lit(" "), base)).otherwise(base)
+    lead = F.trim(F.substring_index(F.substring_index(name, "(", 1), ",", 1))
+    lacks = lambda x: (F.coalesce(brand, F.lit("")) != "") & ~F.startswith(F.lower(x), F.substring(F.lower(brand), 1, 4))
+    base = let(lead, lambda x: F.when(lacks(x), F.concat(brand, F.lit(" "), x)).otherwise(x))
     words = F.array_join(F.slice(F.split(base, S + "+"), 1, 8), " ")
-    return F.when(F.length(words) > 42, _cut_at_space(F.substring(words, 1, 42))).otherwise(words)
+    return let(words, lambda w: F.when(F.length(w) > 42, _cut_at_space(F.substring(w, 1, 42))).otherwise(w))
 
 
 def slug_of(category: Column, name: Column, brand: Column) -> Column:
     """Short name, with capacity and memory speed where it lacks them, as a slug of 80 characters at most."""
-    src = short_name(name, brand)
     cap, speed = capacity_label(total_capacity_gb(name)), F.when(category == "ram", speed_mhz(name)).cast("string")
-    src = F.when(cap.isNotNull() & ~F.contains(F.lower(src), F.lower(cap)), F.concat(src, F.lit(" "), cap)).otherwise(src)
-    src = F.when(speed.isNotNull() & ~F.contains(src, speed), F.concat(src, F.lit(" "), speed, F.lit("mhz"))).otherwise(src)
-    slug = slugify(src)
-    head = F.substring(slug, 1, 80)
-    return F.when(F.length(slug) > 80, F.coalesce(found(head, "^(.*)-", 1), head)).otherwise(slug)
+    with_cap = lambda x: let(cap, lambda c: F.when(c.isNotNull() & ~F.contains(F.lower(x), F.lower(c)), F.concat(x, F.lit(" "), c)).otherwise(x))
+    with_speed = lambda x: let(speed, lambda v: F.when(v.isNotNull() & ~F.contains(x, v), F.concat(x, F.lit(" "), v, F.lit("mhz"))).otherwise(x))
+    slug = slugify(let(let(short_name(name, brand), with_cap), with_speed))
+    return let(slug, lambda x: F.when(F.length(x) > 80, F.coalesce(found(F.substring(x, 1, 80), "^(.*)-", 1), F.substring(x, 1, 80))).otherwise(x))
 
 
 def cap_words(c: Column, budget: Column | int) -> Column:
     """At most budget characters; a word is cut off only if the space lies past half the budget."""
     b = F.lit(budget) if isinstance(budget, int) else budget
-    head = F.substring(c, F.lit(1), b)
-    at = F.length(head) - F.instr(F.reverse(head), " ")
-    cut = F.when((F.instr(head, " ") > 0) & (at > b * 0.5), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(b <= 0, "").when(F.length(c) <= b, F.trim(c)).otherwise(F.trim(cut))
+    at = lambda h: F.length(h) - F.instr(F.reverse(h), " ")
+    cut = lambda h: F.when((F.instr(h, " ") > 0) & (at(h) > b * 0.5), F.substring(h, F.lit(1), at(h))).otherwise(h)
+    return let(c, lambda x: F.when(b <= 0, "").when(F.length(x) <= b, F.trim(x)).otherwise(F.trim(let(F.substring(x, F.lit(1), b), cut))))
 
 
 TOKEN_KINDS = ("speed", "cl", "color", "heatsink", "pack")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions import text as X
-from ..operators import alerts, series, sinks
+from ..operators import alerts, batches, series, sinks
 from . import tables as T
+from .prices import STATS_SQL
 from .tables import A_SQL, AS_OF, EVENTS_AS_OF, H_SQL, NOW_SQL, P_SQL
 
 QUERIES: dict = {}
@@ -147,3 +148,58 @@ def rate_limit_decisions(spark, sf) -> DataFrame:
     """Three accepted events of a user in 6 hours. Each decision depends on earlier ones; tests/test_alerts.py compares with a plain walk."""
     e = T.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     return alerts.decided(e, 3, 360).select("key", "id", "accepted")
+
+
+# ------------------------------------------------------------------------------------------------ the price batch
+
+
+def _provider(spark, sf) -> DataFrame:
+    """Own offers of two of three parts, new ones of four of five (some under the floor), buy boxes of all; every seventh part isn't returned."""
+    p = T.read(spark, sf, "part").where("p_partkey % 7 <> 0")
+    k, v = F.col("p_partkey"), F.col("p_retailprice")
+    own, new = F.when(k % 3 != 0, M.round2(v)), F.when(k % 5 != 0, F.when(k % 2 == 0, 4.99).otherwise(M.round2(v * 1.1)))
+    none = [F.lit(None).cast("double")] * 16
+    of = F.array(own, new, *none, M.round2(v * 1.2))
+    return p.select(F.concat(F.lit("P"), k.cast("string")).alias("asin"), of.alias("current"), of.alias("highest"), F.concat(F.lit("B"), (k % 500).cast("string")).alias("parent"))
+
+
+BATCH_SQL = f"""{P_SQL}, o AS (SELECT *, CASE WHEN id % 3 <> 0 THEN floor(list_price * 100 + 0.5) / 100 END AS a, CASE WHEN id % 5 <> 0 THEN CASE WHEN id % 2 = 0 THEN 4.99::DOUBLE ELSE floor(list_price * 1.1::DOUBLE * 100 + 0.5) / 100 END END AS b, floor(list_price * 1.2::DOUBLE * 100 + 0.5) / 100 AS c FROM p WHERE id % 7 <> 0),
+r AS (SELECT id, category, COALESCE(CASE WHEN a >= 5 THEN a END, CASE WHEN b >= 5 THEN b END, CASE WHEN c >= 5 THEN c END) AS price, COALESCE(a, b, c) AS regular_price FROM o)"""
+
+
+@query(f"""WITH {BATCH_SQL} SELECT id AS product_id, price, regular_price FROM r WHERE price IS NOT NULL""")
+def price_fetch_batch(spark, sf) -> DataFrame:
+    return batches.price_rows(T.products(spark, sf), _provider(spark, sf), AS_OF).select("product_id", "price", "regular_price")
+
+
+@query(f"""WITH {BATCH_SQL} SELECT p.category, count(*) AS products, count(r.price) AS saved FROM p LEFT JOIN r ON r.id = p.id GROUP BY 1""")
+def fetch_counts(spark, sf) -> DataFrame:
+    c = T.products(spark, sf)
+    return batches.batch_counts(c, batches.price_rows(c, _provider(spark, sf), AS_OF))
+
+
+@query("""SELECT p_partkey AS id FROM part WHERE p_partkey % 7 = 0""")
+def not_returned(spark, sf) -> DataFrame:
+    return batches.not_returned(T.products(spark, sf), _provider(spark, sf)).select("id")
+
+
+@query("""WITH g AS (SELECT 'B' || (p_partkey % 500) AS parent, count(*) AS members, count(DISTINCT p_size) AS capacities FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1) SELECT *, members >= 2 AND capacities >= 2 AS family FROM g""")
+def parent_report(spark, sf) -> DataFrame:
+    return batches.parent_report(T.products(spark, sf), _provider(spark, sf))
+
+
+MONEY_SQL = "'$' || format('{{:,.2f}}', {})"
+
+
+@query(f"""WITH {STATS_SQL}, f AS (SELECT *, date_diff('day', first_day, current_day) / 365.25::DOUBLE AS y, CAST(floor(change30 + 0.5) AS BIGINT) AS ch FROM s)
+SELECT product_id, CASE WHEN y >= 2 THEN CAST(CAST(floor(y + 0.5) AS BIGINT) AS VARCHAR) END AS years, days, {MONEY_SQL.format('low')} AS low, strftime(low_day, '%b %Y') AS low_month, CASE WHEN high <> low THEN {MONEY_SQL.format('high')} END AS high,
+CASE WHEN ch <> 0 THEN CASE WHEN change30 < 0 THEN 'fallen' ELSE 'risen' END END AS moved, CASE WHEN ch <> 0 THEN CAST(abs(ch) AS VARCHAR) END AS percent FROM f""")
+def history_facts(spark, sf) -> DataFrame:
+    return batches.history_facts(series.stats(series.daily(T.history(spark, sf)), AS_OF))
+
+
+@query(f"""WITH {P_SQL} SELECT id, 'Track the ' || brand || ' ' || name || ' ' || capacity_gb || 'GB price history. List price {MONEY_SQL.format("list_price").replace("'$' || ", "' || '$' || ")} || '.' AS description FROM p""")
+def page_descriptions(spark, sf) -> DataFrame:
+    short = X.short_name(F.col("title"), F.col("brand"))
+    suffix = F.concat(F.lit(" price history. List price "), M.money(F.col("list_price")), F.lit("."))
+    return T.products(spark, sf).select("id", batches.fitted(short, "Track the ", suffix, F.lit(None).cast("string"), 156).alias("description"))
