@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,26 +55,30 @@ def unique_slugs(products: DataFrame) -> DataFrame:
     categories. products: id, category, base, slug (null: none stored).
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        taken = set(group["slug"].dropna())
-        count: dict[str, int] = {}
-        out = []
-        for base, slug in zip(group["base"], group["slug"], strict=True):
-            if pd.isna(slug):
-                n = count.get(base, 1)
-                slug = base if n == 1 else f"{base}-{n}"
-                while slug in taken:
-                    n += 1
-                    slug = f"{base}-{n}"
-                count[base] = n
+    def walk(batches):
+        import pyarrow as pa
+
+        group, taken, count = object(), set(), {}
+        for batch in batches:
+            out = []
+            for g, base, slug in zip(batch.column("g").to_pylist(), batch.column("base").to_pylist(), batch.column("slug").to_pylist(), strict=True):
+                if g != group:
+                    group, taken, count = g, set(), {}
+                if slug is None:
+                    n = count.get(base, 1)
+                    slug = base if n == 1 else f"{base}-{n}"
+                    while slug in taken:
+                        n += 1
+                        slug = f"{base}-{n}"
+                    count[base] = n
                 taken.add(slug)
-            out.append(slug)
-        return pd.DataFrame({"id": group["id"], "slug": out})
+                out.append(slug)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "slug"])
 
     stem = F.regexp_replace(F.coalesce("slug", "base"), r"(-\d+)+$", "")
-    rows = products.select("id", "category", "base", "slug", stem.alias("stem"))
-    return rows.groupBy("category", "stem").applyInPandas(walk, "id long, slug string")
+    rows = products.select(F.concat_ws("|", "category", stem).alias("g"), F.col("id").cast("long").alias("id"), "base", "slug")
+    # stored slugs first, so that none is given away
+    return rows.repartition("g").sortWithinPartitions("g", F.col("slug").isNull(), "id").mapInArrow(walk, "id long, slug string")
 
 
 def disambiguated(products: DataFrame, group: list[str]) -> DataFrame:
