@@ -99,28 +99,48 @@ def candidates(once: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     return a.join(b, "w").where(meets).select("a", "b").distinct()
 
 
-def verified(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
-    """The pairs whose full sets meet the threshold; the sets are read again for lines that are in a pair only."""
-    wanted = scratch.table(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(once.select("set_id", "first"), "set_id").select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), NARROW)
+def word_sets(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(set_id, s) of the sets in pairs, read again from the first line of each."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(once.select("set_id", "first"), "set_id")
+    wanted = scratch.table(wanted.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), NARROW)
     small = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("set_id").agg(F.first("line").alias("line")).select("set_id", _hashes(F.col("line")).alias("s"))
-    sets = scratch.table(sets, 20_000)
-    both = pairs.join(sets.withColumnsRenamed({"set_id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"set_id": "b", "s": "sb"}), "b")
+    return scratch.table(sets, 20_000)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Those of pairs (early, late) whose sets meet the threshold."""
+    both = pairs.join(sets.withColumnsRenamed({"set_id": "early", "s": "sa"}), "early").join(sets.withColumnsRenamed({"set_id": "late", "s": "sb"}), "late")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("a", "b")
+    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("early", "late")
+
+
+def late_classes(docs: DataFrame, once: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+    """set_id of each class that is similar to one with an earlier first line.
+
+    One such class is enough, so each class is first compared with the earliest of its candidates; only classes that this
+    leaves open are compared with the others. A group of many variants thus needs about one comparison a member.
+    """
+    pairs = scratch.table(candidates(once, per_cent), NARROW)
+    sets = word_sets(docs, once, pairs, scratch)
+    first = once.select("set_id", "first")
+    placed = pairs.join(first.withColumnsRenamed({"set_id": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set_id": "b", "first": "fb"}), "b")
+    swap = F.col("fa") < F.col("fb")
+    order = scratch.table(placed.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("fa", "fb").alias("at")), NARROW)
+    nearest = order.groupBy("late").agg(F.min(F.struct("at", "early")).alias("x")).select(F.col("x.early").alias("early"), "late")
+    found = scratch.table(similar(nearest, sets, per_cent).select("late"), NARROW)
+    open_ = order.select("early", "late").join(found, "late", "left_anti")
+    return scratch.table(found.union(similar(open_, sets, per_cent).select("late")).distinct().withColumnRenamed("late", "set_id"), NARROW)
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, gone: the sorted numbers (from 0) of its lines that repeat an earlier line."""
+    """doc_id, gone: the sorted numbers (from 0) of its lines that repeat an earlier line: of each class all but the first, and the first too if its class is late."""
     tiers = order_column(slot_tiers(docs))
     lines, once = classes(docs, tiers, scratch, per_cent, min_words)
-    pairs = scratch.table(candidates(once, per_cent), NARROW)
-    links = scratch.table(verified(docs, once, pairs, scratch, per_cent), NARROW)
-    both = links.union(links.select("b", "a"))
-    nearest = both.join(once.select(F.col("set_id").alias("b"), "first"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("first").alias("other"))
-    early = once.join(nearest, "set_id", "left").where("lines > 1 or other is not null").select("set_id", F.least("first", "other").alias("early"))
-    later = lines.select("doc_id", "line_no", "set_id").join(early, "set_id").where("doc_id > early.doc_id or (doc_id = early.doc_id and line_no > early.line_no)")
-    return scratch.table(later.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
+    late = late_classes(docs, once, scratch, per_cent).withColumn("late", F.lit(True))
+    judged = once.select("set_id", "first", "lines").join(late, "set_id", "left").where("lines > 1 or late").select("set_id", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    gone = lines.select("doc_id", "line_no", "set_id").join(judged, "set_id").where("late or doc_id <> first.doc_id or line_no <> first.line_no")
+    return scratch.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
