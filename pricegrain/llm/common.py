@@ -40,7 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, set()
         small_batches(spark)
 
     def table(self, df: DataFrame, rows_a_file: int = 0) -> DataFrame:
@@ -60,13 +60,20 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
+        self.paths.add(path)
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables made here but these."""
+        for path in self.paths - {t.scratch_path for t in tables}:  # type: ignore[attr-defined]
+            self._delete(path)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later step reads."""
         self._delete(df.scratch_path)  # type: ignore[attr-defined]
 
     def _delete(self, path: str) -> None:
+        self.paths.discard(path)
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

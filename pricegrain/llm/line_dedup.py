@@ -140,7 +140,9 @@ def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, m
     late = late_classes(docs, once, scratch, per_cent).withColumn("late", F.lit(True))
     judged = once.select("set_id", "first", "lines").join(late, "set_id", "left").where("lines > 1 or late").select("set_id", "first", F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.select("doc_id", "line_no", "set_id").join(judged, "set_id").where("late or doc_id <> first.doc_id or line_no <> first.line_no")
-    return scratch.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
+    out = scratch.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
+    scratch.keep(out)
+    return out
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:

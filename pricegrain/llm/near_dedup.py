@@ -203,6 +203,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT)
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"), "n", "rep")
     changed = of_class.where("n > 1 or component_id <> rep").select("set_hi", "set_lo", "component_id")
     out = signed.join(changed, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = scratch.table(out, NARROW)
+    scratch.keep(out)
     return out
 
 

@@ -137,6 +137,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFr
     later = copies(docs, scratch)
     first = docs.join(later, "doc_id", "left_anti")
     marks = repeated(first, scratch, n)
+    scratch.keep(later, marks)
     marks = marks.select("doc_id", "starts", F.lit(False).alias("copy")).union(later.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
 
     def run(batches):
