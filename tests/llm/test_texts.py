@@ -101,7 +101,9 @@ def brute_components(rows):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-def test_near_duplicates_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, Scratch(spark)).collect()}
     assert got == brute_components(corpus())
 
@@ -167,7 +169,9 @@ def brute_lines(rows):
     return gone
 
 
-def test_lines_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_lines_equal_brute_force(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
     got = {r["doc_id"]: r["gone"] for r in line_dedup.removed_lines(docs, Scratch(spark)).collect()}
     assert got == brute_lines(corpus())
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, Scratch(spark)).collect()}
