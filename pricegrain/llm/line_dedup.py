@@ -72,7 +72,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Lines with the id of their word set, and each set once: its first line, how many lines have it, its prefix."""
+    """Lines with the id of their word set, and each set once: its first line, how many lines have it, its prefix, and k, a number that grows with the first line."""
     sets = lines_of(docs).select("doc_id", "line_no", _ordered(F.col("line"), tiers).alias("s"))
     n = F.size("s")
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
@@ -80,57 +80,59 @@ def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PE
     bits = F.expr("aggregate(s, 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 as int)))")
     lines = scratch.table(sets.select("doc_id", "line_no", F.xxhash64("s").alias("set_id"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))).where(F.col("n") >= min_words)
     once = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return lines, scratch.table(once)
+    in_order = ("first.doc_id", "first.line_no")
+    return lines, scratch.table(once.repartitionByRange(*in_order).sortWithinPartitions(*in_order).withColumn("k", F.monotonically_increasing_id()))
 
 
 def candidates(once: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """(a, b), a the smaller set: pairs that share a prefix word and pass the length and positional filters."""
+    """(early, late, far) numbers of classes that share a prefix word and pass the length and positional filters; far: bits in which their pictures differ."""
     n, least = F.col("n"), _least(F.col("n"), per_cent)
     # a pair of n <= m words needs an overlap of t / (1 + t) * (n + m) >= 2t / (1 + t) * n
     shorter = n - F.floor((n * 2 * per_cent + (100 + per_cent) - 1) / (100 + per_cent)).cast("int") + 1
-    words = once.select("set_id", "n", "bits", F.posexplode("prefix").alias("place", "w"))
-    a = words.where(F.col("place") < shorter).select("w", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("bits").alias("xa"))
-    b = words.where(F.col("place") < n - least + 1).select("w", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("bits").alias("xb"))
+    words = once.select("k", "n", "bits", F.posexplode("prefix").alias("place", "w"))
+    a = words.where(F.col("place") < shorter).select("w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("bits").alias("xa"))
+    b = words.where(F.col("place") < n - least + 1).select("w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("bits").alias("xb"))
     need = (F.col("na") + F.col("nb")) * per_cent
     can = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + per_cent)
     meets = (F.col("na") * 100 >= F.col("nb") * per_cent) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (can >= need)
     # words that one set has alone number (1 - t) / (1 + t) * (n + m) at most, and each bit that differs needs one
-    meets = meets & (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) * (100 + per_cent) <= (F.col("na") + F.col("nb")) * (100 - per_cent))
-    return a.join(b, "w").where(meets).select("a", "b").distinct()
+    far = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
+    meets = meets & (far * (100 + per_cent) <= (F.col("na") + F.col("nb")) * (100 - per_cent))
+    return a.join(b, "w").where(meets).select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"), far.alias("far"))
 
 
-def word_sets(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(set_id, s) of the sets in pairs, read again from the first line of each."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(once.select("set_id", "first"), "set_id")
-    wanted = scratch.table(wanted.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), NARROW)
+def similar(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch, per_cent: int) -> DataFrame:
+    """late of those of pairs (early, late) whose sets meet the threshold; the sets are read again from the first line of each."""
+    wanted = pairs.select(F.col("early").alias("k")).union(pairs.select("late")).distinct().join(once.select("k", "first"), "k")
+    wanted = scratch.table(wanted.select("k", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), NARROW)
     small = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("set_id").agg(F.first("line").alias("line")).select("set_id", _hashes(F.col("line")).alias("s"))
-    return scratch.table(sets, 20_000)
-
-
-def similar(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Those of pairs (early, late) whose sets meet the threshold."""
-    both = pairs.join(sets.withColumnsRenamed({"set_id": "early", "s": "sa"}), "early").join(sets.withColumnsRenamed({"set_id": "late", "s": "sb"}), "late")
+    sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("k").agg(F.first("line").alias("line")).select("k", _hashes(F.col("line")).alias("s"))
+    sets = scratch.table(sets, 20_000)
+    both = pairs.join(sets.withColumnsRenamed({"k": "early", "s": "sa"}), "early").join(sets.withColumnsRenamed({"k": "late", "s": "sb"}), "late")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("early", "late")
+    found = both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("late").distinct()
+    found = scratch.table(found, NARROW)
+    scratch.drop(sets)
+    return found
 
 
 def late_classes(docs: DataFrame, once: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
-    """set_id of each class that is similar to one with an earlier first line.
+    """k of each class that is similar to one with an earlier first line.
 
-    One such class is enough, so each class is first compared with the earliest of its candidates; only classes that this
-    leaves open are compared with the others. A group of many variants thus needs about one comparison a member.
+    One such class is enough, so each class is first compared with the candidate whose picture is nearest, which the join
+    keeps by a minimum combined before the shuffle. Only classes that this leaves open are compared with all theirs, so a
+    group of many variants needs about one comparison a member.
     """
-    pairs = scratch.table(candidates(once, per_cent), NARROW)
-    sets = word_sets(docs, once, pairs, scratch)
-    first = once.select("set_id", "first")
-    placed = pairs.join(first.withColumnsRenamed({"set_id": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set_id": "b", "first": "fb"}), "b")
-    swap = F.col("fa") < F.col("fb")
-    order = scratch.table(placed.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("fa", "fb").alias("at")), NARROW)
-    nearest = order.groupBy("late").agg(F.min(F.struct("at", "early")).alias("x")).select(F.col("x.early").alias("early"), "late")
-    found = scratch.table(similar(nearest, sets, per_cent).select("late"), NARROW)
-    open_ = order.select("early", "late").join(found, "late", "left_anti")
-    return scratch.table(found.union(similar(open_, sets, per_cent).select("late")).distinct().withColumnRenamed("late", "set_id"), NARROW)
+    nearest = candidates(once, per_cent).groupBy("late").agg(F.min(F.struct("far", "early")).alias("x")).select(F.col("x.early").alias("early"), "late")
+    nearest = scratch.table(nearest, NARROW)
+    found = similar(docs, once, nearest, scratch, per_cent)
+    left = scratch.table(nearest.select("late").join(found, "late", "left_anti"), NARROW)
+    if left.isEmpty():
+        return found.withColumnRenamed("late", "k")
+    few = F.broadcast(left) if left.count() <= FEW else left
+    rest = candidates(once, per_cent).join(few, "late", "left_semi").select("early", "late").distinct().join(nearest, ["early", "late"], "left_anti")
+    more = similar(docs, once, scratch.table(rest, NARROW), scratch, per_cent)
+    return found.union(more).withColumnRenamed("late", "k")
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -138,7 +140,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, m
     tiers = order_column(slot_tiers(docs))
     lines, once = classes(docs, tiers, scratch, per_cent, min_words)
     late = late_classes(docs, once, scratch, per_cent).withColumn("late", F.lit(True))
-    judged = once.select("set_id", "first", "lines").join(late, "set_id", "left").where("lines > 1 or late").select("set_id", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    judged = once.select("k", "set_id", "first", "lines").join(late, "k", "left").where("lines > 1 or late").select("set_id", "first", F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.select("doc_id", "line_no", "set_id").join(judged, "set_id").where("late or doc_id <> first.doc_id or line_no <> first.line_no")
     out = scratch.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
     scratch.keep(out)
