@@ -1 +1,21 @@
 """Price analytics as PySpark DataFrame plans."""
+
+from __future__ import annotations
+
+
+def ship(spark) -> None:
+    """Sends this package to the executors' Python workers, once a session, so that it need not be installed there."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_pricegrain_sent", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp()) / "pricegrain.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(path))
+    context._pricegrain_sent = True

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .. import ship
+
 DAY_US = 86_400_000_000
 PENDING_US = 2 * DAY_US
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
+    """Readies a session for the stateful queries; the package goes to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return spark
 
