@@ -30,8 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch: with long texts the default of 10,000 takes much memory outside the heap."""
+def ready(spark: SparkSession, rows: int = 1000) -> None:
+    """Readies a session for tasks on texts: the package goes to the workers, and Arrow batches get fewer rows (with long texts the default of 10,000 takes much memory)."""
+    from pricegrain import ship
+
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -41,7 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.n, self.paths = 0, set()
-        small_batches(spark)
+        ready(spark)
 
     def table(self, df: DataFrame, rows_a_file: int = 0) -> DataFrame:
         """Runs df once, as Parquet in the shared folder, and returns what was written.
@@ -80,7 +83,7 @@ class Scratch:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    small_batches(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
