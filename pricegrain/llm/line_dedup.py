@@ -7,7 +7,7 @@ Equal word sets form classes; only classes are joined. Words are ordered by rari
 counters) was hit in the whole corpus, and then by hash, which is one order for all lines. Two sets with similarity t share a word
 among the first n - ceil(t n) + 1 of either (prefix filter); for the shorter of the two n - ceil(2t / (1 + t) n) + 1
 suffice. Pairs must also meet the length filter (m >= t n) and the positional filter: from the shared place on enough words must be
-left on both sides. A 64-bit picture of each set bounds the words that one set has alone. What passes is verified on the
+left on both sides. A 128-bit picture of each set bounds the words that one set has alone. What passes is verified on the
 full sets.
 
 Words are compared by 64-bit hashes (xxhash64), of which 57 bits enter the order; candidates are joined by 32 bits of it
@@ -77,9 +77,9 @@ def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PE
     n = F.size("s")
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
     # short lines are left out after the write: a filter on the words would make Spark hash each line twice
-    bits = F.expr("aggregate(s, 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 as int)))")
-    lines = scratch.table(sets.select("doc_id", "line_no", F.xxhash64("s").alias("set_id"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))).where(F.col("n") >= min_words)
-    once = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    half = lambda k: F.expr(f"aggregate(s, 0L, (a, x) -> a | if((x & 64) = {64 * k}, shiftleft(1L, cast(x & 63 as int)), 0L))")
+    lines = scratch.table(sets.select("doc_id", "line_no", F.xxhash64("s").alias("set_id"), n.alias("n"), half(0).alias("bits"), half(1).alias("bits2"), prefix.alias("prefix"))).where(F.col("n") >= min_words)
+    once = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("prefix").alias("prefix"))
     in_order = ("first.doc_id", "first.line_no")
     return lines, scratch.table(once.repartitionByRange(*in_order).sortWithinPartitions(*in_order).withColumn("k", F.monotonically_increasing_id()))
 
@@ -89,14 +89,14 @@ def candidates(once: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     n, least = F.col("n"), _least(F.col("n"), per_cent)
     # a pair of n <= m words needs an overlap of t / (1 + t) * (n + m) >= 2t / (1 + t) * n
     shorter = n - F.floor((n * 2 * per_cent + (100 + per_cent) - 1) / (100 + per_cent)).cast("int") + 1
-    words = once.select("k", "n", "bits", F.posexplode("prefix").alias("place", "w"))
-    a = words.where(F.col("place") < shorter).select("w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("bits").alias("xa"))
-    b = words.where(F.col("place") < n - least + 1).select("w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("bits").alias("xb"))
+    words = once.select("k", "n", "bits", "bits2", F.posexplode("prefix").alias("place", "w"))
+    a = words.where(F.col("place") < shorter).select("w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("bits").alias("xa"), F.col("bits2").alias("ya"))
+    b = words.where(F.col("place") < n - least + 1).select("w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("bits").alias("xb"), F.col("bits2").alias("yb"))
     need = (F.col("na") + F.col("nb")) * per_cent
     can = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + per_cent)
     meets = (F.col("na") * 100 >= F.col("nb") * per_cent) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (can >= need)
     # words that one set has alone number (1 - t) / (1 + t) * (n + m) at most, and each bit that differs needs one
-    far = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
+    far = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
     meets = meets & (far * (100 + per_cent) <= (F.col("na") + F.col("nb")) * (100 - per_cent))
     return a.join(b, "w").where(meets).select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"), far.alias("far"))
 
