@@ -130,7 +130,7 @@ def late_classes(docs: DataFrame, once: DataFrame, scratch: Scratch, per_cent: i
     if left.isEmpty():
         return found.withColumnRenamed("late", "k")
     few = F.broadcast(left) if left.count() <= FEW else left
-    rest = candidates(once, per_cent).join(few, "late", "left_semi").select("early", "late").distinct().join(nearest, ["early", "late"], "left_anti")
+    rest = candidates(once, per_cent).select("early", "late").distinct().join(few, "late", "left_semi").join(nearest, ["early", "late"], "left_anti")
     more = similar(docs, once, scratch.table(rest, NARROW), scratch, per_cent)
     return found.union(more).withColumnRenamed("late", "k")
 
