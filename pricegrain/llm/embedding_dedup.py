@@ -6,9 +6,12 @@ rows compared. Rounds of NN-descent then refine it: at each vector its neighbour
 cosines are computed in double precision, and each takes over those that beat the worst entry of its list. A list whose
 last entry is itself a link is saturated and doubles its length in the next round. Rounds end when few lists change.
 
-A recall audit compares up to AUDIT vectors with all rows; while less than AIM of the true links join the same component,
-more rounds follow with longer lists. Links of the graph form components; within each component all pairs are then checked
-in blocks of vectors, so counts of links are exact even where a list was cut. No pairs are written out for that.
+A recall audit compares about AUDIT vectors with all rows: of each vector's true links the share that joins its component,
+averaged over the vectors that have links and, apart, over those with at most FEW of them, so large groups do not hide
+small ones. While either is under AIM, more rounds follow with TREES new trees and longer lists, TRIES times in all; if that
+does not suffice, all vectors are compared in blocks, and each pair of blocks gives the links that join its rows. Links
+form components; within each component all pairs are then checked in blocks of vectors, so counts of links are exact even
+where a list was cut. No pairs are written out for that.
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components link with nothing and are their own
 component; vectors of different lengths link with nothing; rows that repeat a vec_id with an equal vector are one vector
@@ -18,6 +21,8 @@ and embedding are not read.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +36,10 @@ TREES, BITS_LEAF, LEAF = 8, 64, 64
 K, REVERSE, ROUNDS = 8, 8, 3
 STOP = 0.01
 AUDIT, AIM = 200, 0.98
-BLOCK = 1024
+#: A vector with so many links or fewer is in a small group; tries before all vectors are compared.
+FEW, TRIES = 8, 3
+BLOCK, WHOLE_BLOCK = 1024, 2048
+log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -55,8 +63,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(F.coalesce(fine, F.lit(False))).select("vec_id", "embedding")
 
 
-def first_graph(reps: DataFrame, n: int, k: int = K, trees: int = TREES) -> DataFrame:
-    """u, v, sim: neighbours among runs of rows that random projections bring together."""
+def first_graph(reps: DataFrame, n: int, k: int = K, trees: int = TREES, first: int = 0) -> DataFrame:
+    """u, v, sim: neighbours among runs of rows that random projections bring together; trees are numbered from first, and each number is another tree."""
     bits = max(1, int(np.ceil(np.log2(max(2, n / BITS_LEAF)))))
 
     def code(batches):
@@ -65,7 +73,7 @@ def first_graph(reps: DataFrame, n: int, k: int = K, trees: int = TREES) -> Data
             if not x.size:
                 continue
             ids, listed = batch.column("vec_id"), batch.column("embedding")
-            for tree in range(trees):
+            for tree in range(first, first + trees):
                 p = np.random.default_rng([tree, x.shape[1]]).standard_normal((x.shape[1], bits + 1))
                 y = x @ p
                 c = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
@@ -142,12 +150,13 @@ def descend(graph: DataFrame, reps: DataFrame, k: int, reverse: int = REVERSE) -
     return groups.select("g").mapInArrow(run, "u long, v long, sim double")
 
 
-def neighbour_graph(reps: DataFrame, n: int, scratch: Scratch, k: int = K, rounds: int = ROUNDS, at_least: float = AT_LEAST, start: DataFrame | None = None) -> DataFrame:
-    """u, v, sim: the refined lists."""
+def neighbour_graph(reps: DataFrame, n: int, scratch: Scratch, k: int = K, rounds: int = ROUNDS, at_least: float = AT_LEAST, start: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """u, v, sim: the refined lists; with start (u, v, sim), of its entries and those of trees from number first on."""
     if start is None:
         graph = scratch.table(shorten(first_graph(reps, n, k).withColumn("new", F.lit(1)), None, k).drop("r"), NARROW)
     else:
-        graph = scratch.table(start.withColumn("new", F.lit(1)), NARROW)
+        both = start.select("u", "v", "sim").union(first_graph(reps, n, k, first=first)).withColumn("new", F.lit(1))
+        graph = scratch.table(shorten(both, None, k).drop("r"), NARROW)
     lengths = None
     for _ in range(rounds):
         better = descend(graph, reps, k).withColumn("new", F.lit(1))
@@ -162,31 +171,95 @@ def neighbour_graph(reps: DataFrame, n: int, scratch: Scratch, k: int = K, round
     return graph
 
 
-def recall(queries: list, reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST) -> tuple[int, int]:
-    """(links of the queries that lie in one component, all their links) by comparing each query with each row."""
+def recall(queries: list, reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST) -> list[tuple[int, int]]:
+    """For each query that has links: (those that lie in its component, all), by comparing each query with each row."""
     spark = reps.sparkSession
-    ids = np.array([q["vec_id"] for q in queries], dtype=np.int64)
-    shared = spark.sparkContext.broadcast((ids, [np.array(q["embedding"], dtype=np.float64) for q in queries]))
+    ids = [q["vec_id"] for q in queries]
+    own = {r["id"]: r["component"] for r in placed.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "id long")), "id").collect()}
+    shared = spark.sparkContext.broadcast([(i, own.get(i), np.array(q["embedding"], dtype=np.float64)) for i, q in zip(ids, queries, strict=True)])
 
     def run(batches):
-        q_ids, q = shared.value
-        q = [x / np.sqrt(x @ x) for x in q]
+        q = [(i, c, x / np.sqrt(x @ x)) for i, c, x in shared.value]
         for batch in batches:
-            listed, own = batch.column("embedding"), batch.column("vec_id").to_numpy()
+            listed, own_ids = batch.column("embedding"), batch.column("vec_id").to_numpy()
             sizes, x = np.diff(np.asarray(listed.offsets)), _matrix(listed)
-            out = ([], [])
-            for i, y in zip(q_ids, q, strict=True):
+            out: tuple[list, list, list] = ([], [], [])
+            for i, c, y in q:
                 if x.shape[1] < len(y):
                     continue
-                hit = own[(x[:, : len(y)] @ y >= at_least) & (sizes == len(y)) & (own != i)]
-                out[0].append(np.full(len(hit), i)), out[1].append(hit)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["a", "b"])
+                hit = own_ids[(x[:, : len(y)] @ y >= at_least) & (sizes == len(y)) & (own_ids != i)]
+                out[0].extend([i] * len(hit)), out[1].extend([c] * len(hit)), out[2].extend(hit.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "ca", "b"])
+
+    true = reps.select("vec_id", "embedding").mapInArrow(run, "a long, ca long, b long")
+    row = true.join(placed.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").groupBy("a")
+    return [(r["got"], r["all"]) for r in row.agg(F.count_if(F.col("ca") == F.col("cb")).alias("got"), F.count(F.lit(1)).alias("all")).collect()]
+
+
+def shares(found: list[tuple[int, int]], few: int = FEW) -> tuple[float, float]:
+    """Average recall of a query, over all and over those with at most few links (1 where there are none)."""
+    mean = lambda x: sum(g / n for g, n in x) / len(x) if x else 1.0
+    return mean(found), mean([x for x in found if x[1] <= few])
+
+
+def _joined(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links: (first row, row) for each row that the first reaches."""
+    left, a, b = hit.any(axis=1), [], []
+    for s in np.flatnonzero(left):
+        if not left[s]:
+            continue
+        left[s] = False
+        front = np.array([s])
+        while len(front):
+            front = np.flatnonzero(hit[front].any(axis=0) & left)
+            left[front] = False
+            a.append(np.full(len(front), s)), b.append(front)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def all_links(reps: DataFrame, n: int, at_least: float = AT_LEAST, block: int = WHOLE_BLOCK) -> DataFrame:
+    """a, b: what joins the rows that link, by comparing all rows; of each pair of blocks at most one entry a row is returned."""
+    blocks = -(-n // block)
+    rows = reps.select("vec_id", "embedding").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("vec_id", "own", "embedding").alias("row"))
+    groups = sent.groupBy("i", "j").agg(F.collect_list("row").alias("g"))
+
+    def run(batches):
+        for batch in batches:
+            for one in range(batch.num_rows):
+                g = batch.column("g").slice(one, 1).flatten()
+                i, j = batch.column("i")[one].as_py(), batch.column("j")[one].as_py()
+                ids, own = g.field("vec_id").to_numpy(), g.field("own").to_numpy()
+                listed = g.field("embedding")
+                sizes, x = np.diff(np.asarray(listed.offsets)), _matrix(listed)
+                a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+                part = (x[a] @ x[b].T >= at_least) & (sizes[a, None] == sizes[None, b])
+                hit = np.zeros((len(ids), len(ids)), dtype=bool)
+                hit[np.ix_(a, b)] = part
+                hit[np.ix_(b, a)] |= part.T
+                np.fill_diagonal(hit, False)
+                u, v = _joined(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["a", "b"])
+
+    return groups.select("i", "j", "g").mapInArrow(run, "a long, b long")
+
 
-    true = reps.select("vec_id", "embedding").mapInArrow(run, "a long, b long")
-    label = placed.select(F.col("id"), F.col("component").alias("c"))
-    row = true.join(label.withColumnsRenamed({"id": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"id": "b", "c": "cb"}), "b", "left").agg(F.count_if(F.col("ca") == F.col("cb")).alias("got"), F.count(F.lit(1)).alias("all")).first()
-    return row["got"], row["all"]
+def connected(reps: DataFrame, n: int, scratch: Scratch, at_least: float = AT_LEAST) -> DataFrame:
+    """id, component of the vectors that have links, audited."""
+    share = min(1.0, AUDIT / max(1, n))
+    queries = reps.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec_id", "embedding").limit(2 * AUDIT).collect() if n else []
+    graph, placed = None, None
+    for t in range(TRIES):
+        graph = neighbour_graph(reps, n, scratch, K << t, at_least=at_least, start=graph, first=t * TREES)
+        links = graph.where(F.col("sim") >= at_least).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        # what an earlier try joined stays joined
+        placed = components(scratch, links if placed is None else links.union(placed.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        found = recall(queries, reps, placed, at_least) if queries else []
+        every, few = shares(found)
+        log.info("try %d, %d vectors: recall %.4f of %d audited vectors with links, %.4f of %d with at most %d", t + 1, n, every, len(found), few, sum(x[1] <= FEW for x in found), FEW)
+        if min(every, few) >= AIM:
+            return placed
+    return components(scratch, scratch.table(all_links(reps, n, at_least), NARROW))
 
 
 def count_links(reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST, block: int = BLOCK) -> DataFrame:
@@ -222,17 +295,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, at_least: float = AT_L
     reps = good.join(classes, ["h", "h2"]).where("vec_id = rep").dropDuplicates(["vec_id"]).select("vec_id", "embedding", "copies")
     reps = scratch.table(reps, 50_000)
     n = reps.count()
-    k, graph, placed = K, None, None
-    share = min(1.0, AUDIT / max(1, n))
-    queries = reps.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec_id", "embedding").limit(2 * AUDIT).collect() if n else []
-    for _ in range(4):
-        graph = neighbour_graph(reps, n, scratch, k, start=graph)
-        links = graph.where(F.col("sim") >= at_least).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        placed = components(scratch, links)
-        got, true = recall(queries, reps, placed, at_least) if queries else (0, 0)
-        if got >= AIM * true:
-            break
-        graph, k = graph.drop("new"), 2 * k
+    placed = connected(reps, n, scratch, at_least)
     found = placed.select(F.col("id").alias("vec_id"), "component").join(count_links(reps, placed, at_least), "vec_id")
     of_class = classes.join(found.withColumnRenamed("vec_id", "rep"), "rep", "left").select("h", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     result = named.join(of_class, ["h", "h2"]).select("vec_id", "n_links", "component_id")

@@ -46,3 +46,38 @@ def test_empty_and_few(spark):
     assert e.near_duplicates(spark.createDataFrame([], SCHEMA), Scratch(spark)).count() == 0
     one = spark.createDataFrame([(5, [1.0, 0.0], 0, 0, 0), (5, [1.0, 0.0], 0, 0, 0), (6, [1.0, 0.0], 0, 0, 0)], SCHEMA)
     assert sorted(map(tuple, e.near_duplicates(one, Scratch(spark)).collect())) == [(5, 1, 5), (6, 1, 5)]
+
+
+def skewed():
+    """A group of a third of all vectors, pairs, and vectors on their own."""
+    r = np.random.default_rng(9)
+    centre = r.standard_normal(32)
+    out = [centre + 0.05 * r.standard_normal(32) for _ in range(80)]
+    for _ in range(40):
+        x = r.standard_normal(32)
+        out += [x, x + 0.05 * r.standard_normal(32)]
+    out += [r.standard_normal(32) for _ in range(80)]
+    return [(i, [float(v) for v in x.astype(np.float32)], 0, 9, 9) for i, x in enumerate(out)]
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
+    """The graph finds the large group only: the audit must notice, and all pairs must be found all the same."""
+    rows = skewed()
+    graph = lambda *a, **k: spark.createDataFrame([(0, i, 0.99) for i in range(1, 80)], "u long, v long, sim double")
+    monkeypatch.setattr(e, "neighbour_graph", graph)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(spark.createDataFrame(rows, SCHEMA), Scratch(spark)).collect()}
+    want = {i: (79, 0) for i in range(80)} | {i: (1, i - i % 2) for i in range(80, 160)} | {i: (0, i) for i in range(160, 240)}
+    assert got == want
+
+
+def test_all_links_over_several_blocks(spark):
+    df = spark.createDataFrame(skewed(), SCHEMA)
+    scratch = Scratch(spark)
+    got = {r["id"]: r["component"] for r in e.components(scratch, e.all_links(df, 240, block=50)).collect()}
+    assert got == {i: 0 for i in range(80)} | {i: i - i % 2 for i in range(80, 160)}
+
+
+def test_each_try_has_other_trees(spark):
+    df = spark.createDataFrame(skewed(), SCHEMA)
+    pairs = lambda first: {(r["u"], r["v"]) for r in e.first_graph(df, 240, 2, trees=1, first=first).collect()}
+    assert pairs(0) != pairs(8)
