@@ -178,16 +178,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, mod: int | No
 
 
 def reject(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
-    """The documents whose score is below at, with all their columns; judged row by row, in one pass."""
+    """The documents whose score is below at, with all their columns; judged row by row, in one pass.
+
+    Without a fitted model (no labels, or of one class only) nothing tells documents apart, and all are kept.
+    """
+    if model.constant is not None:
+        return docs
 
     def run(batches):
-        c = None if model.constant is not None else Compressors(model.toxic, model.ordinary)
+        c = Compressors(model.toxic, model.ordinary)
         for batch, data, offsets in text_runs(batches):
-            if c is None:
-                keep = np.full(batch.num_rows, model.constant < at)
-            else:
-                raw = _LOWER[data].tobytes()
-                keep = model.logistic.predict(np.array([features(c.gains(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])) < at
+            raw = _LOWER[data].tobytes()
+            keep = model.logistic.predict(np.array([features(c.gains(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])) < at
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

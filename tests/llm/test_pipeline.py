@@ -99,3 +99,13 @@ def test_stages_take_empty_documents(spark, tmp_path):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (k == 4 or out.columns == docs.columns)
+
+
+def test_toxicity_keeps_documents_that_no_model_judges(spark, tmp_path):
+    """No labels, labels of other documents, labels of one class: nothing is rejected."""
+    docs, _, _ = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, labels in enumerate(([], [(-5, 1, 1), (-6, 1, 0)], [(i, 1, 1) for i in range(9)], [(i, 1, 0) for i in range(9)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / f"{k}/labels.parquet"))
+        got = corpus_pipeline.reject_toxic(spark, d, str(tmp_path / str(k)))
+        assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(x[0] for x in docs)
