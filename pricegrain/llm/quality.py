@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix, read, remainder, text_runs
-from .labelled import sampled
+from .labelled import counts, sampled
 
 #: Bound of the training sample, for each label.
 MOST_ROWS = 6000
@@ -81,8 +81,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Trees:
     """Boosted trees of depth DEPTH. split[t, node] is a column, cut[t, node] its threshold (right if above), leaf[t] the values."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+        """weight: how many labelled rows each sampled row stands for, up to a common factor."""
+        v = np.ones(len(y)) if weight is None else weight / weight.mean()
+        share = float(np.clip(np.average(y, weights=v), 1e-3, 1 - 1e-3)) if len(y) else 0.5
         self.start = np.log(share / (1 - share))
         inner = 2**DEPTH - 1
         self.split = np.zeros((TREES, inner), dtype=np.int64)
@@ -97,7 +99,7 @@ class Trees:
         f = np.full(len(y), self.start)
         for t in range(TREES):
             p = 1 / (1 + np.exp(-f))
-            grad, curve = y - p, p * (1 - p)
+            grad, curve = v * (y - p), v * p * (1 - p)
             node = np.zeros(len(y), dtype=np.int64)
             for level in range(DEPTH):
                 width = 2**level
@@ -129,7 +131,10 @@ class Trees:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, mod: int | None = None, held: int = 0) -> Trees:
-    """Statistics are made where the texts are; the driver gets len(NAMES) numbers for each sampled row."""
+    """Statistics are made where the texts are; the driver gets len(NAMES) numbers for each sampled row.
+
+    A thinned label's rows weigh more, so the share of label 1 that the model learns doesn't depend on the bound.
+    """
 
     def run(batches):
         for batch, data, offsets in text_runs(batches):
@@ -139,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, mod: int | No
 
     rows = sampled(docs, labels, "quality", most, mod, held).selectExpr("part", "cast(doc_id as long) doc_id", "y", "text")
     got = sorted(map(tuple, rows.mapInArrow(run, "part long, doc_id long, y int, x array<double>").collect()))
-    return Trees(np.array([r[3] for r in got]).reshape(len(got), len(NAMES)), np.array([r[2] for r in got], dtype=np.float64))
+    y = np.array([r[2] for r in got], dtype=np.float64)
+    stands = {k: n / max(1, (y == k).sum()) for k, n in counts(labels, "quality", mod, held).items()} if got else {}
+    return Trees(np.array([r[3] for r in got]).reshape(len(got), len(NAMES)), y, np.array([stands[int(k)] for k in y]) if got else None)
 
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:

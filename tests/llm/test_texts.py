@@ -358,3 +358,14 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (near_dedup.near_duplicates(d, Scratch(spark)), substring_dedup.remove_repeats(d, Scratch(spark)), line_dedup.dedup_lines(d, Scratch(spark)), mixing.mix(d, Scratch(spark)), decontamination.decontaminate(d, none, Scratch(spark)), toxicity.score(d, toxicity.fit(d, labels)), quality.score(d, quality.fit(d, labels)), lm_score.score(d, Scratch(spark), passes=1)):
         assert out.count() == 0
+
+
+def test_quality_share_does_not_depend_on_the_sample_bound(spark):
+    """Label 1 is nine times as frequent and thinned to about the number of label 0; the texts tell nothing."""
+    r = random.Random(12)
+    d = frame(spark, [(i, " ".join(r.choice(VOCABULARY) for _ in range(40))) for i in range(500)])
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    trees = quality.fit(d, labels, most=50)
+    assert math.isclose(trees.start, math.log(9), rel_tol=1e-9)
+    scores = [x["score"] for x in quality.score(d, trees).collect()]
+    assert sum(scores) / len(scores) > 0.75
