@@ -1,7 +1,9 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
-Two dictionaries are trained (zstandard.train_dictionary) on bounded samples of labelled texts: one on ordinary text, one
-on the words of toxic text whose beginnings are over-represented there. Each window of WINDOW bytes is compressed with the
+Two dictionaries are made from bounded samples of labelled texts: one is trained (zstandard.train_dictionary) on ordinary
+text, one on the words of toxic text whose beginnings are over-represented there; it grows until it can hold all these words,
+and those that training leaves out are put in front, with all over-represented pairs of other neighbouring words. LEAST toxic
+texts must have a beginning or a pair, however many labelled texts there are. Each window of WINDOW bytes is compressed with the
 ordinary dictionary and with toxic + ordinary; the toxic part lies farther back, so it is used only where it saves bytes.
 The gains of a document's windows, counted against several thresholds, go to a logistic model calibrated on labelled
 documents that the dictionaries have not seen; it gives the score.
@@ -28,9 +30,10 @@ from .labelled import Logistic, counts, sampled
 #: Bound of the training sample, for each label.
 MOST_ROWS = 3000
 WINDOW, STEP = 256, 240
+#: Sizes to train for, the toxic one at least.
 TOXIC_BYTES, ORDINARY_BYTES = 3400, 1900
 FRAGMENT = (5, 10)
-#: Log odds from which a beginning is over-represented.
+#: Log odds from which a beginning or a pair is over-represented, and the toxic texts it must be in.
 ODDS = 3.0
 LEAST = 4
 LEVELS = (1, 2, 3, 4, 6, 9)
@@ -42,7 +45,9 @@ class Compressors:
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(window_log=13, hash_log=12, chain_log=13, search_log=6, min_match=4, target_length=64, strategy=z.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+        # the window holds both dictionaries whole
+        log = max(13, (len(toxic) + len(ordinary) + WINDOW).bit_length())
+        how = z.ZstdCompressionParameters(window_log=log, hash_log=log - 1, chain_log=log, search_log=6, min_match=4, target_length=64, strategy=z.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
 
         def made(content: bytes):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -71,6 +76,16 @@ def _beginnings(word: bytes) -> list[bytes]:
     return [word[:n] for n in range(FRAGMENT[0], min(len(word), FRAGMENT[1]) + 1)] + [word + b" "]
 
 
+def _pairs(rows: list[tuple[int, bytes, int]], chosen: set[bytes]) -> list[tuple[bytes, bytes]]:
+    """Neighbouring words that toxic texts have together more often than ordinary ones; without pairs that hold a chosen word, and each text counts once."""
+    texts = {y: [set(zip(x, x[1:], strict=False)) for x in map(bytes.split, {t for _, t, of in rows if of == y})] for y in (0, 1)}
+    many = Counter(p for listed in texts[1] for p in listed if p[0] not in chosen and p[1] not in chosen)
+    many = {p: n for p, n in many.items() if n >= LEAST}
+    other = Counter(p for listed in texts[0] for p in listed if p in many)
+    ratio = (len(texts[0]) + 1) / (len(texts[1]) + 1)
+    return sorted(p for p, n in many.items() if math.log((n + 0.5) * ratio / (other[p] + 0.5)) > ODDS)
+
+
 def dictionaries(rows: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary.
 
@@ -97,11 +112,11 @@ def dictionaries(rows: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
     odds = lambda g, c: math.log((c + 0.5) / total[1] * total[0] / (seen[0][g] + 0.5))
     toxic_rows = [set(t.split()) for _, t, y in rows if y]
     in_rows = Counter(g for words in toxic_rows for g in {g for w in words for g in _beginnings(w) if seen[1][g] >= LEAST})
-    least = max(LEAST, len(toxic_rows) // 75)
-    hot = {g for g, n in in_rows.items() if n >= least and odds(g, seen[1][g]) > ODDS}
+    hot = {g for g, n in in_rows.items() if n >= LEAST and odds(g, seen[1][g]) > ODDS}
     if not hot:  # few labels: take what differs at all
         hot = {g for g, c in seen[1].items() if odds(g, c) > 1}
-    toxic = [b" " + w for _, t, y in rows if y for w in t.split() if any(g in hot for g in _beginnings(w))]
+    chosen = Counter(w for words in toxic_rows for w in words if any(g in hot for g in _beginnings(w)))
+    toxic = [b" " + w for _, t, y in rows if y for w in t.split() if w in chosen]
     ordinary = [b" " + x for _, t, y in rows if not y for x in t.split()]
 
     def trained(words: list[bytes], pack: int, size: int, k: int, d: int, body: int) -> bytes:
@@ -112,7 +127,12 @@ def dictionaries(rows: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
             content = b"".join(samples)
         return content[-body:]
 
-    return trained(toxic, 12, TOXIC_BYTES, 24, 6, TOXIC_BYTES - 400), trained(ordinary, 16, ORDINARY_BYTES, 64, 8, ORDINARY_BYTES - 400)
+    room = max(TOXIC_BYTES, 400 + sum(len(w) + 1 for w in chosen))
+    content = trained(toxic, 12, room, 24, 6, room - 400)
+    # what training leaves out lies farther back, the rarest first
+    left = [b" " + w for w, _ in sorted(chosen.items(), key=lambda x: (x[1], x[0])) if b" " + w not in content]
+    whole = b"".join([b" " + a + b" " + b for a, b in _pairs(rows, set(chosen))] + left)
+    return whole + content, trained(ordinary, 16, ORDINARY_BYTES, 64, 8, ORDINARY_BYTES - 400)
 
 
 def _lower(text: bytes) -> bytes:

@@ -369,3 +369,20 @@ def test_quality_share_does_not_depend_on_the_sample_bound(spark):
     assert math.isclose(trees.start, math.log(9), rel_tol=1e-9)
     scores = [x["score"] for x in quality.score(d, trees).collect()]
     assert sum(scores) / len(scores) > 0.75
+
+
+def test_toxic_dictionary_holds_rare_words_and_phrases():
+    """400 toxic words in 18 of 1,600 toxic texts each, and a phrase of two ordinary words."""
+    r = random.Random(13)
+    common = [f"c{i}" for i in range(200)]
+    bad = ["".join(r.choice("bdfgjkmpvz") for _ in range(8)) for _ in range(400)]
+    texts = [[*r.choices(common, k=20), "pq", r.choice(common), "rs"] for _ in range(4600)]
+    for k in range(18 * len(bad)):
+        texts[k % 1600].insert(r.randrange(15), bad[k % 400])
+    for x in texts[:40]:
+        x[-2:] = ["pq", "rs"]
+    toxic, _ = toxicity.dictionaries([(i, " ".join(x).encode(), int(i < 1600)) for i, x in enumerate(texts)])
+    assert [w for w in bad if f" {w}".encode() not in toxic] == [] and b" pq rs" in toxic
+    gain = toxicity.Compressors(toxic, b" c1 c2 c3").gains
+    groups = [" ".join(bad[k : k + 10]).encode() for k in range(0, 400, 10)]
+    assert all(gain(g)[0] > 0 for g in groups)
