@@ -120,7 +120,7 @@ def dictionaries(rows: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
     ordinary = [b" " + x for _, t, y in rows if not y for x in t.split()]
 
     def trained(words: list[bytes], pack: int, size: int, k: int, d: int, body: int) -> bytes:
-        samples = [b"".join(words[i : i + pack]) for i in range(0, len(words), pack)][:40_000]
+        samples = [b"".join(words[i : i + pack]) for i in range(0, len(words), pack)]
         try:
             content = z.train_dictionary(size, samples, k=k, d=d).as_bytes()
         except z.ZstdError:  # too little text to train on: the text itself

@@ -386,3 +386,12 @@ def test_toxic_dictionary_holds_rare_words_and_phrases():
     gain = toxicity.Compressors(toxic, b" c1 c2 c3").gains
     groups = [" ".join(bad[k : k + 10]).encode() for k in range(0, 400, 10)]
     assert all(gain(g)[0] > 0 for g in groups)
+
+
+def test_dictionaries_are_trained_on_all_words(monkeypatch):
+    import zstandard
+
+    seen = []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **how: seen.append(sum(len(x.split()) for x in samples)) or zstandard.ZstdCompressionDict(b"x" * size))
+    toxicity.dictionaries([(0, b"good word " * 350_000, 0), *[(i, b"vile good", 1) for i in range(1, 9)]])
+    assert seen[-1] == 700_000
