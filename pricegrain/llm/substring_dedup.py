@@ -13,7 +13,8 @@ Exact copies of a text are found first: all words of a later copy of at least n
 copy's windows are compared.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+`, unchanged; null and empty texts have none; texts shorter than a window
-lose nothing, copies or not; rows that repeat a doc_id count as one document; an empty table gives an empty result;
+lose nothing, copies or not; rows that repeat a doc_id count as one document, of different texts the smallest (in byte
+order); rows with a null doc_id are rows of their own and lose nothing; an empty table gives an empty result;
 columns besides doc_id and text are not read.
 """
 
@@ -133,7 +134,9 @@ def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by one space) of each document."""
-    docs = docs.select("doc_id", "text").dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text")).where("doc_id is not null").union(docs.where("doc_id is null"))
     later = copies(docs, scratch)
     first = docs.join(later, "doc_id", "left_anti")
     marks = repeated(first, scratch, n)

@@ -395,3 +395,10 @@ def test_dictionaries_are_trained_on_all_words(monkeypatch):
     monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **how: seen.append(sum(len(x.split()) for x in samples)) or zstandard.ZstdCompressionDict(b"x" * size))
     toxicity.dictionaries([(0, b"good word " * 350_000, 0), *[(i, b"vile good", 1) for i in range(1, 9)]])
     assert seen[-1] == 700_000
+
+
+def test_repeats_choose_a_fixed_text_and_keep_rows_without_id(spark):
+    a, b, c, d = (prose(30) for _ in range(4))
+    rows = [(1, max(a, b)), (1, min(a, b)), (2, c), (None, c), (None, d), (None, None)]
+    got = [(r["doc_id"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, [(i, t) for i, t in rows if i]).union(frame(spark, [(0, t) for i, t in rows if not i]).withColumn("doc_id", F.lit(None).cast("long"))), Scratch(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, min(a, b)), (2, 0, c), (None, 0, c), (None, 0, d), (None, 0, "")], key=str)
