@@ -1,21 +1,27 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line of at least MIN_WORDS distinct words is removed if an earlier line (smaller doc_id, or the same document and a
-smaller line number) has a set of words with Jaccard similarity of at least PER_CENT percent. Lines are judged on the input.
+A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number) has a set of words with
+Jaccard similarity of at least PER_CENT percent. Lines are judged on the input.
 
-Equal word sets form classes; only classes are joined. Words are ordered by rarity: how often a word's slot (one of SLOTS
-counters) was hit in the whole corpus, and then by hash, which is one order for all lines. Two sets with similarity t share a word
-among the first n - ceil(t n) + 1 of either (prefix filter); for the shorter of the two n - ceil(2t / (1 + t) n) + 1
-suffice. Pairs must also meet the length filter (m >= t n) and the positional filter: from the shared place on enough words must be
-left on both sides. A 128-bit picture of each set bounds the words that one set has alone. What passes is verified on the
-full sets.
+Equal word sets form classes (128-bit hashes of the sorted sets); only classes are joined. Words are ordered by rarity: how
+often a word's slot (one of SLOTS counters) was hit in the whole corpus, and then by hash, which is one order for all lines.
+Two sets with similarity t share a word among the first n - ceil(t n) + 1 of either (prefix filter); for the shorter of the two
+n - ceil(2t / (1 + t) n) + 1 suffice. Pairs must also meet the length filter (m >= t n) and the positional filter: from the shared
+place on enough words must be left on both sides. Each set has a 64-bit picture in which each word flips one bit, so pictures
+differ in no more bits than there are words that one set has alone. What passes is verified on the full sets.
+
+One class that is similar and earlier is enough. So prefix words that more than HOT classes have are first met by their hubs
+alone, the class of the most lines and the earliest; what a hub resolves is no longer asked about. All that stays open is then
+joined with all classes, and compared with its nearest picture first, with the others only if that does not suffice. Groups of
+many variants thus need about one comparison a member, and no pair is left out.
 
 Words are compared by 64-bit hashes (xxhash64), of which 57 bits enter the order; candidates are joined by 32 bits of it
 and then verified.
 
-Defined cases: null and empty texts and lines of fewer words stay as they are; lines are split at \\n; words are
-`[^\\x20\\x09-\\x0D]+`, unchanged; repeated rows of a doc_id are one document (they lose the same lines); rows with a null doc_id
-stay unchanged; columns besides doc_id and text are kept and not read; an empty table gives an empty result.
+Defined cases: null and empty texts and lines without words stay as they are; lines are split at \\n; words are
+`[^\\x20\\x09-\\x0D]+`, unchanged; rows that repeat a doc_id with the same text are one document (they lose the same lines),
+with different texts they are documents of their own, in the order of their texts' hashes; rows with a null doc_id stay
+unchanged; columns besides doc_id and text are kept and not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +30,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, SPACE, Scratch, read
+from .common import NARROW, Scratch, read
 
 PER_CENT = 85
-MIN_WORDS = 5
 SLOTS = 1 << 19
+#: A prefix word of more classes (in the shorter prefix) is met by its hubs first.
+HOT = 64
 #: A side of a join is broadcast up to so many narrow rows, counted first; beyond, both sides are shuffled.
 FEW = 1_000_000
+#: What names a line: its document's id, a hash of the document's text, and its number there. A class is named by its first line.
+ID = ("d", "t", "l")
 
 
 def _split(text: Column) -> Column:
-    """Words between single spaces, '' where several meet; other white space is rare and replaced only where it occurs."""
-    return F.split(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, SPACE, " ")).otherwise(text), " ")
+    """Words between single spaces, '' where several meet; other white space is replaced first."""
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
 
 
 def slot_tiers(docs: DataFrame) -> np.ndarray:
@@ -68,106 +79,163 @@ def _least(n: Column, per_cent: int) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """d, t, l and line of each line."""
+    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+    return named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+
 
+def _set_id(s: Column) -> list[Column]:
+    return [F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2")]
 
-def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Lines with the id of their word set, and each set once: its first line, how many lines have it, its prefix, and k, a number that grows with the first line."""
-    sets = lines_of(docs).select("doc_id", "line_no", _ordered(F.col("line"), tiers).alias("s"))
+
+def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
+    """Lines with the id of their word set, and each set once: its first line, how many lines have it, its picture and prefix."""
+    sets = lines_of(docs).select(*ID, _ordered(F.col("line"), tiers).alias("s"))
     n = F.size("s")
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
-    # short lines are left out after the write: a filter on the words would make Spark hash each line twice
-    half = lambda k: F.expr(f"aggregate(s, 0L, (a, x) -> a | if((x & 64) = {64 * k}, shiftleft(1L, cast(x & 63 as int)), 0L))")
-    lines = scratch.table(sets.select("doc_id", "line_no", F.xxhash64("s").alias("set_id"), n.alias("n"), half(0).alias("bits"), half(1).alias("bits2"), prefix.alias("prefix"))).where(F.col("n") >= min_words)
-    once = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("prefix").alias("prefix"))
-    in_order = ("first.doc_id", "first.line_no")
-    return lines, scratch.table(once.repartitionByRange(*in_order).sortWithinPartitions(*in_order).withColumn("k", F.monotonically_increasing_id()))
+    picture = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
+    # lines without words are left out after the write: a filter on the words would make Spark hash each line twice
+    lines = scratch.table(sets.select(*ID, *_set_id(F.col("s")), n.alias("n"), picture.alias("bits"), prefix.alias("prefix"))).where("n > 0")
+    once = lines.groupBy("h1", "h2").agg(F.min(F.struct(*ID)).alias("first"), F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    return lines, scratch.table(once.select("h1", "h2", "first.*", "lines", "n", "bits", "prefix"))
 
 
-def candidates(once: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """(early, late, far) numbers of classes that share a prefix word and pass the length and positional filters; far: bits in which their pictures differ."""
-    n, least = F.col("n"), _least(F.col("n"), per_cent)
+def _words(once: DataFrame, per_cent: int) -> DataFrame:
+    """A row for each prefix word of a class; short: whether it is in the prefix that suffices for the shorter of two sets."""
     # a pair of n <= m words needs an overlap of t / (1 + t) * (n + m) >= 2t / (1 + t) * n
+    n = F.col("n")
     shorter = n - F.floor((n * 2 * per_cent + (100 + per_cent) - 1) / (100 + per_cent)).cast("int") + 1
-    words = once.select("k", "n", "bits", "bits2", F.posexplode("prefix").alias("place", "w"))
-    a = words.where(F.col("place") < shorter).select("w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("bits").alias("xa"), F.col("bits2").alias("ya"))
-    b = words.where(F.col("place") < n - least + 1).select("w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("bits").alias("xb"), F.col("bits2").alias("yb"))
-    need = (F.col("na") + F.col("nb")) * per_cent
-    can = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + per_cent)
-    meets = (F.col("na") * 100 >= F.col("nb") * per_cent) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (can >= need)
+    words = once.select(*ID, "lines", "n", "bits", F.posexplode("prefix").alias("place", "w"))
+    return words.withColumn("short", F.col("place") < shorter)
+
+
+def _side(words: DataFrame, mark: str) -> DataFrame:
+    return words.select("w", *[F.col(c).alias(mark + c) for c in (*ID, "n", "bits", "place", "open")])
+
+
+def _pairs(a: DataFrame, b: DataFrame, per_cent: int, by_size: bool = True) -> DataFrame:
+    """(early, late, far) of what meets in a word, passes the filters and has an open late side; far: bits in which their pictures differ.
+
+    by_size: a holds the shorter set of each pair.
+    """
+    c = F.col
+    first, second, total = F.struct(*["a" + x for x in ID]), F.struct(*["b" + x for x in ID]), c("an") + c("bn")
+    meets = F.least(c("an") - c("aplace"), c("bn") - c("bplace")) * (100 + per_cent) >= total * per_cent
+    meets = meets & (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * per_cent)
     # words that one set has alone number (1 - t) / (1 + t) * (n + m) at most, and each bit that differs needs one
-    far = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
-    meets = meets & (far * (100 + per_cent) <= (F.col("na") + F.col("nb")) * (100 - per_cent))
-    return a.join(b, "w").where(meets).select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"), far.alias("far"))
-
-
-def similar(docs: DataFrame, once: DataFrame, pairs: DataFrame, scratch: Scratch, per_cent: int) -> DataFrame:
-    """late of those of pairs (early, late) whose sets meet the threshold; the sets are read again from the first line of each."""
-    wanted = pairs.select(F.col("early").alias("k")).union(pairs.select("late")).distinct().join(once.select("k", "first"), "k")
-    wanted = scratch.table(wanted.select("k", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), NARROW)
-    small = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    sets = lines_of(docs).join(small, ["doc_id", "line_no"]).groupBy("k").agg(F.first("line").alias("line")).select("k", _hashes(F.col("line")).alias("s"))
-    sets = scratch.table(sets, 20_000)
-    both = pairs.join(sets.withColumnsRenamed({"k": "early", "s": "sa"}), "early").join(sets.withColumnsRenamed({"k": "late", "s": "sb"}), "late")
+    far = F.bit_count(c("abits").bitwiseXOR(c("bbits")))
+    meets = meets & (far * (100 + per_cent) <= total * (100 - per_cent))
+    if by_size:
+        meets = meets & ((c("an") < c("bn")) | ((c("an") == c("bn")) & (first < second)))
+    meets = meets & (((first < second) & c("bopen")) | ((second < first) & c("aopen")))
+    joined = _side(a, "a").join(_side(b, "b"), "w").where(meets)
+    plain = lambda x, mark: F.struct(*[x[mark + k].alias(k) for k in ID])
+    a_is, b_is = plain(joined, "a"), plain(joined, "b")
+    return joined.select(F.least(a_is, b_is).alias("early"), F.greatest(a_is, b_is).alias("late"), far.alias("far"))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """id and s, the word set, of the lines in wanted (d, t, l); read again from the texts."""
+    named = scratch.table(wanted, NARROW)
+    found = lines_of(docs).join(few(named), list(ID)).dropDuplicates(list(ID))
+    sets = scratch.table(found.select(F.struct(*ID).alias("id"), _hashes(F.col("line")).alias("s")), 20_000)
+    scratch.drop(named)
+    return sets
+
+
+def similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, per_cent: int) -> DataFrame:
+    """d, t, l of the late side of those of pairs (early, late) whose sets meet the threshold."""
+    both = pairs.join(sets.withColumnsRenamed({"id": "early", "s": "sa"}), "early").join(sets.withColumnsRenamed({"id": "late", "s": "sb"}), "late")
     shared = F.size(F.array_intersect("sa", "sb"))
-    found = both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("late").distinct()
-    found = scratch.table(found, NARROW)
-    scratch.drop(sets)
+    found = both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * per_cent).select("late.*").distinct()
+    return scratch.table(found, NARROW)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("early.*").union(pairs.select("late.*")).distinct()
+
+
+def by_hubs(docs: DataFrame, members: DataFrame, scratch: Scratch, per_cent: int) -> DataFrame:
+    """d, t, l of those members (words of classes) that a hub of one of their words shows to be late."""
+    rest = F.struct(*ID, "lines", "n", "bits", "place", "open")
+    hubs = members.groupBy("w").agg(F.max(F.struct(F.col("lines").alias("most"), rest.alias("x"))).alias("large"), F.min(rest).alias("early"))
+    hubs = scratch.table(hubs.select("w", F.explode(F.array("large.x", "early")).alias("x")).select("w", "x.*").distinct(), NARROW)
+    pairs = scratch.table(_pairs(members, hubs, per_cent, by_size=False).select("early", "late").distinct(), NARROW)
+    found = similar(pairs, sets_of(docs, _ends(pairs), scratch), scratch, per_cent)
+    scratch.drop(pairs), scratch.drop(hubs)
     return found
 
 
 def late_classes(docs: DataFrame, once: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
-    """k of each class that is similar to one with an earlier first line.
-
-    One such class is enough, so each class is first compared with the candidate whose picture is nearest, which the join
-    keeps by a minimum combined before the shuffle. Only classes that this leaves open are compared with all theirs, so a
-    group of many variants needs about one comparison a member.
-    """
-    nearest = candidates(once, per_cent).groupBy("late").agg(F.min(F.struct("far", "early")).alias("x")).select(F.col("x.early").alias("early"), "late")
-    nearest = scratch.table(nearest, NARROW)
-    found = similar(docs, once, nearest, scratch, per_cent)
-    left = scratch.table(nearest.select("late").join(found, "late", "left_anti"), NARROW)
-    if left.isEmpty():
-        return found.withColumnRenamed("late", "k")
-    few = F.broadcast(left) if left.count() <= FEW else left
-    rest = candidates(once, per_cent).select("early", "late").distinct().join(few, "late", "left_semi").join(nearest, ["early", "late"], "left_anti")
-    more = similar(docs, once, scratch.table(rest, NARROW), scratch, per_cent)
-    return found.union(more).withColumnRenamed("late", "k")
-
-
-def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, gone: the sorted numbers (from 0) of its lines that repeat an earlier line: of each class all but the first, and the first too if its class is late."""
+    """d, t, l of each class that is similar to one with an earlier first line."""
+    words = _words(once, per_cent).withColumn("open", F.lit(True))
+    hot = scratch.table(words.where("short").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("w"), NARROW)
+    asked, by_hub = [], None
+    if not hot.isEmpty():
+        hot_few = few(hot)
+        members = scratch.table(words.join(hot_few, "w"), NARROW)
+        by_hub = by_hubs(docs, members, scratch, per_cent)
+        flagged = members.drop("open").join(few(by_hub).withColumn("closed", F.lit(True)), list(ID), "left").withColumn("open", F.col("closed").isNull())
+        flagged = scratch.table(flagged, NARROW)
+        scratch.drop(members)
+        # what hubs resolved is not asked about: of the hot words only pairs with an open side are looked at
+        asked.append(_pairs(flagged.where("short and open"), flagged, per_cent))
+        asked.append(_pairs(flagged.where("short and not open"), flagged.where("open"), per_cent))
+        words = words.join(hot_few, "w", "left_anti")
+    pairs = _pairs(words.where("short"), words, per_cent)
+    for more in asked:
+        pairs = pairs.union(more)
+    pairs = pairs.groupBy("early", "late").agg(F.min("far").alias("far"))
+    pairs = scratch.table(pairs if by_hub is None else pairs.join(by_hub.select(F.struct(*ID).alias("late")), "late", "left_anti"), NARROW)
+    sets = sets_of(docs, _ends(pairs), scratch)
+    nearest = pairs.groupBy("late").agg(F.min(F.struct("far", "early")).alias("x")).select("x.early", "late")
+    found = similar(nearest, sets, scratch, per_cent)
+    rest = pairs.select("early", "late").join(found.select(F.struct(*ID).alias("late")), "late", "left_anti").join(nearest, ["early", "late"], "left_anti")
+    late = found.union(similar(rest, sets, scratch, per_cent))
+    return late if by_hub is None else late.union(by_hub)
+
+
+def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+    """d, t, gone: for each document the sorted numbers (from 0) of its lines that repeat an earlier line: of each class all but the first, and the first too if its class is late."""
     tiers = order_column(slot_tiers(docs))
-    lines, once = classes(docs, tiers, scratch, per_cent, min_words)
-    late = late_classes(docs, once, scratch, per_cent).withColumn("late", F.lit(True))
-    judged = once.select("k", "set_id", "first", "lines").join(late, "k", "left").where("lines > 1 or late").select("set_id", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.select("doc_id", "line_no", "set_id").join(judged, "set_id").where("late or doc_id <> first.doc_id or line_no <> first.line_no")
-    out = scratch.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), NARROW)
+    lines, once = classes(docs, tiers, scratch, per_cent)
+    late = scratch.table(late_classes(docs, once, scratch, per_cent).withColumn("late", F.lit(True)), NARROW)
+    judged = once.join(late, list(ID), "left").where("lines > 1 or late").select("h1", "h2", F.struct(*ID).alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+    gone = lines.select("h1", "h2", *ID).join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct(*ID) != F.col("first")))
+    out = scratch.table(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("l")).alias("gone")), NARROW)
     scratch.keep(out)
     return out
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """docs without the removed lines; other columns as they are."""
-    gone = removed_lines(docs, scratch, per_cent, min_words).withColumnsRenamed({"doc_id": "_id", "gone": "_gone"})
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).drop("_id", "_gone")
+    gone = removed_lines(docs, scratch, per_cent)
+    own = docs.select(F.struct("*").alias("doc"))
+    joined = own.join(gone, (F.col("doc.doc_id") == gone["d"]) & (F.xxhash64("doc.text") == gone["t"]), "left")
+    left = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(left)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of removed lines, comma-separated) of each document."""
     docs = read(spark, sf_dir, "documents")
     gone = removed_lines(docs, Scratch(spark))
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    joined = lines.join(gone.withColumnRenamed("d", "doc_id"), ["doc_id", "t"], "left")
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line_no, list_distinct(regexp_extract_all(x[i], '[^\x20\x09-\x0D]+')) AS s
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-c AS (SELECT doc_id, line_no, list_sort(s) AS s FROM l WHERE len(s) >= 5),
+c AS (SELECT doc_id, line_no, list_sort(s) AS s FROM l WHERE len(s) > 0),
 k AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS first, row_number() OVER (ORDER BY s) AS id FROM c GROUP BY s),
 f AS (SELECT w, count(*) AS f FROM (SELECT unnest(s) AS w FROM k) GROUP BY w),
 t AS (SELECT id, n, k.w, row_number() OVER (PARTITION BY id ORDER BY f, k.w) AS p FROM (SELECT id, n, unnest(s) AS w FROM k) k JOIN f ON f.w = k.w),
