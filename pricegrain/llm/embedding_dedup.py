@@ -112,7 +112,7 @@ def shorten(edges: DataFrame, lengths: DataFrame | None, k: int) -> DataFrame:
     once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     if lengths is None:
         return once.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= k)
-    once = once.join(lengths, "u", "left").withColumn("most", F.coalesce("most", F.lit(k)))
+    once = once.join(lengths.select("u", "most"), "u", "left").withColumn("most", F.coalesce("most", F.lit(k)))
     return once.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))).where("r <= most").drop("most")
 
 
@@ -156,17 +156,20 @@ def neighbour_graph(reps: DataFrame, n: int, scratch: Scratch, k: int = K, round
         graph = scratch.table(shorten(first_graph(reps, n, k).withColumn("new", F.lit(1)), None, k).drop("r"), NARROW)
     else:
         both = start.select("u", "v", "sim").union(first_graph(reps, n, k, first=first)).withColumn("new", F.lit(1))
-        graph = scratch.table(shorten(both, None, k).drop("r"), NARROW)
+        own = start.groupBy("u").agg(F.count(F.lit(1)).cast("int").alias("most")).where(F.col("most") > k)
+        graph = scratch.table(shorten(both, own, k).drop("r"), NARROW)
     lengths = None
     for _ in range(rounds):
         better = descend(graph, reps, k).withColumn("new", F.lit(1))
-        saturated = graph.groupBy("u").agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("n")).where((F.col("last") >= at_least) & (F.col("n") >= k))
-        lengths = scratch.table(saturated.select("u", (F.col("n") * 2).cast("int").alias("most")), NARROW)
+        # a list never gets shorter; a full one that ends in a link may hold twice as many
+        held = graph.groupBy("u").agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("n"))
+        full = (F.col("last") >= at_least) & (F.col("n") >= k)
+        lengths = scratch.table(held.where(full | (F.col("n") > k)).select("u", F.when(full, F.col("n") * 2).otherwise(F.col("n")).cast("int").alias("most"), full.alias("full")), NARROW)
         after = scratch.table(shorten(graph.withColumn("new", F.lit(0)).union(better), lengths, k).drop("r"), NARROW)
         changed = after.where("new = 1").count()
         scratch.drop(graph)
         graph = after
-        if changed < STOP * n * k and lengths.isEmpty():
+        if changed < STOP * n * k and lengths.where("full").isEmpty():
             break
     return graph
 
