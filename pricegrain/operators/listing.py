@@ -78,14 +78,14 @@ def ranked_search(index: DataFrame, query: str, k: int = 8) -> DataFrame:
     tokens = T.search_tokens(query)
     if not tokens:
         return index.withColumn("score", F.lit(0)).withColumn("place", F.lit(0)).where(F.lit(False))
-    i = index.withColumn("_s", T.search_text(F.col("search"))).withColumn("_c", T.compact(F.col("search"))).withColumn("_b", T.search_text(F.col("brand"))).withColumn("_n", T.search_text(F.col("name")))
-    places = [F.when(F.instr("_s", t) > 0, F.instr("_s", t)).otherwise(F.instr("_c", t)) - 1 for t in tokens]
-    hit = i.where(reduce(lambda a, b: a & b, [p >= 0 for p in places]))
-    brand = F.when((F.col("_b") != "") & F.col("_b").isin(tokens), 1000).otherwise(0)
-    start = F.when(F.startswith("_n", F.lit(" ".join(tokens))), 500).when(F.startswith("_n", F.lit(tokens[0])), 300).otherwise(0)
-    scored = hit.withColumn("score", brand + start - reduce(lambda a, b: a + b, places))
+    hit = index.where(T.matches_query(query, F.col("search")))
+    brand = T.let(T.search_text(F.col("brand")), lambda b: F.when((b != "") & b.isin(tokens), 1000).otherwise(0))
+    start = T.let(T.search_text(F.col("name")), lambda n: F.when(F.startswith(n, F.lit(" ".join(tokens))), 500).when(F.startswith(n, F.lit(tokens[0])), 300).otherwise(0))
+    place = lambda s, c: reduce(lambda a, b: a + b, [F.when(F.instr(s, t) > 0, F.instr(s, t)).otherwise(F.instr(c, t)) - 1 for t in tokens])
+    places = T.let(T.search_text(F.col("search")), lambda s: T.let(T.compact(F.col("search")), lambda c: place(s, c)))
+    scored = hit.withColumn("score", brand + start - places)
     top = scored.orderBy(F.desc("score"), F.length("name"), "ord").limit(k)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.length("name"), "ord"))).drop("_s", "_c", "_b", "_n")
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.length("name"), "ord")))
 
 
 def majority_category(results: DataFrame) -> DataFrame:

@@ -107,7 +107,10 @@ def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newe
     """Feed rows of equal capacity and invariants whose tokens hold a product's whole line signature, ranked.
 
     The brand's first word must occur in the feed's brand, or without one in its name; a product without a brand skips that.
+    A product meets only feed rows that hold the word of its signature which is rarest among those of its capacity and
+    invariants, not all of these.
     """
+    key = ["category", "_cap", "_inv"]
     name = F.col("name")
     facts = lambda d: d.withColumn("_cap", T.total_capacity_gb(name)).withColumn("_inv", F.array_join(T.invariants(F.col("category"), name), "|"))
     ours = facts(products).withColumn("_sig", T.line_signature(name, F.col("brand"))).where(F.size("_sig") > 0)
@@ -118,8 +121,12 @@ def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newe
     theirs = facts(feed)
     theirs = theirs.withColumn("_tok", F.transform(T.title_tokens(name), F.lower)).withColumnRenamed("brand", "feed_brand").withColumnRenamed("name", "feed_name")
     where = F.lower(T.first_filled(F.col("feed_brand"), F.col("feed_name")))
-    pairs = ours.join(theirs, ["category", "_cap", "_inv"]).where(F.forall("_sig", lambda t: F.array_contains("_tok", t)) & ((F.col("_first") == "") | F.contains(where, F.col("_first"))))
-    return best_candidate(pairs.drop("category", "_cap", "_inv", "_sig", "_tok", "_first"), seller_word)
+    by_word = theirs.withColumn("_t", F.explode(F.array_distinct("_tok")))
+    held = by_word.groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    rare = ours.select("product_id", *key, F.explode("_sig").alias("_t")).distinct().join(held, [*key, "_t"], "left")
+    rare = rare.groupBy("product_id", *key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_t")).alias("_x")).where("_x.n > 0").select("product_id", *key, F.col("_x._t").alias("_t"))
+    pairs = ours.join(rare, ["product_id", *key]).join(by_word, [*key, "_t"]).where(F.forall("_sig", lambda t: F.array_contains("_tok", t)) & ((F.col("_first") == "") | F.contains(where, F.col("_first"))))
+    return best_candidate(pairs.drop(*key, "_t", "_sig", "_tok", "_first"), seller_word)
 
 
 def matched_offers(products: DataFrame, feed: DataFrame, accepted: DataFrame | None = None, seller_word: str = "newegg") -> DataFrame:
