@@ -3,14 +3,17 @@
 Texts are compared after lower-casing and joining their words by one space. A test item of n characters may have up to
 k = max(1, floor(n * 5 / 100)) edits. It is cut into k + 1 pieces; k edits leave at least one piece whole, so each passage within
 k edits holds an exact hit of a piece. All pieces of a block of items are searched at once (Aho-Corasick); around each
-hit the item's distance to the best substring is computed with Myers' bit-parallel algorithm on integers of n bits.
+hit the item's distance to the best substring is computed with Myers' bit-parallel algorithm on integers of n bits. An item of
+fewer than SHORT characters may have no edits and must be whole words of the document: a few letters, or a letter more or
+less, occur everywhere.
 
 Items are broadcast in blocks of at most BLOCK_CHARS characters, so what a task holds is bounded however many items there
-are; each block is searched in all documents.
+are; each block is searched in all documents, its matches are written, and its broadcast is released.
 
-Defined cases: null or empty documents hold no item; items without words, or of fewer than MIN_CHARS characters, are not
-searched, since a few letters occur everywhere; rows that repeat are rows of their own; equal items give a match each; an
-empty table of items gives documents without matches; columns besides doc_id, text, item_id and text are not read.
+Defined cases: null or empty documents hold no item; items without words are not searched; rows that repeat are rows of their
+own, and rows are judged by their own text alone, so ids may be null or repeat; equal items give a match each; an empty
+table of items gives documents without matches; columns besides doc_id, text, item_id and text are not read, and kept
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import NARROW, Scratch, read
 
 PER_CENT = 5
-MIN_CHARS = 40
+SHORT = 40
 BLOCK_CHARS = 4_000_000
 
 
@@ -33,7 +37,12 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, per_cent: int = PER_CENT) -> int:
-    return max(1, len(item) * per_cent // 100)
+    return max(1, len(item) * per_cent // 100) if len(item) >= SHORT else 0
+
+
+def whole_words(item: str, text: str) -> bool:
+    """Whether item is in text between spaces or ends."""
+    return f" {item} " in f" {text} "
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -70,7 +79,7 @@ def blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[in
     block, size = [], 0
     for row in items.select("item_id", "text").toLocalIterator():
         text = normal(row["text"])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if block and size + len(text) > limit:
             yield block
@@ -81,16 +90,13 @@ def blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[in
         yield block
 
 
-def find(docs: DataFrame, block: list[tuple[int, str]], per_cent: int = PER_CENT) -> DataFrame:
-    """(doc_id, item_id, distance) of each item of the block within its budget of edits in a document."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def find(docs: DataFrame, block, per_cent: int = PER_CENT) -> DataFrame:
+    """(doc_id, h1, h2, item_id, distance) of each item of the block (a broadcast) within its budget of edits in a document; h1, h2: hashes of the document's text."""
 
     def run(batches):
         import ahocorasick
 
-        from .decontamination import best_distance, budget, normal, pieces
-
-        found = shared.value
+        found = block.value
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for i, (_, item) in enumerate(found):
             for place, piece in pieces(item, budget(item, per_cent)):
@@ -101,7 +107,6 @@ def find(docs: DataFrame, block: list[tuple[int, str]], per_cent: int = PER_CENT
         machine.make_automaton()
         for batch in batches:
             out: list[tuple] = []
-            ids = batch.column("doc_id")
             for k, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
@@ -121,6 +126,10 @@ def find(docs: DataFrame, block: list[tuple[int, str]], per_cent: int = PER_CENT
                             spans.append([a, b])
                 for i, spans in regions.items():
                     item = found[i][1]
+                    if len(item) < SHORT:
+                        if whole_words(item, text):
+                            out.append((k, found[i][0], 0))
+                        continue
                     distance = len(item)
                     for a, b in spans:
                         part = text[a:b]
@@ -129,26 +138,36 @@ def find(docs: DataFrame, block: list[tuple[int, str]], per_cent: int = PER_CENT
                             break
                     if distance <= budget(item, per_cent):
                         out.append((k, found[i][0], distance))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "item_id", "distance"])
+            own = batch.select(["doc_id", "h1", "h2"]).take(pa.array([x[0] for x in out], pa.int64()))
+            more = [pa.array([x[n] for x in out], pa.int64()) for n in (1, 2)]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("h1"), own.column("h2"), *more], ["doc_id", "h1", "h2", "item_id", "distance"])
+
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    return named.mapInArrow(run, FOUND)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance long")
+FOUND = "doc_id long, h1 long, h2 long, item_id long, distance long"
 
 
-def matches(docs: DataFrame, items: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """(doc_id, item_id, distance) over all items: a scan of docs for each block of items."""
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long")
+def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+    """(doc_id, h1, h2, item_id, distance) over all items: a scan of docs for each block of items."""
+    out = docs.sparkSession.createDataFrame([], FOUND)
     for k, block in enumerate(blocks(items)):
-        found = find(docs, block, per_cent)
-        out = found if k == 0 else out.unionByName(found)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found = scratch.table(find(docs, shared, per_cent), NARROW)
+        shared.destroy()
+        out = found if k == 0 else out.union(found)
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
-    """The documents that hold no test item. Rows without a doc_id stay unless their own text holds one (they are then dropped together)."""
-    hit = scratch.table(matches(docs, items, per_cent).select("doc_id").distinct(), NARROW)
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents whose text holds no test item, with all their columns."""
+    hit = matches(docs, items, scratch, per_cent).select("h1", "h2").distinct()
+    own = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    return own.join(hit, ["h1", "h2"], "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, distance): each test item found in a document, with its edit distance to the passage."""
-    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).distinct()
+    found = matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Scratch(spark))
+    return found.select("doc_id", "item_id", "distance").distinct()
