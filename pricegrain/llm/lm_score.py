@@ -11,9 +11,9 @@ What is gathered from the corpus is the table of word counts, which grows with t
 counted within each task before the shuffle. The HEAD most frequent words are broadcast (a fixed number); of each
 document only the other words are joined, so no frequent word is a hot key.
 
-Defined cases: A-Z is lower-cased; words are `[^\\x20\\x09-\\x0D]+`; a null or empty text is an end alone; rows that repeat
-a doc_id count in training each, and get the result of one document whose words are those of all the rows divided by
-their number; with no training text all counts are 0 and the first weights stay; an empty table gives an empty result.
+Defined cases: A-Z is lower-cased; words are `[^\\x20\\x09-\\x0D]+`; a null or empty text is an end alone; each row is scored
+by itself and counts in training by itself, so ids may repeat; a row without an id is one to learn from; with no training text
+all counts are 0 and the first weights stay; an empty table gives an empty result; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -293,27 +293,28 @@ def score(docs: DataFrame, scratch: Scratch, mod: int = 7, held: int = 2, path:
         end_b, end_m = float(np.log10(ends + 1.0)) - below, log_end / _LN10
         none = len(words)
         for batch in batches:
-            ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [], [], [])
-            for doc, text in zip(ids, batch.column("text").cast(pa.binary()), strict=True):
+            ids, out = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True), ([], [], [], [], [], [], [], [])
+            for (row, doc), text in zip(ids, batch.column("text").cast(pa.binary()), strict=True):
                 tokens = _tokens(text.as_py())
                 at = np.fromiter((place(w, none) for w in tokens), dtype=np.int64, count=len(tokens))
                 rest = Counter([tokens[i] for i in np.flatnonzero(at == none).tolist()])
                 k = len(rest)
-                for column, value, fill in zip(out, (doc, None, 1, len(tokens) + 1, int(known[at].sum()) + (ends > 0), log_b[at].sum() + end_b, log_m[at].sum() + end_m), ([doc] * k, list(rest), list(rest.values()), [0] * k, [0] * k, [0.0] * k, [0.0] * k), strict=True):
+                for column, value, fill in zip(out, (row, doc, None, 1, len(tokens) + 1, int(known[at].sum()) + (ends > 0), log_b[at].sum() + end_b, log_m[at].sum() + end_m), ([row] * k, [None] * k, list(rest), list(rest.values()), [0] * k, [0] * k, [0.0] * k, [0.0] * k), strict=True):
                     column.append(value)
                     column.extend(fill)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "word", "k", "n_tokens", "n_known", "base_score", "score"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["row", "doc_id", "word", "k", "n_tokens", "n_known", "base_score", "score"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(split, "doc_id long, word binary, k long, n_tokens long, n_known long, base_score double, score double")
+    # a row's number is written once, with all its parts
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = numbered.mapInArrow(split, "row long, doc_id long, word binary, k long, n_tokens long, n_known long, base_score double, score double")
     parts = scratch.table(parts)
-    heads = parts.where("word is null").select("doc_id", F.lit(1).alias("rows"), "n_tokens", "n_known", "base_score", "score")
+    heads = parts.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
     k = F.col("k")
-    tails = parts.where("word is not null").select("doc_id", "word", "k").join(weighed, "word")
-    tails = tails.select("doc_id", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("n") > 0, k).otherwise(0).alias("n_known"), (k * (F.log10(F.col("n") + 1.0) - F.lit(below))).alias("base_score"), (k * F.col("log_m")).alias("score"))
-    whole = heads.union(tails).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])
-    rows = F.col("rows")
-    return whole.select("doc_id", *[(F.col(c) / rows).cast("long").alias(c) for c in ("n_tokens", "n_known")], F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("base_score") / rows).alias("base_score"), (F.col("score") / rows).alias("score"))
+    tails = parts.where("word is not null").select("row", "word", "k").join(weighed, "word")
+    tails = tails.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("n") > 0, k).otherwise(0).alias("n_known"), (k * (F.log10(F.col("n") + 1.0) - F.lit(below))).alias("base_score"), (k * F.col("log_m")).alias("score"))
+    whole = heads.union(tails).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:
