@@ -101,6 +101,14 @@ def word_count(text):
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE))).cast("long")
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Where an id has several rows: doc_id, text and number of each text of each id once; numbers keep the order of ids, then of texts. Else None."""
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    if not known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return None
+    return scratch.table(known.distinct().repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
+
+
 # ---------------------------------------------------------------------------------------------- words in numpy
 
 _rng = np.random.default_rng(20240229)
@@ -207,8 +215,8 @@ def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
     """(id, component) of every id in links (a, b): component is the smallest id that links reach.
 
     Each round takes for each id the smallest label among its neighbours and itself, then the label of that label, so
-    paths halve. Sums and minima are combined before the shuffle; no group is collected. Links of one component that
-    have the same label on both ends are left out of the next round, which makes rounds ever smaller.
+    paths halve. Minima are combined before the shuffle; no group is collected. A round that changes nothing is the last; more
+    than most rounds, which no graph of fewer than 2^most ids should need, are an error, not a wrong result.
     """
     both = links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
     edges = scratch.table(both, NARROW)

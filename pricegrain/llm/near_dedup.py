@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, Scratch, Words, components, inside, mix, read, text_runs, windows
+from .common import NARROW, Scratch, Words, components, inside, mix, numbered, read, text_runs, windows
 
 SHINGLE = 5
 PERMUTATIONS, BAND = 64, 4
@@ -178,7 +178,7 @@ def remaining_links(scratch: Scratch, pairs: DataFrame, placed: DataFrame, texts
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, held: tuple[DataFrame, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
     signed = scratch.table(sign(docs), 50_000)
     classes = signed.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -204,15 +204,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT)
     changed = of_class.where("n > 1 or component_id <> rep").select("set_hi", "set_lo", "component_id")
     out = signed.join(changed, ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = scratch.table(out, NARROW)
-    scratch.keep(out)
+    scratch.keep(out, *held)
     return out
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id. Rows without a doc_id stay."""
-    found = near_duplicates(docs.where("doc_id is not null"), scratch, per_cent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The documents that stay: of each component the one with the smallest id.
+
+    Rows without a doc_id stay. Rows that repeat a doc_id and its text are one document and stay or go together; other texts of
+    a doc_id are documents of their own, in byte order.
+    """
+    listed = numbered(docs, scratch)
+    if listed is None:
+        found = near_duplicates(docs.where("doc_id is not null"), scratch, per_cent)
+        gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti")
+    found = near_duplicates(listed.select(F.col("number").alias("doc_id"), "text"), scratch, per_cent, (listed,))
+    gone = listed.join(found.where("component_id <> doc_id").select(F.col("doc_id").alias("number")), "number")
+    gone = gone.select(F.struct("doc_id", "text").alias("key")).distinct()
+    own = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", "text").alias("key"))
+    return own.join(gone, "key", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ Exact copies of a text are found first: all words of a later copy of at least n
 copy's windows are compared.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+`, unchanged; null and empty texts have none; texts shorter than a window
-lose nothing, copies or not; rows that repeat a doc_id count as one document, of different texts the smallest (in byte
-order); rows with a null doc_id are rows of their own and lose nothing; an empty table gives an empty result;
+lose nothing, copies or not; rows that repeat a doc_id and its text are one document, other texts of a doc_id are documents
+of their own, in byte order; rows with a null doc_id are rows of their own, lose nothing and make no other lose words; an empty table gives an empty result;
 columns besides doc_id and text are not read.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW, Scratch, Words, inside, read, text_runs, windows
+from .common import NARROW, Scratch, Words, inside, numbered, read, text_runs, windows
 
 WINDOW = 20
 
@@ -132,15 +132,19 @@ def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(named.join(classes, "m").where("doc_id <> first").select("doc_id", "first").distinct(), NARROW)
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, n: int = WINDOW, held: tuple[DataFrame, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by one space) of each document."""
     docs = docs.select("doc_id", "text")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text")).where("doc_id is not null").union(docs.where("doc_id is null"))
+    listed = numbered(docs, scratch)
+    if listed is not None:  # texts of one id are documents of their own
+        out = remove_repeats(listed.select(F.col("number").alias("doc_id"), "text"), scratch, n, (listed,)).withColumnRenamed("doc_id", "number")
+        out = out.join(listed.select("doc_id", "number"), "number").select("doc_id", "n_words", "n_removed", "kept")
+        alone = docs.where("doc_id is null")
+        return out if alone.isEmpty() else (out := scratch.table(out)).union(remove_repeats(alone, scratch, n, (out,)))
     later = copies(docs, scratch)
-    first = docs.join(later, "doc_id", "left_anti")
+    first = docs.where("doc_id is not null").join(later, "doc_id", "left_anti")
     marks = repeated(first, scratch, n)
-    scratch.keep(later, marks)
+    scratch.keep(later, marks, *held)
     marks = marks.select("doc_id", "starts", F.lit(False).alias("copy")).union(later.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
 
     def run(batches):
