@@ -1,9 +1,12 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation at turns: a turn belongs to the span in which its prefix sum begins, each
-span STRIDE tokens wide. A window is the conversation's system turn (its first turn, if a system turn), the last HISTORY
-turns before the span, repeated, and the span's own turns. Loss falls on the texts of assistant turns of the span alone;
-repeated turns carry none, so each target counts once. A window has at most STRIDE tokens of own turns before the last.
+A window holds at most BUDGET tokens, all told: the conversation's system turn (its first turn, if a system turn), the last
+HISTORY turns before the span, repeated as far as they have HISTORY_TOKENS together, and the span's own turns, each with its
+template. What the system turn and the history leave is the conversation's room. Prefix sums of turn tokens choose the
+spans: a turn belongs to the cell of half the room in which its sum begins, so the turns of a cell, none longer than a cell,
+fill the room at most; a longer turn is a span of its own. Only a system turn or a single turn that is too long itself can make a
+window larger. Loss falls on the texts of assistant turns of the span alone; repeated turns carry none, so each target counts
+once.
 
 Template: `<turn ROLE>` TEXT `</turn>` newline, `<again ROLE>` for repeated turns. In roles and texts `\\`, `<`, `>` and newlines in
 roles are written with a backslash before (`\\n` for the newline), so no text can hold a control string, and reading back
@@ -13,7 +16,7 @@ No conversation is gathered in one task to format it: ranges of RANGE turn numbe
 window over these sums, and rows of a range are sorted together. Only the digests of op8 hold a conversation in one row.
 
 Defined cases: null texts and roles are empty; turns follow turn (nulls first), role and text; a null conv_id is a
-conversation of its own; repeated rows are turns of their own; a single turn longer than the budget stays whole; an empty
+conversation of its own; repeated rows are turns of their own; a single turn longer than the room stays whole; an empty
 table gives an empty result; columns besides conv_id, turn, role and text are not read.
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import Scratch, read
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-STRIDE, HISTORY, RANGE = 768, 2, 512
+BUDGET, HISTORY, HISTORY_TOKENS, RANGE = 1024, 2, 192, 512
 _TURN = re.compile(r"<(turn|again) ((?:[^\\>]|\\.)*)>((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
 
@@ -64,37 +67,46 @@ def read_window(text: str) -> list[tuple[bool, str, str]]:
 
 
 def count_tokens(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """turns with tokens, the number of tokens of each text."""
+    """turns with tokens, the number of tokens of each formatted turn."""
 
     def run(batches):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
         for batch in batches:
-            n = [len(x) for x in sp.encode(batch.column("text").to_pylist(), num_threads=1)] if batch.num_rows else []
+            whole = [format_window([(False, r, t)])[0] for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            n = [len(x) for x in sp.encode(whole, num_threads=1)] if whole else []
             yield batch.append_column("tokens", pa.array(n, pa.int64()))
 
     return turns.mapInArrow(run, StructType([*turns.schema.fields, StructField("tokens", LongType())]))
 
 
-def windows(turns: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """ckey, conv_id, window, text, loss (array of start, end): every window of every conversation."""
     named = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("ckey"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     rows = scratch.table(count_tokens(named, tokenizer), 20_000).withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**40))))
-    sums = rows.groupBy("ckey", "range").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("ckey").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("ckey", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    sums = rows.groupBy("ckey", "range").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "role", "text", "tokens")).alias("first"))
+    by_range = W.partitionBy("ckey").orderBy("range")
+    before = by_range.rowsBetween(W.unboundedPreceding, -1)
+    first = F.first("first").over(by_range.rowsBetween(W.unboundedPreceding, 0))
+    sums = sums.select("ckey", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.when(first["role"] == "system", first["tokens"]).otherwise(0).alias("system"))
     inner = W.partitionBy("ckey", "range").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     placed = rows.withColumn("k", F.row_number().over(inner)).withColumn("upto", F.sum("tokens").over(inner.rowsBetween(W.unboundedPreceding, 0)))
-    placed = placed.join(sums, ["ckey", "range"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("window", F.floor((F.col("t0") + F.col("upto") - F.col("tokens")) / stride))
-    placed = scratch.table(placed.select("ckey", "conv_id", "k", "window", "role", "text"), 20_000)
+    # the system turn takes no room: sums begin after it
+    cell = F.floor(F.greatest(F.lit(budget - history_tokens) - F.col("system"), F.lit(budget // 4)) / 2)
+    begin = F.greatest(F.col("t0") + F.col("upto") - F.col("tokens") - F.col("system"), F.lit(0))
+    alone = (F.col("tokens") > cell) & ~((F.col("k") == 1) & (F.col("system") > 0))
+    placed = placed.join(sums, ["ckey", "range"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("window", F.floor(begin / cell) * 2 + alone.cast("int"))
+    placed = scratch.table(placed.select("ckey", "conv_id", "k", "window", "role", "text", "tokens"), 20_000)
     starts = placed.groupBy("ckey", "window").agg(F.min("k").alias("start")).where("start > 1")
     # history, and the first turn, which goes to every window if it is a system turn
     again = starts.select("ckey", "window", F.explode(F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), F.sequence(F.greatest(F.col("start") - history, F.lit(1)), F.col("start") - 1)))).alias("k"), F.greatest(F.col("start") - history, F.lit(1)).alias("low"))
-    repeated = again.join(placed.drop("window"), ["ckey", "k"]).where("role = 'system' or k >= low").select("ckey", "conv_id", "window", "k", F.lit(True).alias("again"), "role", "text")
+    again = again.join(placed.drop("window"), ["ckey", "k"]).withColumn("system", (F.col("k") == 1) & (F.col("role") == "system")).where("system or k >= low")
+    back = F.sum("tokens").over(W.partitionBy("ckey", "window", "system").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))
+    repeated = again.withColumn("back", back).where(F.col("system") | (F.col("back") <= history_tokens)).select("ckey", "conv_id", "window", "k", F.lit(True).alias("again"), "role", "text")
     every = placed.select("ckey", "conv_id", "window", "k", F.lit(False).alias("again"), "role", "text").union(repeated)
     grouped = every.groupBy("ckey", "window").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("k", "again", "role", "text"))).alias("turns"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import sentencepiece
 from pyspark.sql import functions as F
 
 from pricegrain.llm import chat
@@ -25,7 +26,9 @@ def test_round_trip_and_budget(spark, monkeypatch):
     rows = talks()
     df = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], SCHEMA)
     monkeypatch.setattr(chat, "RANGE", 4)
-    formatted = chat.windows(df, Scratch(spark), stride=60, history=2)
+    formatted = chat.windows(df, Scratch(spark), budget=240, history=2, history_tokens=60)
+    sp = sentencepiece.SentencePieceProcessor(model_file=chat.TOKENIZER)
+    size = lambda x: len(sp.encode(chat.format_window([(False, *x)])[0]))
     out: dict = {}
     for r in formatted.collect():
         out.setdefault(r["conv_id"], []).append((r["window"], r["text"], r["loss"]))
@@ -41,8 +44,22 @@ def test_round_trip_and_budget(spark, monkeypatch):
             if k and mine[0][0] == "system":
                 assert again[0] == mine[0]
             start = len(own)
-            assert [x for x in again if x[0] != "system"] == [x for x in mine[max(0, start - 2) : start] if x[0] != "system"]
-            own += [(r, t) for a, r, t in turns if not a]
+            here = [(r, t) for a, r, t in turns if not a]
+            # the last turns that fit, two at most
+            last, left = [], 60
+            for x in reversed(mine[max(0, start - 2) : start]):
+                if mine.index(x) == 0 and x[0] == "system":
+                    continue
+                left -= size(x)
+                if left < 0:
+                    break
+                last.insert(0, x)
+            assert [x for x in again if x[0] != "system"] == last
+            # the whole window keeps to the budget, unless a turn is too long for the room by itself
+            system = size(mine[0]) if mine[0][0] == "system" else 0
+            if len(here) > 1 or size(here[0]) <= 240 - system - 60:
+                assert sum(size(x) for x in [*again, *here]) <= 240
+            own += here
             loss += [chat.unescape(text[s["start"] : s["end"]]) for s in spans]
             assert all(t in text for t in ("<turn ", "</turn>"))
         assert own == mine and loss == [t for r, t in mine if r == "assistant"]
