@@ -121,6 +121,15 @@ def test_large_group_of_variants(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_keep_one_judges_texts_of_one_id_apart(spark):
+    """Of rows with one id only the text that copies an earlier one goes; repeated rows and rows without an id stay."""
+    a, b, c = (prose(40) for _ in range(3))
+    rows = [(1, a, 1), (5, a + " end", 2), (5, b, 3), (5, b, 4), (6, c, 5), (None, a, 6), (None, None, 7), (7, b + " end", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, number int")
+    out = near_dedup.keep_one(d, Scratch(spark))
+    assert out.columns == d.columns and sorted(r["number"] for r in out.collect()) == [1, 3, 4, 5, 6, 7]
+
+
 def test_keep_one(spark, docs):
     kept = {r["doc_id"] for r in near_dedup.keep_one(docs, Scratch(spark)).collect()}
     assert kept == {i for i, (_, c) in brute_components(corpus()).items() if i == c}
@@ -162,23 +171,58 @@ def brute_lines(rows):
     for i, t in sorted(rows):
         for k, line in enumerate(t.split("\n") if t is not None else []):
             s = set(words(line))
-            if len(s) >= line_dedup.MIN_WORDS:
+            if s:
                 if any(len(s & o) * 100 >= (len(s) + len(o) - len(s & o)) * line_dedup.PER_CENT for o in seen):
                     gone.setdefault(i, []).append(k)
                 seen.append(s)
     return gone
 
 
-@pytest.mark.parametrize("few", [0, 1_000_000])
-def test_lines_equal_brute_force(spark, docs, monkeypatch, few):
+@pytest.mark.parametrize(("few", "hot"), [(0, 2), (0, 10_000), (1_000_000, 3)])
+def test_lines_equal_brute_force(spark, docs, monkeypatch, few, hot):
+    """Words in common lines are joined by way of their hubs or not: the same lines go."""
     monkeypatch.setattr(line_dedup, "FEW", few)
-    got = {r["doc_id"]: r["gone"] for r in line_dedup.removed_lines(docs, Scratch(spark)).collect()}
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SLOTS", 64)
+    got = {r["d"]: r["gone"] for r in line_dedup.removed_lines(docs, Scratch(spark)).collect()}
     assert got == brute_lines(corpus())
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, Scratch(spark)).collect()}
     gone = brute_lines(corpus())
     assert out == {i: t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in corpus()}
 
 
+@pytest.mark.parametrize("hot", [1, 5, 10_000])
+def test_groups_of_varied_lines(spark, monkeypatch, hot):
+    """Variants of three lines, many to a document, some of them no line's near copy; short lines and repeated ones."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SLOTS", 256)
+    r = random.Random(21)
+    bases = [[f"b{k}x{i}" for i in range(24)] for k in range(3)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(6):
+            w = list(r.choice(bases))
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = f"n{r.randrange(400)}"
+            lines.append(" ".join(w[: r.choice([24, 24, 22, 12])]))
+        lines += [r.choice(["", "a", "b", "a a", "a b", "}", "x y z u v w", "x y z u v w t"])]
+        rows.append((i, "\n".join(lines)))
+    got = {x["d"]: x["gone"] for x in line_dedup.removed_lines(frame(spark, rows), Scratch(spark)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_lines_of_repeated_and_missing_ids_and_clashing_columns(spark):
+    """Rows of one id with one text lose the same lines, with other texts each its own; rows without an id keep all; any column stays."""
+    rows = [(1, "a b c\nd e f", 7, 8, "z", 3), (1, "a b c\nd e f", 7, 8, "z", 3), (2, "d e f\nx", 1, 2, "y", 3), (2, "q\nd e f", 1, 2, "y", 3), (None, "a b c\na b c", 0, 0, None, 3), (3, None, 0, 0, None, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _id int, line string, d int")
+    got = line_dedup.dedup_lines(d, Scratch(spark))
+    assert got.columns == d.columns
+    want = [(1, "a b c\nd e f", 7, 8, "z", 3), (1, "a b c\nd e f", 7, 8, "z", 3), (2, "x", 1, 2, "y", 3), (2, "q", 1, 2, "y", 3), (None, "a b c\na b c", 0, 0, None, 3), (3, None, 0, 0, None, 3)]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got.collect()), key=lambda x: str(key(x))) == sorted(want, key=lambda x: str(key(x)))
+
+
 def test_line_plan_has_no_python(spark, docs):
     plan = line_dedup.dedup_lines(docs, Scratch(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -274,23 +318,58 @@ def test_myers_equals_table():
         assert decontamination.best_distance(a, b) == min(row)
 
 
-def test_planted_items_are_found(spark):
-    items = [(k, " ".join(rng.choice(VOCABULARY) + rng.choice("abc") for _ in range(40))) for k in range(6)] + [(90, "short"), (91, None)]
-    rows, want = [], set()
-    for d in range(24):
-        k, text = d % 6, items[d % 6][1]
-        edits = rng.sample(range(len(text)), decontamination.budget(decontamination.normal(text)) if d % 2 else 0)
-        planted = "".join("#" if i in edits else c for i, c in enumerate(text))
-        rows.append((d, prose(40) + "\n" + planted.upper().replace(" ", "  ") + " " + prose(40) if d < 18 else prose(90)))
-        if d < 18:
-            want.add((d, k))
-    rows += [(100, None), (101, "")]
-    for limit in (4_000_000, 300):  # one block, and many
-        blocks = list(decontamination.blocks(spark.createDataFrame(items, "item_id long, text string"), limit))
-        got = {(r["doc_id"], r["item_id"]) for b in blocks for r in decontamination.find(frame(spark, rows), b).collect()}
-        assert got == want
-    kept = decontamination.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark))
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+def substring_distance(item, text):
+    """Smallest edit distance of item to a substring of text, by a table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        before, row = row, [i + 1]
+        for j, d in enumerate(text):
+            row.append(min(before[j] + (c != d), before[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+def edited(r, text, n):
+    for _ in range(n):
+        at = r.randrange(len(text))
+        text = text[:at] + r.choice(["", "#", "#" + text[at]]) + text[at + 1 :]
+    return text
+
+
+@pytest.mark.parametrize("limit", [150, 4_000_000])
+def test_matches_equal_all_pairs(spark, monkeypatch, limit):
+    """Replaced, inserted and deleted characters, at the budget and beyond; short items; ids that are null or repeat; against a table for each pair."""
+    monkeypatch.setattr(decontamination, "blocks", lambda items, of=decontamination.blocks: of(items, limit))
+    r = random.Random(31)
+    said = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    items = [(0, said(12)), (1, said(20)), (2, "What  is\tthe answer to it"), (3, said(12)), (4, "Zq"), (5, ""), (6, None)]
+    items.append((7, items[0][1]))
+    rows = []
+    for i in range(48):
+        w = said(r.randrange(4, 30))
+        k, text = r.choice(items[:4])
+        part = edited(r, decontamination.normal(text), r.choice([0, 1, 2, 3, 4]))
+        rows.append((r.choice([i, i, None, 7]), f"{w} {part} {w}" if i % 4 else w + r.choice([" zq", " zqx", " what is the answer to items", ""])))
+    rows += [(100, None), (101, ""), (102, items[1][1]), (102, items[1][1].upper())]
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for i, t in rows:
+        for k, x in items:
+            x, text = decontamination.normal(x), decontamination.normal(t)
+            if x and text:
+                n = 0 if len(x) < 40 and f" {x} " in f" {text} " else substring_distance(x, text)
+                if n <= len(x) * 5 // 100 and (len(x) >= 40 or f" {x} " in f" {text} "):
+                    want.append((i, k, n))
+    got = [(x["doc_id"], x["item_id"], x["distance"]) for x in decontamination.matches(d, bench, Scratch(spark)).collect()]
+    assert set(map(str, got)) ^ set(map(str, want)) == set() and sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 20
+    hit = {t for i, t in rows if any(n <= len(x) * 5 // 100 and (len(x) >= 40 or f" {x} " in f" {decontamination.normal(t)} ") for x in {decontamination.normal(x) for _, x in items if x} if t for n in [substring_distance(x, decontamination.normal(t))])}
+    kept = decontamination.decontaminate(d, bench, Scratch(spark)).collect()
+    assert sorted(map(str, kept)) == sorted(str(x) for x in d.collect() if x["text"] not in hit)
+
+
+def test_decontamination_keeps_columns(spark):
+    d = spark.createDataFrame([(1, "x y", 5, "a"), (None, "it is the answer yes", 6, "b")], "doc_id long, text string, h1 int, doc string")
+    out = decontamination.decontaminate(d, spark.createDataFrame([(1, "The Answer")], "item_id long, text string"), Scratch(spark))
+    assert out.columns == d.columns and [tuple(x) for x in out.collect()] == [(1, "x y", 5, "a")]
 
 
 # ------------------------------------------------------------------------------------------------ classifiers
@@ -371,34 +450,61 @@ def test_quality_share_does_not_depend_on_the_sample_bound(spark):
     assert sum(scores) / len(scores) > 0.75
 
 
-def test_toxic_dictionary_holds_rare_words_and_phrases():
-    """400 toxic words in 18 of 1,600 toxic texts each, and a phrase of two ordinary words."""
-    r = random.Random(13)
-    common = [f"c{i}" for i in range(200)]
-    bad = ["".join(r.choice("bdfgjkmpvz") for _ in range(8)) for _ in range(400)]
-    texts = [[*r.choices(common, k=20), "pq", r.choice(common), "rs"] for _ in range(4600)]
-    for k in range(18 * len(bad)):
-        texts[k % 1600].insert(r.randrange(15), bad[k % 400])
-    for x in texts[:40]:
-        x[-2:] = ["pq", "rs"]
-    toxic, _ = toxicity.dictionaries([(i, " ".join(x).encode(), int(i < 1600)) for i, x in enumerate(texts)])
-    assert [w for w in bad if f" {w}".encode() not in toxic] == [] and b" pq rs" in toxic
-    gain = toxicity.Compressors(toxic, b" c1 c2 c3").gains
-    groups = [" ".join(bad[k : k + 10]).encode() for k in range(0, 400, 10)]
-    assert all(gain(g)[0] > 0 for g in groups)
-
-
-def test_dictionaries_are_trained_on_all_words(monkeypatch):
+def test_dictionaries_are_trained_on_whole_texts(monkeypatch):
+    """All words of all texts of a label are in the samples, those of the base and of the ordinary part in halves."""
     import zstandard
 
     seen = []
-    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **how: seen.append(sum(len(x.split()) for x in samples)) or zstandard.ZstdCompressionDict(b"x" * size))
-    toxicity.dictionaries([(0, b"good word " * 350_000, 0), *[(i, b"vile good", 1) for i in range(1, 9)]])
-    assert seen[-1] == 700_000
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **how: seen.append((size, sum(len(x.split()) for x in samples))) or zstandard.ZstdCompressionDict(b"x" * size))
+    toxicity.dictionaries([(0, b"good word " * 350_000, 0), (9, b"fine " * 5, 0), *[(i, b"vile good", 1) for i in range(1, 9)]])
+    assert sorted(seen) == sorted([(toxicity.BASE_BYTES, 700_000), (toxicity.OWN_BYTES, 16), (toxicity.OWN_BYTES, 5)])
 
 
-def test_repeats_choose_a_fixed_text_and_keep_rows_without_id(spark):
+def test_toxicity_query_equals_plain_walk(spark, tmp_path):
+    """Scores of the query, text by text; labels of held-out rows change nothing."""
+    r = random.Random(17)
+    bad = ["vile", "nasty", "horrid", "odious"]
+    rows = []
+    for i in range(300):
+        w = [r.choice(VOCABULARY) for _ in range(r.randrange(20, 120))]
+        for _ in range(6 if i % 3 == 0 else 0):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((i, " ".join(w)))
+    rows += [(300, None), (301, ""), (302, "VILE " * 4000), (5, rows[5][1])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    frame(spark, rows).write.parquet(str(tmp_path / "a/documents.parquet"))
+    frame(spark, rows).write.parquet(str(tmp_path / "b/documents.parquet"))
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(280)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a/labels.parquet"))
+    spark.createDataFrame([(i, q, 1 - y if held(i) else y) for i, q, y in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b/labels.parquet"))
+    got = sorted(map(tuple, toxicity.op1_toxicity(spark, str(tmp_path / "a")).collect()))
+    assert got == sorted(map(tuple, toxicity.op1_toxicity(spark, str(tmp_path / "b")).collect()))
+    model = toxicity.fit(spark.read.parquet(str(tmp_path / "a/documents.parquet")), spark.read.parquet(str(tmp_path / "a/labels.parquet")), mod=5, held=0)
+    c = toxicity.Compressors(model.toxic, model.ordinary)
+    want = []
+    for i, t in rows:
+        s = float(model.logistic.predict(np.array([toxicity.features(c.gains(lower(t).encode()))]))[0])
+        want.append((i, held(i), s, int(s >= 0.5)))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert all(math.isclose(x[2], y[2], rel_tol=1e-9) and x[3] == y[3] for x, y in zip(got, sorted(want), strict=True))
+    assert sum(x[3] == (x[0] % 3 == 0) for x in got if x[0] < 300) > 270
+
+
+def test_texts_of_one_id_and_rows_without_id(spark):
+    """Texts of one id are documents in byte order; rows without an id keep all, and take nothing from others."""
     a, b, c, d = (prose(30) for _ in range(4))
-    rows = [(1, max(a, b)), (1, min(a, b)), (2, c), (None, c), (None, d), (None, None)]
-    got = [(r["doc_id"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, [(i, t) for i, t in rows if i]).union(frame(spark, [(0, t) for i, t in rows if not i]).withColumn("doc_id", F.lit(None).cast("long"))), Scratch(spark)).collect()]
-    assert sorted(got, key=str) == sorted([(1, 0, min(a, b)), (2, 0, c), (None, 0, c), (None, 0, d), (None, 0, "")], key=str)
+    rows = [(1, max(a, b)), (1, min(a, b)), (1, min(a, b)), (2, c), (3, "x " + a + " y"), (4, d), (None, c), (None, d), (None, None)]
+    got = [(r["doc_id"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, min(a, b)), (1, 0, max(a, b)), (2, 0, c), (3, 30, "x y"), (4, 0, d), (None, 0, c), (None, 0, d), (None, 0, "")], key=str)
+    got = substring_dedup.remove_repeats(spark.createDataFrame([x for x in rows if x[0] != 1], "doc_id long, text string"), Scratch(spark)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 0), (0, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def test_lm_scores_each_row(spark):
+    """Rows that share an id, or have none, keep their own results."""
+    rows = [(1, "a b"), (1, "a b c"), (1, "a b"), (None, "b"), (None, "zzzzzzzz " + "q" * 3000), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_tokens"]) for r in lm_score.score(d, Scratch(spark), passes=1, head=0).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3), (1, 4), (1, 3), (None, 2), (None, 3), (3, 1)], key=str)
+    alone = lm_score.score(d.where("text is not null"), Scratch(spark), passes=1).collect()
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in alone) and len({r["score"] for r in alone if r["doc_id"] == 1}) == 2
