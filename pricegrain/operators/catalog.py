@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,3 +128,17 @@ def chunks(ids: list, size: int = 100) -> Iterator[list]:
     """ids in runs of size, as the provider takes them."""
     for i in range(0, len(ids), size):
         yield ids[i : i + size]
+
+
+def only_row(found: DataFrame) -> Row | None:
+    """The row of a lookup by a unique key; None without one. Two rows are an error, and no more than two are fetched."""
+    rows = found.take(2)
+    if len(rows) > 1:
+        raise ValueError("a lookup by a unique key has found several rows")
+    return rows[0] if rows else None
+
+
+def sitemap_entries(static: DataFrame, products: DataFrame, product_pattern: str) -> DataFrame:
+    """loc, lastmod, changefreq, priority: the static entries (loc, lastmod) that are no product pages, and those of product pages."""
+    kept = static.where(~F.col("loc").rlike(product_pattern)).select("loc", "lastmod", F.lit(None).cast("string").alias("changefreq"), F.lit(None).cast("double").alias("priority"))
+    return kept.union(products.select("loc", "lastmod", F.lit("daily"), F.lit(0.6)))

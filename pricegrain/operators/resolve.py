@@ -141,3 +141,12 @@ def matched_offers(products: DataFrame, feed: DataFrame, accepted: DataFrame | N
         return one.unionByName(two.withColumn("accepted", F.lit(False)))
     marks = accepted.select("product_id", "feed_sku", F.lit(True).alias("_ok")).distinct()
     return one.unionByName(two.join(marks, ["product_id", "feed_sku"], "left").withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_ok"))
+
+
+def singleton_reasons(products: DataFrame) -> DataFrame:
+    """reason, n: why products (family_id, name, brand, capacity_gb) are alone in their family."""
+    members = products.where("family_id is not null").groupBy("family_id").agg(F.count(F.lit(1)).alias("_members"))
+    alone = products.join(members, "family_id", "left").where("_members = 1 or _members is null")
+    no_line = F.size(T.line_signature(F.col("name"), F.col("brand"))) == 0
+    reason = F.when(F.col("capacity_gb").isNull(), "unparseable capacity").when(no_line, "empty line signature").otherwise("no key match or shared parent")
+    return alone.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

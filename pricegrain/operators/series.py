@@ -152,3 +152,11 @@ def newest_batch(history: DataFrame, as_of, hours: int = 36) -> DataFrame:
     """One row: the time of the newest batch of the last hours, day stamps aside."""
     recent = history.where(F.col("fetched_at").between(at(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)), at(as_of)))
     return without_day_stamps(recent).agg(F.max("fetched_at").alias("batch_at"))
+
+
+def head_tail(rows: DataFrame, key: str, *order: str, head: int = 5, tail: int = 5) -> DataFrame:
+    """The first and the last rows of each key, with place (from 1) and omitted, how many rows lie between."""
+    w = W.partitionBy(key)
+    numbered = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("n_rows", F.count(F.lit(1)).over(w))
+    shown = numbered.where((F.col("place") <= head) | (F.col("place") > F.col("n_rows") - tail))
+    return shown.withColumn("omitted", F.greatest(F.col("n_rows") - (head + tail), F.lit(0))).drop("n_rows")

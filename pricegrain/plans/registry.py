@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entities, prices, service
+from . import entities, prices, service, titles
 
-_MODULES = (prices, entities, service)
+_MODULES = (prices, entities, service, titles)
 
 
 def queries() -> dict:

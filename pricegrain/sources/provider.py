@@ -1,16 +1,35 @@
-"""The price provider as a Spark data source: one partition for each batch of ids. The fetch function is injected by name."""
+"""The price provider as a Spark data source: one partition for each batch of ids. The fetch function is injected by name.
+
+The provider gives out tokens at a rate and takes one for each id. Batches are paced by a schedule that is made once, with the
+partitions: each batch has the time from which its tokens are there, counted from the start of the read, so tasks on many
+executors keep to the rate without a shared counter. A batch that is refused for want of tokens waits as long as the provider
+says and tries again; one that takes longer than the time limit does so after a pause.
+"""
 
 from __future__ import annotations
 
 import importlib
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BATCH, ATTEMPTS = 100, 3
+# fixed values: ids a call, tries, seconds a call may take, tokens a minute
+BATCH, ATTEMPTS, TIMEOUT, PER_MINUTE = 100, 3, 30.0, 20.0
+
+
+class Shortage(Exception):
+    """Raised by a fetch function when the provider has too few tokens; seconds until it has enough."""
+
+    def __init__(self, seconds: float):
+        super().__init__(seconds)
+        self.seconds = seconds
+
+    def __reduce__(self):
+        return Shortage, (self.seconds,)
 
 
 class TokenBucket:
@@ -32,13 +51,44 @@ class TokenBucket:
         return wait
 
 
+def schedule(bucket: TokenBucket, sizes: list[int]) -> list[float]:
+    """Seconds from now at which each batch's tokens have flowed in, in order; nothing waits here."""
+    waited: list[float] = []
+    now = [bucket.at]
+    bucket.clock, bucket.sleep = lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)
+    start = now[0]
+    for n in sizes:
+        bucket.take(n)
+        waited.append(now[0] - start)
+    return waited
+
+
+def patient(fetch: Callable[[list[str]], list[dict]], ids: list[str], attempts: int = ATTEMPTS, timeout: float = TIMEOUT, sleep=time.sleep) -> list[dict]:
+    """What fetch gives; a call that is too slow or short of tokens is made again, attempts times in all."""
+    for k in range(attempts):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(fetch, ids).result(timeout)
+        except Shortage as e:
+            if k == attempts - 1:
+                raise
+            sleep(e.seconds)
+        except TimeoutError:
+            if k == attempts - 1:
+                raise
+            sleep(float(2**k))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+    return []
+
+
 class Batch(InputPartition):
-    def __init__(self, ids: list[str]):
-        self.ids = ids
+    def __init__(self, ids: list[str], begin: float):
+        self.ids, self.begin = ids, begin
 
 
 class ProviderSource(DataSource):
-    """Options: ids (comma-separated), fetch ("module:function", ids -> list of dicts), attempts."""
+    """Options: ids (comma-separated), fetch ("module:function", ids -> list of dicts), attempts, timeout, per_minute and tokens (there at the start); per_minute 0: no pacing."""
 
     @classmethod
     def name(cls) -> str:
@@ -57,20 +107,16 @@ class ProviderReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         ids = [x for x in self.options.get("ids", "").split(",") if x]
-        return [Batch(ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)]
+        listed = [ids[i : i + BATCH] for i in range(0, len(ids), BATCH)]
+        rate = float(self.options.get("per_minute", PER_MINUTE))
+        at = schedule(TokenBucket(rate, float(self.options.get("tokens", BATCH))), [len(x) for x in listed]) if rate else [0.0] * len(listed)
+        return [Batch(x, time.time() + t) for x, t in zip(listed, at, strict=True)]
 
     def read(self, partition: Batch) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        attempts = int(self.options.get("attempts", ATTEMPTS))
-        for k in range(attempts):
-            try:
-                found = fetch(partition.ids)
-                break
-            except TimeoutError:
-                if k == attempts - 1:
-                    raise
-        for product in found:
+        time.sleep(max(0.0, partition.begin - time.time()))
+        for product in patient(fetch, partition.ids, int(self.options.get("attempts", ATTEMPTS)), float(self.options.get("timeout", TIMEOUT))):
             yield product.get("asin"), json.dumps(product)
 
 

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -59,3 +60,26 @@ def test_token_bucket():
     now = [0.0]
     bucket = provider.TokenBucket(20, 5, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
     assert bucket.take(5) == 0 and bucket.take(1) == pytest.approx(3.0)
+
+
+def test_batches_begin_when_their_tokens_are_there():
+    bucket = provider.TokenBucket(20, 100, clock=lambda: 5.0)
+    assert provider.schedule(bucket, [100, 100, 50]) == pytest.approx([0, 300, 450])
+
+
+def test_patient_fetch():
+    """Waits as long as the provider says, pauses after a slow call, gives up after the last try."""
+    waits, answers = [], [provider.Shortage(7.5), TimeoutError(), [{"asin": "a"}]]
+
+    def once(ids):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert provider.patient(once, ["a"], sleep=waits.append) == [{"asin": "a"}] and waits == [7.5, 2.0]
+    answers[:] = [provider.Shortage(1.0)] * 3
+    with pytest.raises(provider.Shortage):
+        provider.patient(once, ["a"], sleep=waits.append)
+    with pytest.raises(TimeoutError):
+        provider.patient(lambda ids: time.sleep(0.3), ["a"], attempts=2, timeout=0.05, sleep=lambda s: None)
