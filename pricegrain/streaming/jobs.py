@@ -49,10 +49,21 @@ def run_batches(landed: DataFrame, sinks: dict[str, Callable[[DataFrame, int], N
     return landed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def send_then_mark(due: DataFrame, send: Callable[[dict], bool], done: DataFrame) -> list[int]:
-    """Sends each alert that isn't marked done and returns the ids to mark; a failed one is left for the next run."""
+def send_then_mark(due: DataFrame, send: Callable[[dict], bool], done: DataFrame, mark: str) -> DataFrame:
+    """Sends each alert that isn't marked done, in the tasks that hold them, and appends the ids to the Parquet table at mark.
+
+    Returns the ids marked there. A failed alert is left for the next run, and so is one whose task was lost between sending
+    and marking: mail goes out at least once, marks are never without mail.
+    """
     waiting = due.join(done.select("id"), "id", "left_anti")
-    return [row["id"] for row in waiting.toLocalIterator() if send(row.asDict())]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sent = [send(row) for row in rows.to_dict("records")]
+            yield rows.loc[sent, ["id"]]
+
+    waiting.mapInPandas(each, "id long").write.mode("append").parquet(mark)
+    return due.sparkSession.read.schema("id long").parquet(mark)
 
 
 class Limiter(StatefulProcessor):
@@ -91,9 +102,13 @@ def limited(requests: DataFrame, limit: int = 3, window_minutes: int = 60) -> Da
 
 
 class AlertLife(StatefulProcessor):
-    """pending -> confirmed -> triggered, by events of one alert; pending ones of more than 48 hours are gone, unsubscribed ones too."""
+    """pending -> confirmed -> triggered, by events of one alert; pending ones of more than 48 hours are gone, unsubscribed ones too.
+
+    A timer of event time ends a pending alert that no event follows, so its state doesn't stay for ever.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", StructType([StructField("name", StringType()), StructField("since", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -107,6 +122,7 @@ class AlertLife(StatefulProcessor):
             before = name
             if event == "create" and name is None:
                 name, since = "pending", us
+                self.handle.registerTimer((us + PENDING_US) // 1000 + 1)
             elif event == "confirm" and name == "pending":
                 name, since = "confirmed", us
             elif event == "trigger" and name == "confirmed":
@@ -120,11 +136,18 @@ class AlertLife(StatefulProcessor):
             self.state.update((name, since))
         yield pd.DataFrame(out, columns=["alert", "us", "event", "before", "after"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        name, since = self.state.get() if self.state.exists() else (None, 0)
+        if name == "pending" and at - since > PENDING_US:
+            self.state.clear()
+            yield pd.DataFrame([(key[0], at, "expire", "pending", "none")], columns=["alert", "us", "event", "before", "after"])
+
     def close(self) -> None:
         pass
 
 
-def alert_lives(events: DataFrame) -> DataFrame:
-    """A stream of alert events (alert, event, ts) with the state before and after each."""
-    rows = events.select(F.col("alert").cast("string").alias("alert"), "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("alert").transformWithStateInPandas(statefulProcessor=AlertLife(), outputStructType="alert string, us long, event string, before string, after string", outputMode="Append", timeMode="None")
+def alert_lives(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream of alert events (alert, event, ts) with the state before and after each; events may come late by so much."""
+    rows = events.select(F.col("alert").cast("string").alias("alert"), "event", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("alert").transformWithStateInPandas(statefulProcessor=AlertLife(), outputStructType="alert string, us long, event string, before string, after string", outputMode="Append", timeMode="EventTime")

@@ -45,6 +45,21 @@ def test_sinks_are_isolated(spark, tmp_path):
     assert seen == [1]
 
 
-def test_send_then_mark(spark):
+def test_send_then_mark(spark, tmp_path):
     due = spark.createDataFrame([(1,), (2,), (3,)], "id long")
-    assert jobs.send_then_mark(due, lambda a: a["id"] != 2, due.where("id = 3")) == [1]
+    marked = jobs.send_then_mark(due, lambda a: a["id"] != 2, due.where("id = 3"), str(tmp_path / "done"))
+    assert [r["id"] for r in marked.collect()] == [1]
+    again = jobs.send_then_mark(due, lambda a: True, marked.union(due.where("id = 3")), str(tmp_path / "done"))
+    assert sorted(r["id"] for r in again.collect()) == [1, 2]
+
+
+def test_silent_pending_alerts_expire(spark, tmp_path):
+    """An alert without further events ends when the stream's time has passed 48 hours; its state is gone."""
+    jobs.with_state_store(spark)
+    schema = "alert string, event string, ts timestamp"
+    for k, rows in enumerate(([("a", "create", 1), ("b", "create", 1), ("b", "confirm", 2)], [("z", "create", 6)], [("y", "create", 7)], [("a", "create", 8)])):
+        spark.createDataFrame([(a, e, datetime(2024, 1, d)) for a, e, d in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r["alert"], r["event"], r["before"], r["after"]) for r in run(spark, jobs.alert_lives(stream), tmp_path, "silent"))
+    assert ("a", "expire", "pending", "none") in got and ("a", "create", "none", "pending") in got
+    assert not [x for x in got if x[:2] == ("b", "expire")] and len([x for x in got if x[:2] == ("a", "create")]) == 2
