@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
@@ -83,16 +84,16 @@ def unique_slugs(products: DataFrame) -> DataFrame:
 
 def disambiguated(products: DataFrame, group: list[str]) -> DataFrame:
     """products with token: null for those alone in their group; else the first attribute that tells all members apart, or the last four of the sku."""
-    w = W.partitionBy(*group)
-    size = F.count(F.lit(1)).over(w)
-    out, attributes = products.withColumn("_n", size), []
+    out = products
     for kind in T.TOKEN_KINDS:
         out = out.withColumn(f"_{kind}", T.token_value(F.col("name"), kind))
-        attributes.append((f"_{kind}", F.size(F.collect_set(f"_{kind}").over(w)) == F.col("_n")))
+    # counts are combined before the shuffle; no group is gathered
+    sizes = out.groupBy(*[F.col(g).alias(f"_of_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(f"_{kind}").alias(f"_{kind}_n") for kind in T.TOKEN_KINDS])
+    out = out.join(sizes, reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]))
     token = F.substring("sku", -4, 4)
-    for name, apart in reversed(attributes):
-        token = F.when(apart, F.col(name)).otherwise(token)
-    return out.withColumn("token", F.when(F.col("_n") > 1, token)).drop("_n", *[name for name, _ in attributes])
+    for kind in reversed(T.TOKEN_KINDS):
+        token = F.when(F.col(f"_{kind}_n") == F.col("_n"), F.col(f"_{kind}")).otherwise(token)
+    return out.withColumn("token", F.when(F.col("_n") > 1, token)).select(*[F.col(c) for c in products.columns], "token")
 
 
 def page_meta(products: DataFrame, suffix: str, budget: int = 60) -> DataFrame:
