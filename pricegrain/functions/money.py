@@ -18,6 +18,8 @@ PRICE_KINDS = (0, 1, 18)
 PRICE_FLOOR, OUTLIER_FACTOR = 5.0, 5.0
 GOOD_RATIO, LOW_VALUE, HIGH_VALUE, ABOVE_LOW = 1.01, 0.93, 1.07, 1.5
 FETCH_HOURS = (6, 18)
+#: A price up to so many times the all-time low is near it; a change of so many percent is up; an alert starts at this share.
+NEAR_LOW, UP_FROM, PREFILL = 1.02, 10, 0.9
 
 
 def rounded(x: Column, places: int = 0) -> Column:
@@ -137,7 +139,7 @@ def verdict(current: Column, average: Column, low: Column) -> Column:
 
 def assessment(current: Column, low: Column, high: Column) -> Column:
     """Where a price stands: (at, above_low, below_high); at is lowest, near_low (within 2 percent) or above_low."""
-    at = F.when(low.isNull(), None).when(current <= low, "lowest").when(current <= low * 1.02, "near_low").otherwise("above_low")
+    at = F.when(low.isNull(), None).when(current <= low, "lowest").when(current <= low * NEAR_LOW, "near_low").otherwise("above_low")
     pct = lambda x: rounded(x * 100).cast("long")
     above = F.when((at == "above_low"), pct(F.try_divide(current - low, low)))
     below = F.when((at == "above_low") & (high > current), pct(F.try_divide(high - current, high)))
@@ -145,7 +147,7 @@ def assessment(current: Column, low: Column, high: Column) -> Column:
 
 
 def pulse_class(pct: Column) -> Column:
-    return F.when(pct < 0, "down").when(pct < 10, "neutral").when(pct.isNotNull(), "up")
+    return F.when(pct < 0, "down").when(pct < UP_FROM, "neutral").when(pct.isNotNull(), "up")
 
 
 def pulse_text(pct: Column) -> Column:
@@ -153,4 +155,4 @@ def pulse_text(pct: Column) -> Column:
 
 
 def alert_prefill(price: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(price * 0.9))
+    return F.greatest(F.lit(1), F.floor(price * PREFILL))

@@ -28,11 +28,14 @@ BRAND_RULES = (
 
 #: Words that say nothing about a product line.
 FILLER = (
-    "ram memory memories desktop computer pc internal gaming module modules upgrade kit kits single dual quad channel performance high speed speeds low profile latency "
-    "intel amd xmp expo ready compatible compatibility for with without w/o and the of up to up-to only new series non-ecc unbuffered buffered pin "
-    "dimm udimm sodimm u-dimm so-dimm laptop notebook ssd ssds drive drives solid state hard disk nvme sata iii m.2 2280 2242 2230 2.5 2.5in 2.5-inch inch pcie pcle gen "
-    "read write transfer rate maximum max sequential heatsink storage expansion black white grey gray silver red blue green gold titanium"
-).split()
+    "ram", "memory", "memories", "desktop", "computer", "pc", "internal", "gaming", "module", "modules", "upgrade", "kit", "kits", "single", "dual",
+    "quad", "channel", "performance", "high", "speed", "speeds", "low", "profile", "latency", "intel", "amd", "xmp", "expo", "ready", "compatible",
+    "compatibility", "for", "with", "without", "w/o", "and", "the", "of", "up", "to", "up-to", "only", "new", "series", "non-ecc", "unbuffered",
+    "buffered", "pin", "dimm", "udimm", "sodimm", "u-dimm", "so-dimm", "laptop", "notebook", "ssd", "ssds", "drive", "drives", "solid", "state",
+    "hard", "disk", "nvme", "sata", "iii", "m.2", "2280", "2242", "2230", "2.5", "2.5in", "2.5-inch", "inch", "pcie", "pcle", "gen", "read", "write",
+    "transfer", "rate", "maximum", "max", "sequential", "heatsink", "storage", "expansion", "black", "white", "grey", "gray", "silver", "red", "blue",
+    "green", "gold", "titanium",
+)
 
 #: Whole tokens that are figures, not names of a line.
 FIGURES = (
@@ -43,6 +46,13 @@ FIGURES = (
 #: What looks like a part number but is a specification.
 SPEC_WORD = r"^(?:\d+X\d+(?:GB|TB)|DDR[45][-\d]*|PC[34][-\d]+|CL\d[\d-]*|\d+(?:GB|TB|MHZ|MTS?)|\d+MT/S|XMP[\d.]*|EXPO|AMD|INTEL|RGB|NVME|SATA(?:\s?III)?|SSD|M\.2|2280|2242|PCIE[\d.X]*|GEN[\d.X]+|U-?DIMM|SO-?DIMM|RDIMM|QLC|TLC|NAND|\d+V|1\.\d+V|PS5|PC)$"
 
+#: A capacity; a part number as a title has it (6 characters at least) and as a whole token (8 at least).
+_CAPACITY = r"(?i)(\d+)\s*(gb|tb)(?![\w/])"
+PART_NUMBER, PART_TOKEN = r"^[A-Z0-9][A-Z0-9\-/.]{5,}$", r"^[A-Z0-9][A-Z0-9\-/.]{7,}$"
+#: Speeds, memory in a notebook, drives that are no internal ones.
+SPEEDS = (r"(?i)(\d{4,5})\s*(?:mhz|mt/s)", r"(?i)ddr[45]-(\d{4,5})")
+SMALL_MEMORY, EXTERNAL = "sodimm|so-dimm|laptop|notebook|260-pin|262-pin", r"\b(portable|external|usb)\b"
+
 SEGMENTS = ("ddr5", "ddr4", "nvme_ssd", "sata_ssd")
 SEGMENT_LABELS = {"ddr5": "DDR5", "ddr4": "DDR4", "nvme_ssd": "NVMe SSD", "sata_ssd": "SATA SSD"}
 
@@ -74,9 +84,6 @@ def one_of(values) -> Column:
 
 # ------------------------------------------------------------------------------------------------ titles
 
-_CAPACITY = r"(?i)(\d+)\s*(gb|tb)(?![\w/])"
-
-
 def capacities_gb(c: Column) -> Column:
     """Every capacity in a title, in GB; endurance (TBW) and interface speeds (Gb/s) are none."""
     return F.zip_with(all_found(c, _CAPACITY, 1), all_found(c, _CAPACITY, 2), lambda n, unit: F.try_to_number(n, F.lit("999999999")).cast("int") * F.when(F.lower(unit) == "tb", 1024).otherwise(1))
@@ -93,7 +100,7 @@ def capacity_label(gb: Column) -> Column:
 
 def speed_mhz(c: Column) -> Column:
     """The largest of a title's speeds from 1800 to 9000; larger figures are bandwidth codes."""
-    figures = F.concat(all_found(c, r"(?i)(\d{4,5})\s*(?:mhz|mt/s)", 1), all_found(c, r"(?i)ddr[45]-(\d{4,5})", 1))
+    figures = F.concat(*[all_found(c, p, 1) for p in SPEEDS])
     return F.array_max(F.filter(F.transform(figures, lambda x: x.cast("int")), lambda x: x.between(1800, 9000)))
 
 
@@ -115,7 +122,7 @@ def latency(c: Column) -> Column:
 
 
 def _is_mpn(c: Column) -> Column:
-    return c.rlike(r"^[A-Z0-9][A-Z0-9\-/.]{5,}$") & c.rlike("[A-Z]") & (F.length(F.regexp_replace(c, "[^0-9]", "")) >= 3) & ~c.rlike(SPEC_WORD)
+    return c.rlike(PART_NUMBER) & c.rlike("[A-Z]") & (F.length(F.regexp_replace(c, "[^0-9]", "")) >= 3) & ~c.rlike(SPEC_WORD)
 
 
 def part_number(c: Column) -> Column:
@@ -150,7 +157,7 @@ def title_tokens(name: Column) -> Column:
 
 
 def is_part_number(token: Column) -> Column:
-    return token.rlike(r"^[A-Z0-9][A-Z0-9\-/.]{7,}$") & token.rlike("[A-Z]") & (F.length(F.regexp_replace(token, "[^0-9]", "")) >= 3)
+    return token.rlike(PART_TOKEN) & token.rlike("[A-Z]") & (F.length(F.regexp_replace(token, "[^0-9]", "")) >= 3)
 
 
 def line_signature(name: Column, brand: Column) -> Column:
@@ -158,11 +165,11 @@ def line_signature(name: Column, brand: Column) -> Column:
     brands = F.split(F.lower(F.coalesce(brand, F.lit(""))), S + "+")
     figure = "^(?:" + "|".join(FIGURES) + ")$"
     kept = F.filter(title_tokens(name), lambda w: ~is_part_number(w))
-    return F.filter(F.transform(kept, F.lower), lambda w: ~F.array_contains(brands, w) & ~w.isin(FILLER) & ~w.rlike(figure))
+    return F.filter(F.transform(kept, F.lower), lambda w: ~F.array_contains(brands, w) & ~w.isin(list(FILLER)) & ~w.rlike(figure))
 
 
 def ram_form(name: Column) -> Column:
-    return F.when(has(name, "sodimm|so-dimm|laptop|notebook|260-pin|262-pin"), "sodimm").otherwise("dimm")
+    return F.when(has(name, SMALL_MEMORY), "sodimm").otherwise("dimm")
 
 
 def pcie_generation(name: Column) -> Column:
@@ -393,7 +400,7 @@ def fits_category(name: Column, category: Column) -> Column:
 
 
 def is_external(name: Column) -> Column:
-    return has(F.coalesce(name, F.lit("")), r"\b(portable|external|usb)\b")
+    return has(F.coalesce(name, F.lit("")), EXTERNAL)
 
 
 # ------------------------------------------------------------------------------------------------ alerts

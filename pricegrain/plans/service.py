@@ -145,7 +145,7 @@ def pulse_class(spark, sf) -> DataFrame:
 
 @query()
 def rate_limit_decisions(spark, sf) -> DataFrame:
-    """Three accepted events of a user in 6 hours. Each decision depends on earlier ones; tests/test_alerts.py compares with a plain walk."""
+    """Three accepted events of a user in 6 hours. Each decision depends on earlier ones; tests/test_operators.py compares with a plain walk."""
     e = T.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     return alerts.decided(e, 3, 360).select("key", "id", "accepted")
 
