@@ -5,7 +5,9 @@ documents are sorted by key and their sizes summed up to the source's budget. A
 is first taken whole (complete epochs); only the rest of the target is drawn.
 
 No window holds a whole source: keys fall in about n / ROWS_A_BUCKET ranges of a source's n rows, ranges are summed before
-the shuffle, a window over the sums gives each range its offset, and only rows of one range are sorted together.
+the shuffle, a window over the sums gives each range its offset, and only rows of one range are sorted together. Ranges are
+even, since they are cut by the keys' distribution in the source: keys of weight w follow 1 - exp(-w key), and how many rows
+have which weight (in BINS steps) is counted.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, the last;
 documents with equal keys follow id and text; rows that repeat an id are documents of their own; an empty table gives an
@@ -14,6 +16,8 @@ empty result; columns besides doc_id, text and source are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import NARROW, Scratch, word_count
 
 ROWS_A_BUCKET = 4096
+BINS = 10
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 MOST = 2.0
@@ -59,7 +64,7 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL,
     first_free = F.min(F.when(~F.col("capped"), F.col("k"))).over(whole)
     s = s.withColumn("at", level).withColumn("free", first_free)
     target = F.when(F.col("free").isNull() | (F.col("k") < F.col("free")), F.col("cap")).otherwise(F.col("at") * F.col("w"))
-    return s.select("skey", "source", "source_size", "n", target.alias("target"))
+    return s.select("skey", "source", "source_size", "n", *[c for c in sources.columns if c == "steps"], target.alias("target"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, weight: Column | None = None, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -72,14 +77,16 @@ def mix(docs: DataFrame, scratch: Scratch, weight: Column | None = None, weights
     sized = docs.select("doc_id", "text", "source", skey.alias("skey"), word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("w", weight if weight is not None else quality_weight())
     key = -F.log(uniform()) / F.col("w")
-    drawn = scratch.table(sized.select("doc_id", "source", "skey", "size", key.alias("key"), F.xxhash64("text").alias("tie")), NARROW)
-    sums = drawn.groupBy("skey").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    step = F.least(F.greatest(F.ceil(F.col("w") * BINS), F.lit(1)), F.lit(BINS)).cast("int").alias("step")
+    drawn = scratch.table(sized.select("doc_id", "source", "skey", "size", key.alias("key"), step, F.xxhash64("text").alias("tie")), NARROW)
+    sums = drawn.groupBy("skey").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("step") == k + 1) for k in range(BINS)]).alias("steps"))
     goal = scratch.table(targets(sums, weights, total, most), NARROW)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.select("skey", "source_size", "target", "n", epochs.alias("epochs"))
+    goal = goal.select("skey", "source_size", "target", "n", "steps", epochs.alias("epochs"))
     buckets = F.ceil(F.col("n") / F.lit(float(ROWS_A_BUCKET)))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), buckets - 1).cast("long")
-    rows = drawn.join(goal, "skey").withColumn("bucket", bucket)
+    below = reduce(lambda a, b: a + b, [F.get("steps", F.lit(k)) * (1 - F.exp(-F.col("key") * ((k + 1) / BINS))) for k in range(BINS)]) / F.col("n")
+    bucket = F.least(F.floor(below * buckets), buckets - 1).cast("long")
+    rows = drawn.join(goal, "skey").withColumn("bucket", bucket).drop("steps", "step")
     offsets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     up_to = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = offsets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(up_to), F.lit(0)).alias("offset"))
