@@ -508,3 +508,61 @@ def test_lm_scores_each_row(spark):
     assert sorted(got, key=str) == sorted([(1, 3), (1, 4), (1, 3), (None, 2), (None, 3), (3, 1)], key=str)
     alone = lm_score.score(d.where("text is not null"), Scratch(spark), passes=1).collect()
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in alone) and len({r["score"] for r in alone if r["doc_id"] == 1}) == 2
+
+
+def plain_statistics(text):
+    """quality.NAMES of a text, counted one by one."""
+    b = (text or "").encode()
+    w = [x.lower() for x in b.split()]
+    n, size, pairs, lines = len(w), len(b), list(zip(w, w[1:], strict=False)), b.split(b"\n")
+    kinds = [range(65, 91), range(97, 123), range(48, 58), b".,;:", b"!?", [i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:!?"], range(128, 256), b"\n"]
+    per = max(n, 1)
+    ends = sum(not (x[-1:].isalnum() or x[-1] >= 128) for x in w)
+    return [
+        *[sum(c in k for c in b) / max(size, 1) for k in map(set, kinds)], math.log1p(size), math.log1p(n), sum(map(len, w)) / per, len(set(w)) / per, sum(x == y for x, y in pairs) / per,
+        (len(set(pairs)) if n > 1 else n) / per, max(Counter(w).values(), default=0) / per, ends / per, math.log1p(n / len(lines)), len(set(lines)) / len(lines), sum(len(x) > 20 for x in w) / per,
+    ]
+
+
+def test_quality_query_equals_plain_walk(spark, tmp_path):
+    """Statistics and scores of the query, text by text; labels of held-out rows change nothing."""
+    r = random.Random(19)
+    rows = [(i, prose(r.randrange(5, 90)) if i % 3 else " ".join(r.choice(["!!", "x9", "A", "b#"]) for _ in range(r.randrange(5, 90))) + "\nA\nA") for i in range(200)]
+    rows += [(200, None), (201, ""), (202, "long" * 9000 + " Ünï\n\n" * 300), (5, rows[5][1])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    labels = [(i, int(i % 3 > 0), 0) for i in range(200)]
+    for name, marks in (("a", labels), ("b", [(i, 1 - q if held(i) else q, t) for i, q, t in labels])):
+        frame(spark, rows).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = sorted(map(tuple, quality.op6_quality(spark, str(tmp_path / "a")).collect()))
+    assert got == sorted(map(tuple, quality.op6_quality(spark, str(tmp_path / "b")).collect()))
+    trees = quality.fit(spark.read.parquet(str(tmp_path / "a/documents.parquet")), spark.read.parquet(str(tmp_path / "a/labels.parquet")), mod=3, held=1)
+    want = []
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        x = quality.statistics(raw, np.array([0, len(raw)]))[0]
+        assert np.allclose(x, plain_statistics(t)), (i, dict(zip(quality.NAMES, zip(x, plain_statistics(t), strict=True), strict=True)))
+        f = trees.start
+        for split, cut, leaf in zip(trees.split, trees.cut, trees.leaf, strict=True):
+            node = 0
+            while node < len(split):
+                node = 2 * node + 1 + int(x[split[node]] > cut[node])
+            f += leaf[node - len(split)]
+        s = 1 / (1 + math.exp(-f))
+        want.append((i, held(i), s, int(s >= 0.5)))
+    assert all(x[:2] == y[:2] and math.isclose(x[2], y[2], rel_tol=1e-9) and x[3] == y[3] for x, y in zip(got, sorted(want), strict=True))
+    assert sum(x[3] == (x[0] % 3 > 0) for x in got if x[0] < 200) > 190
+
+
+def test_lm_score_of_a_document_sums_its_words(spark):
+    """log10 of the words' summed segmentations, and of the end; the same whether words are broadcast or joined."""
+    rows = [(i, t) for i, t in corpus() if t is None or len(t) < 2000]
+    d = frame(spark, rows)
+    a, b = (sorted(map(tuple, lm_score.score(d, Scratch(spark), passes=1, head=h).collect())) for h in (0, 10_000))
+    assert all(x[0] == y[0] and math.isclose(x[5], y[5], rel_tol=1e-9) for x, y in zip(a, b, strict=True))
+    scratch = Scratch(spark)
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    pieces, byte_at, log_p, log_end = lm_score.fit(scratch.table(lm_score.count_words(d)), ends, passes=1)
+    lattice = lm_score.Lattice(pieces, byte_at, log_p)
+    want = {i: (sum(lattice.marginals([w])[0] for w in lower(t).encode().split()) + log_end) / math.log(10) for i, t in rows}
+    assert all(math.isclose(x[5], want[x[0]], rel_tol=1e-9) for x in a)
