@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 
 def _once(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row of each key: the last in the order column, or any where there is none."""
-    if order is None:
-        return rows.dropDuplicates(keys)
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_r") == 1).drop("_r")
+    """One row of each key: the last in the order column; of equals, or without order, the one with the smallest hash, so that reruns agree."""
+    best = [*([F.desc(order)] if order else []), F.xxhash64(*rows.columns)]
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*best))).where(F.col("_r") == 1).drop("_r")
 
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -69,19 +68,37 @@ def guard(rows: DataFrame, required: list[str], keys: list[str]) -> DataFrame:
     return rows
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    return at, at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Puts back the table that a commit had moved aside when it broke off; whether there was one to put back."""
+    at, fs = _files(spark, path)
+    aside = sorted(str(x.getPath()) for x in fs.globStatus(at(f"{path}.old-*")) or [])
+    if fs.exists(at(path)) or not aside:
+        return False
+    return fs.rename(at(aside[-1]), at(path))
+
+
 def commit(table: DataFrame, path: str, commit: bool = False) -> int | None:
-    """Writes what a table becomes beside the old one, then puts it in its place; returns its rows. Dry run: None."""
+    """Writes what a table becomes beside the old one, then puts it in its place; returns its rows. Dry run: None.
+
+    A commit that breaks off between the two renames leaves the old table aside; restore() puts it back.
+    """
     if not commit:
         return None
     spark = table.sparkSession
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     table.write.parquet(new)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(new), at(path))
+    at, fs = _files(spark, path)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be moved aside; what was written is in {new}")
+    if not fs.rename(at(new), at(path)):
+        restore(spark, path)
+        raise OSError(f"{new} cannot be put in the place of {path}")
     fs.delete(at(old), True)
     return spark.read.parquet(path).count()
 

@@ -155,3 +155,25 @@ def test_catalog_funnel(spark):
     df = spark.createDataFrame(r, "asin string, name string, category string, min_price string, query_idx int, pos int").withColumn("price", F.lit(None).cast("string")).withColumn("max_price", F.lit(None).cast("string"))
     kept, rejects = catalog.built(df)
     assert rows(kept, "asin", "name", "amount") == [("a", "X DDR5", 20.0)] and rows(rejects, "reason", "n") == [("cheap", 1), ("external", 1), ("nameFilter", 1), ("noPrice", 1)]
+
+
+def test_a_commit_that_broke_off_is_restored(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert sinks.commit(spark.range(3), path, commit=True) == 3 and sinks.commit(spark.range(5), path, commit=True) == 5
+    (tmp_path / "table").rename(tmp_path / "table.old-x")
+    assert sinks.restore(spark, path) and spark.read.parquet(path).count() == 5 and not sinks.restore(spark, path)
+
+
+def test_repeated_keys_choose_the_same_row(spark):
+    new = [(1, "b", 5), (1, "a", 5), (2, "c", 1), (2, "d", 2)]
+    old = spark.createDataFrame([(3, "z", 0)], "k int, v string, at int")
+    for order in (None, "at"):
+        got = [rows(sinks.upsert(old, spark.createDataFrame(x, old.schema), ["k"], order), "k", "v", "at") for x in (new, new[::-1])]
+        assert got[0] == got[1] and len(got[0]) == 3 and (order is None or (2, "d", 2) in got[0])
+
+
+def test_lookup_by_a_unique_key(spark):
+    d = spark.range(4)
+    assert catalog.only_row(d.where("id = 9")) is None and catalog.only_row(d.where("id = 2"))["id"] == 2
+    with pytest.raises(ValueError, match="several"):
+        catalog.only_row(d)
