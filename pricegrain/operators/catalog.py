@@ -143,3 +143,8 @@ def sitemap_entries(static: DataFrame, products: DataFrame, product_pattern: str
     """loc, lastmod, changefreq, priority: the static entries (loc, lastmod) that are no product pages, and those of product pages."""
     kept = static.where(~F.col("loc").rlike(product_pattern)).select("loc", "lastmod", F.lit(None).cast("string").alias("changefreq"), F.lit(None).cast("double").alias("priority"))
     return kept.union(products.select("loc", "lastmod", F.lit("daily"), F.lit(0.6)))
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """url, payload and content hash of rendered pages (url, html)."""
+    return pages.select("url", F.col("html").alias("payload"), T.content_hash(F.col("html")).alias("hash"))

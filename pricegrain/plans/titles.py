@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..functions import text as X
 from ..operators import catalog, resolve, series
-from ..sources import feeds
+from ..sources import feeds, seed
 from . import tables as T
 from .entities import WORDS, _feed
 from .tables import H_SQL, P_SQL
@@ -241,3 +241,44 @@ def page_offers(spark, sf) -> DataFrame:
     """Each product's page with the accepted offer of the other shop, if there is one."""
     offers = _matched(spark, sf).where("accepted").select(F.col("product_id").alias("id"), "feed_sku", "method")
     return T.products(spark, sf).select("id").join(offers, "id", "left")
+
+
+# ------------------------------------------------------------------------------------------------ harvests and rows of the database
+
+C_SQL = """j AS (SELECT l_orderkey AS job, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_linenumber * 2 AS VARCHAR) ELSE 'n/a' END AS free, CASE WHEN l_linenumber % 3 = 0 THEN '1.5' END AS paid FROM lineitem),
+c AS (SELECT job AS query_idx, COALESCE(arg_max(TRY_CAST(free AS DOUBLE), pos) FILTER (WHERE TRY_CAST(free AS DOUBLE) IS NOT NULL), 0) AS free_credits, COALESCE(arg_max(TRY_CAST(paid AS DOUBLE), pos) FILTER (WHERE paid IS NOT NULL), 0) AS paid_credits FROM j GROUP BY job)"""
+
+
+def _credits(spark, sf) -> DataFrame:
+    n = F.col("l_linenumber")
+    free, paid = F.when(n % 2 == 1, (n * 2).cast("string")).otherwise("n/a"), F.when(n % 3 == 0, "1.5")
+    return feeds.job_credits(T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_idx"), n.alias("pos"), free.alias("free_credits"), paid.alias("paid_credits")))
+
+
+@query(f"WITH {C_SQL} SELECT * FROM c")
+def job_credits(spark, sf) -> DataFrame:
+    return _credits(spark, sf)
+
+
+@query(f"WITH {C_SQL} SELECT count(*) FILTER (WHERE query_idx % 5 <> 0) AS ok, count(*) FILTER (WHERE query_idx % 5 = 0) AS failed, sum(free_credits) FILTER (WHERE query_idx % 5 <> 0) AS free_credits, sum(paid_credits) FILTER (WHERE query_idx % 5 <> 0) AS paid_credits FROM c")
+def job_report(spark, sf) -> DataFrame:
+    return feeds.job_report(_credits(spark, sf).withColumn("error", F.when(F.col("query_idx") % 5 == 0, "timeout")))
+
+
+@query("""SELECT 'P' || p_partkey AS sku, NULLIF(CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END, '') AS brand, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 THEN 'other' ELSE 'shop' END AS retailer FROM part""")
+def database_rows(spark, sf) -> DataFrame:
+    p = T.read(spark, sf, "part")
+    rows = p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("sku"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand")).alias("brand"), F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 3 == 0, "other").otherwise("").alias("retailer"), F.lit("x").alias("unused"))
+    return feeds.database_rows(rows, ["sku", "brand", "price", "retailer"], "shop")
+
+
+@query("""SELECT * FROM (VALUES ('SEED-RAM-001', 'ddr5', 32, 289.99::DOUBLE), ('SEED-RAM-002', 'ddr5', 32, 319.99::DOUBLE), ('SEED-SSD-001', 'nvme_ssd', 2048, 259.99::DOUBLE)) AS s(sku, segment, capacity, price)""")
+def seed_rows(spark, sf) -> DataFrame:
+    return seed.seed_products(spark).select("sku", X.segment(F.col("category"), F.col("name")).alias("segment"), X.total_capacity_gb(F.col("name")).alias("capacity"), "price")
+
+
+@query("""SELECT url, html AS payload, sha256(html) AS hash FROM pages WHERE NOT regexp_matches(html, '\?v=|Last updated: |priceValidUntil|validFrom')""")
+def page_rows(spark, sf) -> DataFrame:
+    """Pages as rows of url, payload and hash; pages without what changes on every build, so the hash is the text's own."""
+    pages = T.read(spark, sf, "pages").where(~F.col("html").rlike(r"\?v=|Last updated: |priceValidUntil|validFrom"))
+    return catalog.page_rows(pages)

@@ -120,6 +120,27 @@ def credits(downloads: DataFrame) -> DataFrame:
     return downloads.agg(total("free_credits"), total("paid_credits"), F.count(F.lit(1)).alias("jobs"))
 
 
+def job_credits(reports: DataFrame) -> DataFrame:
+    """query_idx, free_credits, paid_credits of each job from its reports (query_idx, pos, free_credits, paid_credits as text): of each field the last that is a number, else 0."""
+    last = lambda c: F.coalesce(F.max_by(F.col(c).try_cast("double"), F.when(F.col(c).try_cast("double").isNotNull(), F.col("pos"))), F.lit(0.0)).alias(c)
+    return reports.groupBy("query_idx").agg(last("free_credits"), last("paid_credits"))
+
+
+def job_report(jobs: DataFrame) -> DataFrame:
+    """One row of jobs (error: null if it went well): ok, failed, and what the good ones cost."""
+    good = F.col("error").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0.0)).alias(c)
+    return jobs.agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("failed"), total("free_credits"), total("paid_credits"))
+
+
+def database_rows(products: DataFrame, columns: list[str], retailer: str) -> DataFrame:
+    """columns of products with '' as null; retailer where a product names none."""
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    named = [text(c).alias(c) if dict(products.dtypes)[c] == "string" else F.col(c) for c in columns if c != "retailer"]
+    own = text("retailer") if "retailer" in products.columns else F.lit(None).cast("string")
+    return products.select(*named, F.coalesce(own, F.lit(retailer)).alias("retailer"))
+
+
 def provider_products(spark: SparkSession, path: str) -> DataFrame:
     """Provider products landed as JSON lines."""
     return spark.read.schema(PROVIDER).json(path)
