@@ -10,10 +10,10 @@ n - ceil(2t / (1 + t) n) + 1 suffice. Pairs must also meet the length filter (m
 place on enough words must be left on both sides. Each set has a 64-bit picture in which each word flips one bit, so pictures
 differ in no more bits than there are words that one set has alone. What passes is verified on the full sets.
 
-One class that is similar and earlier is enough. So prefix words that more than HOT classes have are first met by their hubs
-alone, the class of the most lines and the earliest; what a hub resolves is no longer asked about. All that stays open is then
-joined with all classes, and compared with its nearest picture first, with the others only if that does not suffice. Groups of
-many variants thus need about one comparison a member, and no pair is left out.
+One class that is similar and earlier is enough: candidates are compared with the nearest picture first, with the others only if
+that does not suffice. The classes of prefix words that more than HOT classes have first meet two hubs alone, the class of
+the most lines and the earliest. Those that are not late by then are joined with all classes of these words. Groups of many
+variants thus need about one comparison a member, and no pair is left out.
 
 Words are compared by 64-bit hashes (xxhash64), of which 57 bits enter the order; candidates are joined by 32 bits of it
 and then verified.
@@ -26,7 +26,8 @@ unchanged; columns besides doc_id and text are kept and not read, whatever their
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,25 +43,36 @@ FEW = 1_000_000
 ID = ("d", "t", "l")
 
 
-def _split(text: Column) -> Column:
-    """Words between single spaces, '' where several meet; other white space is replaced first."""
-    for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(text, " ")
+def plain(docs: DataFrame) -> DataFrame:
+    """d, t and text of the rows that have lines; white space other than the line's end is a space.
+
+    t tells texts of one id apart; where no id repeats it is 0.
+    """
+    known, text = docs.where("doc_id is not null and text is not null"), F.col("text")
+    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    spaced = F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]+", " ")).otherwise(text)
+    return known.select(F.col("doc_id").alias("d"), (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("t"), spaced.alias("text"))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """d, t, l and line of each line of plain() texts."""
+    return texts.select("d", "t", F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
 
-def slot_tiers(docs: DataFrame) -> np.ndarray:
-    """For each slot a tier, two for each doubling of its hits over all words of docs; SLOTS numbers, whatever the input."""
-    words = docs.where("text is not null").select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
-    hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).count().toArrow()
-    tiers = np.zeros(SLOTS, dtype=np.int64)
-    tiers[hits.column("slot").to_numpy()] = np.minimum(62, 2 * np.log2(hits.column("count").to_numpy())).astype(np.int64)
-    return tiers
+def _split(line: Column) -> Column:
+    """Words between single spaces, '' where several meet."""
+    return F.split(line, " ")
 
 
-def order_column(tiers: np.ndarray) -> Column:
-    """The tiers as one constant array."""
-    return F.split(F.lit(",".join(map(str, tiers.tolist()))), ",").cast("array<tinyint>")
+def slot_tiers(texts: DataFrame) -> Column:
+    """One constant array: for each slot two tiers for each doubling of its hits over all words of texts; SLOTS numbers, whatever the input."""
+    words = lines_of(texts).select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
+    hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).count()
+    tier = F.coalesce(F.least(F.floor(2 * F.log2(F.col("count").cast("double"))), F.lit(62)), F.lit(0)).cast("tinyint")
+    every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(hits, "slot", "left").select("slot", tier.alias("tier"))
+    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "tier"))), lambda x: x["tier"].cast("string")), ",").alias("tiers"))
+    return F.split(F.lit(listed.first()["tiers"]), ",").cast("array<tinyint>")
 
 
 def _hashes(line: Column) -> Column:
@@ -78,19 +90,13 @@ def _least(n: Column, per_cent: int) -> Column:
     return F.floor((n * per_cent + 99) / 100).cast("int")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """d, t, l and line of each line."""
-    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
-    return named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-
-
 def _set_id(s: Column) -> list[Column]:
     return [F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2")]
 
 
-def classes(docs: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
+def classes(texts: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
     """Lines with the id of their word set, and each set once: its first line, how many lines have it, its picture and prefix."""
-    sets = lines_of(docs).select(*ID, _ordered(F.col("line"), tiers).alias("s"))
+    sets = lines_of(texts).select(*ID, _ordered(F.col("line"), tiers).alias("s"))
     n = F.size("s")
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
     picture = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
@@ -139,10 +145,11 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+def sets_of(texts: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """id and s, the word set, of the lines in wanted (d, t, l); read again from the texts."""
     named = scratch.table(wanted, NARROW)
-    found = lines_of(docs).join(few(named), list(ID)).dropDuplicates(list(ID))
+    some = texts.join(few(named.select("d").distinct()), "d", "left_semi")
+    found = lines_of(some).join(few(named), list(ID)).dropDuplicates(list(ID))
     sets = scratch.table(found.select(F.struct(*ID).alias("id"), _hashes(F.col("line")).alias("s")), 20_000)
     scratch.drop(named)
     return sets
@@ -156,55 +163,50 @@ def similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, per_cent: int)
     return scratch.table(found, NARROW)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select("early.*").union(pairs.select("late.*")).distinct()
+def verified(texts: DataFrame, pairs: DataFrame, scratch: Scratch, per_cent: int) -> DataFrame:
+    """d, t, l of the late sides that one of their pairs (early, late, far) confirms: the nearest one first, the others where it does not."""
+    ends = pairs.select("early.*").union(pairs.select("late.*")).distinct()
+    sets = sets_of(texts, ends, scratch)
+    nearest = pairs.groupBy("late").agg(F.min(F.struct("far", "early")).alias("x")).select("x.early", "late")
+    found = similar(nearest, sets, scratch, per_cent)
+    rest = pairs.select("early", "late").join(found.select(F.struct(*ID).alias("late")), "late", "left_anti").join(nearest, ["early", "late"], "left_anti")
+    found = found.union(similar(rest, sets, scratch, per_cent))
+    return found
 
 
-def by_hubs(docs: DataFrame, members: DataFrame, scratch: Scratch, per_cent: int) -> DataFrame:
-    """d, t, l of those members (words of classes) that a hub of one of their words shows to be late."""
-    rest = F.struct(*ID, "lines", "n", "bits", "place", "open")
-    hubs = members.groupBy("w").agg(F.max(F.struct(F.col("lines").alias("most"), rest.alias("x"))).alias("large"), F.min(rest).alias("early"))
-    hubs = scratch.table(hubs.select("w", F.explode(F.array("large.x", "early")).alias("x")).select("w", "x.*").distinct(), NARROW)
-    pairs = scratch.table(_pairs(members, hubs, per_cent, by_size=False).select("early", "late").distinct(), NARROW)
-    found = similar(pairs, sets_of(docs, _ends(pairs), scratch), scratch, per_cent)
-    scratch.drop(pairs), scratch.drop(hubs)
-    return found
+def hubs_of(members: DataFrame) -> DataFrame:
+    """Of each word's classes the one of the most lines and the earliest."""
+    own = F.struct(*ID, "n", "bits", "place", "open")
+    best = members.groupBy("w").agg(F.max(F.struct(F.col("lines").alias("most"), own.alias("x"))).alias("large"), F.min(own).alias("early"))
+    return best.select("w", F.explode(F.array("large.x", "early")).alias("x")).select("w", "x.*").distinct()
 
 
-def late_classes(docs: DataFrame, once: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+def late_classes(texts: DataFrame, once: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """d, t, l of each class that is similar to one with an earlier first line."""
     words = _words(once, per_cent).withColumn("open", F.lit(True))
     hot = scratch.table(words.where("short").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("w"), NARROW)
-    asked, by_hub = [], None
-    if not hot.isEmpty():
-        hot_few = few(hot)
-        members = scratch.table(words.join(hot_few, "w"), NARROW)
-        by_hub = by_hubs(docs, members, scratch, per_cent)
-        flagged = members.drop("open").join(few(by_hub).withColumn("closed", F.lit(True)), list(ID), "left").withColumn("open", F.col("closed").isNull())
-        flagged = scratch.table(flagged, NARROW)
-        scratch.drop(members)
-        # what hubs resolved is not asked about: of the hot words only pairs with an open side are looked at
-        asked.append(_pairs(flagged.where("short and open"), flagged, per_cent))
-        asked.append(_pairs(flagged.where("short and not open"), flagged.where("open"), per_cent))
-        words = words.join(hot_few, "w", "left_anti")
-    pairs = _pairs(words.where("short"), words, per_cent)
-    for more in asked:
-        pairs = pairs.union(more)
-    pairs = pairs.groupBy("early", "late").agg(F.min("far").alias("far"))
-    pairs = scratch.table(pairs if by_hub is None else pairs.join(by_hub.select(F.struct(*ID).alias("late")), "late", "left_anti"), NARROW)
-    sets = sets_of(docs, _ends(pairs), scratch)
-    nearest = pairs.groupBy("late").agg(F.min(F.struct("far", "early")).alias("x")).select("x.early", "late")
-    found = similar(nearest, sets, scratch, per_cent)
-    rest = pairs.select("early", "late").join(found.select(F.struct(*ID).alias("late")), "late", "left_anti").join(nearest, ["early", "late"], "left_anti")
-    late = found.union(similar(rest, sets, scratch, per_cent))
-    return late if by_hub is None else late.union(by_hub)
+    nearest = lambda pairs: pairs.groupBy("early", "late").agg(F.min("far").alias("far"))
+    if hot.isEmpty():
+        return verified(texts, scratch.table(nearest(_pairs(words.where("short"), words, per_cent)), NARROW), scratch, per_cent)
+    hot = few(hot)
+    members, words = scratch.table(words.join(hot, "w"), NARROW), words.join(hot, "w", "left_anti")
+    hubs = scratch.table(hubs_of(members), NARROW)
+    pairs = _pairs(words.where("short"), words, per_cent).union(_pairs(members, hubs, per_cent, by_size=False))
+    pairs = scratch.table(nearest(pairs), NARROW)
+    found = verified(texts, pairs, scratch, per_cent)
+    # what is late already is not asked about: of the frequent words only pairs with an open side are looked at
+    members = members.drop("open").join(few(found).withColumn("closed", F.lit(True)), list(ID), "left").withColumn("open", F.col("closed").isNull())
+    members = scratch.table(members, NARROW)
+    more = _pairs(members.where("short and open"), members, per_cent).union(_pairs(members.where("short and not open"), members.where("open"), per_cent))
+    more = scratch.table(nearest(more).join(pairs.select("early", "late"), ["early", "late"], "left_anti"), NARROW)
+    return found if more.isEmpty() else found.union(verified(texts, more, scratch, per_cent))
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """d, t, gone: for each document the sorted numbers (from 0) of its lines that repeat an earlier line: of each class all but the first, and the first too if its class is late."""
-    tiers = order_column(slot_tiers(docs))
-    lines, once = classes(docs, tiers, scratch, per_cent)
-    late = scratch.table(late_classes(docs, once, scratch, per_cent).withColumn("late", F.lit(True)), NARROW)
+    texts = plain(docs)
+    lines, once = classes(texts, slot_tiers(texts), scratch, per_cent)
+    late = scratch.table(late_classes(texts, once, scratch, per_cent).withColumn("late", F.lit(True)), NARROW)
     judged = once.join(late, list(ID), "left").where("lines > 1 or late").select("h1", "h2", F.struct(*ID).alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.select("h1", "h2", *ID).join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct(*ID) != F.col("first")))
     out = scratch.table(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("l")).alias("gone")), NARROW)
@@ -212,22 +214,25 @@ def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -
     return out
 
 
+def with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (doc_id, h: the text's hash, and others) with gone, null where no line goes."""
+    same = (rows["doc_id"] == gone["d"]) & ((gone["t"] == 0) | (gone["t"] == rows["h"]))
+    return rows.join(few(gone), same, "left").drop("d", "t")
+
+
 def dedup_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """docs without the removed lines; other columns as they are."""
-    gone = removed_lines(docs, scratch, per_cent)
-    own = docs.select(F.struct("*").alias("doc"))
-    joined = own.join(gone, (F.col("doc.doc_id") == gone["d"]) & (F.xxhash64("doc.text") == gone["t"]), "left")
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct("*").alias("doc"))
     left = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(left)
-    return joined.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
+    return with_gone(own, removed_lines(docs, scratch, per_cent)).select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of removed lines, comma-separated) of each document."""
     docs = read(spark, sf_dir, "documents")
-    gone = removed_lines(docs, Scratch(spark))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    joined = lines.join(gone.withColumnRenamed("d", "doc_id"), ["doc_id", "t"], "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    joined = with_gone(rows, removed_lines(docs, Scratch(spark)))
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
