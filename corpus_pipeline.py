@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All stages but the last return the columns of documents.
+
+Defined cases: a null or empty text is kept by the first four stages and has size 0 in the mix; rows without a doc_id are judged by
+their own text in the first and the fourth stage, and kept by the second and the third; rows that repeat a doc_id and its text are
+one document and share their fate, other texts of a doc_id are documents of their own; without labels of both classes no document
+is toxic; with an empty benchmark none is contaminated; columns besides doc_id, text, source and n_chars pass unread, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
