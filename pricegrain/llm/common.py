@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of all contracts: space and \t \n \v \f \r.
@@ -109,6 +110,20 @@ def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     return scratch.table(known.distinct().repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
 
 
+def places(scratch: Scratch, rows: DataFrame, order: list) -> DataFrame:
+    """rows with place (1, 2, 3 ... in the whole order): rows are dealt in ranges, sorted range by range, and each range starts where the rows of those before it end.
+
+    Rows should be a written table, as dealing them in ranges reads them twice. Only one number a range meets in one task.
+    """
+    dealt = scratch.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), 0)
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    row = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_before") + row + 1).drop("_part", "_at", "_before")
+
+
 # ---------------------------------------------------------------------------------------------- words in numpy
 
 _rng = np.random.default_rng(20240229)
