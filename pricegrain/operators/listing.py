@@ -69,25 +69,6 @@ def biggest_drops(listed: DataFrame, lows: DataFrame, k: int = 4) -> DataFrame:
     return drops.union(near).orderBy("mode", "key", "id").limit(k)
 
 
-def ranked_search(index: DataFrame, query: str, k: int = 8) -> DataFrame:
-    """The k best of index (name, search, brand, ord) for a query, with score and place.
-
-    Every token must occur in the spaced or the compact search text. Scores: 1000 if a token is the brand, 500 if the name
-    begins with the whole query or else 300 if with its first token, less the tokens' places. Ties: the shorter name, then ord.
-    """
-    tokens = T.search_tokens(query)
-    if not tokens:
-        return index.withColumn("score", F.lit(0)).withColumn("place", F.lit(0)).where(F.lit(False))
-    hit = index.where(T.matches_query(query, F.col("search")))
-    brand = T.let(T.search_text(F.col("brand")), lambda b: F.when((b != "") & b.isin(tokens), 1000).otherwise(0))
-    start = T.let(T.search_text(F.col("name")), lambda n: F.when(F.startswith(n, F.lit(" ".join(tokens))), 500).when(F.startswith(n, F.lit(tokens[0])), 300).otherwise(0))
-    place = lambda s, c: reduce(lambda a, b: a + b, [F.when(F.instr(s, t) > 0, F.instr(s, t)).otherwise(F.instr(c, t)) - 1 for t in tokens])
-    places = T.let(T.search_text(F.col("search")), lambda s: T.let(T.compact(F.col("search")), lambda c: place(s, c)))
-    scored = hit.withColumn("score", brand + start - places)
-    top = scored.orderBy(F.desc("score"), F.length("name"), "ord").limit(k)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.length("name"), "ord")))
-
-
 def majority_category(results: DataFrame) -> DataFrame:
     """One row: ssd if more results are ssd than not, else ram."""
     ssd = F.count_if(F.col("category") == "ssd")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as X
-from ..operators import catalog, listing, resolve, series
+from ..operators import catalog, listing, resolve, search, series
 from . import tables as T
 from .tables import AS_OF, D_SQL, H_SQL, NOW_SQL, O_SQL, P_SQL
 
@@ -227,24 +228,54 @@ PLACE = " + ".join(f"(CASE WHEN strpos(s, '{t}') > 0 THEN strpos(s, '{t}') ELSE
 INDEX_SQL = f"""i AS (SELECT doc_id, source, lang, text, {NORMAL} AS s FROM documents), j AS (SELECT *, regexp_replace(s, '\\s+', '', 'g') AS c FROM i)"""
 
 
-def _index(spark, sf) -> DataFrame:
+_BUILT: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(spark, sf) -> search.Index:
+    """The documents' index, built once a session for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT or not storage.exists(spark, _BUILT[key].path):
+        _BUILT[key] = search.build(_texts(spark, sf), storage.new_path(spark, "search"))
+    return _BUILT[key]
+
+
+def _hits(spark, sf) -> DataFrame:
+    return search.found(_index(spark, sf), QUERY)
+
+
+def _texts(spark, sf) -> DataFrame:
     return T.read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("name"), F.col("text").alias("search"), F.col("source").alias("brand"), F.when(F.col("lang") == "en", "ram").otherwise("ssd").alias("category"))
 
 
 @query(f"""WITH {INDEX_SQL} SELECT doc_id FROM j WHERE {HIT}""")
 def search_filter(spark, sf) -> DataFrame:
-    return _index(spark, sf).where(X.matches_query(QUERY, F.col("search"))).select(F.col("ord").alias("doc_id"))
+    return _hits(spark, sf).select(F.col("ord").alias("doc_id"))
 
 
 @query(f"""WITH {INDEX_SQL}, k AS (SELECT doc_id, text, CASE WHEN source IN ('the', 'erth', 'thon') THEN 1000 ELSE 0 END + CASE WHEN starts_with(s, '{QUERY}') THEN 500 WHEN starts_with(s, 'the') THEN 300 ELSE 0 END - ({PLACE}) AS score FROM j WHERE {HIT})
 SELECT doc_id, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (ORDER BY score DESC, length(text), doc_id) AS INTEGER) AS place FROM k ORDER BY score DESC, length(text), doc_id LIMIT 8""")
 def search_rank(spark, sf) -> DataFrame:
-    return listing.ranked_search(_index(spark, sf), QUERY).select(F.col("ord").alias("doc_id"), F.col("score").cast("int").alias("score"), "place")
+    return search.ranked(_index(spark, sf), QUERY).select(F.col("ord").alias("doc_id"), F.col("score").cast("int").alias("score"), "place")
+
+
+MANY_SQL = rf"""{INDEX_SQL}, b AS (SELECT item_id AS query, list_filter(string_split_regex(regexp_replace(lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda t: t <> '') AS tokens FROM benchmark),
+m AS (SELECT query, tokens, j.* FROM b, j WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda t: NOT contains(c, t))) = 0),
+k AS (SELECT query, doc_id, text, CASE WHEN list_contains(tokens, source) THEN 1000 ELSE 0 END + CASE WHEN starts_with(s, array_to_string(tokens, ' ')) THEN 500 WHEN starts_with(s, tokens[1]) THEN 300 ELSE 0 END
+  - list_sum(list_transform(tokens, lambda t: CASE WHEN strpos(s, t) > 0 THEN strpos(s, t) ELSE strpos(c, t) END - 1)) AS score FROM m),
+r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(text), doc_id) AS place FROM k)"""
+
+
+@query(f"""WITH {MANY_SQL} SELECT query, doc_id, CAST(score AS INTEGER) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8""")
+def search_many(spark, sf) -> DataFrame:
+    """The first two words of every benchmark item, all searched at once."""
+    words = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    queries = T.read(spark, sf, "benchmark").select(F.col("item_id").alias("query"), search.tokens_of(words).alias("tokens"))
+    return search.ranked(_index(spark, sf), queries).select("query", F.col("ord").alias("doc_id"), F.col("score").cast("int").alias("score"), "place")
 
 
 @query(f"""WITH {INDEX_SQL} SELECT CASE WHEN count(*) FILTER (WHERE lang <> 'en') > count(*) FILTER (WHERE lang = 'en') THEN 'ssd' ELSE 'ram' END AS category FROM j WHERE {HIT}""")
 def majority_category(spark, sf) -> DataFrame:
-    return listing.majority_category(_index(spark, sf).where(X.matches_query(QUERY, F.col("search"))))
+    return listing.majority_category(_hits(spark, sf))
 
 
 @query()
