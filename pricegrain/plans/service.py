@@ -143,13 +143,59 @@ def pulse_class(spark, sf) -> DataFrame:
     return T.read(spark, sf, "events").where(v.isNotNull()).select("event_id", M.pulse_class(v).alias("class"), M.alert_prefill(v).cast("long").alias("prefill"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT key, id, r, TRUE AS accepted, [ts] AS times FROM e WHERE r = 1
+  UNION ALL SELECT key, id, r, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END
+  FROM (SELECT e.*, list_filter(w.times, lambda x: x > e.ts - INTERVAL 6 HOURS) AS kept FROM w JOIN e ON e.key = w.key AND e.r = w.r + 1))
+SELECT key, id, accepted FROM w""")
 def rate_limit_decisions(spark, sf) -> DataFrame:
-    """Three accepted events of a user in 6 hours. Each decision depends on earlier ones; tests/test_operators.py compares with a plain walk."""
+    """Three accepted events of a user in 6 hours."""
     e = T.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     return alerts.decided(e, 3, 360).select("key", "id", "accepted")
 
 
+#: Requests made of events (traps, bad emails and prices, unknown products), alerts and mails made of customers; each walk is a recursion.
+ADMIT_SQL = """q AS (SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS ip, event_id % 17 = 0 AS trap, event_id % 19 = 0 AS bot, 'u' || user_id || '@mail.test' AS email, event_id % 13 = 0 AS bad_email, event_id % 23 = 0 AS bad_price, event_id % 60 AS product FROM events),
+a AS (SELECT 'u' || (c_custkey % 100) || '@mail.test' AS email, c_custkey AS product_id, c_custkey % 3 <> 0 AS confirmed, c_custkey % 5 = 0 AS triggered, TIMESTAMP '2023-12-31' + to_hours(c_custkey % 96) AS created_at FROM customer),
+l AS (SELECT TIMESTAMP '2023-12-31' + to_hours(c_custkey % 96) AS sent_at FROM customer WHERE c_custkey % 4 = 0),
+ra AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, id) AS r FROM q WHERE NOT trap AND NOT bot),
+rw AS (SELECT ip, id, r, TRUE AS ok, [ts] AS times FROM ra WHERE r = 1
+  UNION ALL SELECT ip, id, r, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END FROM (SELECT ra.*, list_filter(rw.times, lambda x: x > ra.ts - INTERVAL 24 HOURS) AS kept FROM rw JOIN ra ON ra.ip = rw.ip AND ra.r = rw.r + 1)),
+t AS (SELECT q.*, CASE WHEN trap THEN 'honeypot_tripped' WHEN bot THEN 'turnstile_failed' WHEN NOT rw.ok THEN 'rate_limited' WHEN bad_email OR bad_price THEN 'invalid' WHEN p_partkey IS NULL THEN 'product_not_found' END AS first FROM q LEFT JOIN rw ON rw.id = q.id LEFT JOIN part ON p_partkey = product),
+v AS (SELECT email, count(*) AS live FROM a WHERE confirmed AND NOT triggered GROUP BY 1),
+x AS (SELECT t.email, ts, id, product, COALESCE(live, 0) >= 10 AS capped, a.email IS NOT NULL AS known, FALSE AS held FROM t LEFT JOIN v ON v.email = t.email LEFT JOIN a ON a.email = t.email AND a.product_id = t.product WHERE first IS NULL
+  UNION ALL SELECT email, created_at, NULL, product_id, FALSE, TRUE, TRUE FROM a WHERE NOT confirmed AND email IN (SELECT email FROM t WHERE first IS NULL)),
+ea AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, held DESC, id) AS r FROM x),
+ew AS (SELECT email, 0::BIGINT AS r, NULL::BIGINT AS id, ''::VARCHAR AS outcome, []::TIMESTAMP[] AS times, []::BIGINT[] AS let_in FROM ea WHERE r = 1
+  UNION ALL SELECT email, r, id, outcome, CASE WHEN outcome IN ('held', 'created') THEN list_append(kept, ts) ELSE kept END, CASE WHEN outcome = 'created' THEN list_append(let_in, product) ELSE let_in END
+  FROM (SELECT *, CASE WHEN held THEN 'held' WHEN len(kept) >= 3 THEN 'email_pending_cap' WHEN capped THEN 'email_active_cap' WHEN known OR list_contains(let_in, product) THEN 'deduped' ELSE 'created' END AS outcome
+    FROM (SELECT ea.*, ew.let_in, list_filter(ew.times, lambda y: y >= ea.ts - INTERVAL 48 HOURS) AS kept FROM ew JOIN ea ON ea.email = ew.email AND ea.r = ew.r + 1))),
+m AS (SELECT ts, ew.id FROM ew JOIN q ON q.id = ew.id WHERE outcome = 'created' UNION ALL SELECT sent_at, NULL FROM l),
+ma AS (SELECT *, row_number() OVER (ORDER BY ts, id IS NOT NULL, id) AS r FROM m),
+mw AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS id, FALSE AS sent, []::TIMESTAMP[] AS times
+  UNION ALL SELECT r, id, sent, CASE WHEN sent THEN list_append(kept, ts) ELSE kept END FROM (SELECT ma.*, list_filter(mw.times, lambda y: y >= ma.ts - INTERVAL 24 HOURS) AS kept, ma.id IS NULL OR len(kept) < 20 AS sent FROM mw JOIN ma ON ma.r = mw.r + 1))"""
+
+
+def _admission(spark, sf) -> DataFrame:
+    e, n, c = T.read(spark, sf, "events"), F.col("event_id"), T.read(spark, sf, "customer")
+    email = F.when(n % 13 == 0, "nobody").otherwise(F.concat(F.lit("\t U"), F.col("user_id").cast("string"), F.lit("@Mail.test\n")))
+    asked = e.select(
+        n.alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("ip"), F.when(n % 17 == 0, "x").otherwise("").alias("website"), (n % 19 != 0).alias("human"),
+        email.alias("email"), F.when(n % 23 == 0, "0.5").otherwise("100").alias("price"), F.concat(F.lit("P"), (n % 60).cast("string")).alias("product"),
+    )
+    k = F.col("c_custkey")
+    created = F.lit("2023-12-31").cast("timestamp") + F.make_dt_interval(F.lit(0), (k % 96).cast("int"))
+    table = c.select(F.concat(F.lit("u"), (k % 100).cast("string"), F.lit("@mail.test")).alias("email"), k.alias("product_id"), (k % 3 != 0).alias("confirmed"), (k % 5 == 0).alias("triggered"), created.alias("created_at"))
+    return alerts.admitted(asked, T.products(spark, sf).select("id", "sku"), table, c.where("c_custkey % 4 = 0").select(created.alias("sent_at")), rate=(3, 1440), send_cap=20)
+
+
+@query(f"""WITH RECURSIVE {ADMIT_SQL} SELECT t.id, COALESCE(first, CASE WHEN ew.outcome = 'created' THEN CASE WHEN sent THEN 'created_sent' ELSE 'created_breaker_deferred' END ELSE ew.outcome END) AS outcome,
+CASE WHEN first = 'invalid' THEN concat_ws(',', CASE WHEN bad_email THEN 'email_invalid' END, CASE WHEN bad_price THEN 'price_too_low' END) END AS errors FROM t LEFT JOIN ew ON ew.id = t.id LEFT JOIN mw ON mw.id = t.id""")
+def alert_admission(spark, sf) -> DataFrame:
+    """Every request decided through all limits: 3 an address a day, caps by email, 20 mails a day."""
+    return _admission(spark, sf).select("id", "outcome", F.array_join("errors", ",").alias("errors"))
+
+
 # ------------------------------------------------------------------------------------------------ the price batch
 
 

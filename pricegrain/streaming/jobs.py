@@ -15,9 +15,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import ship
+from ..operators.alerts import accepted
 
 DAY_US = 86_400_000_000
-PENDING_US = 2 * DAY_US
+PENDING_US, FIRED_US = 2 * DAY_US, 90 * DAY_US
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -67,44 +68,50 @@ def send_then_mark(due: DataFrame, send: Callable[[dict], bool], done: DataFrame
 
 
 class Limiter(StatefulProcessor):
-    """Accepts a request if fewer than limit accepted ones lie in (t - window, t]; only accepted times are state."""
+    """Accepts a request if fewer than limit accepted ones lie in (t - window, t]; only accepted times are state.
+
+    A timer of event time drops a key's state once a whole window has passed since its last accepted request, so keys that fall
+    silent leave nothing behind.
+    """
 
     def __init__(self, limit: int, window_minutes: int):
         self.limit, self.width = limit, window_minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("times", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [t[0] for t in self.times.get()] if self.times.exists() else []
         asked = pd.concat(list(rows)).sort_values(["us", "id"])
-        out = []
-        for us, i in zip(asked["us"], asked["id"], strict=True):
-            kept = [t for t in kept if t > us - self.width]
-            accepted = len(kept) < self.limit
-            if accepted:
-                kept.append(int(us))
-            out.append((key[0], int(i), int(us), accepted))
+        took = accepted(asked["us"].to_numpy(), kept, self.limit, self.width)
         if kept:
             self.times.put([(t,) for t in kept])
-        else:
+            if took.any():
+                self.handle.registerTimer((kept[-1] + self.width) // 1000 + 1)
+        yield pd.DataFrame({"key": key[0], "id": asked["id"], "us": asked["us"], "accepted": took})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = [t[0] for t in self.times.get()] if self.times.exists() else []
+        if kept and (kept[-1] + self.width) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
             self.times.clear()
-        yield pd.DataFrame(out, columns=["key", "id", "us", "accepted"])
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def limited(requests: DataFrame, limit: int = 3, window_minutes: int = 60) -> DataFrame:
-    """A stream of requests (key, id, ts) with accepted."""
-    rows = requests.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(limit, window_minutes), outputStructType="key string, id long, us long, accepted boolean", outputMode="Append", timeMode="None")
+def limited(requests: DataFrame, limit: int = 3, window_minutes: int = 60, late: str = "1 hour") -> DataFrame:
+    """A stream of requests (key, id, ts) with accepted; requests may come late by so much."""
+    rows = requests.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(limit, window_minutes), outputStructType="key string, id long, us long, accepted boolean", outputMode="Append", timeMode="EventTime")
 
 
 class AlertLife(StatefulProcessor):
     """pending -> confirmed -> triggered, by events of one alert; pending ones of more than 48 hours are gone, unsubscribed ones too.
 
-    A timer of event time ends a pending alert that no event follows, so its state doesn't stay for ever.
+    A timer of event time ends a pending alert that no event follows, and one that has fired is forgotten after 90 days, so neither
+    stays in state for ever. Confirmed alerts wait for their price and stay.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -127,6 +134,7 @@ class AlertLife(StatefulProcessor):
                 name, since = "confirmed", us
             elif event == "trigger" and name == "confirmed":
                 name, since = "triggered", us
+                self.handle.registerTimer((us + FIRED_US) // 1000 + 1)
             elif event == "unsubscribe":
                 name = None
             out.append((key[0], us, event, before or "none", name or "none"))
@@ -142,6 +150,8 @@ class AlertLife(StatefulProcessor):
         if name == "pending" and at - since > PENDING_US:
             self.state.clear()
             yield pd.DataFrame([(key[0], at, "expire", "pending", "none")], columns=["alert", "us", "event", "before", "after"])
+        if name == "triggered" and at - since > FIRED_US:
+            self.state.clear()
 
     def close(self) -> None:
         pass
