@@ -26,6 +26,7 @@ def append(old: DataFrame, new: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """New rows replace old ones of their key; columns that new rows lack keep the old values."""
     new = _once(new, keys, order)
+    new = new.select(*[c for c in new.columns if c in old.columns])
     missing = [c for c in old.columns if c not in new.columns]
     kept = old.join(new.select(*keys), keys, "left_anti")
     if missing:
@@ -39,10 +40,10 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: str
     return old.unionByName(inserted.select(*old.columns)), inserted
 
 
-def update(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with a key of changes take its other columns."""
-    cols = [c for c in changes.columns if c not in keys]
-    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
+def update(old: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows with a key of changes take its other columns; of a key's repeated changes the last by order counts, as in upsert."""
+    cols = [c for c in changes.columns if c not in keys and c in old.columns]
+    new = _once(changes, keys, order).select(*keys, *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
     joined = old.join(new, keys, "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in old.columns])
 

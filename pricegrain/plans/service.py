@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import money as M
 from ..functions import text as X
-from ..operators import alerts, batches, series, sinks
+from ..operators import alerts, batches, merges, series, sinks
 from . import tables as T
 from .prices import STATS_SQL
 from .tables import A_SQL, AS_OF, EVENTS_AS_OF, H_SQL, NOW_SQL, P_SQL
@@ -62,12 +63,19 @@ def expire_pending(spark, sf) -> DataFrame:
     return alerts.split_expired(T.alerts(spark, sf), AS_OF)[1].select("order_id", "line", "product_id", "target_price")
 
 
+def _table(spark, rows: DataFrame, *keys: str) -> merges.Table:
+    return merges.Table(spark, storage.new_path(spark, "table")).create(rows, list(keys), 16)
+
+
 @query("""SELECT p_partkey AS id, p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0""")
 def upsert_merge(spark, sf) -> DataFrame:
-    """Every third part is missing from the old table; every second has a new price, without a brand for those the table knows."""
+    """Every third part is missing from the old table; every second has a new price, said twice, without a brand for those the table knows."""
     p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
-    known = sinks.upsert(p.where("id % 3 <> 0"), p.where("id % 2 = 0 and id % 3 <> 0").select("id", (F.col("price") * 2).alias("price")), ["id"])
-    return sinks.upsert(known, p.where("id % 2 = 0 and id % 3 = 0").withColumn("price", F.col("price") * 2), ["id"])
+    table = _table(spark, p.where("id % 3 <> 0"), "id")
+    priced = p.where("id % 2 = 0 and id % 3 <> 0").select("id", F.explode(F.array(F.struct((F.col("price") * 5).alias("price"), F.lit(1).alias("at")), F.struct((F.col("price") * 2).alias("price"), F.lit(2).alias("at")))).alias("x"))
+    table.upsert(priced.select("id", "x.price", "x.at"), order="at")
+    table.upsert(p.where("id % 2 = 0 and id % 3 = 0").withColumn("price", F.col("price") * 2))
+    return table.read()
 
 
 @query("""SELECT o_custkey AS email, l_partkey AS product_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O'""")
@@ -79,13 +87,19 @@ def insert_if_absent(spark, sf) -> DataFrame:
 @query("""SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 0.0::DOUBLE ELSE l_extendedprice END AS price FROM lineitem WHERE l_returnflag = 'R' OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def replace_by_key(spark, sf) -> DataFrame:
     rows = T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"), "l_returnflag")
-    return sinks.replace_by_key(rows.drop("l_returnflag"), rows.where("l_returnflag = 'R'").select("k", "line", F.lit(0.0).alias("price")), ["k"])
+    table = _table(spark, rows.drop("l_returnflag"), "k")
+    table.replace(rows.where("l_returnflag = 'R'").select("k", "line", F.lit(0.0).alias("price")))
+    return table.read()
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'confirmed' ELSE o_orderstatus END AS status FROM orders""")
 def keyed_update(spark, sf) -> DataFrame:
+    """Open orders become confirmed; each change comes three times."""
     rows = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    return sinks.update(rows, rows.where("status = 'P'").select("id", F.lit("confirmed").alias("status")), ["id"])
+    table = _table(spark, rows, "id")
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("status")) for n, s in enumerate(("asked", "mailed", "confirmed"))]))
+    table.update(rows.where("status = 'P'").select("id", steps.alias("x")).select("id", "x.status", "x.n"), order="n")
+    return table.read()
 
 
 @query("""SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01')""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +37,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = files(spark, path)
     fs.delete(at(path), True)
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows, run once and read from what was written; stored_at is where."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.stored_at = path  # type: ignore[attr-defined]
+    return out
