@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.money import percent_change
 from . import series
+from .blocks import neighbours
 
 ALIASES = {"wd": "western digital"}
 
@@ -84,19 +85,15 @@ def retailer_rows(offers: DataFrame) -> DataFrame:
 def related_products(priced: DataFrame, k: int = 3) -> DataFrame:
     """id, rid, place: the k others of a segment (null equals null) with the nearest price, ties by id.
 
-    A product's nearest prices are its neighbours when a segment is sorted by price, so the k rows before and after are
-    enough and no pair of the whole segment is made. Rows of equal price are numbered by id in both directions.
+    A segment's distinct prices, each with its k + 1 smallest ids, are placed in order by ranges; a price's nearest others lie among
+    the ids of the k prices before it, of the k after it, and its own. Blocks of prices share k rows with the blocks beside them, so
+    neither a segment nor a common price meets in one task, and no pair of the whole segment is made.
     """
-    seg = priced.select("id", "price", F.coalesce(F.concat(F.lit("s"), F.col("segment")), F.lit("n")).alias("segment"))
-    up = W.partitionBy("segment").orderBy("price", "id")
-    down = W.partitionBy("segment").orderBy("price", F.desc("id"))
-    row = F.struct("id", "price")
-    below = F.collect_list(row).over(down.rowsBetween(-k, -1))
-    above = F.collect_list(row).over(up.rowsBetween(1, k))
-    ties = W.partitionBy("segment", "price").orderBy("id")
-    n = F.row_number().over(ties)
-    lead_ties = seg.withColumn("n", n).where(F.col("n") <= k + 1).groupBy("segment", "price").agg(F.collect_list(row).alias("ties"))
-    around = seg.withColumn("b", below).withColumn("a", above).join(lead_ties, ["segment", "price"], "left")
-    near = around.select("id", "price", F.explode(F.array_distinct(F.concat("b", "a", "ties"))).alias("o")).where("o.id <> id")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.abs(F.col("o.price") - F.col("price")), "o.id"))
-    return near.withColumn("place", rank).where(F.col("place") <= k).select("id", F.col("o.id").alias("rid"), "place")
+    seg = priced.select("id", "price", "segment")
+    first = F.row_number().over(W.partitionBy("segment", "price").orderBy("id"))
+    prices = seg.withColumn("_r", first).where(F.col("_r") <= k + 1).groupBy("segment", "price").agg(F.collect_list(F.struct("price", "id")).alias("held"))
+    around = neighbours(prices, ["segment"], ["price"], F.col("held"), k).select(F.col("segment").alias("_s"), F.col("price").alias("_p"), F.flatten("near").alias("near"))
+    met = seg.join(around, F.col("segment").eqNullSafe(F.col("_s")) & (F.col("price") == F.col("_p")))
+    others = F.filter("near", lambda o: o["id"] != F.col("id"))
+    nearest = F.slice(F.array_sort(F.transform(others, lambda o: F.struct(F.abs(o["price"] - F.col("price")).alias("gap"), o["id"].alias("rid")))), 1, k)
+    return met.select("id", F.posexplode(nearest).alias("at", "o")).select("id", F.col("o.rid").alias("rid"), (F.col("at") + 1).alias("place"))

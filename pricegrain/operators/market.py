@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import percent_change, round1, round2, value_word
+from .blocks import medians
 
 
 def market_pulse(products: DataFrame, current: DataFrame, baseline: DataFrame, segments: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def excluded(products: DataFrame) -> DataFrame:
 def segment_value(products: DataFrame, current: DataFrame) -> DataFrame:
     """segment, median price per GB of products with a price and a capacity over 0."""
     priced = products.join(current.select(F.col("product_id").alias("id"), "price"), "id").where("capacity_gb > 0")
-    return priced.groupBy("segment").agg(F.median(F.col("price") / F.col("capacity_gb")).alias("median_per_gb"), F.count(F.lit(1)).alias("products"))
+    # prices per GB are nearly all distinct, so counters of them would grow with the segment: the middle is selected instead
+    return medians(priced, "segment", F.col("price") / F.col("capacity_gb")).select("segment", F.col("median").alias("median_per_gb"), F.col("n").alias("products"))
 
 
 def value_of_products(products: DataFrame, current: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.money import OUTLIER_FACTOR, PRICE_FLOOR, dollars, minutes_to_timestamp, pairs, percent_change, round2
+from . import blocks
 
 def by():
     return W.partitionBy("product_id")
@@ -77,16 +78,21 @@ def stats(series: DataFrame, as_of) -> DataFrame:
     )
 
 
+#: Days and minutes a block of a series: a carry along a product's series is worked out block by block.
+BLOCK_DAYS, BLOCK_MINUTES = 1024, 1024 * 1440
+
+
 def forward_filled(series: DataFrame) -> DataFrame:
     """A daily series whose gap days (price null) carry the last known price as out of stock; gaps before the first price go."""
-    known = F.last("price", ignorenulls=True).over(by().orderBy("day").rowsBetween(W.unboundedPreceding, 0))
-    return series.select("product_id", "day", known.alias("price"), F.col("price").isNotNull().alias("in_stock")).where("price is not null")
+    carried = blocks.last_known(series.select("product_id", "day", "price", F.col("price").isNotNull().alias("in_stock")), ["product_id"], F.floor(F.unix_date("day") / BLOCK_DAYS), ["day"], {"price": F.col("price")})
+    return carried.select("product_id", "day", "price", "in_stock").where("price is not null")
 
 
 def with_regular_price(series: DataFrame, as_of, trailing: int = 90) -> DataFrame:
     """Adds regular_price: the highest price in stock of the trailing days, the same for all rows of a product."""
-    recent = F.when(F.col("in_stock") & (F.col("day").cast("timestamp") >= at(as_of) - days(trailing)), F.col("price"))
-    return series.withColumn("regular_price", F.max(recent).over(by()))
+    recent = series.where(F.col("in_stock") & (F.col("day").cast("timestamp") >= at(as_of) - days(trailing)))
+    highest = recent.groupBy(F.col("product_id").alias("_p")).agg(F.max("price").alias("regular_price"))
+    return series.join(highest, F.col("product_id") == F.col("_p"), "left").drop("_p")
 
 
 def chart_key(day: Column, as_of) -> Column:
@@ -111,20 +117,35 @@ def gap_filled(points: DataFrame) -> DataFrame:
 
     A secondary point counts where the primary has no offer at that time, from the gap's start to before the next primary
     point; if the primary has no offer at all, the secondary series counts whole. Both series are sorted together and the
-    primary's last state carried forward, so no range join is needed.
+    primary's last state carried forward, block by block, so no range join is needed and no product is one task. Several
+    primary points of one minute: a gap if any is one.
     """
-    order = by().orderBy("km", "source")
-    state = F.last(F.when(F.col("source") == 0, F.col("cents") < 0), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    any_primary = F.max((F.col("source") == 0) & (F.col("cents") >= 0)).over(by())
-    p = points.withColumn("_gap", state).withColumn("_any", any_primary)
-    keep = F.when(~F.col("_any"), F.col("source") == 1).otherwise((F.col("source") == 0) | (F.coalesce(F.col("_gap"), F.lit(False)) & (F.col("cents") >= 0)))
-    return p.where(keep).drop("_gap", "_any")
+    states = points.where("source = 0").groupBy("product_id", "km").agg(F.bool_or(F.col("cents") < 0).alias("gap"))
+    moments = points.where("source = 1").select("product_id", "km").distinct().withColumn("source", F.lit(1)).withColumn("gap", F.lit(None).cast("boolean"))
+    both = states.select("product_id", "km", F.lit(0).alias("source"), "gap").unionByName(moments)
+    carried = blocks.last_known(both, ["product_id"], F.floor(F.col("km") / BLOCK_MINUTES), ["km", "source"], {"gap": F.col("gap")}).where("source = 1")
+    carried = carried.select(F.col("product_id").alias("_p"), F.col("km").alias("_k"), F.col("gap").alias("_gap"))
+    offers = points.where("source = 0 and cents >= 0").select(F.col("product_id").alias("_o")).distinct()
+    alone = points.where("source = 1").join(offers, F.col("product_id") == F.col("_o"), "left_anti")
+    filled = points.where("source = 1 and cents >= 0").join(offers, F.col("product_id") == F.col("_o"), "left_semi").join(carried, (F.col("product_id") == F.col("_p")) & (F.col("km") == F.col("_k"))).where("_gap").select(*points.columns)
+    return points.where("source = 0").join(offers, F.col("product_id") == F.col("_o"), "left_semi").unionByName(filled).unionByName(alone)
+
+
+def judged(points: DataFrame, floor: float = PRICE_FLOOR, factor: float = OUTLIER_FACTOR) -> DataFrame:
+    """points with outlier: a price (null: none) under floor or over factor times the product's median; no price is no outlier."""
+    middle = blocks.medians(points, "product_id", F.col("price")).select(F.col("product_id").alias("_p"), F.col("median").alias("_m"))
+    out = (F.col("price") < floor) | F.coalesce(F.col("price") > F.col("_m") * factor, F.lit(False))
+    return points.join(middle, F.col("product_id").eqNullSafe(F.col("_p")), "left").withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_p", "_m")
 
 
 def without_outliers(points: DataFrame, floor: float = PRICE_FLOOR, factor: float = OUTLIER_FACTOR) -> DataFrame:
     """Points whose price (null: none) is at least floor and at most factor times the product's median; points without a price stay."""
-    median = F.median("price").over(by())
-    return points.withColumn("_m", median).where(F.col("price").isNull() | ((F.col("price") >= floor) & (F.col("price") <= F.col("_m") * factor))).drop("_m")
+    return judged(points, floor, factor).where("not outlier").drop("outlier")
+
+
+def outlier_counts(points: DataFrame, floor: float = PRICE_FLOOR, factor: float = OUTLIER_FACTOR) -> DataFrame:
+    """product_id, primary and secondary (points of each source), dropped (outliers) of every product."""
+    return judged(points, floor, factor).groupBy("product_id").agg(F.count_if(F.col("source") == 0).alias("primary"), F.count_if(F.col("source") == 1).alias("secondary"), F.count_if("outlier").alias("dropped"))
 
 
 def parsed_history(products: DataFrame) -> DataFrame:

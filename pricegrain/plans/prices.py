@@ -157,6 +157,29 @@ def outlier_filter(spark, sf) -> DataFrame:
     return series.without_outliers(p, factor=1.25).select("product_id", "km", "price")
 
 
+def _provider_arrays(spark, sf) -> DataFrame:
+    """The two series of each product as the provider sends them: arrays in which minutes and cents alternate."""
+    flat = lambda k: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("source") == k, F.struct("km", "cents")))), lambda x: F.array(x["km"], x["cents"])))
+    return _two_series(spark, sf).groupBy("product_id").agg(flat(0).alias("primary"), flat(1).alias("secondary"))
+
+
+HISTORY_SQL = f"""{TWO_SQL}, y AS (SELECT product_id, km, source, CASE WHEN cents >= 0 THEN floor(cents::DOUBLE + 0.5) / 100 END AS price FROM v), z AS (SELECT *, median(price) OVER (PARTITION BY product_id) AS m FROM y)"""
+
+
+@query(f"""WITH {HISTORY_SQL} SELECT product_id, km, CAST(source AS INTEGER) AS source, price, TIMESTAMP '2011-01-01' + to_minutes(km) AS fetched_at FROM z WHERE price IS NULL OR (price >= 5 AND price <= m * 5)""")
+def parsed_history(spark, sf) -> DataFrame:
+    """Provider arrays to one series: pairs, gaps filled from the second series, outliers dropped. Minutes count from 2011."""
+    out = series.parsed_history(_provider_arrays(spark, sf))
+    return out.select("product_id", "km", F.col("source").cast("int").alias("source"), "price", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+
+
+@query(f"""WITH {HISTORY_SQL} SELECT product_id, count(*) FILTER (WHERE source = 0) AS "primary", count(*) FILTER (WHERE source = 1) AS secondary, count(*) FILTER (WHERE price < 5 OR price > m * 1.25::DOUBLE) AS dropped FROM z GROUP BY 1""")
+def outlier_counts(spark, sf) -> DataFrame:
+    """How many points each series gave and how many were dropped, with a factor of 1.25."""
+    p = series.gap_filled(_two_series(spark, sf)).withColumn("price", M.dollars(F.col("cents")))
+    return series.outlier_counts(p, factor=1.25)
+
+
 @query(f"""WITH {H_SQL}, {D_SQL} SELECT product_id, CAST(price AS DOUBLE) AS price, max(price) FILTER (WHERE day >= DATE '2001-04-01') OVER (PARTITION BY product_id) AS regular_price, true AS in_stock, strftime(day, '%Y-%m-%d') || ' 23:59:00' AS fetched_at
 FROM (SELECT product_id, day, price FROM (SELECT product_id, day, floor(floor(price * 100 + 0.5)::DOUBLE + 0.5) / 100 AS price FROM (SELECT h.product_id, CAST(fetched_at AS DATE) AS day, max(price) AS price FROM h GROUP BY 1, 2)))""")
 def backfill_rows(spark, sf) -> DataFrame:
