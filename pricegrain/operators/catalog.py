@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
+from .blocks import last_known, placed
 
 LEAST_PRICE = 15.0
 
@@ -48,38 +50,57 @@ def problems(products: DataFrame) -> DataFrame:
     return products.select("id", F.explode(found).alias("problem"))
 
 
+#: A slug that may be a number of another base: the base, and the number as it would be written.
+_NUMBERED = r"^(.+)-([2-9]|[1-9][0-9]{1,17})$"
+
+
+def _parent(slug: Column) -> Column:
+    """(base, n) of which the slug would be the n-th; null if it is no numbered one."""
+    n = F.regexp_extract(slug, _NUMBERED, 2)
+    return F.when(n != "", F.struct(F.regexp_extract(slug, _NUMBERED, 1).alias("base"), n.cast("long").alias("n")))
+
+
 def unique_slugs(products: DataFrame) -> DataFrame:
     """id, slug: the stored slug, else base, base-2, base-3 ... in id order, without any slug that is stored or taken in the category.
 
-    Which slug is free depends on the ones given before. Only products whose bases can meet need to be walked together: a
-    base and its numbered variants share the base without trailing numbers, so groups are (category, that stem), not
-    categories. products: id, category, base, slug (null: none stored).
+    products: id (unique), category, base, slug (null: none stored). A base's k-th product takes its k-th free number. A number is
+    not free if the slug is stored, or if it is a base itself whose first product comes before this base's products get that far.
+    Only such numbers are decided in rounds: each round counts the numbers known to be taken below each, finds the product that would
+    arrive there, and compares ids; a number's answer depends on smaller numbers and shorter bases only, so rounds end, as a rule
+    after two or three. Products are ranked by ranges and merged with the taken numbers in blocks, so a base of a million products
+    is spread over the tasks; what meets by base are the numbers in question.
     """
-
-    def walk(batches):
-        import pyarrow as pa
-
-        group, taken, count = object(), set(), {}
-        for batch in batches:
-            out = []
-            for g, base, slug in zip(batch.column("g").to_pylist(), batch.column("base").to_pylist(), batch.column("slug").to_pylist(), strict=True):
-                if g != group:
-                    group, taken, count = g, set(), {}
-                if slug is None:
-                    n = count.get(base, 1)
-                    slug = base if n == 1 else f"{base}-{n}"
-                    while slug in taken:
-                        n += 1
-                        slug = f"{base}-{n}"
-                    count[base] = n
-                taken.add(slug)
-                out.append(slug)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "slug"])
-
-    stem = F.regexp_replace(F.coalesce("slug", "base"), r"(-\d+)+$", "")
-    rows = products.select(F.concat_ws("|", "category", stem).alias("g"), F.col("id").cast("long").alias("id"), "base", "slug")
-    # stored slugs first, so that none is given away
-    return rows.repartition("g").sortWithinPartitions("g", F.col("slug").isNull(), "id").mapInArrow(walk, "id long, slug string")
+    rows = products.select(F.col("id").cast("long").alias("id"), "category", "base", "slug")
+    todo = storage.written(placed(rows.where("slug is null").select("id", "category", "base"), ["category", "base"], ["id"]), "slugs")
+    stored = rows.where("slug is not null").select("category", "slug").distinct()
+    firsts = todo.where("place = 1").select("category", F.col("base").alias("slug"), F.col("id").alias("first"))
+    claimed = firsts.join(stored.withColumn("stored", F.lit(True)), ["category", "slug"], "full").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    numbers = claimed.withColumn("_p", _parent(F.col("slug"))).where("_p is not null").select("category", F.col("_p.base").alias("base"), F.col("_p.n").alias("n"), "slug", "stored", "first")
+    numbers = numbers.unionByName(claimed.select("category", F.col("slug").alias("base"), F.lit(1).cast("long").alias("n"), "slug", "stored", "first"))
+    bases = firsts.select("category", F.col("slug").alias("base"))
+    numbers = numbers.join(bases, ["category", "base"], "left_semi")
+    # a base's own name is in question only if it is stored, or the number of a base that has products
+    contested = numbers.where("n > 1").select("category", "slug").distinct().withColumn("_asked", F.lit(True))
+    numbers = numbers.join(contested, ["category", "slug"], "left").where("n > 1 or stored or _asked").drop("_asked")
+    state = storage.written(numbers.withColumn("taken", F.col("stored") | (F.col("n") > 1)), "numbers")
+    by_base = W.partitionBy("category", "base").orderBy("n")
+    while True:
+        below = F.coalesce(F.sum(F.col("taken").cast("long")).over(by_base.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        arriving = state.withColumn("place", F.col("n") - below).join(todo.select("category", "base", "place", F.col("id").alias("comes")), ["category", "base", "place"], "left")
+        decided = arriving.where("n > 1").withColumn("now", F.col("stored") | F.col("comes").isNull() | F.coalesce(F.col("first") < F.col("comes"), F.lit(False)))
+        up = decided.select("category", "slug", (~F.col("now")).alias("lost")).groupBy("category", "slug").agg(F.bool_or("lost").alias("lost"))
+        own = arriving.where("n = 1").join(up, ["category", "slug"], "left").withColumn("now", F.col("stored") | F.coalesce("lost", F.lit(False)))
+        after = storage.written(decided.unionByName(own.drop("lost")).select(*[c for c in state.columns if c != "taken"], F.col("now").alias("taken"), (F.col("now") != F.col("taken")).alias("changed")), "numbers")
+        state = after.drop("changed")
+        if after.where("changed").isEmpty():
+            break
+    nth = F.row_number().over(by_base).cast("long")
+    gone = state.where("taken").withColumn("i", nth).select("category", "base", (F.col("n") - F.col("i") + 1).alias("pos"), F.lit(0).alias("kind"), F.col("i").alias("at"), "i", F.lit(None).cast("long").alias("id"))
+    mine = todo.select("category", "base", F.col("place").alias("pos"), F.lit(1).alias("kind"), F.col("id").alias("at"), F.lit(None).cast("long").alias("i"), "id")
+    merged = last_known(gone.unionByName(mine), ["category", "base"], F.floor(F.col("pos") / 4096), ["pos", "kind", "at"], {"i": F.col("i")}).where("kind = 1")
+    n = F.col("pos") + F.coalesce("i", F.lit(0))
+    made = merged.select("id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("slug"))
+    return made.unionByName(rows.where("slug is not null").select("id", "slug"))
 
 
 def disambiguated(products: DataFrame, group: list[str]) -> DataFrame:

@@ -84,9 +84,17 @@ def slug_base(spark, sf) -> DataFrame:
     return T.products(spark, sf).select("id", X.slug_of(F.lit("ram"), F.col("title"), F.col("brand")).alias("slug"), X.short_name(F.col("title"), F.col("brand")).alias("short"))
 
 
-@query()
+SLUG_SQL = """s AS (SELECT p_partkey AS id, p_type AS category, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', '-', 'g'), '-') AS base, p_partkey % 50 = 0 AS kept FROM part),
+t AS (SELECT category, list(DISTINCT base || '-2') AS taken FROM s WHERE kept GROUP BY 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS r FROM s WHERE NOT kept),
+w AS (SELECT e.category, 0::BIGINT AS r, NULL::BIGINT AS id, ''::VARCHAR AS slug, COALESCE(taken, []::VARCHAR[]) AS taken FROM e LEFT JOIN t ON t.category = e.category WHERE r = 1
+  UNION ALL SELECT category, r, id, slug, list_append(taken, slug) FROM (SELECT *, CASE WHEN NOT list_contains(taken, base) THEN base ELSE base || '-' || list_filter(range(2, len(taken) + 3), lambda n: NOT list_contains(taken, base || '-' || n))[1] END AS slug
+    FROM (SELECT e.*, w.taken FROM w JOIN e ON e.category = w.category AND e.r = w.r + 1)))"""
+
+
+@query(f"""WITH RECURSIVE {SLUG_SQL} SELECT id, slug FROM w WHERE r > 0 UNION ALL SELECT id, base || '-2' FROM s WHERE kept""")
 def slug_unique(spark, sf) -> DataFrame:
-    """Sequential by nature; tests/test_catalog.py compares with a plain walk."""
+    """Every fiftieth slug is stored, as the second of its base."""
     p = T.products(spark, sf).select("id", "category", X.slugify(F.concat_ws(" ", "brand", "name")).alias("base"), F.when(F.col("id") % 50 == 0, X.slugify(F.concat_ws(" ", "brand", "name", F.lit("2")))).alias("slug"))
     return catalog.unique_slugs(p)
 
