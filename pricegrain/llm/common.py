@@ -103,11 +103,11 @@ def word_count(text):
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Where an id has several rows: doc_id, text and number of each text of each id once; numbers keep the order of ids, then of texts. Else None."""
+    """Where an id has several rows: doc_id, text, copies (its rows) and number of each text of each id once; numbers keep the order of ids, then of texts. Else None."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
     if not known.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return None
-    return scratch.table(known.distinct().repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
+    return scratch.table(known.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
 
 
 def places(scratch: Scratch, rows: DataFrame, order: list) -> DataFrame:

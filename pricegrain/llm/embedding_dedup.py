@@ -6,17 +6,18 @@ rows compared. Rounds of NN-descent then refine it: at each vector its neighbour
 cosines are computed in double precision, and each takes over those that beat the worst entry of its list. A list whose
 last entry is itself a link is saturated and doubles its length in the next round. Rounds end when few lists change.
 
-A recall audit compares about AUDIT vectors with all rows: of each vector's true links the share that joins its component,
-averaged over the vectors that have links and, apart, over those with at most FEW of them, so large groups do not hide
-small ones. While either is under AIM, more rounds follow with TREES new trees and longer lists, TRIES times in all; if that
-does not suffice, all vectors are compared in blocks, and each pair of blocks gives the links that join its rows. Links
-form components; within each component all pairs are then checked in blocks of vectors, so counts of links are exact even
-where a list was cut. No pairs are written out for that.
+A recall audit compares about AUDIT vectors with all rows, and twice as many again and again until at least LEAST of them have links,
+all were looked at, or MOST were: of each vector's true links the share that joins its component, averaged over the vectors that
+have links and, apart, over those with at most FEW of them, so large groups do not hide small ones. While either is under AIM, more
+rounds follow with TREES new trees and longer lists, TRIES times in all; if that does not suffice, all vectors are compared in
+blocks, and each pair of blocks gives the links that join its rows. Where all were looked at and none has a link, none is sought.
+The recall measured last is returned. Links form components; within each component all pairs are then checked in blocks of
+vectors, so counts of links are exact even where a list was cut. No pairs are written out for that.
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components link with nothing and are their own
-component; vectors of different lengths link with nothing; rows that repeat a vec_id with an equal vector are one vector
-(with different ones: the class with the smaller hash counts); an empty table gives an empty result; columns besides vec_id
-and embedding are not read.
+component (one row an id); vectors of different lengths link with nothing; rows that repeat a vec_id with an equal vector are one
+vector, different vectors of a vec_id are vectors of their own, each with a row and its own links; rows without a vec_id link with
+nothing; an empty table gives an empty result; columns besides vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ TREES, BITS_LEAF, LEAF = 8, 64, 64
 K, REVERSE, ROUNDS = 8, 8, 3
 STOP = 0.01
 AUDIT, AIM = 200, 0.98
+#: How many audited vectors should have links, and how many are looked at in all to find them (their rows pass through the driver).
+LEAST, MOST = 50, 4096
 #: A vector with so many links or fewer is in a small group; tries before all vectors are compared.
 FEW, TRIES = 8, 3
 BLOCK, WHOLE_BLOCK = 1024, 2048
@@ -56,11 +59,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if x.size else x
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the vectors that can link."""
+def usable(vectors: DataFrame, yes: bool = True) -> DataFrame:
+    """vec_id, embedding of the vectors that can link, or of those that can't."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    return vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(F.coalesce(fine, F.lit(False))).select("vec_id", "embedding")
+    links = F.coalesce(F.expr("vec_id is not null and embedding is not null and size(embedding) > 0") & fine, F.lit(False))
+    return vectors.where(links if yes else ~links).select("vec_id", "embedding")
 
 
 def first_graph(reps: DataFrame, n: int, k: int = K, trees: int = TREES, first: int = 0) -> DataFrame:
@@ -174,29 +178,50 @@ def neighbour_graph(reps: DataFrame, n: int, scratch: Scratch, k: int = K, round
     return graph
 
 
-def recall(queries: list, reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST) -> list[tuple[int, int]]:
-    """For each query that has links: (those that lie in its component, all), by comparing each query with each row."""
-    spark = reps.sparkSession
-    ids = [q["vec_id"] for q in queries]
-    own = {r["id"]: r["component"] for r in placed.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "id long")), "id").collect()}
-    shared = spark.sparkContext.broadcast([(i, own.get(i), np.array(q["embedding"], dtype=np.float64)) for i, q in zip(ids, queries, strict=True)])
+def true_links(queries: list, reps: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
+    """a, b: each link of a query, by comparing the queries with each row."""
+    by_size: dict[int, tuple[list, list]] = {}
+    for q in queries:
+        x = np.array(q["embedding"], dtype=np.float64)
+        ids, xs = by_size.setdefault(len(x), ([], []))
+        ids.append(q["vec_id"]), xs.append(x / np.sqrt(x @ x))
+    shared = reps.sparkSession.sparkContext.broadcast([(np.array(ids), np.stack(xs)) for ids, xs in by_size.values()])
 
     def run(batches):
-        q = [(i, c, x / np.sqrt(x @ x)) for i, c, x in shared.value]
         for batch in batches:
-            listed, own_ids = batch.column("embedding"), batch.column("vec_id").to_numpy()
+            listed, own = batch.column("embedding"), batch.column("vec_id").to_numpy()
             sizes, x = np.diff(np.asarray(listed.offsets)), _matrix(listed)
-            out: tuple[list, list, list] = ([], [], [])
-            for i, c, y in q:
-                if x.shape[1] < len(y):
-                    continue
-                hit = own_ids[(x[:, : len(y)] @ y >= at_least) & (sizes == len(y)) & (own_ids != i)]
-                out[0].extend([i] * len(hit)), out[1].extend([c] * len(hit)), out[2].extend(hit.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "ca", "b"])
+            for ids, y in shared.value:
+                mine = np.flatnonzero(sizes == y.shape[1])
+                for at in range(0, len(ids), 512):
+                    i, j = np.nonzero(y[at : at + 512] @ x[mine, : y.shape[1]].T >= at_least)
+                    a, b = ids[at : at + 512][i], own[mine][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    return reps.select("vec_id", "embedding").mapInArrow(run, "a long, b long")
+
+
+def audit(reps: DataFrame, n: int, scratch: Scratch, at_least: float = AT_LEAST) -> tuple[DataFrame | None, bool]:
+    """(a, b: all links of audited vectors, whether every vector was looked at); None if no audited one has a link."""
+    part, whole = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1_000_000)), 1_000_000
+    low, high, looked, found = 0, min(whole, int(whole * AUDIT / max(1, n)) + 1), 0, None
+    while n:
+        queries = reps.where((part >= low) & (part < high)).select("vec_id", "embedding").limit(MOST).collect()
+        looked += len(queries)
+        if queries:
+            links = scratch.table(true_links(queries, reps, at_least), NARROW)
+            found = links if found is None else found.union(links)
+        if high >= whole or looked >= MOST or (found is not None and found.select("a").distinct().count() >= LEAST):
+            break
+        low, high = high, min(whole, 2 * high)
+    return (None if found is None or found.isEmpty() else found), looked >= n
+
 
-    true = reps.select("vec_id", "embedding").mapInArrow(run, "a long, ca long, b long")
-    row = true.join(placed.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").groupBy("a")
-    return [(r["got"], r["all"]) for r in row.agg(F.count_if(F.col("ca") == F.col("cb")).alias("got"), F.count(F.lit(1)).alias("all")).collect()]
+def recall(true: DataFrame, placed: DataFrame) -> list[tuple[int, int]]:
+    """For each audited vector with links: (those that lie in its component, all)."""
+    of = lambda x: placed.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    row = true.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a")
+    return [(r["got"], r["all"]) for r in row.agg(F.count_if(F.col("ca") == F.col("cb")).alias("got"), F.count(F.lit(1)).alias("all")).collect()]  # at most MOST rows
 
 
 def shares(found: list[tuple[int, int]], few: int = FEW) -> tuple[float, float]:
@@ -247,22 +272,28 @@ def all_links(reps: DataFrame, n: int, at_least: float = AT_LEAST, block: int =
     return groups.select("i", "j", "g").mapInArrow(run, "a long, b long")
 
 
-def connected(reps: DataFrame, n: int, scratch: Scratch, at_least: float = AT_LEAST) -> DataFrame:
-    """id, component of the vectors that have links, audited."""
-    share = min(1.0, AUDIT / max(1, n))
-    queries = reps.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec_id", "embedding").limit(2 * AUDIT).collect() if n else []
-    graph, placed = None, None
+def connected(reps: DataFrame, n: int, scratch: Scratch, at_least: float = AT_LEAST) -> tuple[DataFrame, float | None]:
+    """(id, component of the vectors that have links, the recall measured); None: no audited vector has a link."""
+    true, all_seen = audit(reps, n, scratch, at_least)
+    graph, placed, measured = None, None, None
+    if true is None and all_seen:
+        return reps.sparkSession.createDataFrame([], "id long, component long"), None
     for t in range(TRIES):
         graph = neighbour_graph(reps, n, scratch, K << t, at_least=at_least, start=graph, first=t * TREES)
         links = graph.where(F.col("sim") >= at_least).select(F.col("u").alias("a"), F.col("v").alias("b"))
         # what an earlier try joined stays joined
         placed = components(scratch, links if placed is None else links.union(placed.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        found = recall(queries, reps, placed, at_least) if queries else []
+        if true is None:
+            continue
+        found = recall(true, placed)
         every, few = shares(found)
+        measured = min(every, few)
         log.info("try %d, %d vectors: recall %.4f of %d audited vectors with links, %.4f of %d with at most %d", t + 1, n, every, len(found), few, sum(x[1] <= FEW for x in found), FEW)
-        if min(every, few) >= AIM:
-            return placed
-    return components(scratch, scratch.table(all_links(reps, n, at_least), NARROW))
+        if measured >= AIM:
+            return placed, measured
+    if true is None:
+        return placed, None
+    return components(scratch, scratch.table(all_links(reps, n, at_least), NARROW)), 1.0
 
 
 def count_links(reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST, block: int = BLOCK) -> DataFrame:
@@ -290,22 +321,31 @@ def count_links(reps: DataFrame, placed: DataFrame, at_least: float = AT_LEAST,
     return groups.select("i", "j", "g").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(vectors: DataFrame, scratch: Scratch, at_least: float = AT_LEAST) -> DataFrame:
-    """vec_id, n_links, component_id of each vector."""
+def audited(vectors: DataFrame, scratch: Scratch, at_least: float = AT_LEAST) -> tuple[DataFrame, float | None]:
+    """(vec_id, n_links, component_id of each vector, the recall measured or None)."""
     good = scratch.table(usable(vectors).withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding")), 50_000)
-    named = good.groupBy("vec_id").agg(F.min(F.struct("h", "h2")).alias("c")).select("vec_id", "c.h", "c.h2")
-    classes = scratch.table(named.groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), NARROW)
-    reps = good.join(classes, ["h", "h2"]).where("vec_id = rep").dropDuplicates(["vec_id"]).select("vec_id", "embedding", "copies")
+    named = good.select("vec_id", "h", "h2").distinct()
+    # a class of equal vectors gets a number of its own, as an id may be the smallest of several; numbers keep the order of ids
+    order = ("rep", "h", "h2")
+    classes = named.groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.table(scratch.table(classes, NARROW).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()))
+    reps = good.join(classes, ["h", "h2"]).where("vec_id = rep").dropDuplicates(["number"]).select(F.col("number").alias("vec_id"), "embedding", "copies")
     reps = scratch.table(reps, 50_000)
-    n = reps.count()
-    placed = connected(reps, n, scratch, at_least)
-    found = placed.select(F.col("id").alias("vec_id"), "component").join(count_links(reps, placed, at_least), "vec_id")
-    of_class = classes.join(found.withColumnRenamed("vec_id", "rep"), "rep", "left").select("h", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed, measured = connected(reps, reps.count(), scratch, at_least)
+    found = placed.select(F.col("id").alias("vec_id"), "component").join(count_links(reps, placed, at_least), "vec_id").withColumnRenamed("vec_id", "number")
+    first = classes.select(F.col("number").alias("component"), F.col("rep").alias("first"))
+    of_class = classes.join(found.join(first, "component"), "number", "left").select("h", "h2", F.coalesce("first", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     result = named.join(of_class, ["h", "h2"]).select("vec_id", "n_links", "component_id")
-    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
-    return rest.join(result, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = usable(vectors, False).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    return result.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))), measured
+
+
+def near_duplicates(vectors: DataFrame, scratch: Scratch, at_least: float = AT_LEAST) -> DataFrame:
+    """vec_id, n_links, component_id of each vector."""
+    return audited(vectors, scratch, at_least)[0]
 
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(read(spark, sf_dir, "embeddings"), Scratch(spark))
-    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
+    """Links of all vectors; recall: what the audit measured, null where no vector has a link."""
+    out, measured = audited(read(spark, sf_dir, "embeddings"), Scratch(spark))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id"))).withColumn("recall", F.lit(measured).cast("double"))

@@ -67,7 +67,8 @@ def _split(line: Column) -> Column:
 
 def slot_tiers(texts: DataFrame) -> Column:
     """One constant array: for each slot two tiers for each doubling of its hits over all words of texts; SLOTS numbers, whatever the input."""
-    words = lines_of(texts).select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
+    # lines don't matter here, so a text is split once
+    words = texts.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).count()
     tier = F.coalesce(F.least(F.floor(2 * F.log2(F.col("count").cast("double"))), F.lit(62)), F.lit(0)).cast("tinyint")
     every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(hits, "slot", "left").select("slot", tier.alias("tier"))

@@ -11,9 +11,10 @@ several components, those outside the largest are compared with all the others,
 copies never give all their pairs.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of 1 to 4 words has one shingle, the whole;
-null or empty texts have none and link with nothing; rows that repeat a doc_id with the same text are one document (with
-different texts: the row with the largest set counts); an empty table gives an empty result; columns besides doc_id and
-text are not read.
+null or empty texts have none and link with nothing; rows that repeat a doc_id with the same text are one document, other texts
+of a doc_id are documents of their own that link by themselves (each has a row, and its component is named by the smallest doc_id
+among the documents that it reaches); rows without a doc_id have no name to be linked by: they link with nothing, their component is
+null and they are kept; an empty table gives an empty result; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -178,11 +179,26 @@ def remaining_links(scratch: Scratch, pairs: DataFrame, placed: DataFrame, texts
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, held: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row."""
+    listed = numbered(docs, scratch)
+    if listed is None:
+        named = of_ids(docs.where("doc_id is not null"), scratch, per_cent)
+    else:
+        found = of_ids(listed.select(F.col("number").alias("doc_id"), "text"), scratch, per_cent, (listed,))
+        ids = listed.select(F.col("number").alias("component_id"), F.col("doc_id").alias("c"))
+        rows = listed.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("id"), "copies")
+        every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+        named = found.join(rows, "doc_id").join(ids, "component_id").select(F.col("id").cast("long").alias("doc_id"), "n_shingles", F.col("c").cast("long").alias("component_id"), every.alias("_row")).drop("_row")
+    nameless = sign(docs.where("doc_id is null")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return named.unionByName(nameless)
+
+
+def of_ids(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT, held: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """near_duplicates of documents with ids that name one text each."""
     signed = scratch.table(sign(docs), 50_000)
     classes = signed.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = scratch.table(classes.where("rep is not null"), NARROW)
+    classes = scratch.table(classes, NARROW)
     reps = signed.join(classes.where("n > 1").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"], "left").where("n_shingles > 0 and (rep is null or rep = doc_id)")
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
@@ -216,10 +232,10 @@ def keep_one(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> Dat
     """
     listed = numbered(docs, scratch)
     if listed is None:
-        found = near_duplicates(docs.where("doc_id is not null"), scratch, per_cent)
+        found = of_ids(docs.where("doc_id is not null"), scratch, per_cent)
         gone = found.where("component_id <> doc_id").select("doc_id").distinct()
         return docs.join(gone, "doc_id", "left_anti")
-    found = near_duplicates(listed.select(F.col("number").alias("doc_id"), "text"), scratch, per_cent, (listed,))
+    found = of_ids(listed.select(F.col("number").alias("doc_id"), "text"), scratch, per_cent, (listed,))
     gone = listed.join(found.where("component_id <> doc_id").select(F.col("doc_id").alias("number")), "number")
     gone = gone.select(F.struct("doc_id", "text").alias("key")).distinct()
     own = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", "text").alias("key"))
