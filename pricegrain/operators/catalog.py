@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as T
+from .batches import fitted
 from .blocks import last_known, placed
 
 LEAST_PRICE = 15.0
@@ -126,6 +127,15 @@ def page_meta(products: DataFrame, suffix: str, budget: int = 60) -> DataFrame:
     return told.select("id", F.concat(F.when(F.col("token").isNull(), F.col("_base")).otherwise(with_token), F.lit(suffix)).alias("title"))
 
 
+def page_descriptions(products: DataFrame, prefix: str, suffix: Column, target: int) -> DataFrame:
+    """id, description: prefix, the short name and suffix in about target characters, with a token where several products would share the whole."""
+    short = T.short_name(F.col("name"), F.col("brand"))
+    named = products.withColumn("_short", short).withColumn("_end", suffix)
+    text = lambda token: fitted(F.col("_short"), prefix, F.col("_end"), token, target)
+    told = disambiguated(named.withColumn("_whole", text(F.lit(None).cast("string"))), ["_whole"])
+    return told.select("id", text(F.col("token")).alias("description"))
+
+
 def manifest(pages: DataFrame, previous: DataFrame, build_date: str) -> DataFrame:
     """url, hash, lastmod: a page that has the hash it had keeps its date; pages that are gone drop out."""
     now = pages.select("url", T.content_hash(F.col("html")).alias("hash"))

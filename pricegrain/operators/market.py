@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import percent_change, round1, round2, value_word
+from ..functions.text import SEGMENT_LABELS
 from .blocks import medians
 
 
@@ -27,6 +28,12 @@ def market_pulse(products: DataFrame, current: DataFrame, baseline: DataFrame, s
     )
 
 
+def labelled(pulse: DataFrame) -> DataFrame:
+    """pulse with label, the segment's name for display; a segment without one shows as it is."""
+    names = F.create_map(*[F.lit(x) for pair in SEGMENT_LABELS.items() for x in pair])
+    return pulse.withColumn("label", F.coalesce(F.try_element_at(names, F.col("segment")), F.col("segment")))
+
+
 def excluded(products: DataFrame) -> DataFrame:
     """Products outside all segments, by category."""
     return products.groupBy("category").agg(F.count_if(F.col("segment").isNull()).alias("excluded"), F.count(F.lit(1)).alias("products"))

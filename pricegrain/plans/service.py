@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import money as M
 from ..functions import text as X
-from ..operators import alerts, batches, merges, series, sinks
+from ..operators import alerts, batches, catalog, merges, series, sinks
 from . import tables as T
 from .prices import STATS_SQL
 from .tables import A_SQL, AS_OF, EVENTS_AS_OF, H_SQL, NOW_SQL, P_SQL
@@ -258,8 +258,8 @@ def history_facts(spark, sf) -> DataFrame:
     return batches.history_facts(series.stats(series.daily(T.history(spark, sf)), AS_OF))
 
 
-@query(f"""WITH {P_SQL} SELECT id, 'Track the ' || brand || ' ' || name || ' ' || capacity_gb || 'GB price history. List price {MONEY_SQL.format("list_price").replace("'$' || ", "' || '$' || ")} || '.' AS description FROM p""")
+@query(f"""WITH {P_SQL}, b AS (SELECT *, brand || ' ' || name || ' ' || capacity_gb || 'GB' AS base FROM p)
+SELECT id, 'Prices of ' || base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN ' ' || right(sku, 4) ELSE '' END || ' over time' AS description FROM b""")
 def page_descriptions(spark, sf) -> DataFrame:
-    short = X.short_name(F.col("title"), F.col("brand"))
-    suffix = F.concat(F.lit(" price history. List price "), M.money(F.col("list_price")), F.lit("."))
-    return T.products(spark, sf).select("id", batches.fitted(short, "Track the ", suffix, F.lit(None).cast("string"), 156).alias("description"))
+    """One sentence a page; pages that would share one are told apart."""
+    return catalog.page_descriptions(T.products(spark, sf).withColumn("name", F.col("title")), "Prices of ", F.lit(" over time"), 120)

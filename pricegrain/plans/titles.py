@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import money as M
 from ..functions import text as X
 from ..operators import catalog, resolve, series
-from ..sources import feeds, seed
+from ..sources import feeds
 from . import tables as T
-from .entities import WORDS, _feed
+from .entities import HASH_SQL, WORDS, _feed
 from .tables import H_SQL, P_SQL
 
 QUERIES: dict = {}
@@ -188,24 +187,17 @@ def _rows(spark, sf) -> DataFrame:
 
 def _landed(spark, lines: DataFrame) -> str:
     """lines (value) as text files in the folder that all tasks share."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pricegrain-")
-    path = f"{folder.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    path = storage.new_path(spark, "feed")
     lines.write.text(path)
     return path
 
 
-def _quoted(c: str) -> Column:
-    return F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-
-
 @query(FEED_SQL)
 def feed_delimited(spark, sf) -> DataFrame:
-    """A feed written with semicolons and quotes, and read again; each file has the header."""
-    rows = _rows(spark, sf).select(F.concat_ws(";", *[_quoted(c) for c in ("n", "title", "price", "link", "stock")]).alias("value"))
-    header = spark.createDataFrame([("Item #;Product Name;Sale Price;Product URL;Availability",)], "value string")
-    return feeds.load_feed(spark, _landed(spark, header.union(rows).coalesce(1))).select("feed_sku", "name", "price", "in_stock")
+    """A feed written with semicolons and quotes, in as many files as there are tasks, each with the header, and read again."""
+    path = storage.new_path(spark, "feed")
+    _rows(spark, sf).toDF("Item #", "Product Name", "Sale Price", "Product URL", "Availability").write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(path)
+    return feeds.load_feed(spark, path).select("feed_sku", "name", "price", "in_stock")
 
 
 @query(FEED_SQL)
@@ -272,13 +264,7 @@ def database_rows(spark, sf) -> DataFrame:
     return feeds.database_rows(rows, ["sku", "brand", "price", "retailer"], "shop")
 
 
-@query("""SELECT * FROM (VALUES ('SEED-RAM-001', 'ddr5', 32, 289.99::DOUBLE), ('SEED-RAM-002', 'ddr5', 32, 319.99::DOUBLE), ('SEED-SSD-001', 'nvme_ssd', 2048, 259.99::DOUBLE)) AS s(sku, segment, capacity, price)""")
-def seed_rows(spark, sf) -> DataFrame:
-    return seed.seed_products(spark).select("sku", X.segment(F.col("category"), F.col("name")).alias("segment"), X.total_capacity_gb(F.col("name")).alias("capacity"), "price")
-
-
-@query("""SELECT url, html AS payload, sha256(html) AS hash FROM pages WHERE NOT regexp_matches(html, '\?v=|Last updated: |priceValidUntil|validFrom')""")
+@query(f"""WITH {HASH_SQL} SELECT pages.url, html AS payload, hash FROM pages JOIN h ON h.page_id = pages.page_id""")
 def page_rows(spark, sf) -> DataFrame:
-    """Pages as rows of url, payload and hash; pages without what changes on every build, so the hash is the text's own."""
-    pages = T.read(spark, sf, "pages").where(~F.col("html").rlike(r"\?v=|Last updated: |priceValidUntil|validFrom"))
-    return catalog.page_rows(pages)
+    """Every page as a row of url, payload and the hash of what doesn't change from build to build."""
+    return catalog.page_rows(T.read(spark, sf, "pages"))

@@ -83,3 +83,28 @@ def test_patient_fetch():
         provider.patient(once, ["a"], sleep=waits.append)
     with pytest.raises(TimeoutError):
         provider.patient(lambda ids: time.sleep(0.3), ["a"], attempts=2, timeout=0.05, sleep=lambda s: None)
+
+
+def test_parents_come_from_the_artifact_where_the_column_is_missing_or_empty(spark):
+    artifact = spark.createDataFrame([("s", "B1"), ("s", "B1")], "sku string, parent string")
+    own = spark.createDataFrame([("s", "B9"), ("t", None)], "sku string, parent string")
+    got = lambda d: sorted(((r["sku"], r["parent"]) for r in feeds.parent_of(d, artifact).collect()), key=str)
+    assert got(own) == [("s", "B9"), ("t", None)]
+    assert got(own.drop("parent")) == got(own.withColumn("parent", own["parent"].substr(99, 1)).replace("", None)) == [("s", "B1"), ("t", None)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pricegrain import storage
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(cluster)
+
+
+def test_segment_labels(spark):
+    from pricegrain.operators import market
+
+    d = spark.createDataFrame([("ddr5",), ("other",), (None,)], "segment string")
+    assert [r["label"] for r in market.labelled(d).collect()] == ["DDR5", "other", None]
