@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: White space of all contracts: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -22,15 +23,6 @@ NARROW = 250_000
 # ---------------------------------------------------------------------------------------------- tables
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pricegrain-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def ready(spark: SparkSession, rows: int = 1000) -> None:
     """Readies a session for tasks on texts: the package goes to the workers, and Arrow batches get fewer rows (with long texts the default of 10,000 takes much memory)."""
     from pricegrain import ship
