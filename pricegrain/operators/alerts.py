@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..functions import text as T
 from . import blocks
 from .series import at
@@ -123,6 +124,7 @@ def decided(requests: DataFrame, limit: int, window_minutes: int) -> DataFrame:
     a whole window are walked in different tasks. A walk holds at most limit times, whatever the length of its chunk.
     """
     width = window_minutes * 60_000_000
+    ship(requests.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, times = None, []
@@ -146,6 +148,7 @@ def _pending_decisions(rows: DataFrame, cap: int, hours: int) -> DataFrame:
     and the products that the walk let in, at most cap of them every so many hours.
     """
     width = hours * 3600 * 1_000_000
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, times, let_in = None, [], set()
@@ -186,6 +189,7 @@ def sendable(created: DataFrame, log: DataFrame, cap: int = SEND_CAP, hours: int
     whose mails are known to be sent; stretches that share no hour are different tasks' work.
     """
     hour, width = 3600 * 1_000_000, hours * 3600 * 1_000_000
+    ship(created.sparkSession)
     rows = created.select("id", "us", F.lit(False).alias("sure")).unionByName(log.select(F.lit(None).cast("long").alias("id"), "us", F.lit(True).alias("sure")))
     celled = rows.withColumn("cell", F.floor(F.col("us") / hour).cast("long"))
     counts = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
