@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import money as M
-from ..operators import catalog, listing, market, series
+from ..operators import catalog, listing, market, merges, series
+from ..streaming import jobs, pulse
 from . import tables as T
 from .tables import AS_OF, D_SQL, H_SQL, NOW_SQL, P_SQL
 
@@ -40,6 +42,26 @@ def market_pulse(spark, sf) -> DataFrame:
     return market.market_pulse(p, series.latest(h, AS_OF), series.nearest(h, *BASELINE), p.select("segment").distinct())
 
 
+@query(SQL["market_pulse"])
+def pulse_kept(spark, sf) -> DataFrame:
+    """market_pulse from counters that a stream keeps: the history lands in two parts, and each run goes on where the one before ended."""
+    h, p, folder = T.history(spark, sf), T.products(spark, sf), storage.new_path(spark, "pulse")
+    # one number that orders as (order, line, price in cents) does: 24 bits hold a line's price, 3 its number
+    order = F.shiftleft(F.shiftleft(F.col("id.l_orderkey").cast("long"), 3) + F.col("id.l_linenumber"), 24) + F.round(F.col("id.l_extendedprice") * 100).cast("long")
+    rows = h.join(p.select(F.col("id").alias("product_id"), "segment"), "product_id").select("product_id", "segment", "price", "fetched_at", order.alias("id"))
+    table = merges.Table(spark, f"{folder}/counters").create(spark.createDataFrame([], pulse.COUNTERS), pulse.KEYS)
+    jobs.with_state_store(spark)
+    since = None
+    for until in (BASELINE[0], AS_OF):
+        part = rows.where(F.col("fetched_at") <= F.lit(until)) if since is None else rows.where((F.col("fetched_at") > F.lit(since)) & (F.col("fetched_at") <= F.lit(until)))
+        tick = spark.createDataFrame([(-1, None, None, until, -1)], rows.schema)
+        part.union(tick).write.mode("append").parquet(f"{folder}/landed")
+        changes = pulse.price_changes(spark.readStream.schema(rows.schema).parquet(f"{folder}/landed"))
+        pulse.keep_counters(changes, table, f"{folder}/checkpoint").awaitTermination()
+        since = until
+    return pulse.pulse(table.read(), p.select("segment").distinct())
+
+
 @query("""SELECT p_type AS category, count(*) FILTER (WHERE p_size > 40) AS excluded, count(*) AS products FROM part GROUP BY 1""")
 def segment_exclusions(spark, sf) -> DataFrame:
     """Products above 40 GB count as outside all segments."""

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -63,3 +63,43 @@ def test_silent_pending_alerts_expire(spark, tmp_path):
     got = sorted((r["alert"], r["event"], r["before"], r["after"]) for r in run(spark, jobs.alert_lives(stream), tmp_path, "silent"))
     assert ("a", "expire", "pending", "none") in got and ("a", "create", "none", "pending") in got
     assert not [x for x in got if x[:2] == ("b", "expire")] and len([x for x in got if x[:2] == ("a", "create")]) == 2
+
+
+def test_pulse_at_each_watermark_equals_the_batch_query(spark, tmp_path):
+    """After every run the counters give market_pulse at the watermark, for readings, silence, segments and products that come and go."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pricegrain.operators import market, merges, series
+    from pricegrain.streaming import pulse
+
+    jobs.with_state_store(spark)
+    draw = random.Random(7)
+    start = datetime(2024, 1, 1)
+    schema = "product_id long, segment string, price double, fetched_at timestamp, id long"
+    rows = [(p, "abc"[p % 3] if p != 8 else None, float(draw.randint(10, 40)), start + timedelta(hours=6 * draw.randint(0, 160)), k) for k, p in enumerate(draw.choices(range(12), k=150))]
+    cuts = [start + timedelta(days=d) for d in (0, 9, 16, 17, 30, 48)]
+    segments = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "segment string")
+    table = merges.Table(spark, str(tmp_path / "counters")).create(spark.createDataFrame([], pulse.COUNTERS), pulse.KEYS, 4)
+    products = spark.createDataFrame([(p, "abc"[p % 3] if p != 8 else None) for p in range(12)], "id long, segment string")
+    history = spark.createDataFrame(rows, schema).drop("segment").cache()
+    for low, at in zip(cuts, cuts[1:], strict=False):
+        # the last row of each batch has no price and moves time only
+        part = [r for r in rows if (low < r[3] or low == start == r[3]) and r[3] <= at] + [(-1, None, None, at, -1)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes = pulse.price_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ago_days=10, within_days=3)
+        pulse.keep_counters(changes, table, str(tmp_path / "cp")).awaitTermination(120)
+        target = at - timedelta(days=10)
+        want = market.market_pulse(products, series.latest(history, at), series.nearest(history, target, target - timedelta(days=3), target + timedelta(days=3)), segments)
+        assert sorted(pulse.pulse(table.read(), segments).collect()) == sorted(want.collect()), at
+    assert table.read().where("n <= 0").count() == 0 and table.read().agg(F.sum("n")).first()[0] > 0
+
+
+def test_next_change_of_a_pulse_is_never_late():
+    from pricegrain.streaming.pulse import next_change, seen_at
+
+    readings = [(u, k, float(k), "a") for k, u in enumerate((3, 3, 9, 14, 30, 31))]
+    for at in range(80):
+        moment = next_change(readings, at, 20, 6) or 80
+        assert all(seen_at(readings, x, 20, 6) == seen_at(readings, at, 20, 6) for x in range(at, moment))
