@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 
 MIN_MEMBERS = MIN_CAPACITIES = 2
+#: Rows of one join key that meet in a task; a key of more is dealt to several.
+HOT = 4096
 
 
 def families(members: DataFrame, key: str) -> DataFrame:
@@ -62,20 +65,33 @@ def multiset_left(a: Column, b: Column) -> Column:
     return F.filter(a, lambda x: ~F.array_contains(b, x))
 
 
+def _dealt(one: DataFrame, many: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _part, so that their join on (on, _part) is their join on on: where many has more than HOT rows, it is dealt to parts and one is repeated for each."""
+    hot = many.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    one = one.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # by the row's values, as a random part would change when a lost task runs again
+    dealt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_parts"))).cast("int")
+    return one.drop("_parts"), many.join(hot, on, "left").withColumn("_part", dealt).drop("_parts")
+
+
 def near_misses(keys: DataFrame) -> DataFrame:
     """Pairs a < b of keys that differ in one token, on one side or on both, with token counts within 1.
 
     Keys that differ by one token agree once that token is left out, so each key is sent to itself and to its variants with
-    one distinct token (all its places) left out, and only keys that meet there are compared.
+    one distinct token (all its places) left out, and only keys that meet there are compared. A pair that meets in several
+    places counts at the smallest of them, so pairs need no second shuffle to be distinct; a place of many keys is many tasks.
     """
-    k = keys.select("key").distinct().withColumn("tokens", F.split("key", "-"))
+    k = keys.where("key is not null").select("key").distinct().withColumn("tokens", F.split("key", "-"))
     drops = F.transform(F.array_distinct("tokens"), lambda t: F.array_join(F.array_sort(F.array_distinct(F.filter("tokens", lambda x: x != t))), "-"))
     whole = F.array_join(F.array_sort(F.array_distinct("tokens")), "-")
-    sent = k.withColumn("at", F.explode(F.array_distinct(F.concat(F.array(whole), drops))))
-    a, b = sent.select("at", F.col("key").alias("a"), F.col("tokens").alias("ta")), sent.select("at", F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    left, right = F.size(multiset_left(F.col("ta"), F.col("tb"))), F.size(multiset_left(F.col("tb"), F.col("ta")))
-    close = (F.abs(F.size("ta") - F.size("tb")) <= 1) & (left <= 1) & (right <= 1) & (left + right >= 1)
-    return a.join(b, "at").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    sent = k.withColumn("places", F.array_distinct(F.concat(F.array(whole), drops))).select(F.explode("places").alias("at"), "key", "tokens", "places")
+    side = lambda x: sent.select("at", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "tokens", "places")])
+    a, b = _dealt(side("a"), side("b"), ["at"])
+    left, right = F.size(multiset_left(F.col("tokens_a"), F.col("tokens_b"))), F.size(multiset_left(F.col("tokens_b"), F.col("tokens_a")))
+    close = (F.abs(F.size("tokens_a") - F.size("tokens_b")) <= 1) & (left <= 1) & (right <= 1) & (left + right >= 1)
+    first = F.col("at") == F.array_min(F.array_intersect("places_a", "places_b"))
+    return a.join(b, ["at", "_part"]).where((F.col("key_a") < F.col("key_b")) & close & first).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
 # ------------------------------------------------------------------------------------------------ feeds
@@ -103,30 +119,54 @@ def match_by_part_number(products: DataFrame, feed: DataFrame, seller_word: str
     return best_candidate(ours.join(theirs, "_k").drop("_k"), seller_word)
 
 
+def _picture(tokens: Column) -> Column:
+    """One bit for each token, of 64: a set that holds another has all bits of its picture."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t)))
+
+
 def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newegg") -> DataFrame:
     """Feed rows of equal capacity and invariants whose tokens hold a product's whole line signature, ranked.
 
     The brand's first word must occur in the feed's brand, or without one in its name; a product without a brand skips that.
     A product meets only feed rows that hold the word of its signature which is rarest among those of its capacity and
-    invariants, not all of these.
+    invariants, not all of these. Where more than HOT rows hold even that word, it meets those that hold its two rarest words,
+    and rows of a pair that is still so frequent are dealt to several tasks. What meets is compared by pictures of the words
+    first; a feed row's other columns join the matches only.
     """
     key = ["category", "_cap", "_inv"]
     name = F.col("name")
     facts = lambda d: d.withColumn("_cap", T.total_capacity_gb(name)).withColumn("_inv", F.array_join(T.invariants(F.col("category"), name), "|"))
-    ours = facts(products).withColumn("_sig", T.line_signature(name, F.col("brand"))).where(F.size("_sig") > 0)
+    ours = facts(products).withColumn("_sig", F.array_distinct(T.line_signature(name, F.col("brand")))).where(F.size("_sig") > 0)
     first = F.lower(F.split_part(F.trim(F.coalesce("brand", F.lit(""))), F.lit(" "), F.lit(1)))
-    ours = ours.select(F.col("id").alias("product_id"), F.lit(None).cast("string").alias("our_mpn"), "category", "_cap", "_inv", "_sig", first.alias("_first"))
+    # titles are taken apart once and written: each side is asked several times, and a row's number has to stay
+    ours = storage.written(ours.select(F.col("id").alias("product_id"), *key, "_sig", _picture(F.col("_sig")).alias("_bits"), first.alias("_first")), "names")
     if "category" not in feed.columns:  # what the title says
         feed = feed.withColumn("category", F.when(T.has(name, "ddr"), "ram").when(T.has(name, "ssd|nvme"), "ssd"))
-    theirs = facts(feed)
-    theirs = theirs.withColumn("_tok", F.transform(T.title_tokens(name), F.lower)).withColumnRenamed("brand", "feed_brand").withColumnRenamed("name", "feed_name")
-    where = F.lower(T.first_filled(F.col("feed_brand"), F.col("feed_name")))
-    by_word = theirs.withColumn("_t", F.explode(F.array_distinct("_tok")))
-    held = by_word.groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    rare = ours.select("product_id", *key, F.explode("_sig").alias("_t")).distinct().join(held, [*key, "_t"], "left")
-    rare = rare.groupBy("product_id", *key).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_t")).alias("_x")).where("_x.n > 0").select("product_id", *key, F.col("_x._t").alias("_t"))
-    pairs = ours.join(rare, ["product_id", *key]).join(by_word, [*key, "_t"]).where(F.forall("_sig", lambda t: F.array_contains("_tok", t)) & ((F.col("_first") == "") | F.contains(where, F.col("_first"))))
-    return best_candidate(pairs.drop(*key, "_t", "_sig", "_tok", "_first"), seller_word)
+    theirs = facts(feed).withColumn("_tok", F.array_distinct(F.transform(T.title_tokens(name), F.lower))).withColumnRenamed("brand", "feed_brand").withColumnRenamed("name", "feed_name")
+    theirs = storage.written(theirs.withColumn("_where", F.lower(T.first_filled(F.col("feed_brand"), F.col("feed_name")))).withColumn("_row", F.monotonically_increasing_id()), "feed")
+    narrow = theirs.where("category is not null and _cap is not null and _inv is not null").select("_row", *key, "_tok", _picture(F.col("_tok")).alias("_has"), "_where")
+    held = storage.written(narrow.select(*key, F.explode("_tok").alias("_t")).groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n")), "words")
+    words = ours.select("product_id", *key, F.explode("_sig").alias("_t")).distinct().join(held, [*key, "_t"], "left")
+    rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_t").alias("t")))), 1, 2)
+    ours = ours.join(words.groupBy("product_id", *key).agg(rare.alias("_rare")), ["product_id", *key]).where("_rare[0].n > 0")
+    # a frequent rarest word leaves frequent words only, so the second one is among a row's frequent words too
+    often = F.col("_rare")[0]["n"] > HOT
+    pair = F.array_sort(F.transform("_rare", lambda x: x["t"]))
+    ours = ours.withColumn("_at", F.when(often, pair).otherwise(F.array(F.col("_rare")[0]["t"]))).drop("_rare")
+    met = narrow.withColumn("_at", F.explode(F.transform("_tok", lambda t: F.array(t))))
+    on = [*key, "_at"]
+    hot = held.where(F.col("_n") > HOT).groupBy(*key).agg(F.collect_set("_t").alias("_hot"))
+    if not hot.isEmpty():
+        frequent = narrow.join(hot, key).withColumn("_hot", F.array_sort(F.array_intersect("_tok", "_hot")))
+        pairs = F.flatten(F.transform("_hot", lambda t: F.transform(F.filter("_hot", lambda u: u > t), lambda u: F.array(t, u))))
+        met = met.unionByName(frequent.withColumn("_at", F.explode(pairs)).drop("_hot"))
+        ours = storage.written(ours, "asked")
+        ours, met = _dealt(ours, met.join(ours.select(*on).distinct(), on, "left_semi"), on)
+        on = [*on, "_part"]
+    holds = (F.col("_bits").bitwiseAND(F.bitwise_not("_has")) == 0) & F.forall("_sig", lambda t: F.array_contains("_tok", t)) & ((F.col("_first") == "") | F.contains("_where", F.col("_first")))
+    found = ours.join(met, on).where(holds).select("product_id", F.lit(None).cast("string").alias("our_mpn"), "_row")
+    return best_candidate(found.join(theirs.drop(*key, "_tok", "_where"), "_row").drop("_row"), seller_word)
 
 
 def matched_offers(products: DataFrame, feed: DataFrame, accepted: DataFrame | None = None, seller_word: str = "newegg") -> DataFrame:

@@ -171,3 +171,30 @@ def test_lookup_by_a_unique_key(spark):
     assert catalog.only_row(d.where("id = 9")) is None and catalog.only_row(d.where("id = 2"))["id"] == 2
     with pytest.raises(ValueError, match="several"):
         catalog.only_row(d)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_frequent_words_and_places_are_dealt_to_tasks(spark, monkeypatch, hot):
+    """Names and keys that nearly all share words, at every size of what counts as frequent, against all pairs."""
+    import random
+
+    monkeypatch.setattr(resolve, "HOT", hot)
+    draw = random.Random(3)
+    words = ["vengeance", "trident", "fury", "ripjaws", "royal"]
+    title = lambda some: " ".join(sorted(some)) + " 16GB DDR5"
+    ours = [(i, "ram", "Acme", "Acme " + title(draw.sample(words, draw.randint(1, 2)))) for i in range(12)]
+    theirs = [(f"N{i}", "Acme" if i % 4 else None, "ram", ("Acme " if i % 8 else "") + title(draw.sample(words, draw.randint(1, 4))), float(i), "shop", True, "", "u") for i in range(40)]
+    theirs += [theirs[5], ("N99", "Acme", None, None, 1.0, "shop", True, "", "u")]
+    products = spark.createDataFrame(ours, "id long, category string, brand string, name string")
+    feed = spark.createDataFrame(theirs, "feed_sku string, brand string, category string, name string, price double, seller string, in_stock boolean, mpn string, url string")
+    from collections import Counter
+
+    got = Counter((r["product_id"], r["feed_sku"]) for r in resolve.match_by_name(products, feed).collect())
+    want = Counter((o[0], t[0]) for o in ours for t in theirs if t[3] and set(o[3].split()[1:]) <= set(t[3].split()) and "acme" in (t[1] or t[3]).lower())
+    assert want and got == want
+
+    keys = sorted({"-".join(draw.choices("abcd", k=draw.randint(1, 4))) for _ in range(60)})
+    near = lambda x, y: (abs(len(x) - len(y)) <= 1, [t for t in x if t not in y], [t for t in y if t not in x])
+    pairs = [(x, y, *near(x.split("-"), y.split("-"))) for x in keys for y in keys if x < y]
+    found = spark.createDataFrame([(k,) for k in [*keys, keys[0], None]], "key string")
+    assert rows(resolve.near_misses(found), "a", "b") == sorted((x, y) for x, y, size, l, r in pairs if size and len(l) <= 1 and len(r) <= 1 and len(l) + len(r) >= 1)
