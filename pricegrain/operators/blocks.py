@@ -45,14 +45,14 @@ def runs(cells: DataFrame, keys: list[str], starts: Column, span: int = 1024) ->
 # ------------------------------------------------------------------------------------------------ places
 
 
-def placed(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+def placed(rows: DataFrame, groups: list[str], order: list[str], within: list[str] | None = None) -> DataFrame:
     """rows, written, with place (from 1) of each row in its group in the given order; null groups are groups, nulls come first.
 
-    All rows are dealt in ranges of (groups, order) and numbered range by range, so a group of any size is spread over the tasks. What
+    within: columns that settle ties of order, too long to cut ranges by (whole texts), as the ends of ranges pass the driver. All rows are dealt in ranges of (groups, order) and numbered range by range, so a group of any size is spread over the tasks. What
     meets in one task is one count a range, and what a group's first place is looked up by is (range, group), no hot key.
     """
     by = [F.asc_nulls_first(c) for c in [*groups, *order]]
-    dealt = storage.written(storage.written(rows, "rows").repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    dealt = storage.written(storage.written(rows, "rows").repartitionByRange(*by).sortWithinPartitions(*by, *[F.asc_nulls_first(c) for c in within or []]).withColumn("_at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_at", 33)
     sizes = dealt.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
