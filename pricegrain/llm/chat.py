@@ -2,18 +2,18 @@
 
 A window holds at most BUDGET tokens, all told: the conversation's system turn (its first turn, if a system turn), the last
 HISTORY turns before the span, repeated as far as they have HISTORY_TOKENS together, and the span's own turns, each with its
-template. What the system turn and the history leave is the conversation's room. Prefix sums of turn tokens choose the
-spans: a turn belongs to the cell of half the room in which its sum begins, so the turns of a cell, none longer than a cell,
-fill the room at most; a longer turn is a span of its own. Only a system turn or a single turn that is too long itself can make a
-window larger. Loss falls on the texts of assistant turns of the span alone; repeated turns carry none, so each target counts
-once.
+template. What the system turn and this history leave is the window's room. Prefix sums of turn tokens choose the spans: a span
+ends with the last turn whose sum still lies within the room, and the next one begins there, so windows of short turns are
+nearly full. Only a system turn or a single turn that is too long itself can make a window larger. Loss falls on the texts of
+assistant turns of the span alone; repeated turns carry none, so each target counts once.
 
 Template: `<turn ROLE>` TEXT `</turn>` newline, `<again ROLE>` for repeated turns. In roles and texts `\\`, `<`, `>` and newlines in
 roles are written with a backslash before (`\\n` for the newline), so no text can hold a control string, and reading back
 is exact.
 
-No conversation is gathered in one task to format it: ranges of RANGE turn numbers are summed, their offsets come from a
-window over these sums, and rows of a range are sorted together. Only the digests of op8 hold a conversation in one row.
+No conversation is gathered in one task to format it: turns take their places by ranges of the whole table, spans are chosen
+from the token counts of RANGE consecutive turns (a range begins a span; it knows the turns just before it), and each window
+meets its own turns alone. Only the digests of op8 hold a conversation in one row.
 
 Defined cases: null texts and roles are empty; turns follow turn (nulls first), role and text; a null conv_id is a
 conversation of its own; repeated rows are turns of their own; a single turn longer than the room stays whole; an empty
@@ -24,16 +24,20 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators import blocks
 from .common import Scratch, read
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-BUDGET, HISTORY, HISTORY_TOKENS, RANGE = 1024, 2, 192, 512
+BUDGET, HISTORY, HISTORY_TOKENS, RANGE = 1024, 2, 192, 4096
+#: Turns of equal number and role are dealt to tasks by so many characters of their texts.
+HEAD = 64
 _TURN = re.compile(r"<(turn|again) ((?:[^\\>]|\\.)*)>((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
 
@@ -81,33 +85,53 @@ def count_tokens(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return turns.mapInArrow(run, StructType([*turns.schema.fields, StructField("tokens", LongType())]))
 
 
+def spans(tokens: list[int], before: list[int], at: int, system: int, budget: int, history: int, history_tokens: int) -> list[tuple[int, int, int]]:
+    """(start, end, low) of the spans of consecutive turns: turns start to end - 1 are a window's own, those from low on are repeated before them.
+
+    tokens: of turns at, at + 1, ..., the first turn of a conversation being 0; before: of the turns just before; system: tokens of turn 0 if it is a system turn.
+    """
+    known, first = [*before, *tokens], at - len(before)
+    sums = np.cumsum([0, *tokens])
+    out, i = [], 0
+    while i < len(tokens):
+        low, left = at + i, history_tokens
+        while low > max(first, at + i - history, 1 if system else 0) and known[low - 1 - first] <= left:
+            low -= 1
+            left -= known[low - first]
+        room = max(budget - (system if at + i else 0) - (history_tokens - left), budget // 4)
+        end = max(i + 1, int(np.searchsorted(sums, sums[i] + room, side="right")) - 1)
+        out.append((at + i, at + end, low))
+        i = end
+    return out
+
+
 def windows(turns: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """ckey, conv_id, window, text, loss (array of start, end): every window of every conversation."""
+    """ckey, conv_id, window (the place of its first own turn), text, loss (array of start, end): every window of every conversation."""
     named = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("ckey"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = scratch.table(count_tokens(named, tokenizer), 20_000).withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**40))))
-    sums = rows.groupBy("ckey", "range").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "role", "text", "tokens")).alias("first"))
+    counted = count_tokens(named, tokenizer).withColumn("head", F.left("text", F.lit(HEAD)))
+    size = max(RANGE, history)
+    placed = blocks.placed(counted, ["ckey"], ["turn", "role", "head"], ["text"]).withColumn("k", F.col("place") - 1).withColumn("range", F.floor(F.col("k") / size))
+    sums = placed.groupBy("ckey", "range").agg(F.sort_array(F.collect_list(F.struct("k", "tokens")))["tokens"].alias("tokens"), F.max(F.when((F.col("k") == 0) & (F.col("role") == "system"), F.col("tokens"))).alias("system"))
+    sums = scratch.table(sums.withColumn("tail", F.slice("tokens", F.greatest(F.size("tokens") - history + 1, F.lit(1)), history)))
     by_range = W.partitionBy("ckey").orderBy("range")
-    before = by_range.rowsBetween(W.unboundedPreceding, -1)
-    first = F.first("first").over(by_range.rowsBetween(W.unboundedPreceding, 0))
-    sums = sums.select("ckey", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.when(first["role"] == "system", first["tokens"]).otherwise(0).alias("system"))
-    inner = W.partitionBy("ckey", "range").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    placed = rows.withColumn("k", F.row_number().over(inner)).withColumn("upto", F.sum("tokens").over(inner.rowsBetween(W.unboundedPreceding, 0)))
-    # the system turn takes no room: sums begin after it
-    cell = F.floor(F.greatest(F.lit(budget - history_tokens) - F.col("system"), F.lit(budget // 4)) / 2)
-    begin = F.greatest(F.col("t0") + F.col("upto") - F.col("tokens") - F.col("system"), F.lit(0))
-    alone = (F.col("tokens") > cell) & ~((F.col("k") == 1) & (F.col("system") > 0))
-    placed = placed.join(sums, ["ckey", "range"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("window", F.floor(begin / cell) * 2 + alone.cast("int"))
-    placed = scratch.table(placed.select("ckey", "conv_id", "k", "window", "role", "text", "tokens"), 20_000)
-    starts = placed.groupBy("ckey", "window").agg(F.min("k").alias("start")).where("start > 1")
-    # history, and the first turn, which goes to every window if it is a system turn
-    again = starts.select("ckey", "window", F.explode(F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), F.sequence(F.greatest(F.col("start") - history, F.lit(1)), F.col("start") - 1)))).alias("k"), F.greatest(F.col("start") - history, F.lit(1)).alias("low"))
-    again = again.join(placed.drop("window"), ["ckey", "k"]).withColumn("system", (F.col("k") == 1) & (F.col("role") == "system")).where("system or k >= low")
-    back = F.sum("tokens").over(W.partitionBy("ckey", "window", "system").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))
-    repeated = again.withColumn("back", back).where(F.col("system") | (F.col("back") <= history_tokens)).select("ckey", "conv_id", "window", "k", F.lit(True).alias("again"), "role", "text")
-    every = placed.select("ckey", "conv_id", "window", "k", F.lit(False).alias("again"), "role", "text").union(repeated)
+    known = sums.select("ckey", "range", F.coalesce(F.lag("tail").over(by_range), F.array().cast("array<long>")).alias("before"), F.coalesce(F.first("system").over(by_range.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).alias("system"))
+
+    def choose(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                for start, end, low in spans(row["tokens"], row["before"], row["range"] * size, row["system"], budget, history, history_tokens):
+                    again = [0] if row["system"] and start else []
+                    out += [(row["ckey"], start, k, False) for k in range(start, end)] + [(row["ckey"], start, k, True) for k in [*again, *range(low, start)]]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            names = ["ckey", "window", "k", "again"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
+
+    chosen = sums.select("ckey", "range", "tokens").join(known, ["ckey", "range"]).mapInArrow(choose, "ckey string, window long, k long, again boolean")
+    every = chosen.join(placed.select("ckey", "conv_id", "k", "role", "text"), ["ckey", "k"])
     grouped = every.groupBy("ckey", "window").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("k", "again", "role", "text"))).alias("turns"))
 
     def run(batches):

@@ -65,6 +65,33 @@ def test_round_trip_and_budget(spark, monkeypatch):
         assert own == mine and loss == [t for r, t in mine if r == "assistant"]
 
 
+def test_windows_of_short_turns_are_nearly_full(spark):
+    """Turns of up to 120 words: all windows but a conversation's last hold at least 85 % of the budget, and the next turn would not have fitted."""
+    r = random.Random(8)
+    words = ["price", "memory", "is", "faster", "the", "module"]
+    rows = [(c, t, "system" if t == 0 and c % 2 else "user" if t % 2 else "assistant", " ".join(r.choice(words) for _ in range(r.randint(1, 120))), 1, 2, 3) for c in range(10) for t in range(80)]
+    parts: dict = {}
+    for x in chat.windows(spark.createDataFrame(rows, SCHEMA), Scratch(spark)).collect():
+        parts.setdefault(x["conv_id"], []).append((x["window"], x["text"]))
+    sp = sentencepiece.SentencePieceProcessor(model_file=chat.TOKENIZER)
+    size = lambda turns: sum(len(sp.encode(chat.format_window([(False, role, t)])[0])) for _, role, t in turns)
+    fill = []
+    for mine in parts.values():
+        read = [chat.read_window(text) for _, text in sorted(mine)]
+        for here, after in zip(read[:-1], read[1:], strict=True):
+            fill.append(size(here) / chat.BUDGET)
+            assert fill[-1] <= 1 < fill[-1] + size([x for x in after if not x[0]][:1]) / chat.BUDGET
+    assert len(fill) > 50 and sum(fill) / len(fill) > 0.85
+
+
+def test_spans_at_range_ends():
+    """A range begins a span, and knows the turns before it."""
+    assert chat.spans([10] * 6, [], 0, 0, 40, 2, 15) == [(0, 4, 0), (4, 6, 3)]
+    assert chat.spans([10] * 6, [5, 10], 6, 0, 40, 2, 15) == [(6, 8, 4), (8, 11, 7), (11, 12, 10)]
+    assert chat.spans([12, 10, 99, 10], [], 0, 12, 40, 2, 15) == [(0, 2, 0), (2, 3, 1), (3, 4, 3)]
+    assert chat.spans([], [], 0, 0, 40, 2, 15) == []
+
+
 def test_query_equals_plain_digests(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
     said = "\\### Assistant: </turn> ok"
