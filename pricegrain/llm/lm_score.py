@@ -9,7 +9,8 @@ byte pieces, so each text has a positive probability.
 
 What is gathered from the corpus is the table of word counts, which grows with the input and stays distributed. Words are
 counted within each task before the shuffle. The HEAD most frequent words are broadcast (a fixed number); of each
-document only the other words are joined, so no frequent word is a hot key.
+document only the other words are joined, so no frequent word is a hot key. A word of any length takes bounded memory beside
+its own characters: it is walked in parts, and a part hands on the forward values of the places its pieces reach.
 
 Defined cases: A-Z is lower-cased; words are `[^\\x20\\x09-\\x0D]+`; a null or empty text is an end alone; each row is scored
 by itself and counts in training by itself, so ids may repeat; a row without an id is one to learn from; with no training text
@@ -18,6 +19,7 @@ all counts are 0 and the first weights stay; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -31,6 +33,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 200_000
 PASSES = 4
 SMOOTH = 0.05
+#: Words of more characters are walked one by one, so many characters at a time; of the others CELLS characters are walked together.
+LONG, CELLS = 2048, 1 << 20
 MARK = 0x2581
 _HIDDEN = 0x110001
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,11 +102,13 @@ class Lattice:
         size = ends - begins
         order = np.argsort(size, kind="stable")
         cut = np.flatnonzero(np.diff(size[order])) + 1
-        for places in np.split(order, cut):
-            n = int(size[places[0]])
-            block = codes[begins[places][:, None] + np.arange(n)[None, :]]
-            block = np.where(block == MARK, _HIDDEN, block)
-            yield places, np.concatenate([np.full((len(places), 1), MARK), block], axis=1)
+        for same in np.split(order, cut):
+            n = int(size[same[0]])
+            rows = max(1, CELLS // (n + 1))
+            for places in np.split(same, range(rows, len(same), rows)):
+                block = codes[begins[places][:, None] + np.arange(n)[None, :]]
+                block = np.where(block == MARK, _HIDDEN, block)
+                yield places, np.concatenate([np.full((len(places), 1), MARK), block], axis=1)
 
     def _bytes(self, codes: np.ndarray):
         """Distinct codes, the place of each code among them and the log probability of spelling it in bytes."""
@@ -120,14 +126,12 @@ class Lattice:
     def _edges(self, codes: np.ndarray):
         """For each length: piece at each start (or -1) and the log weight of the edge; the byte spelling apart."""
         rows, n = codes.shape
-        s = np.zeros((rows, n + 1), dtype=np.uint64)
-        for j in range(n):
-            s[:, j + 1] = s[:, j] * _BASE + (codes[:, j] + 1).astype(np.uint64)
-        ids, logs, power = [], [], np.uint64(1)
+        code, h = (codes + 1).astype(np.uint64), np.zeros((rows, n + 1), dtype=np.uint64)
+        ids, logs = [], []
         with np.errstate(over="ignore"):
             for size in range(1, min(n, self.longest) + 1):
-                power = power * _BASE
-                found = self._find(s[:, size:] - s[:, : n + 1 - size] * power)
+                h = h[:, : n + 1 - size] * _BASE + code[:, size - 1 :]
+                found = self._find(h)
                 ids.append(found)
                 logs.append(np.where(found >= 0, self.log_p[found], -np.inf))
         spelled, inverse, log_b = self._bytes(codes)
@@ -154,6 +158,9 @@ class Lattice:
         """Natural log of each word's probability, all segmentations summed."""
         out = np.zeros(len(words))
         for places, codes in self._groups(words):
+            if codes.shape[1] > LONG:
+                out[places] = [self._long(row) for row in codes]
+                continue
             _, logs, byte, _, _ = self._edges(codes)
             out[places] = self._forward(logs, byte)[:, -1]
         return out
@@ -162,6 +169,10 @@ class Lattice:
         """Expected uses of each piece over words with these counts."""
         total = np.zeros(self.n)
         for places, codes in self._groups(words):
+            if codes.shape[1] > LONG:
+                for place, row in zip(places, codes, strict=True):
+                    self._long(row, total, float(counts[place]))
+                continue
             ids, logs, byte, spelled, inverse = self._edges(codes)
             a = self._forward(logs, byte)
             rows, n = codes.shape
@@ -169,16 +180,72 @@ class Lattice:
             b[:, n] = 0
             for t in range(n - 1, -1, -1):
                 b[:, t] = self._sum([byte[:, t] + b[:, t + 1], *[logs[k - 1][:, t] + b[:, t + k] for k in range(1, min(n - t, len(logs)) + 1)]])
-            base = np.log(counts[places])[:, None] - a[:, -1:]
-            for k in range(1, len(ids) + 1):
-                hit = ids[k - 1] >= 0
-                use = np.exp((a[:, : n + 1 - k] + logs[k - 1] + b[:, k:] + base)[hit])
-                total += np.bincount(ids[k - 1][hit], weights=use, minlength=self.n)
-            use = np.bincount(inverse.ravel(), weights=np.exp(a[:, :-1] + byte + b[:, 1:] + base).ravel(), minlength=len(spelled))
-            for s, u in zip(spelled, use, strict=True):
-                np.add.at(total, self.byte_at[s], u)
+            self._add_uses(total, (ids, logs, byte, spelled, inverse), a, b, np.log(counts[places])[:, None] - a[:, -1:])
         return total
 
+    def _add_uses(self, total: np.ndarray, edges, a: np.ndarray, b: np.ndarray, base: np.ndarray) -> None:
+        """Adds to total the expected uses of each piece on edges, from the forward and backward values at all their ends."""
+        ids, logs, byte, spelled, inverse = edges
+        for k, (found, log) in enumerate(zip(ids, logs, strict=True), 1):
+            hit = found >= 0
+            use = np.exp((a[:, : log.shape[1]] + log + b[:, k : k + log.shape[1]] + base)[hit])
+            total += np.bincount(found[hit], weights=use, minlength=self.n)
+        n = byte.shape[1]
+        use = np.bincount(inverse.ravel(), weights=np.exp(a[:, :n] + byte + b[:, 1 : n + 1] + base).ravel(), minlength=len(spelled))
+        for s, u in zip(spelled, use, strict=True):
+            np.add.at(total, self.byte_at[s], u)
+
+    def _part(self, codes: np.ndarray, at: int):
+        """Edges that start in the LONG codes from at on, and for each start their (length, log weight)."""
+        n = min(LONG, len(codes) - at)
+        ids, logs, byte, spelled, inverse = self._edges(codes[None, at : at + n + self.longest - 1])
+        ids, logs, byte, inverse = [x[:, :n] for x in ids], [x[:, :n] for x in logs], byte[:, :n], inverse[:, :n]
+        steps: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for k, log in [(1, byte), *enumerate(logs, 1)]:
+            starts = np.flatnonzero(np.isfinite(log[0]))
+            for t, w in zip(starts.tolist(), log[0, starts].tolist(), strict=True):
+                steps[t].append((k, w))
+        return (ids, logs, byte, spelled, inverse), steps
+
+    @staticmethod
+    def _ahead(carried: list[float], steps: list[list[tuple[int, float]]]) -> list[float]:
+        """Forward values of a part's places and of those that its edges reach, from what came before."""
+        a = carried + [-math.inf] * len(steps)
+        for t, edges in enumerate(steps):
+            for k, w in edges:
+                a[t + k] = _plus(a[t + k], a[t] + w)
+        return a
+
+    def _long(self, codes: np.ndarray, total: np.ndarray | None = None, count: float = 1.0) -> float:
+        """Natural log of one long word's probability, walked in parts of LONG codes; with total, its expected uses are added to that.
+
+        From part to part go the forward values of the next longest + 1 places; the way back meets each part's first ones again.
+        """
+        carried, kept, starts = [0.0] + [-math.inf] * self.longest, [], range(0, len(codes), LONG)
+        for at in starts:
+            kept.append(carried)
+            _, steps = self._part(codes, at)
+            carried = self._ahead(carried, steps)[len(steps) :]
+        whole = carried[0]
+        if total is not None:
+            after = [0.0] + [-math.inf] * self.longest
+            for at, first in zip(reversed(starts), reversed(kept), strict=True):
+                edges, steps = self._part(codes, at)
+                b = [-math.inf] * len(steps) + after
+                for t in range(len(steps) - 1, -1, -1):
+                    for k, w in steps[t]:
+                        b[t] = _plus(b[t], b[t + k] + w)
+                self._add_uses(total, edges, np.array([self._ahead(first, steps)]), np.array([b]), np.array([[math.log(count) - whole]]))
+                after = b[: self.longest + 1]
+        return whole
+
+
+def _plus(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))"""
+    if x < y:
+        x, y = y, x
+    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
+
 
 def _tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
@@ -213,14 +280,15 @@ def count_words(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
 
 
 def _many(batches, column: str, size: int = 100_000):
-    """Words and counts of several batches together."""
-    words, counts = [], []
+    """Words and counts of several batches together, up to about size words or CELLS bytes."""
+    words, counts, held = [], [], 0
     for batch in batches:
         words += batch.column("word").to_pylist()
         counts.append(batch.column(column).to_numpy())
-        if len(words) >= size:
+        held += batch.column("word").nbytes
+        if len(words) >= size or held >= CELLS:
             yield words, np.concatenate(counts)
-            words, counts = [], []
+            words, counts, held = [], [], 0
     if words:
         yield words, np.concatenate(counts)
 

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import random
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -259,6 +260,33 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(uses, want)
 
 
+def test_long_words_walk_in_parts(monkeypatch):
+    """Parts of a few characters and blocks of a few words give what one walk of each whole word gives, forward and expected uses."""
+    pieces, weight, byte_at = lm_score.load_pieces()
+    lattice = lm_score.Lattice(pieces, byte_at, np.log(weight / weight.sum()))
+    r = random.Random(9)
+    words = ["".join(r.choice(["the", "ing", "ü", "\u2581", "\U0001f600", "zq", "a", "0"]) for _ in range(n)).encode() for n in (1, 2, 3, 7, 7, 40, 200, 200, 900)]
+    counts = np.arange(1.0, len(words) + 1)
+    want, uses = lattice.marginals(words), lattice.expected(words, counts)
+    for long, cells in ((1, 1), (5, 100), (64, 1 << 20)):
+        monkeypatch.setattr(lm_score, "LONG", long)
+        monkeypatch.setattr(lm_score, "CELLS", cells)
+        assert np.allclose(lattice.marginals(words), want, rtol=1e-12)
+        assert np.allclose(lattice.expected(words, counts), uses, rtol=1e-9)
+
+
+def test_a_word_of_a_million_characters_takes_bounded_memory():
+    pieces, weight, byte_at = lm_score.load_pieces()
+    lattice = lm_score.Lattice(pieces, byte_at, np.log(weight / weight.sum()))
+    one, two = lattice.marginals([b"abcde" * 20_000, b"abcde" * 40_000])
+    tracemalloc.start()
+    (much,) = lattice.marginals([b"abcde" * 200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the codes themselves take some 50 bytes a character; all forward values and edges at once would take ten times that
+    assert peak < 100e6 and math.isclose(much - two, 8 * (two - one), rel_tol=1e-6)
+
+
 @pytest.mark.parametrize("head", [0, 5, 10_000])
 def test_base_score_equals_brute_force(spark, docs, head):
     got = {r["doc_id"]: r for r in lm_score.score(docs, Scratch(spark), passes=1, head=head).collect()}
