@@ -9,6 +9,8 @@ from .. import storage
 from ..functions import money as M
 from ..functions import text as X
 from ..operators import alerts, batches, catalog, merges, series, sinks
+from ..sources import provider
+from ..streaming import jobs
 from . import tables as T
 from .prices import STATS_SQL
 from .tables import A_SQL, AS_OF, EVENTS_AS_OF, H_SQL, NOW_SQL, P_SQL
@@ -47,6 +49,29 @@ def alert_job_counters(spark, sf) -> DataFrame:
     return alerts.job_counters(a, now, p, AS_OF)
 
 
+@query(f"""WITH {ALERT_SQL} SELECT count(*) FILTER (WHERE order_id % 3 <> 0) AS sent, count(*) FILTER (WHERE order_id % 3 = 0) AS failed FROM (SELECT DISTINCT order_id, line FROM due)""")
+def alert_job_outcome(spark, sf) -> DataFrame:
+    """Mails to all hits, sent and marked in tasks by a sender that refuses every third order; hits of one order and line are one alert."""
+    a, now, p, lows = _parts(spark, sf)
+    due = alerts.hits(a, now, p, lows).select((F.col("order_id") * 10 + F.col("line")).cast("long").alias("id"), "order_id")
+    before = spark.createDataFrame([], "id long")
+    after = jobs.send_then_mark(due, lambda mail: mail["order_id"] % 3 != 0, before, storage.new_path(spark, "mails"))
+    return jobs.sent_counters(due, before, after)
+
+
+def _answers(ids: list[str]) -> list[dict]:
+    """What a provider would say; it doesn't know every id."""
+    return [{"asin": x, "digits": len(x)} for x in ids if not x.endswith("7")]
+
+
+@query("""SELECT CAST(l_partkey AS VARCHAR) AS asin, CAST(length(CAST(l_partkey AS VARCHAR)) AS BIGINT) AS digits FROM lineitem WHERE l_partkey % 10 <> 7 GROUP BY l_partkey""")
+def provider_lanes(spark, sf) -> DataFrame:
+    """Every part that was sold, asked for in three lanes."""
+    ids = T.read(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("asin"))
+    found = provider.fetched(ids, _answers, lanes=3, per_minute=0)
+    return found.select("asin", F.get_json_object("payload", "$.digits").cast("long").alias("digits"))
+
+
 @query(f"""WITH {A_SQL} SELECT email, count(*) FILTER (WHERE NOT confirmed AND created_at >= TIMESTAMP '2001-06-30' - INTERVAL 48 HOURS) AS pending, count(*) FILTER (WHERE confirmed AND NOT triggered) AS active,
 count(*) FILTER (WHERE NOT confirmed AND created_at >= TIMESTAMP '2001-06-30' - INTERVAL 48 HOURS) >= 3 OR count(*) FILTER (WHERE confirmed AND NOT triggered) >= 10 AS blocked FROM a GROUP BY 1""")
 def admission_caps(spark, sf) -> DataFrame:

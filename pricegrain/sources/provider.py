@@ -4,6 +4,9 @@ The provider gives out tokens at a rate and takes one for each id. Batches are p
 partitions: each batch has the time from which its tokens are there, counted from the start of the read, so tasks on many
 executors keep to the rate without a shared counter. A batch that is refused for want of tokens waits as long as the provider
 says and tries again; one that takes longer than the time limit does so after a pause.
+
+Where the ids are a table of any size, fetched() walks them in lanes: a lane is one task, which takes its batches in order at its
+share of the rate, so no more tasks wait for tokens than there are lanes, and no id passes the driver.
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import ship
+
 # fixed values: ids a call, tries, seconds a call may take, tokens a minute
 BATCH, ATTEMPTS, TIMEOUT, PER_MINUTE = 100, 3, 30.0, 20.0
 
@@ -120,5 +127,37 @@ class ProviderReader(DataSourceReader):
             yield product.get("asin"), json.dumps(product)
 
 
+def lane(batches: Iterator[pa.RecordBatch], fetch: Callable[[list[str]], list[dict]], bucket: TokenBucket | None, size: int = BATCH, attempts: int = ATTEMPTS, timeout: float = TIMEOUT) -> Iterator[pa.RecordBatch]:
+    """(asin, payload) of the ids of one lane, fetched size at a time, in order, each batch once its tokens are there; holds one batch of answers."""
+    waiting: list[str] = []
+
+    def call(ids: list[str]) -> pa.RecordBatch:
+        if bucket:
+            bucket.take(len(ids))
+        found = patient(fetch, ids, attempts, timeout)
+        return pa.RecordBatch.from_arrays([pa.array([x.get("asin") for x in found], pa.string()), pa.array([json.dumps(x) for x in found], pa.string())], ["asin", "payload"])
+
+    for batch in batches:
+        waiting += batch.column(0).to_pylist()
+        while len(waiting) >= size:
+            yield call(waiting[:size])
+            del waiting[:size]
+    if waiting:
+        yield call(waiting)
+
+
+def fetched(ids: DataFrame, fetch: Callable[[list[str]], list[dict]], lanes: int = 1, per_minute: float = PER_MINUTE, tokens: float = BATCH, size: int = BATCH, attempts: int = ATTEMPTS, timeout: float = TIMEOUT) -> DataFrame:
+    """asin, payload: what fetch gives for the distinct ids in column asin (null and empty ones are not asked for).
+
+    Each of lanes tasks has 1 / lanes of the rate and of the tokens that are there at the start, so that together they keep to the rate
+    however their work is spread; per_minute 0: no pacing. A lane that is lost begins anew, and pays for its ids again. tokens / lanes
+    should be a batch at least: until its first tokens have flowed in a lane waits.
+    """
+    ship(ids.sparkSession)
+    dealt = ids.select(F.col("asin").cast("string").alias("asin")).where("asin <> ''").distinct()
+    dealt = dealt.repartition(lanes, "asin").sortWithinPartitions("asin")
+    return dealt.mapInArrow(lambda batches: lane(batches, fetch, TokenBucket(per_minute / lanes, tokens / lanes) if per_minute else None, size, attempts, timeout), "asin string, payload string")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ProviderSource)

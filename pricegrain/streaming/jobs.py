@@ -67,6 +67,16 @@ def send_then_mark(due: DataFrame, send: Callable[[dict], bool], done: DataFrame
     return due.sparkSession.read.schema("id long").parquet(mark)
 
 
+def sent_counters(due: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: of the alerts that were due, how many a run sent (marked after it, not before) and how many failed (still not marked).
+
+    before, after: the marks (id) as they were read before and after the run; marks of other alerts don't count.
+    """
+    ids = due.select("id").distinct().join(before.select("id").distinct(), "id", "left_anti")
+    marked = ids.join(after.select("id").distinct().withColumn("marked", F.lit(True)), "id", "left")
+    return marked.agg(F.count_if("marked").alias("sent"), F.count_if(F.col("marked").isNull()).alias("failed"))
+
+
 class Limiter(StatefulProcessor):
     """Accepts a request if fewer than limit accepted ones lie in (t - window, t]; only accepted times are state.
 

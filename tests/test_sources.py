@@ -1,6 +1,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 
 from pricegrain.sources import feeds, provider
@@ -67,6 +68,25 @@ def test_batches_begin_when_their_tokens_are_there():
     assert provider.schedule(bucket, [100, 100, 50]) == pytest.approx([0, 300, 450])
 
 
+def test_lanes_keep_to_their_share_of_the_rate():
+    """A lane asks in order, a batch at a time, each once its tokens are there; short and empty lanes too."""
+    now, asked = [0.0], []
+    bucket = lambda: provider.TokenBucket(30, 3, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    fetch = lambda ids: asked.append((round(now[0], 6), ids)) or [{"asin": x} for x in ids if x != "c"]
+    rows = [pa.record_batch({"asin": x}) for x in (["a", "b"], [], ["c", "d", "e", "f", "g"])]
+    out = [b.to_pydict() for b in provider.lane(iter(rows), fetch, bucket(), size=3)]
+    assert asked == [(0, ["a", "b", "c"]), (6, ["d", "e", "f"]), (8, ["g"])]
+    assert [b["asin"] for b in out] == [["a", "b"], ["d", "e", "f"], ["g"]] and json.loads(out[0]["payload"][1]) == {"asin": "b"}
+    assert list(provider.lane(iter([]), fetch, None)) == []
+
+
+def test_fetched_asks_for_each_id_once(spark):
+    ids = spark.createDataFrame([(x,) for x in [*map(str, range(250)), "7", None, ""]], "asin string")
+    got = provider.fetched(ids, fetch, lanes=2, per_minute=0, size=40)
+    assert got.rdd.getNumPartitions() == 2 and sorted(r["asin"] for r in got.collect()) == sorted(map(str, range(250)))
+    assert provider.fetched(ids.limit(0), fetch, per_minute=0).count() == 0
+
+
 def test_patient_fetch():
     """Waits as long as the provider says, pauses after a slow call, gives up after the last try."""
     waits, answers = [], [provider.Shortage(7.5), TimeoutError(), [{"asin": "a"}]]

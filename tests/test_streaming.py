@@ -53,6 +53,14 @@ def test_send_then_mark(spark, tmp_path):
     assert sorted(r["id"] for r in again.collect()) == [1, 2]
 
 
+def test_sent_counters(spark):
+    """Repeated rows and marks count once, marks of earlier runs and of other alerts not at all."""
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    count = lambda *x: tuple(jobs.sent_counters(*x).first())
+    assert count(ids(1, 2, 2, 3, 4), ids(3), ids(3, 2, 2, 9)) == (1, 2)
+    assert count(ids(), ids(), ids(1)) == (0, 0) and count(ids(1), ids(), ids()) == (0, 1)
+
+
 def test_silent_pending_alerts_expire(spark, tmp_path):
     """An alert without further events ends when the stream's time has passed 48 hours; its state is gone."""
     jobs.with_state_store(spark)
