@@ -3,7 +3,7 @@
 A line is removed if an earlier line (smaller doc_id, or the same document and a smaller line number) has a set of words with
 Jaccard similarity of at least PER_CENT percent. Lines are judged on the input.
 
-Equal word sets form classes (128-bit hashes of the sorted sets); only classes are joined. Words are ordered by rarity: how
+Equal word sets form classes (a 64-bit hash of the sorted set, its 64-bit picture and its size); only classes are joined. Words are ordered by rarity: how
 often a word's slot (one of SLOTS counters) was hit in the whole corpus, and then by hash, which is one order for all lines.
 Two sets with similarity t share a word among the first n - ceil(t n) + 1 of either (prefix filter); for the shorter of the two
 n - ceil(2t / (1 + t) n) + 1 suffice. Pairs must also meet the length filter (m >= t n) and the positional filter: from the shared
@@ -41,6 +41,8 @@ HOT = 64
 FEW = 1_000_000
 #: What names a line: its document's id, a hash of the document's text, and its number there. A class is named by its first line.
 ID = ("d", "t", "l")
+#: What tells a word set: a 64-bit hash of it, its 64-bit picture and its size.
+SET = ("h", "bits", "n")
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -66,14 +68,14 @@ def _split(line: Column) -> Column:
 
 
 def slot_tiers(texts: DataFrame) -> Column:
-    """One constant array: for each slot two tiers for each doubling of its hits over all words of texts; SLOTS numbers, whatever the input."""
+    """One constant array: for each slot two tiers for each doubling of its hits over all words of texts, as top bits of a number; SLOTS numbers, whatever the input."""
     # lines don't matter here, so a text is split once
     words = texts.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).count()
     tier = F.coalesce(F.least(F.floor(2 * F.log2(F.col("count").cast("double"))), F.lit(62)), F.lit(0)).cast("tinyint")
     every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(hits, "slot", "left").select("slot", tier.alias("tier"))
     listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "tier"))), lambda x: x["tier"].cast("string")), ",").alias("tiers"))
-    return F.split(F.lit(listed.first()["tiers"]), ",").cast("array<tinyint>")
+    return F.transform(F.split(F.lit(listed.first()["tiers"]), ",").cast("array<long>"), lambda x: F.shiftleft(x, 57))
 
 
 def _hashes(line: Column) -> Column:
@@ -83,7 +85,7 @@ def _hashes(line: Column) -> Column:
 
 def _ordered(line: Column, tiers: Column) -> Column:
     """The distinct words of a line, the rarest first, as numbers: tier in the top bits, then the hash."""
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.coalesce(F.get(tiers, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0).cast("tinyint")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.coalesce(F.get(tiers, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def _least(n: Column, per_cent: int) -> Column:
@@ -91,10 +93,6 @@ def _least(n: Column, per_cent: int) -> Column:
     return F.floor((n * per_cent + 99) / 100).cast("int")
 
 
-def _set_id(s: Column) -> list[Column]:
-    return [F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2")]
-
-
 def classes(texts: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
     """Lines with the id of their word set, and each set once: its first line, how many lines have it, its picture and prefix."""
     sets = lines_of(texts).select(*ID, _ordered(F.col("line"), tiers).alias("s"))
@@ -102,9 +100,9 @@ def classes(texts: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = P
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
     picture = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
     # lines without words are left out after the write: a filter on the words would make Spark hash each line twice
-    lines = scratch.table(sets.select(*ID, *_set_id(F.col("s")), n.alias("n"), picture.alias("bits"), prefix.alias("prefix"))).where("n > 0")
-    once = lines.groupBy("h1", "h2").agg(F.min(F.struct(*ID)).alias("first"), F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
-    return lines, scratch.table(once.select("h1", "h2", "first.*", "lines", "n", "bits", "prefix"))
+    lines = scratch.table(sets.select(*ID, F.xxhash64("s").alias("h"), n.alias("n"), picture.alias("bits"), prefix.alias("prefix"))).where("n > 0")
+    once = lines.groupBy(*SET).agg(F.min(F.struct(*ID)).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("prefix").alias("prefix"))
+    return lines, scratch.table(once.select(*SET, "first.*", "lines", "prefix"))
 
 
 def _words(once: DataFrame, per_cent: int) -> DataFrame:
@@ -208,8 +206,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -
     texts = plain(docs)
     lines, once = classes(texts, slot_tiers(texts), scratch, per_cent)
     late = scratch.table(late_classes(texts, once, scratch, per_cent).withColumn("late", F.lit(True)), NARROW)
-    judged = once.join(late, list(ID), "left").where("lines > 1 or late").select("h1", "h2", F.struct(*ID).alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.select("h1", "h2", *ID).join(judged, ["h1", "h2"]).where(F.col("late") | (F.struct(*ID) != F.col("first")))
+    judged = once.join(late, list(ID), "left").where("lines > 1 or late").select(*SET, F.struct(*ID).alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+    gone = lines.select(*SET, *ID).join(judged, list(SET)).where(F.col("late") | (F.struct(*ID) != F.col("first")))
     out = scratch.table(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("l")).alias("gone")), NARROW)
     scratch.keep(out)
     return out
