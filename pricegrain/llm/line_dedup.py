@@ -74,8 +74,8 @@ def slot_tiers(texts: DataFrame) -> Column:
     hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).count()
     tier = F.coalesce(F.least(F.floor(2 * F.log2(F.col("count").cast("double"))), F.lit(62)), F.lit(0)).cast("tinyint")
     every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(hits, "slot", "left").select("slot", tier.alias("tier"))
-    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "tier"))), lambda x: x["tier"].cast("string")), ",").alias("tiers"))
-    return F.transform(F.split(F.lit(listed.first()["tiers"]), ",").cast("array<long>"), lambda x: F.shiftleft(x, 57))
+    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "tier"))), lambda x: F.shiftleft(x["tier"].cast("long"), 57).cast("string")), ",").alias("tiers"))
+    return F.split(F.lit(listed.first()["tiers"]), ",").cast("array<long>")
 
 
 def _hashes(line: Column) -> Column:
