@@ -127,7 +127,8 @@ def _is_mpn(c: Column) -> Column:
 
 def part_number(c: Column) -> Column:
     """The last bracketed text that can be a part number, else the last word, unless a short capital word before it says that it is cut."""
-    bracketed = F.filter(F.transform(all_found(c, r"\(([^)]+)\)", 1), F.trim), _is_mpn)
+    # not F.trim itself: transform would give it an element's place as the characters to trim
+    bracketed = F.filter(F.transform(all_found(c, r"\(([^)]+)\)", 1), lambda x: F.trim(x)), _is_mpn)
     words = F.filter(F.split(F.regexp_replace(c, r"[(),]", " "), S + "+"), lambda w: w != "")
     last, before = F.try_element_at(words, F.lit(-1)), F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit(""))
     return F.coalesce(F.try_element_at(bracketed, F.lit(-1)), F.when(_is_mpn(last) & ~before.rlike("^[A-Z]{1,3}$"), last))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -200,13 +200,20 @@ def retailer_rows(spark, sf) -> DataFrame:
     return listing.retailer_rows(own.union(o)).select("product_id", "retailer", "price", "in_stock", "place")
 
 
+def _six_digits(number: Column) -> Column:
+    """At least six digits; lpad alone would cut longer numbers, and parts would share one."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0"))
+
+
 def _feed(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Products whose titles end in a part number for two of three parts, and a feed of every second part in another form."""
     p = T.products(spark, sf)
-    number = F.concat(F.lit("CMK"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    digits = _six_digits(F.col("id"))
+    number = F.concat(F.lit("CMK"), digits)
     ours = p.select("id", F.lit("ram").alias("category"), "brand", F.when(F.col("id") % 3 != 0, F.concat("title", F.lit(" ("), number, F.lit(")"))).otherwise(F.col("title")).alias("name"))
     feed = p.where("id % 2 = 0").select(
-        F.concat_ws(" ", "title", F.lit("Gaming Memory")).alias("name"), F.when(F.col("id") % 5 != 0, F.lower(F.concat(F.lit("cmk-"), F.lpad(F.col("id").cast("string"), 6, "0")))).otherwise("").alias("mpn"),
+        F.concat_ws(" ", "title", F.lit("Gaming Memory")).alias("name"), F.when(F.col("id") % 5 != 0, F.lower(F.concat(F.lit("cmk-"), digits))).otherwise("").alias("mpn"),
         F.concat(F.lit("N"), F.col("id").cast("string")).alias("feed_sku"), "brand", F.col("list_price").alias("price"), F.lit("shop").alias("seller"), (F.col("id") % 4 == 0).alias("in_stock"), F.concat(F.lit("https://shop.test/"), F.col("id").cast("string")).alias("url"), F.lit("ram").alias("category"),
     )
     return ours, feed

@@ -123,3 +123,23 @@ def test_links(one):
 def test_content_hash(one):
     a, b = 'x?v=1 Last updated: now< "validFrom": "1"', 'x?v=22 Last updated: then< "validFrom": "2"'
     assert one(X.content_hash(F.col("c")), c=a) == one(X.content_hash(F.col("c")), c=b) != one(X.content_hash(F.col("c")), c="y")
+
+
+def test_part_numbers_in_any_bracket_are_whole(one):
+    assert one(X.part_number(F.col("c")), c="RAM 8GB (2x8GB) (CMK1001561)") == "CMK1001561"
+    assert one(X.part_number(F.col("c")), c="RAM (CMK000010 ) 8GB") == "CMK000010"
+
+
+def test_feed_numbers_past_six_digits(spark, tmp_path):
+    """Parts of a million and more keep their own numbers: none meets the part whose number begins like its own."""
+    import duckdb
+
+    from pricegrain.plans import entities
+
+    ids = (122222, 1222222, 1222223, 100156, 1001561, 1001560, 1001564)
+    rows = [(i, "plate", "Brand#6", "T", 16, 100.0) for i in ids]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in entities.part_number_match(spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(entities.SQL["part_number_match"]).fetchall()) and len(got) >= 2
