@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..functions import money as M
 from ..functions import text as X
 from ..operators import catalog, listing, resolve, search, series
 from . import tables as T
@@ -323,8 +324,8 @@ def _results(spark, sf) -> DataFrame:
     kind = F.when(F.col("id") % 11 == 0, " Portable SSD").when(F.col("id") % 13 == 0, " Cable").otherwise(" DDR5")
     return p.select(
         F.col("sku").alias("asin"), F.concat("title", kind).alias("name"), F.when(F.col("id") % 13 == 0, "ssd").otherwise("ram").alias("category"),
-        F.when(F.col("id") % 5 == 0, "").otherwise(F.format_string("%.2f USD", F.col("list_price") / 50)).alias("min_price"), F.lit(None).cast("string").alias("price"),
-        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.format_string("%.2f", F.col("list_price") / 64)).alias("max_price"), F.lit(0).alias("query_idx"), F.col("id").alias("pos"),
+        F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(M.fixed(F.col("list_price") / 50, 2), F.lit(" USD"))).alias("min_price"), F.lit(None).cast("string").alias("price"),
+        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(M.fixed(F.col("list_price") / 64, 2)).alias("max_price"), F.lit(0).alias("query_idx"), F.col("id").alias("pos"),
     )
 
 

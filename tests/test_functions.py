@@ -143,3 +143,35 @@ def test_feed_numbers_past_six_digits(spark, tmp_path):
     db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     got = sorted(tuple(r) for r in entities.part_number_match(spark, str(tmp_path)).collect())
     assert got == sorted(db.execute(entities.SQL["part_number_match"]).fetchall()) and len(got) >= 2
+
+
+def test_fixed_places_are_those_of_printf(spark):
+    """Exact halves go to even, what lies just beside a half does not count as one."""
+    import random
+
+    draw = random.Random(2)
+    values = [0.125, 0.375, -0.25, 14.125, 0.8125, 0.8135, 1.005, 2.675, 0.9995, 0.99951, 9.9999, -0.04, -0.0, 0.0, 1e-300, 123456789012.345, 2.0**52 + 0.5, 1e15 / 7]
+    values += [draw.uniform(-5, 5) for _ in range(3000)] + [draw.randrange(10**7) / 2000 for _ in range(3000)] + [draw.randrange(10**6) / 2**draw.randrange(12) for _ in range(3000)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in d.select("v", *[M.fixed(F.col("v"), n).alias(str(n)) for n in (1, 2, 3)]).collect():
+        assert [r[str(n)] for n in (1, 2, 3)] == [f"{r['v']:.{n}f}" for n in (1, 2, 3)]
+
+
+def test_texts_and_minutes_give_the_rows_of_their_sql(spark, tmp_path):
+    """Prices whose figures lie beside a half, and events in the last half millisecond of a minute and before 1970."""
+    from datetime import datetime
+
+    import duckdb
+
+    from pricegrain.plans import titles
+
+    parts = [(k, "n", "b", "t", size, price) for k, (size, price) in enumerate([(3, 90.9), (5, 1200.25), (7, 1199.75), (1, 46.625), (31, 939.45), (9, 1200.0), (2, 37.3 * 2)] + [(k % 50 + 1, 900 + k * 7.37) for k in range(2000)])]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    at = [datetime(2024, 1, 1, 0, 0, 59, us) for us in (999_499, 999_500, 999_600, 999_999, 0)] + [datetime(1969, 12, 31, 23, 59, 59, us) for us in (999_499, 999_500, 999_501)]
+    spark.createDataFrame(list(enumerate(at)), "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    for table in ("part", "events"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    for name in ("price_texts",):
+        got = sorted(tuple(r) for r in titles.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(db.execute(titles.SQL[name]).fetchall())
