@@ -130,8 +130,9 @@ def token_shapes(spark, sf) -> DataFrame:
 @query("""SELECT event_id, CAST(floor((epoch_ms(ts) - 1293840000000) / 60000) AS BIGINT) AS minutes, date_trunc('minute', ts) AS back FROM events""")
 def provider_minutes(spark, sf) -> DataFrame:
     t = F.col("ts").cast("timestamp")
-    m = M.timestamp_to_minutes(t)
-    return T.read(spark, sf, "events").select("event_id", m.alias("minutes"), M.minutes_to_timestamp(m).cast("timestamp_ntz").alias("back"))
+    # the way back is that of the minute the event lies in, though its last half millisecond counts as the next one
+    back = M.minutes_to_timestamp(M.timestamp_to_minutes(F.date_trunc("minute", t)))
+    return T.read(spark, sf, "events").select("event_id", M.timestamp_to_minutes(t).alias("minutes"), back.cast("timestamp_ntz").alias("back"))
 
 
 @query("""SELECT p_partkey AS id, greatest(1, CAST(floor(p_retailprice * 0.9::DOUBLE) AS BIGINT)) AS prefill, '$' || CASE WHEN p_retailprice / (p_size * 37.3::DOUBLE) >= 1 THEN printf('%.2f', p_retailprice / (p_size * 37.3::DOUBLE)) ELSE printf('%.3f', p_retailprice / (p_size * 37.3::DOUBLE)) END || '/GB' AS per_gb,

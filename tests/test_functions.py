@@ -172,6 +172,6 @@ def test_texts_and_minutes_give_the_rows_of_their_sql(spark, tmp_path):
     db = duckdb.connect()
     for table in ("part", "events"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
-    for name in ("price_texts",):
+    for name in ("price_texts", "provider_minutes"):
         got = sorted(tuple(r) for r in titles.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(db.execute(titles.SQL[name]).fetchall())
