@@ -71,3 +71,22 @@ def test_empty_index(spark):
     d = spark.createDataFrame([], "ord long, name string, search string, brand string")
     empty = search.build(d, storage.new_path(spark, "search"))
     assert search.ranked(empty, "ring").count() == 0 and search.found(empty, "a").count() == 0
+
+
+def test_a_text_is_read_once_for_all_its_queries(spark, index):
+    """Hits are not texts repeated for each query: the texts that many queries ask are as many as the texts, and ranking joins none of them."""
+    asked = spark.range(50).select(F.col("id").alias("query"), F.array(F.lit("ring")).alias("tokens"))
+    some = search._asked(index, asked)
+    assert some.count() == len([1 for _, t, _ in rows() if "ring" in (t or "").lower()]) and some.agg(F.max(F.size("_asked"))).first()[0] == 50
+    assert search.ranked(index, asked, 1).count() == 50
+
+
+@pytest.mark.parametrize("size", [1, 50, 4_000_000])
+def test_postings_are_sorted_in_pieces(spark, index, monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "SORTED", size)
+    texts = {5: "abcab", 4096: "abc", 7: "", 9: "zabc"}
+    batch = pa.RecordBatch.from_pydict({"ord": list(texts), "c": list(texts.values())})
+    got = sorted((r["gram"], r["part"], i) for b in search.postings_of(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist() for i in r["ids"])
+    assert got == sorted({((t + "$$")[k : k + 3], i // search.SPAN, i) for i, t in texts.items() for k in range(len(t))})
