@@ -111,3 +111,25 @@ def test_next_change_of_a_pulse_is_never_late():
     for at in range(80):
         moment = next_change(readings, at, 20, 6) or 80
         assert all(seen_at(readings, x, 20, 6) == seen_at(readings, at, 20, 6) for x in range(at, moment))
+
+
+def test_a_group_of_products_is_seen_as_each_alone():
+    import random
+
+    import numpy as np
+
+    from pricegrain.streaming import pulse
+
+    draw = random.Random(5)
+    rows = [(draw.randrange(6), draw.randrange(60), k, float(k), draw.choice(["a", None])) for k in draw.sample(range(200), 80)]
+    held = pulse.unpacked(pulse.packed(pulse.pd.DataFrame(rows, columns=pulse.SEEN.names), pulse.SEEN), pulse.SEEN)
+    for at in range(-2, 120):
+        alone = {p: [(u, i, v, s) for q, u, i, v, s in rows if q == p] for p in range(6)}
+        seen = {p: pulse.seen_at(r, at, 20, 6) for p, r in alone.items()}
+        newest, baseline = pulse.all_seen_at(held, at, 20, 6)
+        assert {held["product_id"][k]: held["id"][k] for k in newest} == {p: n[1] for p, (n, _) in seen.items() if n}
+        assert {held["product_id"][k]: held["id"][k] for k in baseline} == {p: b[1] for p, (_, b) in seen.items() if b}
+        moments = [m for m in (pulse.next_change(r, at, 20, 6) for r in alone.values()) if m is not None]
+        assert pulse.first_change(held, at, 20, 6) == min(moments, default=None)
+    none = pulse.unpacked(None, pulse.SEEN)
+    assert pulse.first_change(none, 0, 20, 6) is None and not any(map(np.size, pulse.all_seen_at(none, 0, 20, 6)))
