@@ -198,3 +198,20 @@ def test_frequent_words_and_places_are_dealt_to_tasks(spark, monkeypatch, hot):
     pairs = [(x, y, *near(x.split("-"), y.split("-"))) for x in keys for y in keys if x < y]
     found = spark.createDataFrame([(k,) for k in [*keys, keys[0], None]], "key string")
     assert rows(resolve.near_misses(found), "a", "b") == sorted((x, y) for x, y, size, l, r in pairs if size and len(l) <= 1 and len(r) <= 1 and len(l) + len(r) >= 1)
+
+
+def test_points_are_made_once(spark):
+    """Filling gaps and judging prices read their points several times, but work them out once."""
+    from pricegrain.operators import series
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    points = spark.createDataFrame([(1, 0, 600, 0), (1, 9, -1, 0), (1, 12, 700, 1), (1, 20, 90000, 0), (2, 3, 800, 1)], "product_id long, km long, cents long, source int")
+    priced = series.gap_filled(points.mapInArrow(count, points.schema)).withColumn("price", F.col("cents") / 100)
+    assert rows(series.outlier_counts(priced), "product_id", "primary", "secondary", "dropped") == [(1, 3, 1, 2), (2, 0, 1, 0)]
+    assert made.value == 5
