@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from .. import storage
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to all tasks: narrow rows that cost much each may lie in one small file, which is one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def last_known(rows: DataFrame, keys: list[str], block: Column, order: list[str], values: dict[str, Column]) -> DataFrame:
     """rows with columns that hold, for each of values, its last one that isn't null up to each row (null: none yet).
 

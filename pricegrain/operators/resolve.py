@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as T
+from . import blocks
 
 MIN_MEMBERS = MIN_CAPACITIES = 2
 #: Rows of one join key that meet in a task; a key of more is dealt to several.
@@ -129,31 +132,37 @@ def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newe
     """Feed rows of equal capacity and invariants whose tokens hold a product's whole line signature, ranked.
 
     The brand's first word must occur in the feed's brand, or without one in its name; a product without a brand skips that.
-    A product meets only feed rows that hold the word of its signature which is rarest among those of its capacity and
-    invariants, not all of these. Where more than HOT rows hold even that word, it meets those that hold its two rarest words,
-    and rows of a pair that is still so frequent are dealt to several tasks. What meets is compared by pictures of the words
-    first; a feed row's other columns join the matches only.
+    Each title is taken apart once, however many rows have it. Titles that say the same are a class, and classes are matched, not
+    rows: the work doesn't grow with the copies of a title on both sides. A class of products meets only classes of feed rows that
+    hold the word of its signature which is rarest among those of its capacity and invariants, not all of these. Where more than
+    HOT classes hold even that word, it meets those that hold its two rarest words, and classes of a pair that is still so
+    frequent are dealt to several tasks. What meets is compared by pictures of the words first. Feed rows are ranked once for a
+    class of products, as their order doesn't depend on the product.
     """
     key = ["category", "_cap", "_inv"]
     name = F.col("name")
     facts = lambda d: d.withColumn("_cap", T.total_capacity_gb(name)).withColumn("_inv", F.array_join(T.invariants(F.col("category"), name), "|"))
-    ours = facts(products).withColumn("_sig", F.array_distinct(T.line_signature(name, F.col("brand")))).where(F.size("_sig") > 0)
+    known = "category is not null and _cap is not null and _inv is not null"
     first = F.lower(F.split_part(F.trim(F.coalesce("brand", F.lit(""))), F.lit(" "), F.lit(1)))
-    # titles are taken apart once and written: each side is asked several times, and a row's number has to stay
-    ours = storage.written(ours.select(F.col("id").alias("product_id"), *key, "_sig", _picture(F.col("_sig")).alias("_bits"), first.alias("_first")), "names")
-    if "category" not in feed.columns:  # what the title says
-        feed = feed.withColumn("category", F.when(T.has(name, "ddr"), "ram").when(T.has(name, "ssd|nvme"), "ssd"))
-    theirs = facts(feed).withColumn("_tok", F.array_distinct(F.transform(T.title_tokens(name), F.lower))).withColumnRenamed("brand", "feed_brand").withColumnRenamed("name", "feed_name")
-    theirs = storage.written(theirs.withColumn("_where", F.lower(T.first_filled(F.col("feed_brand"), F.col("feed_name")))).withColumn("_row", F.monotonically_increasing_id()), "feed")
-    narrow = theirs.where("category is not null and _cap is not null and _inv is not null").select("_row", *key, "_tok", _picture(F.col("_tok")).alias("_has"), "_where")
+    titled = ["category", "brand", "name"]
+    ours = facts(blocks.spread(products.select(*titled).distinct())).where(known).withColumn("_sig", F.array_sort(F.array_distinct(T.line_signature(name, F.col("brand"))))).withColumn("_first", first)
+    ours, asked = _classes(ours.where(F.size("_sig") > 0), titled, [*key, "_sig", "_first"], "_class")
+    asked = asked.withColumn("_bits", _picture(F.col("_sig")))
+    shown = [c for c in titled if c in feed.columns]
+    theirs = feed.select(*shown).distinct()
+    if "category" not in shown:  # what the title says
+        theirs = theirs.withColumn("category", F.when(T.has(name, "ddr"), "ram").when(T.has(name, "ssd|nvme"), "ssd"))
+    theirs = facts(blocks.spread(theirs)).where(known).withColumn("_tok", F.array_sort(F.array_distinct(F.transform(T.title_tokens(name), F.lower)))).withColumn("_where", F.lower(T.first_filled(F.col("brand"), name)))
+    theirs, narrow = _classes(theirs, shown, [*key, "_tok", "_where"], "_group")
+    narrow = narrow.withColumn("_has", _picture(F.col("_tok")))
     held = storage.written(narrow.select(*key, F.explode("_tok").alias("_t")).groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n")), "words")
-    words = ours.select("product_id", *key, F.explode("_sig").alias("_t")).distinct().join(held, [*key, "_t"], "left")
+    words = asked.select("_class", *key, F.explode("_sig").alias("_t")).join(held, [*key, "_t"], "left")
     rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_t").alias("t")))), 1, 2)
-    ours = ours.join(words.groupBy("product_id", *key).agg(rare.alias("_rare")), ["product_id", *key]).where("_rare[0].n > 0")
-    # a frequent rarest word leaves frequent words only, so the second one is among a row's frequent words too
+    asked = asked.join(words.groupBy("_class").agg(rare.alias("_rare")), "_class").where("_rare[0].n > 0")
+    # a frequent rarest word leaves frequent words only, so the second one is among a class's frequent words too
     often = F.col("_rare")[0]["n"] > HOT
     pair = F.array_sort(F.transform("_rare", lambda x: x["t"]))
-    ours = ours.withColumn("_at", F.when(often, pair).otherwise(F.array(F.col("_rare")[0]["t"]))).drop("_rare")
+    asked = asked.withColumn("_at", F.when(often, pair).otherwise(F.array(F.col("_rare")[0]["t"]))).drop("_rare")
     met = narrow.withColumn("_at", F.explode(F.transform("_tok", lambda t: F.array(t))))
     on = [*key, "_at"]
     hot = held.where(F.col("_n") > HOT).groupBy(*key).agg(F.collect_set("_t").alias("_hot"))
@@ -161,12 +170,32 @@ def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newe
         frequent = narrow.join(hot, key).withColumn("_hot", F.array_sort(F.array_intersect("_tok", "_hot")))
         pairs = F.flatten(F.transform("_hot", lambda t: F.transform(F.filter("_hot", lambda u: u > t), lambda u: F.array(t, u))))
         met = met.unionByName(frequent.withColumn("_at", F.explode(pairs)).drop("_hot"))
-        ours = storage.written(ours, "asked")
-        ours, met = _dealt(ours, met.join(ours.select(*on).distinct(), on, "left_semi"), on)
+        asked = storage.written(asked, "asked")
+        asked, met = _dealt(asked, met.join(asked.select(*on).distinct(), on, "left_semi"), on)
         on = [*on, "_part"]
     holds = (F.col("_bits").bitwiseAND(F.bitwise_not("_has")) == 0) & F.forall("_sig", lambda t: F.array_contains("_tok", t)) & ((F.col("_first") == "") | F.contains("_where", F.col("_first")))
-    found = ours.join(met, on).where(holds).select("product_id", F.lit(None).cast("string").alias("our_mpn"), "_row")
-    return best_candidate(found.join(theirs.drop(*key, "_tok", "_where"), "_row").drop("_row"), seller_word)
+    found = asked.join(met, on).where(holds).select("_class", "_group")
+    rows = _of_class(feed, theirs, shown, "_group").drop("category").withColumnsRenamed({"brand": "feed_brand", "name": "feed_name"})
+    ranked = best_candidate(found.join(rows, "_group").drop("_group").withColumn("our_mpn", F.lit(None).cast("string")), seller_word, "_class")
+    mine = _of_class(products.select("id", *titled), ours, titled, "_class").select(F.col("id").alias("product_id"), "_class")
+    out = mine.join(ranked, "_class").select("product_id", "our_mpn", *[c for c in rows.columns if c != "_group"], "rank")
+    if mine.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return out
+    return best_candidate(out.drop("rank"), seller_word)  # an id of several titles has one ranking
+
+
+def _classes(titles: DataFrame, titled: list[str], same: list[str], number: str) -> tuple[DataFrame, DataFrame]:
+    """titles, written, and their classes: numbered rows of the columns same, in which titles agree."""
+    titles = storage.written(titles.select(*{c: None for c in [*titled, *same]}), "titles")
+    classes = storage.written(titles.select(*same).distinct().withColumn(number, F.monotonically_increasing_id()), "classes")
+    # keys of classes are never null
+    return titles.join(classes, same).select(*[F.col(c).alias(f"_t_{c}") for c in titled], number), classes
+
+
+def _of_class(rows: DataFrame, titles: DataFrame, titled: list[str], number: str) -> DataFrame:
+    """rows with the number of their title's class; those of no class go."""
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in titled])
+    return rows.join(titles, same).select(*rows.columns, number)
 
 
 def matched_offers(products: DataFrame, feed: DataFrame, accepted: DataFrame | None = None, seller_word: str = "newegg") -> DataFrame:

@@ -215,3 +215,19 @@ def test_points_are_made_once(spark):
     priced = series.gap_filled(points.mapInArrow(count, points.schema)).withColumn("price", F.col("cents") / 100)
     assert rows(series.outlier_counts(priced), "product_id", "primary", "secondary", "dropped") == [(1, 3, 1, 2), (2, 0, 1, 0)]
     assert made.value == 5
+
+
+def test_titles_of_many_rows_are_matched_once(spark, monkeypatch):
+    """Rows of one title on both sides meet as classes: feed rows are ranked once for the title, not for each product."""
+    seen, best = [], resolve.best_candidate
+    monkeypatch.setattr(resolve, "best_candidate", lambda c, *more: seen.append(c.count()) or best(c, *more))
+    title = "Acme Vengeance 16GB DDR5"
+    products = spark.createDataFrame([(i, "ram", "Acme", title) for i in range(20)] + [(99, "ram", None, title)], "id long, category string, brand string, name string")
+    feed = spark.createDataFrame([(f"N{i:02}", None, "ram", title, float(30 - i), "shop", i % 2 == 0, "", "u") for i in range(30)], "feed_sku string, brand string, category string, name string, price double, seller string, in_stock boolean, mpn string, url string")
+    got = rows(resolve.match_by_name(products, feed), "product_id", "rank", "feed_sku")
+    order = [f"N{i:02}" for i in sorted(range(30), key=lambda i: (i % 2, -i))]
+    assert got == sorted((p, r + 1, sku) for p in [*range(20), 99] for r, sku in enumerate(order))
+    assert seen == [60]
+    # two products of one id have one ranking
+    twice = products.where("id < 2").withColumn("id", F.lit(5).cast("long"))
+    assert sorted(r["rank"] for r in resolve.match_by_name(twice, feed).collect()) == list(range(1, 61))
