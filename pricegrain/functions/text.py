@@ -165,8 +165,9 @@ def line_signature(name: Column, brand: Column) -> Column:
     """The tokens that name a product line, in order, repeated ones kept."""
     brands = F.split(F.lower(F.coalesce(brand, F.lit(""))), S + "+")
     figure = "^(?:" + "|".join(FIGURES) + ")$"
-    kept = F.filter(title_tokens(name), lambda w: ~is_part_number(w))
-    return F.filter(F.transform(kept, F.lower), lambda w: ~F.array_contains(brands, w) & ~w.isin(list(FILLER)) & ~w.rlike(figure))
+    kept = F.transform(F.filter(title_tokens(name), lambda w: ~is_part_number(w)), F.lower)
+    # the brand is split once, not for each word
+    return let(brands, lambda b: F.filter(kept, lambda w: ~F.array_contains(b, w) & ~w.isin(list(FILLER)) & ~w.rlike(figure)))
 
 
 def ram_form(name: Column) -> Column:
@@ -197,8 +198,12 @@ def slugify(c: Column) -> Column:
 
 def line_key(category: Column, brand: Column, name: Column) -> Column:
     """Key of a product line from its title; null if no word names the line."""
-    words = line_signature(name, brand)
-    parts = F.concat_ws(" ", category, F.coalesce(F.nullif(F.lower(brand), F.lit("")), F.lit("x")), F.array_join(words, " "), F.array_join(invariants(category, name), " "))
+    return let(line_signature(name, brand), lambda words: key_of(category, brand, words, invariants(category, name)))
+
+
+def key_of(category: Column, brand: Column, words: Column, facts: Column) -> Column:
+    """line_key() from a title's line signature and invariants."""
+    parts = F.concat_ws(" ", category, F.coalesce(F.nullif(F.lower(brand), F.lit("")), F.lit("x")), F.array_join(words, " "), F.array_join(facts, " "))
     return F.when(F.size(words) > 0, slugify(parts))
 
 
