@@ -435,6 +435,10 @@ def alert_errors(email: Column, price: Column, product: Column) -> Column:
 
 def sanitized_alert(email: Column, price: Column, product: Column) -> Column:
     """Trimmed email in lower case, price as a number, trimmed product; null if anything is wrong."""
-    good = F.size(alert_errors(email, price, product)) == 0
+    return clean_alert(email, price, product, alert_errors(email, price, product))
+
+
+def clean_alert(email: Column, price: Column, product: Column, errors: Column) -> Column:
+    """sanitized_alert() of a request whose errors are known."""
     trimmed = lambda c: F.regexp_replace(c, f"^{S}+|{S}+$", "")  # noqa: E731  (as alert_errors trims)
-    return F.when(good, F.struct(F.lower(trimmed(email)).alias("email"), leading_number(price).alias("target_price"), trimmed(product).alias("product_id")))
+    return F.when(F.size(errors) == 0, F.struct(F.lower(trimmed(email)).alias("email"), leading_number(price).alias("target_price"), trimmed(product).alias("product_id")))

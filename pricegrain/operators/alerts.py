@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import ship, storage
 from ..functions import text as T
 from . import blocks
 from .series import at
@@ -237,10 +237,12 @@ def admitted(requests: DataFrame, products: DataFrame, table: DataFrame, log: Da
     limit = decided(told.where("first is null").select(F.coalesce("ip", F.lit("unknown")).alias("key"), "id", "ts"), *rate).select("id", "accepted")
     told = told.join(limit, "id", "left").withColumn("first", F.coalesce("first", F.when(~F.col("accepted"), "rate_limited")))
     fields = (F.col("email"), F.col("price"), F.col("product"))
-    told = told.withColumn("errors", T.alert_errors(*fields)).withColumn("clean", T.sanitized_alert(*fields))
+    # errors and clean fields in one look at each request, though both go by the errors
+    told = blocks.spread(told).withColumn("errors", T.alert_errors(*fields)).withColumn("clean", T.clean_alert(*fields, F.col("errors")))
     told = told.withColumn("first", F.coalesce("first", F.when(F.size("errors") > 0, "invalid")))
     told = told.select("id", "ts", "first", F.when(F.col("first") == "invalid", F.col("errors")).alias("errors"), F.col("clean.email").alias("email"), F.col("clean.product_id").alias("sku"))
     told = told.join(products.select("sku", F.col("id").alias("product_id")), "sku", "left").withColumn("first", F.coalesce("first", F.when(F.col("product_id").isNull(), "product_not_found")))
+    told = storage.written(told, "told")  # asked three times: the walk of the rate limit runs once
     confirmed, triggered = F.coalesce("confirmed", F.lit(False)), F.coalesce("triggered", F.lit(False))
     live = table.where(confirmed & ~triggered).groupBy("email").agg(F.count(F.lit(1)).alias("_live"))
     pairs = table.select("email", "product_id", F.lit(True).alias("known")).distinct()
@@ -249,7 +251,7 @@ def admitted(requests: DataFrame, products: DataFrame, table: DataFrame, log: Da
     asked = asked.select("email", us("ts"), "id", "product_id", (F.coalesce("_live", F.lit(0)) >= ACTIVE_CAP).alias("active_cap"), F.coalesce("known", F.lit(False)).alias("known"), F.lit(False).alias("held"))
     waiting = table.where(~confirmed).select("email", us("created_at"), F.lit(None).cast("long").alias("id"), "product_id", F.lit(False).alias("active_cap"), F.lit(True).alias("known"), F.lit(True).alias("held"))
     waiting = waiting.join(asked.select("email").distinct(), "email", "left_semi")
-    walked = _pending_decisions(asked.unionByName(waiting), PENDING_CAP, PENDING_HOURS)
+    walked = storage.written(_pending_decisions(asked.unionByName(waiting), PENDING_CAP, PENDING_HOURS), "walked")
     times = told.select("id", us("ts"))
     mails = sendable(walked.where("outcome = 'created'").join(times, "id").select("id", "us"), log.select(us("sent_at")), send_cap)
     done = walked.join(mails, "id", "left").withColumn("outcome", F.when(F.col("outcome") == "created", F.when(F.col("sent"), "created_sent").otherwise("created_breaker_deferred")).otherwise(F.col("outcome")))

@@ -150,3 +150,24 @@ def test_silent_keys_leave_the_state(spark, tmp_path):
     assert {r["id"]: r["accepted"] for r in spark.table("silent_keys").collect()} == {0: True, 1: True, 2: True, 3: True, 4: True}
     state = spark.read.format("statestore").option("stateVarName", "times").option("flattenCollectionTypes", "true").load(str(tmp_path / "cp"))
     assert "a" not in {r["key"]["key"] if hasattr(r["key"], "key") else r["key"][0] for r in state.select("key").collect()}
+
+
+def test_requests_are_walked_once(spark, monkeypatch):
+    """Every request passes the rate limit's walk once, though its outcome is asked for at several steps."""
+    seen, walk = spark.sparkContext.accumulator(0), alerts.decided
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def decided(requests, *rate):
+        out = walk(requests, *rate)
+        return out.mapInArrow(counted, out.schema)
+
+    monkeypatch.setattr(alerts, "decided", decided)
+    requests = spark.createDataFrame([(i, START + timedelta(hours=i), "a", "", True, "x@y.z", "5", "P1") for i in range(4)], "id long, ts timestamp, ip string, website string, human boolean, email string, price string, product string")
+    table = spark.createDataFrame([], "email string, product_id long, confirmed boolean, triggered boolean, created_at timestamp")
+    got = alerts.admitted(requests, spark.createDataFrame([(1, "P1")], "id long, sku string"), table, spark.createDataFrame([], "sent_at timestamp"))
+    assert sorted((r["id"], r["outcome"]) for r in got.collect()) == [(0, "created_sent"), (1, "deduped"), (2, "deduped"), (3, "deduped")]
+    assert seen.value == 4
