@@ -117,7 +117,8 @@ def competing(ranked: DataFrame, by: str = "product_id") -> DataFrame:
 
 def match_by_part_number(products: DataFrame, feed: DataFrame, seller_word: str = "newegg") -> DataFrame:
     """Every feed row whose normalised part number equals that of a product's title, ranked; products: id, name."""
-    ours = products.withColumn("our_mpn", T.part_number(F.col("name"))).withColumn("_k", T.normal_mpn(F.col("our_mpn"))).where("_k <> ''").select(F.col("id").alias("product_id"), "our_mpn", "_k")
+    # written before a condition asks for it, so that it is worked out after rows are dealt to tasks
+    ours = storage.written(blocks.spread(products.select("id", "name")).select("id", T.part_number(F.col("name")).alias("our_mpn")), "mpns").withColumn("_k", T.normal_mpn(F.col("our_mpn"))).where("_k <> ''").select(F.col("id").alias("product_id"), "our_mpn", "_k")
     theirs = feed.withColumn("_k", T.normal_mpn(F.col("mpn"))).where("_k <> ''").withColumnRenamed("name", "feed_name")
     return best_candidate(ours.join(theirs, "_k").drop("_k"), seller_word)
 
@@ -145,15 +146,15 @@ def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newe
     known = "category is not null and _cap is not null and _inv is not null"
     first = F.lower(F.split_part(F.trim(F.coalesce("brand", F.lit(""))), F.lit(" "), F.lit(1)))
     titled = ["category", "brand", "name"]
-    ours = facts(blocks.spread(products.select(*titled).distinct())).where(known).withColumn("_sig", F.array_sort(F.array_distinct(T.line_signature(name, F.col("brand"))))).withColumn("_first", first)
-    ours, asked = _classes(ours.where(F.size("_sig") > 0), titled, [*key, "_sig", "_first"], "_class")
+    ours = facts(blocks.spread(products.select(*titled).distinct())).withColumn("_sig", F.array_sort(F.array_distinct(T.line_signature(name, F.col("brand"))))).withColumn("_first", first)
+    ours, asked = _classes(ours, titled, [*key, "_sig", "_first"], known + " and size(_sig) > 0", "_class")
     asked = asked.withColumn("_bits", _picture(F.col("_sig")))
     shown = [c for c in titled if c in feed.columns]
     theirs = feed.select(*shown).distinct()
     if "category" not in shown:  # what the title says
         theirs = theirs.withColumn("category", F.when(T.has(name, "ddr"), "ram").when(T.has(name, "ssd|nvme"), "ssd"))
-    theirs = facts(blocks.spread(theirs)).where(known).withColumn("_tok", F.array_sort(F.array_distinct(F.transform(T.title_tokens(name), F.lower)))).withColumn("_where", F.lower(T.first_filled(F.col("brand"), name)))
-    theirs, narrow = _classes(theirs, shown, [*key, "_tok", "_where"], "_group")
+    theirs = facts(blocks.spread(theirs)).withColumn("_tok", F.array_sort(F.array_distinct(F.transform(T.title_tokens(name), F.lower)))).withColumn("_where", F.lower(T.first_filled(F.col("brand"), name)))
+    theirs, narrow = _classes(theirs, shown, [*key, "_tok", "_where"], known, "_group")
     narrow = narrow.withColumn("_has", _picture(F.col("_tok")))
     held = storage.written(narrow.select(*key, F.explode("_tok").alias("_t")).groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n")), "words")
     words = asked.select("_class", *key, F.explode("_sig").alias("_t")).join(held, [*key, "_t"], "left")
@@ -184,9 +185,10 @@ def match_by_name(products: DataFrame, feed: DataFrame, seller_word: str = "newe
     return best_candidate(out.drop("rank"), seller_word)  # an id of several titles has one ranking
 
 
-def _classes(titles: DataFrame, titled: list[str], same: list[str], number: str) -> tuple[DataFrame, DataFrame]:
-    """titles, written, and their classes: numbered rows of the columns same, in which titles agree."""
-    titles = storage.written(titles.select(*{c: None for c in [*titled, *same]}), "titles")
+def _classes(titles: DataFrame, titled: list[str], same: list[str], keep: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """titles, written, and the classes of those to keep: numbered rows of the columns same, in which titles agree."""
+    # a condition on what titles say comes after they are written: Spark would judge it before they are dealt to tasks
+    titles = storage.written(titles.select(*{c: None for c in [*titled, *same]}), "titles").where(keep)
     classes = storage.written(titles.select(*same).distinct().withColumn(number, F.monotonically_increasing_id()), "classes")
     # keys of classes are never null
     return titles.join(classes, same).select(*[F.col(c).alias(f"_t_{c}") for c in titled], number), classes
@@ -200,8 +202,9 @@ def _of_class(rows: DataFrame, titles: DataFrame, titled: list[str], number: str
 
 def matched_offers(products: DataFrame, feed: DataFrame, accepted: DataFrame | None = None, seller_word: str = "newegg") -> DataFrame:
     """product_id, method, accepted and the best feed row. Part numbers are accepted at once; names only if accepted (product_id, feed_sku) lists them."""
-    by_mpn = match_by_part_number(products, feed, seller_word).where("rank = 1")
-    rest = products.join(by_mpn.select(F.col("product_id").alias("id")), "id", "left_anti")
+    # written: what is left over for the names is asked for several times
+    by_mpn = storage.written(match_by_part_number(products, feed, seller_word).where("rank = 1"), "mpn")
+    rest = storage.written(products.join(by_mpn.select(F.col("product_id").alias("id")), "id", "left_anti"), "rest")
     by_name = match_by_name(rest, feed, seller_word).where("rank = 1")
     cols = ["product_id", "feed_sku", "feed_name", "price", "in_stock", "url"]
     one = by_mpn.select(*cols, F.lit("mpn").alias("method"), F.lit(True).alias("accepted"))

@@ -231,3 +231,19 @@ def test_titles_of_many_rows_are_matched_once(spark, monkeypatch):
     # two products of one id have one ranking
     twice = products.where("id < 2").withColumn("id", F.lit(5).cast("long"))
     assert sorted(r["rank"] for r in resolve.match_by_name(twice, feed).collect()) == list(range(1, 61))
+
+
+def test_part_numbers_are_read_once(spark, monkeypatch):
+    """What part numbers leave over is matched by names several times, but worked out once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    products = spark.createDataFrame([(1, "ram", "Acme", "Acme Fury 16GB DDR5 (CMK123456)"), (2, "ram", "Acme", "Acme Royal 16GB DDR5"), (3, "ram", "Acme", "Acme Fury 8GB DDR5")], "id long, category string, brand string, name string")
+    feed = spark.createDataFrame([("N1", "Acme", "ram", "Acme Fury 16GB DDR5", 1.0, "shop", True, "cmk-123456", "u"), ("N2", "Acme", "ram", "Acme Royal 16GB DDR5", 1.0, "shop", True, "", "u")], "feed_sku string, brand string, category string, name string, price double, seller string, in_stock boolean, mpn string, url string")
+    got = resolve.matched_offers(products.mapInArrow(count, products.schema), feed)
+    assert rows(got, "product_id", "feed_sku", "method", "accepted") == [(1, "N1", "mpn", True), (2, "N2", "name", False)]
+    assert read.value == 6  # for their part numbers, and for what is left
