@@ -1,12 +1,13 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
-Both dictionaries are trained (zstandard.train_dictionary) on whole texts of bounded samples of labelled rows: OWN_BYTES on
-toxic text for one, as many on ordinary text for the other, each in front of the same BASE_BYTES trained on other ordinary
-text. With the base, words that all texts have cost the same under both, so lengths differ by what is particular to a label;
-without it that difference drowns in the words that happen to be in one dictionary only. Each window of WINDOW bytes is
-compressed with both, and the gain is what the toxic dictionary saves. The gains of a document's windows, counted against
-thresholds (LEVELS), go to a logistic model calibrated on labelled documents that the dictionaries have not seen; it gives the
-score.
+Both dictionaries end in the same BASE_BYTES trained (zstandard.train_dictionary) on whole ordinary texts of a bounded sample of
+labelled rows, so what all texts have costs the same under both. The toxic one begins with OWN_BYTES trained on passages of the
+sample's toxic texts: those runs of bytes whose pieces (PIECE bytes, anywhere in the whole texts) are in surely more of the toxic
+texts than of the ordinary ones, whatever they are. Trained on all of the toxic text, these bytes would hold what is frequent in
+any text, and gains would drown in what happens to be in one dictionary only. Where no passage tells, both have OWN_BYTES trained on
+whole texts of their label. Each window of WINDOW bytes is compressed with both, with equal parameters, and the gain is what the
+toxic dictionary saves. The gains of a document's windows, counted against thresholds (LEVELS), go to a logistic model calibrated
+on labelled documents that the dictionaries have not seen; it gives the score.
 
 Defined cases: a null or empty text has no window and gets the score of gains 0; texts are lower-cased (A-Z) bytes, so any
 characters do; repeated rows get equal scores; with no labels of one class the score is the share of label 1 (0.5 with no
@@ -24,30 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, read, remainder, text_runs
+from .common import _LOWER, mix, read, remainder, text_runs
 from .labelled import Logistic, counts, sampled
 
 #: Bound of the training sample, for each label.
 MOST_ROWS = 3000
 WINDOW, STEP = 256, 240
 #: Bytes of a dictionary's own part and of the part that both share, and words of a sample to train on.
-OWN_BYTES, BASE_BYTES = 5120, 200_000
+OWN_BYTES, BASE_BYTES = 5120, 32_000
 SAMPLE_WORDS = 8
 LEVELS = (1, 2, 3, 4, 6, 9)
+#: Bytes of a piece, counters of pieces (they may share one), by how many standard deviations and how many times a piece that tells
+#: is in more toxic texts than its share, and bytes of a segment of the dictionary that is trained on what tells.
+PIECE, SLOTS, SURE, TIMES, SEGMENT = 6, 1 << 23, 6.0, 2.0, 16
 
 
 class Compressors:
     """The two compressors, made anew in each worker from the dictionaries' bytes."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = self._made(toxic), self._made(ordinary)
+        # the window holds either dictionary whole; with windows of their own the compressors would differ in more than these
+        log = max(13, (max(len(toxic), len(ordinary)) + WINDOW).bit_length())
+        self.toxic, self.ordinary = self._made(toxic, log), self._made(ordinary, log)
 
     @staticmethod
-    def _made(content: bytes):
+    def _made(content: bytes, log: int):
         import zstandard as z
 
-        # the window holds the dictionary whole
-        log = max(13, (len(content) + WINDOW).bit_length())
         how = z.ZstdCompressionParameters(window_log=log, hash_log=min(17, log), chain_log=min(17, log), search_log=5, min_match=4, target_length=64, strategy=z.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
         d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
@@ -67,24 +71,68 @@ def features(gains: np.ndarray) -> list[float]:
     return [*base, *[min(x, 5.0) for x in base], gains.mean(), math.log(len(gains)), (gains >= 3).mean()]
 
 
-def _trained(texts: list[bytes], size: int, k: int, d: int) -> bytes:
-    """A dictionary's content of size bytes at most, of the segments that most of the texts' samples share."""
+def _samples(texts: list[bytes]) -> list[bytes]:
+    out = []
+    for words in map(bytes.split, texts):
+        out += [b" " + b" ".join(words[i : i + SAMPLE_WORDS]) for i in range(0, len(words), SAMPLE_WORDS)]
+    return out
+
+
+def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary's content of size bytes at most, of the segments that most of the samples share."""
     import zstandard as z
 
-    samples = []
-    for words in map(bytes.split, texts):
-        samples += [b" " + b" ".join(words[i : i + SAMPLE_WORDS]) for i in range(0, len(words), SAMPLE_WORDS)]
     try:
         return z.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except z.ZstdError:  # too little text to train on: the text itself
         return b"".join(samples)[-size:]
 
 
+def _pieces(text: bytes) -> np.ndarray:
+    """The counter of the piece at each place of a text."""
+    a = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    h = np.zeros(max(0, len(a) - PIECE + 1), dtype=np.uint64)
+    for i in range(PIECE):
+        h = h << np.uint64(8) | a[i : i + len(h)]
+    return (mix(h) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Which counters are of pieces that tell; copies of a text count once."""
+    held = []
+    for texts in (set(toxic), set(ordinary)):
+        n = np.zeros(SLOTS, dtype=np.int32)
+        for t in texts:
+            n[np.unique(_pieces(t))] += 1
+        held.append((len(texts), n))
+    (all_a, a), (all_b, b) = held
+    some = np.flatnonzero(a)
+    a, b, share = a[some], b[some], all_a / (all_a + all_b)
+    due = (a + b) * share
+    sure = (a - due) / np.sqrt(due * (1 - share) + 0.25) >= SURE
+    out = np.zeros(SLOTS, dtype=bool)
+    out[some[sure & ((a + 0.5) * (all_b + 1) >= TIMES * (b + 0.5) * (all_a + 1))]] = True
+    return out
+
+
+def _passages(text: bytes, telling: np.ndarray) -> list[bytes]:
+    """The runs of a text that pieces that tell cover."""
+    at = np.flatnonzero(telling[_pieces(text)])
+    if not len(at):
+        return []
+    new = np.flatnonzero(np.diff(at) > PIECE) + 1
+    return [text[i : j + PIECE] for i, j in zip(at[np.r_[0, new]], at[np.r_[new - 1, len(at) - 1]], strict=True)]
+
+
 def dictionaries(rows: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, of (doc_id, text, label) rows."""
     toxic, ordinary = ([t for _, t, y in rows if y == label] for label in (1, 0))
-    base = _trained(ordinary[0::2], BASE_BYTES, 64, 8)
-    return _trained(toxic, OWN_BYTES, 24, 6) + base, _trained(ordinary[1::2], OWN_BYTES, 24, 6) + base
+    base = _trained(_samples(ordinary[0::2]), BASE_BYTES, 64, 8)
+    telling = _telling(toxic, ordinary)
+    passages = [p for t in toxic for p in _passages(t, telling)]
+    if passages:
+        return _trained(passages, OWN_BYTES, SEGMENT, PIECE) + base, base
+    return _trained(_samples(toxic), OWN_BYTES, 24, 6) + base, _trained(_samples(ordinary[1::2]), OWN_BYTES, 24, 6) + base
 
 
 def _lower(text: bytes) -> bytes:

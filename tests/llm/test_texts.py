@@ -488,6 +488,34 @@ def test_dictionaries_are_trained_on_whole_texts(monkeypatch):
     assert sorted(seen) == sorted([(toxicity.BASE_BYTES, 700_000), (toxicity.OWN_BYTES, 16), (toxicity.OWN_BYTES, 5)])
 
 
+def test_toxic_dictionary_holds_what_tells():
+    """Rare telling words among much ordinary text are found, and a window without them costs the same under both dictionaries."""
+    r = random.Random(23)
+    stems = ["ander", "onti", "ther", "inge", "lyed", "reha", "stoul", "whea"]
+    word = lambda: "".join(r.choice(stems) for _ in range(r.randrange(1, 4)))
+    bad = ["scummy", "trashing", "pitiable", "moronish"]  # three of 200 words tell
+
+    def text(y):
+        words = [word() for _ in range(200)]
+        for _ in range(3 * y):
+            words.insert(r.randrange(len(words)), r.choice(bad))
+        return " ".join(words).encode()
+
+    rows = [(i, text(int(i % 4 == 0)), int(i % 4 == 0)) for i in range(800)]
+    model = toxicity.Model(rows)
+    c = toxicity.Compressors(model.toxic, model.ordinary)
+    assert model.toxic.endswith(model.ordinary) and len(model.toxic) > len(model.ordinary)
+    new = [(text(y), y) for y in (0, 1) for _ in range(100)]
+    judged = [float(model.logistic.predict(np.array([toxicity.features(c.gains(t))]))[0]) >= 0.5 for t, _ in new]
+    assert sum(judged[100:]) >= 95 and sum(judged[:100]) <= 5
+    assert np.mean(np.concatenate([c.gains(t) for t, y in new if not y]) != 0) < 0.1
+    # the passages of a text are runs of its bytes, and copies of one text tell nothing
+    telling = toxicity._telling([b"some words here"] * 50, [b"other words there %d" % i for i in range(50)])
+    assert not telling.any() and toxicity._passages(b"some words here", telling) == []
+    telling[toxicity._pieces(b"abcdefgh")] = True
+    assert toxicity._passages(b"xx abcdefgh yy abcdefgh", telling) == [b"abcdefgh", b"abcdefgh"]
+
+
 def test_toxicity_query_equals_plain_walk(spark, tmp_path):
     """Scores of the query, text by text; labels of held-out rows change nothing."""
     r = random.Random(17)
