@@ -51,7 +51,7 @@ def plain(docs: DataFrame) -> DataFrame:
     t tells texts of one id apart; where no id repeats it is 0.
     """
     known, text = docs.where("doc_id is not null and text is not null"), F.col("text")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count()  # reads the ids alone.where("count > 1").limit(1).count()
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()  # reads the ids alone
     odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
     spaced = F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]+", " ")).otherwise(text)
     return known.select(F.col("doc_id").alias("d"), (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("t"), spaced.alias("text"))
@@ -67,15 +67,18 @@ def _split(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def slot_tiers(texts: DataFrame) -> Column:
-    """One constant array: for each slot two tiers for each doubling of its hits over all words of texts; SLOTS numbers, whatever the input."""
+def slot_tiers(texts: DataFrame, scratch: Scratch) -> Column:
+    """One array: for each slot two tiers for each doubling of its hits over all words of texts; SLOTS numbers, whatever the input.
+
+    A subquery's one value: as a literal all its numbers would be spelled out in each plan that the driver keeps.
+    """
     # lines don't matter here, so a text is split once
     words = texts.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     hits = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).count()
     tier = F.coalesce(F.least(F.floor(2 * F.log2(F.col("count").cast("double"))), F.lit(62)), F.lit(0)).cast("tinyint")
     every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(hits, "slot", "left").select("slot", tier.alias("tier"))
-    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "tier"))), lambda x: x["tier"].cast("string")), ",").alias("tiers"))
-    return F.split(F.lit(listed.first()["tiers"]), ",").cast("array<tinyint>")
+    listed = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "tier"))), lambda x: x["tier"]).alias("tiers"))
+    return scratch.table(listed).scalar()
 
 
 def _hashes(line: Column) -> Column:
@@ -95,7 +98,8 @@ def _least(n: Column, per_cent: int) -> Column:
 
 def classes(texts: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
     """Lines with the id of their word set, and each set once: its first line, how many lines have it, its picture and prefix."""
-    sets = lines_of(texts).select(*ID, _ordered(F.col("line"), tiers).alias("s"))
+    # functions on arrays take no subquery, but a column that is one, which Spark puts in its place
+    sets = lines_of(texts).select(*ID, "line", tiers.alias("tiers")).select(*ID, _ordered(F.col("line"), F.col("tiers")).alias("s"))
     n = F.size("s")
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
     picture = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
@@ -204,7 +208,7 @@ def late_classes(texts: DataFrame, once: DataFrame, scratch: Scratch, per_cent:
 def removed_lines(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """d, t, gone: for each document the sorted numbers (from 0) of its lines that repeat an earlier line: of each class all but the first, and the first too if its class is late."""
     texts = plain(docs)
-    lines, once = classes(texts, slot_tiers(texts), scratch, per_cent)
+    lines, once = classes(texts, slot_tiers(texts, scratch), scratch, per_cent)
     late = scratch.table(late_classes(texts, once, scratch, per_cent).withColumn("late", F.lit(True)), NARROW)
     judged = once.join(late, list(ID), "left").where("lines > 1 or late").select(*SET, F.struct(*ID).alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.select(*SET, *ID).join(judged, list(SET)).where(F.col("late") | (F.struct(*ID) != F.col("first")))

@@ -234,7 +234,8 @@ def keep_one(docs: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> Dat
     if listed is None:
         found = of_ids(docs.where("doc_id is not null"), scratch, per_cent)
         gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti")
+        # else all texts are shuffled, as the size of found is taken for that of the few that go
+        return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, "doc_id", "left_anti")
     found = of_ids(listed.select(F.col("number").alias("doc_id"), "text"), scratch, per_cent, (listed,))
     gone = listed.join(found.where("component_id <> doc_id").select(F.col("doc_id").alias("number")), "number")
     gone = gone.select(F.struct("doc_id", "text").alias("key")).distinct()

@@ -622,3 +622,27 @@ def test_lm_score_of_a_document_sums_its_words(spark):
     lattice = lm_score.Lattice(pieces, byte_at, log_p)
     want = {i: (sum(lattice.marginals([w])[0] for w in lower(t).encode().split()) + log_end) / math.log(10) for i, t in rows}
     assert all(math.isclose(x[5], want[x[0]], rel_tol=1e-9) for x in a)
+
+
+def test_line_dedup_keeps_plans_and_rows_small(spark):
+    """Rarities aren't spelled out in plans, and texts are told apart by a hash only where an id repeats."""
+    d = frame(spark, [(1, "a b c\nd e f"), (2, "a b c"), (3, None)])
+    assert {r["t"] for r in line_dedup.plain(d).collect()} == {0}
+    assert {r["t"] for r in line_dedup.plain(d.union(frame(spark, [(1, "a b")]))).collect()} != {0}
+    texts, scratch = line_dedup.plain(d), Scratch(spark)
+    tiers = line_dedup.slot_tiers(texts, scratch)
+    ordered = line_dedup.lines_of(texts).select("line", tiers.alias("tiers")).select(line_dedup._ordered(F.col("line"), F.col("tiers")).alias("s"))
+    assert len(ordered._jdf.queryExecution().toString()) < 100_000
+    assert sorted(len(r["s"]) for r in ordered.collect()) == [3, 3, 3]
+
+
+def test_kept_documents_are_not_shuffled(spark):
+    d = frame(spark, [(1, "one two three four five six"), (2, "one two three four five six"), (3, "seven eight nine ten eleven twelve")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_dedup.keep_one(d, Scratch(spark))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["doc_id"] for r in out.collect()} == {1, 3}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
