@@ -90,3 +90,16 @@ def test_postings_are_sorted_in_pieces(spark, index, monkeypatch, size):
     batch = pa.RecordBatch.from_pydict({"ord": list(texts), "c": list(texts.values())})
     got = sorted((r["gram"], r["part"], i) for b in search.postings_of(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist() for i in r["ids"])
     assert got == sorted({((t + "$$")[k : k + 3], i // search.SPAN, i) for i, t in texts.items() for k in range(len(t))})
+
+
+def test_signs_are_told_from_spaces_wherever_they_stand(one):
+    kept = T.S[1:-1]
+    whole = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^a-z0-9{kept}]+", "")
+    for text in [None, "", "abc", "A.b C\néé 한1", "...", " \t x$1 \\ y", "Kİz", "end!"]:
+        assert one(T.search_text(F.col("t").cast("string")), t=text) == one(whole(F.col("t").cast("string")), t=text)
+
+
+def test_long_texts_are_taken_apart_run_by_run(spark):
+    # a class that skips to the next rare sign takes several times as long; this one matches whatever stays, too
+    plan = spark.range(1).select(T.search_text(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9" in plan and "([a-z0-9" in plan
