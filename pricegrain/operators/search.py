@@ -52,8 +52,10 @@ def postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, n = np.zeros(len(SIGNS) ** 3, bool), len(SIGNS)
 
     def sorted_out(grams: list, ids: list) -> pa.RecordBatch:
-        gram, at = np.concatenate(grams), np.concatenate(ids)
-        order = np.lexsort((at, gram))
+        # texts are put in order, not their grams' ids: what is left is one radix sort of two bytes
+        texts = np.argsort(np.array(ids), kind="stable")
+        gram, at = np.concatenate([grams[i] for i in texts]), np.repeat(np.array(ids)[texts], [len(grams[i]) for i in texts])
+        order = np.argsort(gram, kind="stable")
         gram, at = gram[order], at[order]
         part = at // SPAN
         first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
@@ -68,8 +70,8 @@ def postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = np.flatnonzero(seen)
             seen[held] = False
             if len(held):
-                grams.append(held)
-                ids.append(np.full(len(held), i, np.int64))
+                grams.append(held.astype(np.uint16))
+                ids.append(i)
                 size += len(held)
             if size >= SORTED:
                 yield sorted_out(grams, ids)

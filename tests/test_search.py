@@ -103,3 +103,13 @@ def test_long_texts_are_taken_apart_run_by_run(spark):
     # a class that skips to the next rare sign takes several times as long; this one matches whatever stays, too
     plan = spark.range(1).select(T.search_text(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "[^a-z0-9" in plan and "([a-z0-9" in plan
+
+
+def test_equal_grams_are_sorted_by_two_bytes(monkeypatch):
+    """Ids in any order, a repeated one too, come out sorted, and no sort looks at grams and ids together."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(search.np, "lexsort", lambda keys: pytest.fail("a sort of all pairs"))
+    batch = pa.RecordBatch.from_pylist([{"ord": i, "c": c} for i, c in [(9000, "abc"), (3, "abcd"), (-5, "abc"), (3, "abc")]])
+    got = {(r["gram"], r["part"]): r["ids"] for r in next(search.postings_of(iter([batch]))).to_pylist()}
+    assert got["abc", 0] == [3, 3] and got["abc", 2] == [9000] and got["abc", -1] == [-5] and got["bcd", 0] == [3]
