@@ -163,7 +163,9 @@ def parsed_history(products: DataFrame) -> DataFrame:
 def backfill_rows(history: DataFrame, as_of) -> DataFrame:
     """Daily rows from a parsed history: the last point of each day, gaps carried forward, regular price, stamped 23:59 UTC."""
     points = history.withColumn("in_stock", F.lit(True)).withColumn("id", F.struct("km", "source"))
-    filled = with_regular_price(forward_filled(daily(points, later_id_wins=True)), as_of)
+    # both are read twice by the step after them: written, no task runs what comes before again beside its own sorts
+    last = storage.written(daily(points, later_id_wins=True), "daily")
+    filled = with_regular_price(storage.written(forward_filled(last), "filled"), as_of)
     stamp = F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59))
     return filled.select("product_id", "price", "regular_price", "in_stock", stamp.alias("fetched_at"))
 

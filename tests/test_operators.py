@@ -247,3 +247,11 @@ def test_part_numbers_are_read_once(spark, monkeypatch):
     got = resolve.matched_offers(products.mapInArrow(count, products.schema), feed)
     assert rows(got, "product_id", "feed_sku", "method", "accepted") == [(1, "N1", "mpn", True), (2, "N2", "name", False)]
     assert read.value == 6  # for their part numbers, and for what is left
+
+
+def test_backfill_works_its_days_out_once(spark):
+    """What is returned reads written days: no window of the steps before is run again for the regular price."""
+    h = spark.createDataFrame([(1, 10, datetime(2001, 6, 1, 9), 5.0, 0), (1, 11, datetime(2001, 6, 1, 10), 7.0, 0), (1, 12, datetime(2001, 6, 2, 9), None, 0)], "product_id long, km long, fetched_at timestamp, price double, source int")
+    out = series.backfill_rows(h, datetime(2001, 6, 30))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["price"], r["regular_price"], r["in_stock"], r["fetched_at"].hour) for r in out.collect()) == [(7.0, 7.0, False, 23), (7.0, 7.0, True, 23)]
