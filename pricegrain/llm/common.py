@@ -39,21 +39,23 @@ class Scratch:
         self.n, self.paths = 0, set()
         ready(spark)
 
-    def table(self, df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+    def table(self, df: DataFrame, rows_a_file: int = 0, differ: bool = False) -> DataFrame:
         """Runs df once, as Parquet in the shared folder, and returns what was written.
 
         With rows_a_file the rows are cached and counted first and then written in as few files as that asks for: narrow
-        tables else become hundreds of tiny files.
+        tables else become hundreds of tiny files. differ: most values are hashes, for which Parquet would only fill
+        dictionaries that it gives up.
         """
         self.n += 1
         path = f"{self.folder}/{self.n}"
         schema = df.schema
+        options = {"parquet.enable.dictionary": "false"} if differ else {}
         if rows_a_file:
             cached = df.persist()
-            cached.coalesce(cached.count() // rows_a_file + 1).write.parquet(path)
+            cached.coalesce(cached.count() // rows_a_file + 1).write.options(**options).parquet(path)
             cached.unpersist()
         else:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         self.paths.add(path)

@@ -104,9 +104,9 @@ def classes(texts: DataFrame, tiers: Column, scratch: Scratch, per_cent: int = P
     prefix = F.transform(F.slice("s", 1, n - _least(n, per_cent) + 1), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
     picture = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
     # lines without words are left out after the write: a filter on the words would make Spark hash each line twice
-    lines = scratch.table(sets.select(*ID, F.xxhash64("s").alias("h"), n.alias("n"), picture.alias("bits"), prefix.alias("prefix"))).where("n > 0")
+    lines = scratch.table(sets.select(*ID, F.xxhash64("s").alias("h"), n.alias("n"), picture.alias("bits"), prefix.alias("prefix")), differ=True).where("n > 0")
     once = lines.groupBy(*SET).agg(F.min(F.struct(*ID)).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("prefix").alias("prefix"))
-    return lines, scratch.table(once.select(*SET, "first.*", "lines", "prefix"))
+    return lines, scratch.table(once.select(*SET, "first.*", "lines", "prefix"), differ=True)
 
 
 def _words(once: DataFrame, per_cent: int) -> DataFrame:

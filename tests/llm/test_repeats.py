@@ -79,3 +79,19 @@ def test_the_audit_looks_on_until_it_has_links(spark):
     assert got.where("n_links > 0").count() == 60 and recall >= 0.9
     got, recall = e.audited(d.where("vec_id < 5000"), Scratch(spark))
     assert got.where("n_links > 0").count() == 0 and recall is None
+
+
+def test_tables_of_hashes_fill_no_dictionaries(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from pricegrain.llm import line_dedup as L
+    from pricegrain.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    texts = L.plain(spark.createDataFrame([(i, f"a b c{i}\nd e f g") for i in range(50)], "doc_id long, text string"))
+    once = L.classes(texts, L.slot_tiers(texts, scratch), scratch)[1]
+    (file, *_) = glob.glob(once.scratch_path.removeprefix("file:") + "/*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    assert not any("DICTIONARY" in e for k in range(group.num_columns) for e in group.column(k).encodings) and once.count() == 51
